@@ -8,11 +8,11 @@ Sets are represented as distinct arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed
-from tessera.functions.text import squash_ws, strip
+from tessera.functions.text import WS_CLASS, squash_ws, strip
 
 # identifier characters after FROM / JOIN: quotes, brackets, word chars, dots
 _TABLE_PAT = r"(?i)\b(?:FROM|JOIN)\s+([`\"\[\]\p{L}\p{N}_.]+)"
@@ -26,9 +26,10 @@ def _lit_array(items: list[str]) -> Column:
 
 def normalize_sql(s: Column) -> Column:
     """Fence removal, strip, one trailing ';' dropped, whitespace collapsed (O-SC-1)."""
-    s = F.regexp_replace(F.coalesce(s, F.lit("")), r"(?i)```sql|```", "")
+    s = F.coalesce(s, F.lit(""))
+    s = F.when(F.instr(s, "```") > 0, F.regexp_replace(s, r"(?i)```sql|```", "")).otherwise(s)
     s = strip(s)
-    s = F.regexp_replace(s, r"(?U);\s*$", "")
+    s = F.when(F.instr(s, ";") > 0, F.regexp_replace(s, ";" + WS_CLASS + "*$", "")).otherwise(s)
     return squash_ws(s)
 
 
@@ -52,8 +53,17 @@ def extract_columns(norm: Column) -> Column:
 
 def extract_clauses(norm: Column) -> Column:
     """Names of the clause patterns present (O-SC-4)."""
-    return F.filter(F.array(*[F.when(norm.rlike("(?i)" + pat), F.lit(name)) for name, pat in fixed.CLAUSES]),
-                    lambda x: x.isNotNull())
+    u = F.upper(norm)
+    arms = []
+    for name, pat in fixed.CLAUSES:
+        words = [w for w in ("SELECT", "FROM", "WHERE", "JOIN", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "UNION",
+                             "INTERSECT", "EXCEPT", "DISTINCT", "COUNT", "SUM", "AVG", "MIN", "MAX", "CASE") if w in pat]
+        pre = None
+        for w in words:  # cheap substring pre-check before the regex
+            e = F.instr(u, w) > 0
+            pre = e if pre is None else (pre | e)
+        arms.append(F.when(pre & u.rlike(pat), F.lit(name)))
+    return F.array_compact(F.array(*arms))
 
 
 def extract_keywords(norm: Column) -> Column:
@@ -77,14 +87,29 @@ def jaccard(a: Column, b: Column) -> Column:
 FEATURES = ("tables", "columns", "clauses", "keywords", "tokens")
 
 
-def sql_features(sql: Column) -> Column:
-    """Struct of the five feature sets of one SQL text."""
-    n = normalize_sql(sql)
+def features_of_normalized(n: Column) -> Column:
+    """Struct of the five feature sets of an already normalised SQL column.
+
+    ``n`` should be a column reference: every feature reads it (the clause
+    set 16 times), so it must be computed once in an earlier projection.
+    """
     return F.struct(extract_tables(n).alias("tables"), extract_columns(n).alias("columns"),
                     extract_clauses(n).alias("clauses"), extract_keywords(n).alias("keywords"),
                     sql_tokens(n).alias("tokens"))
 
 
+def with_sql_features(df: DataFrame, sql_col: str, out: str) -> DataFrame:
+    """Add ``out`` = feature struct of ``sql_col``.
+
+    Normalisation is its own projection; Catalyst keeps it there (a costly
+    expression referenced many times is not collapsed into its consumers), so
+    each text is normalised once.
+    """
+    tmp = f"_{out}_norm"
+    return (df.withColumn(tmp, normalize_sql(F.col(sql_col)))
+              .withColumn(out, features_of_normalized(F.col(tmp))).drop(tmp))
+
+
 def semantic_score(pred_features: Column, gt_features: Column) -> Column:
     """Weighted Jaccard over the five feature sets, rounded to 6 places (O-SC-8)."""
     out = None

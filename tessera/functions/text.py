@@ -6,14 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Characters Python's str.isspace() accepts: the whitespace set of strip()/split().
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+              + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+WS_CLASS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+
+
 def strip(c: Column) -> Column:
-    """Whitespace strip on both ends (Unicode whitespace, not only spaces)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Whitespace strip on both ends (the full Unicode set, not only spaces).
+
+    ``trim(BOTH set FROM x)`` -- no regex, stays in codegen.
+    """
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def squash_ws(c: Column) -> Column:
     """Collapse whitespace runs to one space and strip."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, WS_CLASS + "+", " "))
 
 
 def count_occurrences(haystack: Column, needle: str) -> Column:

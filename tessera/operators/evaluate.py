@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera import fixed
 from tessera.functions.sqltext import (
-    exact_match, extract_sql_answer, near_correct, semantic_score, sql_features, strip_prompt_echo,
+    exact_match, extract_sql_answer, near_correct, semantic_score, strip_prompt_echo, with_sql_features,
 )
 from tessera.functions.text import group_label, strip
 from tessera.sources.fixtures import eval_prompt_len
@@ -55,16 +55,17 @@ def evaluate(examples: DataFrame, predictions: DataFrame, only_valid: bool = Tru
     ex = examples.filter(valid_schema(F.col("db_schema"))) if only_valid else examples
     ex = ex.select(
         "ex_id", group_label(examples.columns).alias("label"), F.col("SQL").alias("gt_sql"),
-        eval_prompt_len(F.col("question"), F.col("db_schema")).alias("prompt_len"),
-        sql_features(F.col("SQL")).alias("gt_f"))
+        eval_prompt_len(F.col("question"), F.col("db_schema")).alias("prompt_len"))
+    ex = with_sql_features(ex, "gt_sql", "gt_f")
     j = predictions.join(ex, "ex_id")
     local = F.col("variant") != "llama"
     response = F.when(local, strip_prompt_echo(F.col("raw_answer"), F.col("prompt_len"))).otherwise(F.col("raw_answer"))
     answered = j.select("ex_id", "label", "variant", "gt_sql", "gt_f", extract_sql_answer(response).alias("answer"))
+    answered = with_sql_features(answered, "answer", "p_f")
     return answered.select(
         "ex_id", "label", "variant", "answer",
         answer_status(F.col("variant"), F.col("answer"), exact_match(F.col("answer"), F.col("gt_sql"))).alias("correct"),
-        semantic_score(sql_features(F.col("answer")), F.col("gt_f")).alias("score"))
+        semantic_score(F.col("p_f"), F.col("gt_f")).alias("score"))
 
 
 def wide_results(long: DataFrame) -> DataFrame:

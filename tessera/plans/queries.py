@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.classify import classify_query_type
-from tessera.functions.sqltext import FEATURES, near_correct, semantic_score, sql_features
+from tessera.functions.sqltext import FEATURES, near_correct, semantic_score, with_sql_features
 from tessera.operators import curate, evaluate as ev
 from tessera.sources import fixtures as fx
 
@@ -93,15 +93,15 @@ def cu_overlap_check(spark, sf):
 # ---------------------------------------------------------------- SQL features / scoring
 @query("sc_sql_features")
 def sc_sql_features(spark, sf):
-    p = fx.predictions(spark, sf).select("ex_id", "variant", sql_features(F.col("raw_answer")).alias("f"))
+    p = with_sql_features(fx.predictions(spark, sf), "raw_answer", "f")
     return p.select("ex_id", "variant", *[F.sort_array(F.col("f")[k]).alias(k) for k in FEATURES])
 
 
 @query("sc_semantic_score")
 def sc_semantic_score(spark, sf):
-    ex = fx.examples(spark, sf).select("ex_id", sql_features(F.col("SQL")).alias("gt_f"))
-    p = fx.predictions(spark, sf).select("ex_id", "variant", sql_features(F.col("raw_answer")).alias("p_f"))
-    s = p.join(ex, "ex_id").select("ex_id", "variant", semantic_score(F.col("p_f"), F.col("gt_f")).alias("score"))
+    ex = with_sql_features(fx.examples(spark, sf).select("ex_id", "SQL"), "SQL", "gt_f")
+    p = with_sql_features(fx.predictions(spark, sf), "raw_answer", "p_f")
+    s = p.join(ex.select("ex_id", "gt_f"), "ex_id").select("ex_id", "variant", semantic_score(F.col("p_f"), F.col("gt_f")).alias("score"))
     return s.withColumn("near_correct", near_correct(F.col("score")))
 
 

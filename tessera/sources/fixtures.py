@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import fixed
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 # (intended class, question, SQL) -- placeholders {c} customer key,
 # {p} order priority, {y} order year.
@@ -166,7 +166,7 @@ def eval_prompt_len(question: Column, schema: Column) -> Column:
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ex_id, db_id, question, SQL, db_schema, query_type_name -- one per order."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"))
     ns = len(SCHEMA_TEXTS)
     slot = F.col("o_orderkey") % 1000
     t_idx = None
