@@ -184,3 +184,8 @@ ORACLE["ev_score_distribution"] = _with("predictions", extra=LONG) + (
     "SELECT variant, label, count(*) AS n, round(avg(score), 6) AS avg_score, round(median(score), 6) AS median_score, "
     f"count_if(score >= {fixed.NEAR_CORRECT}) AS n_near_correct, count_if(correct) AS n_exact "
     "FROM long GROUP BY variant, label")
+
+# ---------------------------------------------------------------- workload classes
+from tessera.plans.workload import WORKLOAD_SQL  # noqa: E402
+
+ORACLE.update(WORKLOAD_SQL)

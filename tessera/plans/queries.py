@@ -150,3 +150,9 @@ def ev_category_wins(spark, sf):
 @query("ev_score_distribution")
 def ev_score_distribution(spark, sf):
     return ev.score_distribution(_long(spark, sf))
+
+
+# ---------------------------------------------------------------- workload classes on the star schema
+from tessera.plans.workload import WORKLOAD  # noqa: E402
+
+QUERIES.update(WORKLOAD)
