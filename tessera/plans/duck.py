@@ -96,3 +96,102 @@ def prompt_len(question: str, schema: str) -> str:
 def valid_schema(s: str) -> str:
     return (f"(length(coalesce({s}, '')) > 0 AND {s} <> '{fixed.SCHEMA_NOT_AVAILABLE}' "
             f"AND length({strip(s)}) > {fixed.MIN_SCHEMA_LEN})")
+
+
+# ----------------------------------------------------------------------------- schema text
+
+WORD_RUN = "[\\p{L}\\p{N}_]+"
+
+
+def dedupe(arr: str, key: str, keep_last_field: str | None) -> str:
+    firsts = f"list_filter({arr}, lambda x, i: len(list_filter(list_slice({arr}, 1, i - 1), lambda y: y.{key} = x.{key})) = 0)"
+    if keep_last_field is None:  # whole element of the last occurrence
+        return f"list_transform({firsts}, lambda x: list_filter({arr}, lambda y: y.{key} = x.{key})[-1])"
+    return (f"list_transform({firsts}, lambda x: {{'name': x.{key}, '{keep_last_field}': "
+            f"list_filter({arr}, lambda y: y.{key} = x.{key})[-1].{keep_last_field}}})")
+
+
+def parse_schema(s: str) -> str:
+    parts = f"list_transform(string_split(coalesce({s}, ''), ');'), lambda p: {strip('p')})"
+    named = (f"list_filter({parts}, lambda p: p <> '' AND instr(p, '(') > 0 AND "
+             f"regexp_extract(p, '^({WORD_RUN})\\(', 1) <> '')")
+    content = "substr(p, instr(p, '(') + 1)"
+    col_part = f"(CASE WHEN instr({content}, ';') > 0 THEN split_part({content}, ';', 1) ELSE {content} END)"
+    cons = f"(CASE WHEN instr({content}, ';') > 0 THEN substr({content}, instr({content}, ';') + 1) ELSE '' END)"
+    pieces = f"list_filter(list_transform(string_split({col_part}, ','), lambda c: {strip('c')}), lambda c: c <> '')"
+    cols = (f"list_transform(list_filter(list_transform({pieces}, lambda c: string_split_regex(c, '\\s+')), "
+            f"lambda w: len(w) >= 2), lambda w: {{'name': lower(w[1]), 'type': array_to_string(w[2:], ' ')}})")
+    pks = (f"flatten(list_transform(regexp_extract_all({cons}, 'PK\\(([^)]+)\\)', 1), "
+           f"lambda g: list_transform(string_split(g, ','), lambda c: lower({strip('c')}))))")
+    name = f"regexp_extract(p, '^({WORD_RUN})\\(', 1)"
+    tables = (f"list_transform({named}, lambda p: {{'key': lower({name}), 'name': {name}, "
+              f"'columns': {dedupe(cols, 'name', 'type')}, 'pks': {pks}}})")
+    return dedupe(tables, "key", None)
+
+
+def question_tokens(q: str) -> str:
+    rel = (f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({q}, '')), '{WORD_RUN}'), "
+           f"lambda w: NOT list_contains({lst(fixed.STOPWORDS)}, w) AND length(w) > 1))")
+    groups = "[" + ", ".join(lst([k] + syn) for k, syn in fixed.SYNONYMS) + "]"
+    return f"list_distinct(list_concat({rel}, flatten(list_filter({groups}, lambda g: len(list_intersect(g, {rel})) > 0))))"
+
+
+def name_matches(n: str, tok: str) -> str:
+    return (f"(list_contains({tok}, {n}) OR len(list_filter(string_split({n}, '_'), lambda np: length(np) > 1 AND "
+            f"list_contains({tok}, np))) > 0 OR len(list_filter({tok}, lambda tk: length(tk) > 2 AND "
+            f"(instr({n}, tk) > 0 OR instr(tk, {n}) > 0))) > 0)")
+
+
+def prune(tables: str, tok: str, original: str, min_tables: int, max_cols: int) -> str:
+    """Prune with the observed parse (no foreign keys: every FK degree is 0)."""
+    matched = f"list_transform(list_filter({tables}, lambda t: {name_matches('t.key', tok)}), lambda t: t.key)"
+    need = f"greatest({min_tables} - len({matched}), 0)"
+    extra = (f"list_transform(list_slice(list_sort(list_transform(list_filter({tables}, lambda t: NOT list_contains("
+             f"{matched}, t.key)), lambda t: {{'s': 0, 'k': t.key}}), 'DESC'), 1, {need}), lambda s: s.k)")
+    selected = f"list_concat({matched}, {extra})"
+    names = "list_transform(t.columns, lambda c: c.name)"
+    keep0 = f"list_distinct(list_concat(t.pks, list_filter({names}, lambda n: {name_matches('n', tok)})))"
+    remaining = f"list_filter({names}, lambda n: NOT list_contains({keep0}, n))"
+    keep1 = f"(CASE WHEN len({keep0}) < 3 THEN list_distinct(list_concat({keep0}, list_slice({remaining}, 1, 3))) ELSE {keep0} END)"
+    ranked = (f"list_transform(list_slice(list_sort(list_transform({keep1}, lambda c: {{'p': (CASE WHEN list_contains(t.pks, c) "
+              f"THEN 100 ELSE 0 END) + (CASE WHEN {name_matches('c', tok)} THEN 10 ELSE 0 END), 'c': c}}), 'DESC'), 1, {max_cols}), "
+              f"lambda s: s.c)")
+    keep = f"(CASE WHEN len({keep1}) > {max_cols} THEN {ranked} ELSE {keep1} END)"
+    cols = f"list_filter(t.columns, lambda c: list_contains({keep}, c.name))"
+    col_str = f"array_to_string(list_transform({cols}, lambda c: c.name || ' ' || c.type), ', ')"
+    render = (f"(CASE WHEN len(t.pks) > 0 THEN t.name || '(' || {col_str} || '; PK(' || array_to_string(t.pks, ', ') || '))' "
+              f"ELSE t.name || '(' || {col_str} || ')' END)")
+    rendered = f"list_transform(list_filter({tables}, lambda t: list_contains({selected}, t.key)), lambda t: {render})"
+    text = f"(CASE WHEN len({rendered}) > 0 THEN array_to_string({rendered}, '); ') || ')' ELSE '' END)"
+    return f"(CASE WHEN len({tables}) = 0 OR {text} = '' THEN {original} ELSE {text} END)"
+
+
+def _count(s: str, ch: str) -> str:
+    return f"(length({s}) - length(replace({s}, '{ch}', '')))"
+
+
+def reformat(s: str) -> str:
+    pieces = f"string_split(coalesce({s}, ''), ')')"
+    body = f"list_slice({pieces}, 1, len({pieces}) - 1)"
+    init = "{'d': 0, 'cur': '', 'out': []::VARCHAR[]}"
+    step = (f"lambda acc, p: CASE WHEN acc.d + {_count('p', '(')} - 1 = 0 THEN "
+            f"{{'d': 0, 'cur': '', 'out': list_append(acc.out, {strip(chr(39) + chr(39) + ' || acc.cur || p || ' + chr(39) + ')' + chr(39))})}} "
+            f"ELSE {{'d': acc.d + {_count('p', '(')} - 1, 'cur': acc.cur || p || ')', 'out': acc.out}} END")
+    tables = f"list_filter(list_reduce({body}, {step}, {init}).out, lambda t: t <> '')"
+    content = (f"{strip('substr(td, instr(td, ' + chr(39) + '(' + chr(39) + ') + 1, (length(td) - instr(reverse(td), '
+                     + chr(39) + ')' + chr(39) + ') + 1) - instr(td, ' + chr(39) + '(' + chr(39) + ') - 1)')}")
+    semis = f"string_split({content}, ';')"
+    n = f"len({semis})"
+    init2 = "{'d': 0, 'cur': '', 'out': []::VARCHAR[], 'i': 1}"
+    d2 = f"acc.d + {_count('p', '(')} - {_count('p', ')')}"
+    cut = f"(acc.i = {n} OR {d2} = 0)"
+    cur = "acc.cur || p"
+    step2 = (f"lambda acc, p: {{'d': {d2}, 'cur': CASE WHEN {cut} THEN '' ELSE {cur} || ';' END, "
+             f"'out': CASE WHEN {cut} AND {strip(cur)} <> '' THEN list_append(acc.out, {strip(cur)}) ELSE acc.out END, "
+             f"'i': acc.i + 1}}")
+    parts = f"list_reduce({semis}, {step2}, {init2}).out"
+    lines = (f"flatten(list_transform({parts}, lambda p: CASE WHEN starts_with(p, 'PRIMARY KEY') OR starts_with(p, 'FK ') "
+             f"OR starts_with(p, 'FOREIGN KEY') THEN ['  ' || p] ELSE list_transform(list_filter(list_transform("
+             f"string_split(p, ','), lambda c: {strip('c')}), lambda c: c <> ''), lambda c: '  - ' || c) END))")
+    block = f"{strip(chr(39) + 'Table: ' + chr(39) + ' || ' + strip('split_part(td, ' + chr(39) + '(' + chr(39) + ', 1)') + ' || chr(10) || array_to_string(' + lines + ', chr(10))')}"
+    return f"array_to_string(list_transform({tables}, lambda td: {block}), chr(10) || chr(10))"

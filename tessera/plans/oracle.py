@@ -189,3 +189,41 @@ ORACLE["ev_score_distribution"] = _with("predictions", extra=LONG) + (
 from tessera.plans.workload import WORKLOAD_SQL  # noqa: E402
 
 ORACLE.update(WORKLOAD_SQL)
+
+# ---------------------------------------------------------------- schema text
+ORACLE["sch_question_tokens"] = _with("examples") + (
+    f"SELECT ex_id, list_sort({d.question_tokens('question')}) AS tokens FROM examples")
+
+ORACLE["sch_document_tokens"] = f"SELECT doc_id, list_sort({d.question_tokens('text')}) AS tokens FROM documents"
+
+CATALOG = ("cat AS (SELECT md5(s) AS schema_id, s, " + d.parse_schema("s") +
+           " AS tables FROM (SELECT DISTINCT coalesce(db_schema, '') AS s FROM examples))")
+
+ORACLE["sch_catalog_tables"] = _with("examples", extra=CATALOG) + (
+    "SELECT schema_id, CAST(pos - 1 AS INTEGER) AS table_pos, t.key AS table_key, t.name AS table_name, t.pks AS pks, "
+    "len(t.columns) AS n_columns FROM (SELECT schema_id, unnest(tables) AS t, generate_subscripts(tables, 1) AS pos FROM cat)")
+
+ORACLE["sch_catalog_columns"] = _with("examples", extra=CATALOG) + (
+    "SELECT schema_id, table_key, CAST(pos - 1 AS INTEGER) AS col_pos, c.name AS col_name, c.type AS col_type FROM ("
+    "SELECT schema_id, t.key AS table_key, unnest(t.columns) AS c, generate_subscripts(t.columns, 1) AS pos FROM ("
+    "SELECT schema_id, unnest(tables) AS t FROM cat))")
+
+PRUNE_INPUT = CATALOG + (",\npj AS (SELECT e.ex_id, e.db_schema, " + d.question_tokens("e.question") +
+                         " AS tok, c.tables FROM examples e JOIN cat c ON coalesce(e.db_schema, '') = c.s)")
+
+
+def _prune_sql(mt: int, mc: int) -> str:
+    return _with("examples", extra=PRUNE_INPUT) + (
+        f"SELECT ex_id, {d.prune('tables', 'tok', 'db_schema', mt, mc)} AS pruned_schema FROM pj")
+
+
+ORACLE["sch_prune_eval"] = _prune_sql(*fixed.PRUNE_EVAL)
+ORACLE["sch_prune_train"] = _prune_sql(*fixed.PRUNE_TRAIN)
+ORACLE["sch_prune_dataset_report"] = _with("examples", extra=PRUNE_INPUT + (
+    f",\npr AS (SELECT db_schema, {d.prune('tables', 'tok', 'db_schema', *fixed.PRUNE_TRAIN)} AS pruned_schema FROM pj)")) + (
+    "SELECT count(*) AS n_total, count_if(pruned_schema <> db_schema) AS n_pruned, "
+    "round(CAST(count_if(pruned_schema <> db_schema) AS DOUBLE) * 100.0 / count(*), 6) AS pct_pruned FROM pr")
+
+ORACLE["sch_reformat"] = _with("examples", extra=(
+    "rf AS (SELECT s, " + d.reformat("s") + " AS formatted_schema FROM (SELECT DISTINCT coalesce(db_schema, '') AS s FROM examples))")) + (
+    "SELECT e.ex_id, rf.formatted_schema FROM examples e JOIN rf ON coalesce(e.db_schema, '') = rf.s")

@@ -156,3 +156,54 @@ def ev_score_distribution(spark, sf):
 from tessera.plans.workload import WORKLOAD  # noqa: E402
 
 QUERIES.update(WORKLOAD)
+
+
+# ---------------------------------------------------------------- schema text
+from tessera import fixed  # noqa: E402,F811
+from tessera.functions.schema_text import question_tokens  # noqa: E402
+from tessera.operators import schema_ops  # noqa: E402
+from tessera.sources.tables import spread, table  # noqa: E402
+
+
+@query("sch_question_tokens")
+def sch_question_tokens(spark, sf):
+    return fx.examples(spark, sf).select("ex_id", F.sort_array(question_tokens(F.col("question"))).alias("tokens"))
+
+
+@query("sch_document_tokens")
+def sch_document_tokens(spark, sf):
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.sort_array(question_tokens(F.col("text"))).alias("tokens"))
+
+
+@query("sch_catalog_tables")
+def sch_catalog_tables(spark, sf):
+    return schema_ops.catalog_tables(schema_ops.parsed_catalog(fx.examples(spark, sf)))
+
+
+@query("sch_catalog_columns")
+def sch_catalog_columns(spark, sf):
+    return schema_ops.catalog_columns(schema_ops.parsed_catalog(fx.examples(spark, sf)))
+
+
+@query("sch_prune_eval")
+def sch_prune_eval(spark, sf):
+    mt, mc = fixed.PRUNE_EVAL
+    return schema_ops.prune_schemas(fx.examples(spark, sf), mt, mc).select("ex_id", "pruned_schema")
+
+
+@query("sch_prune_train")
+def sch_prune_train(spark, sf):
+    mt, mc = fixed.PRUNE_TRAIN
+    return schema_ops.prune_schemas(fx.examples(spark, sf), mt, mc).select("ex_id", "pruned_schema")
+
+
+@query("sch_prune_dataset_report")
+def sch_prune_dataset_report(spark, sf):
+    mt, mc = fixed.PRUNE_TRAIN
+    return schema_ops.prune_dataset_report(schema_ops.prune_schemas(fx.examples(spark, sf), mt, mc))
+
+
+@query("sch_reformat")
+def sch_reformat(spark, sf):
+    return schema_ops.reformat_schemas(fx.examples(spark, sf)).select("ex_id", "formatted_schema")
