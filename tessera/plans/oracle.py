@@ -208,7 +208,7 @@ ORACLE["sch_catalog_columns"] = _with("examples", extra=CATALOG) + (
     "SELECT schema_id, t.key AS table_key, unnest(t.columns) AS c, generate_subscripts(t.columns, 1) AS pos FROM ("
     "SELECT schema_id, unnest(tables) AS t FROM cat))")
 
-PRUNE_INPUT = CATALOG + (",\npj AS (SELECT e.ex_id, e.db_schema, " + d.question_tokens("e.question") +
+PRUNE_INPUT = CATALOG + (",\npj AS (SELECT e.ex_id, e.question, e.db_schema, " + d.question_tokens("e.question") +
                          " AS tok, c.tables FROM examples e JOIN cat c ON coalesce(e.db_schema, '') = c.s)")
 
 
@@ -227,3 +227,101 @@ ORACLE["sch_prune_dataset_report"] = _with("examples", extra=PRUNE_INPUT + (
 ORACLE["sch_reformat"] = _with("examples", extra=(
     "rf AS (SELECT s, " + d.reformat("s") + " AS formatted_schema FROM (SELECT DISTINCT coalesce(db_schema, '') AS s FROM examples))")) + (
     "SELECT e.ex_id, rf.formatted_schema FROM examples e JOIN rf ON coalesce(e.db_schema, '') = rf.s")
+
+# ---------------------------------------------------------------- prompts, model inputs, chat
+import re as _re  # noqa: E402
+
+
+def _fill(template: str, **cols: str) -> str:
+    out = []
+    for p in _re.split(r"(\{[a-z_]+\})", template):
+        if p.startswith("{") and p.endswith("}"):
+            out.append(f"coalesce({cols[p[1:-1]]}, '')")
+        elif p:
+            out.append(fx.duck_str(p))
+    return "(" + " || ".join(out) + ")"
+
+
+def _eval_prompt(q: str, s: str) -> str:
+    return (f"(CASE WHEN coalesce(length({s}), 0) > 0 THEN {_fill(fixed.EVAL_PROMPT, schema=s, question=q)} "
+            f"ELSE {_fill(fixed.EVAL_PROMPT_NO_SCHEMA, question=q)} END)")
+
+
+_TRAIN_IN = _fill(fixed.TRAIN_PROMPT, schema="db_schema", question="question")
+ORACLE["pr_train_prompt"] = _with("examples") + (
+    f"SELECT ex_id, {_TRAIN_IN} AS input, coalesce(\"SQL\", '') AS output, {_TRAIN_IN} || coalesce(\"SQL\", '') AS full_text "
+    "FROM examples")
+
+ORACLE["pr_train_prompt_pruned"] = _with("examples", extra=PRUNE_INPUT) + (
+    f"SELECT ex_id, {_fill(fixed.TRAIN_PROMPT, schema='pruned_schema', question='question')} AS input FROM ("
+    f"SELECT ex_id, question, {d.prune('tables', 'tok', 'db_schema', *fixed.PRUNE_TRAIN)} AS pruned_schema FROM pj)")
+
+_VARIANTS = ", ".join(f"({i}, '{v}')" for i, (v, _) in enumerate(fixed.VARIANTS))
+ORACLE["pr_eval_prompts"] = _with("examples", extra=PRUNE_INPUT + (
+    f",\npv AS (SELECT ex_id, question, db_schema, {d.prune('tables', 'tok', 'db_schema', *fixed.PRUNE_EVAL)} AS pruned_schema "
+    f"FROM pj WHERE {d.valid_schema('db_schema')})")) + (
+    "SELECT ex_id, variant, CASE WHEN variant = 'finetuned_prune' AND coalesce(length(db_schema), 0) > 0 "
+    f"AND coalesce(length(question), 0) > 0 THEN {_eval_prompt('question', 'pruned_schema')} "
+    f"WHEN variant = 'llama' THEN {_eval_prompt('question', 'db_schema')} || {fx.duck_str(fixed.LLAMA_SUFFIX)} "
+    f"ELSE {_eval_prompt('question', 'db_schema')} END AS prompt FROM pv, (VALUES {_VARIANTS}) AS v(ord, variant)")
+
+MASKED = (
+    f"WITH tk AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{d.WORD_RUN}'), lambda w: CAST(length(w) AS INTEGER)) AS ids "
+    "FROM documents),\n"
+    f"tr AS (SELECT doc_id, ids, list_slice(ids, 1, {fixed.MAX_SEQ_LEN}) AS input_ids, (len(ids) * 3) // 4 AS input_len FROM tk),\n"
+    "mk AS (SELECT doc_id, input_ids, list_transform(range(len(input_ids)), lambda x: CAST(1 AS INTEGER)) AS attention_mask, "
+    f"list_concat(list_transform(range(least(input_len, len(input_ids))), lambda x: CAST({fixed.IGNORE_INDEX} AS INTEGER)), "
+    "list_slice(input_ids, least(input_len, len(input_ids)) + 1, len(input_ids))) AS labels, "
+    f"len(ids) > {fixed.MAX_SEQ_LEN} AS truncated FROM tr)\n")
+
+ORACLE["pr_truncate_mask"] = MASKED + "SELECT doc_id, input_ids, attention_mask, labels, truncated FROM mk"
+
+ORACLE["pr_mask_audit"] = MASKED + (
+    f"SELECT count(*) AS n_rows, count_if(len(list_filter(labels, lambda x: x <> {fixed.IGNORE_INDEX})) = 0) AS n_fully_masked, "
+    f"count_if(truncated) AS n_truncated, CAST(sum(len(list_filter(labels, lambda x: x <> {fixed.IGNORE_INDEX}))) AS BIGINT) "
+    "AS n_supervised_tokens FROM mk")
+
+
+def _pad(col: str, v: int) -> str:
+    return f"list_concat({col}, list_transform(range(padded_len - len({col})), lambda x: CAST({v} AS INTEGER)))"
+
+
+ORACLE["pr_pad_batch"] = MASKED.rstrip() + (
+    f",\npb AS (SELECT *, doc_id // {fixed.BATCH_SIZE} AS batch_id FROM mk),\n"
+    f"pl AS (SELECT *, CAST(ceil(max(len(input_ids)) OVER (PARTITION BY batch_id) / {fixed.PAD_MULTIPLE}) * {fixed.PAD_MULTIPLE} "
+    "AS INTEGER) AS padded_len FROM pb)\n"
+    f"SELECT doc_id, batch_id, padded_len, {_pad('input_ids', fixed.PAD_TOKEN_ID)} AS padded_ids, "
+    f"{_pad('attention_mask', 0)} AS padded_mask, {_pad('labels', fixed.IGNORE_INDEX)} AS padded_labels FROM pl")
+
+
+def _response(text: str, marker: str) -> str:
+    m = fx.duck_str(marker)
+    return f"(CASE WHEN instr({text}, {m}) > 0 THEN substr({text}, instr({text}, {m}) + {len(marker)}) ELSE '' END)"
+
+
+ORACLE["pr_response_mask"] = _with("examples") + (
+    f"SELECT ex_id, {_response('full_text', chr(91) + 'SQL QUERY]' + chr(10))} AS response, "
+    f"{_response('full_text', fixed.RESPONSE_TEMPLATE)} AS response_config_marker FROM ("
+    f"SELECT ex_id, {_TRAIN_IN} || coalesce(\"SQL\", '') AS full_text FROM examples)")
+
+_STOPS = "|".join(_re.escape(x) for x in fixed.STOP_SEQUENCES)
+ORACLE["pr_stop_truncate"] = _with("predictions") + (
+    f"SELECT ex_id, variant, regexp_replace(raw_answer, '(?s)({_STOPS}).*', '') AS answer_cut FROM predictions")
+
+_S, _E = fixed.IM_START, fixed.IM_END
+_NL = " || chr(10) || "
+ORACLE["pr_chat_render"] = (
+    "WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS c, row_number() OVER w = 1 AS is_first, "
+    "lag(role) OVER w AS prev, lead(role) OVER w AS nxt, first_value(role) OVER w2 AS first_role, "
+    "first_value(coalesce(text, '')) OVER w2 AS first_text FROM conversations "
+    "WINDOW w AS (PARTITION BY conv_id ORDER BY turn), "
+    "w2 AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),\n"
+    "p AS (SELECT conv_id, turn, "
+    f"(CASE WHEN is_first THEN (CASE WHEN first_role = 'system' THEN '{_S}system'{_NL}first_text || '{_E}'{_NL.rstrip(' || ')} "
+    f"ELSE '{_S}system'{_NL}'{fixed.DEFAULT_SYSTEM}{_E}'{_NL.rstrip(' || ')} END) ELSE '' END) || "
+    f"(CASE WHEN role = 'user' OR role = 'assistant' OR (role = 'system' AND NOT is_first) THEN '{_S}' || role{_NL}c || '{_E}'"
+    f"{_NL.rstrip(' || ')} "
+    f"WHEN role = 'tool' THEN (CASE WHEN is_first OR prev <> 'tool' THEN '{_S}user' ELSE '' END){_NL}'<tool_response>'{_NL}c"
+    f"{_NL}'</tool_response>' || (CASE WHEN nxt IS NULL OR nxt <> 'tool' THEN '{_E}'{_NL.rstrip(' || ')} ELSE '' END) "
+    "ELSE '' END) AS piece FROM t)\n"
+    "SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS chat_text, count(*) AS n_turns FROM p GROUP BY conv_id")

@@ -207,3 +207,75 @@ def sch_prune_dataset_report(spark, sf):
 @query("sch_reformat")
 def sch_reformat(spark, sf):
     return schema_ops.reformat_schemas(fx.examples(spark, sf)).select("ex_id", "formatted_schema")
+
+
+# ---------------------------------------------------------------- prompts, model inputs, chat
+from tessera.functions.prompts import response_part, stop_truncate  # noqa: E402
+from tessera.functions.schema_text import WORD_RUN  # noqa: E402
+from tessera.operators import chat, model_inputs as mi  # noqa: E402
+
+TRAIN_MARKER = "[SQL QUERY]\n"
+
+
+@query("pr_train_prompt")
+def pr_train_prompt(spark, sf):
+    return mi.training_examples(fx.examples(spark, sf)).select("ex_id", "input", "output", "full_text")
+
+
+@query("pr_train_prompt_pruned")
+def pr_train_prompt_pruned(spark, sf):
+    return mi.training_examples(fx.examples(spark, sf), prune=fixed.PRUNE_TRAIN).select("ex_id", "input")
+
+
+@query("pr_eval_prompts")
+def pr_eval_prompts(spark, sf):
+    ex = fx.examples(spark, sf).filter(ev.valid_schema(F.col("db_schema")))
+    return mi.variant_prompts(ex).select("ex_id", "variant", "prompt")
+
+
+def token_rows(spark, sf) -> DataFrame:
+    """doc_id, ids (word lengths of the whole text), input_len (three quarters of them)."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    ids = F.transform(F.regexp_extract_all("text", F.lit(WORD_RUN), 0), lambda w: F.length(w))
+    return d.select("doc_id", ids.alias("ids")).withColumn("input_len", (F.size("ids") * 3 / 4).cast("int"))
+
+
+def _masked(spark, sf) -> DataFrame:
+    t = token_rows(spark, sf)
+    m = t.select("doc_id", mi.truncate_and_mask(F.col("ids"), F.col("input_len")).alias("m"),
+                 (F.size("ids") > fixed.MAX_SEQ_LEN).alias("truncated"))
+    return m.select("doc_id", "m.input_ids", "m.attention_mask", "m.labels", "truncated")
+
+
+@query("pr_truncate_mask")
+def pr_truncate_mask(spark, sf):
+    return _masked(spark, sf)
+
+
+@query("pr_mask_audit")
+def pr_mask_audit(spark, sf):
+    return mi.mask_audit(_masked(spark, sf))
+
+
+@query("pr_pad_batch")
+def pr_pad_batch(spark, sf):
+    m = _masked(spark, sf).withColumn("batch_id", (F.col("doc_id") / fixed.BATCH_SIZE).cast("long"))
+    return mi.pad_batches(m, "batch_id").select("doc_id", "batch_id", "padded_len", "padded_ids", "padded_mask",
+                                                "padded_labels")
+
+
+@query("pr_response_mask")
+def pr_response_mask(spark, sf):
+    t = mi.training_examples(fx.examples(spark, sf))
+    return t.select("ex_id", response_part(F.col("full_text"), TRAIN_MARKER).alias("response"),
+                    response_part(F.col("full_text")).alias("response_config_marker"))
+
+
+@query("pr_stop_truncate")
+def pr_stop_truncate(spark, sf):
+    return fx.predictions(spark, sf).select("ex_id", "variant", stop_truncate(F.col("raw_answer")).alias("answer_cut"))
+
+
+@query("pr_chat_render")
+def pr_chat_render(spark, sf):
+    return chat.render_chat(spread(table(spark, sf, "conversations")))
