@@ -67,3 +67,36 @@ def reformat_schemas(df: DataFrame, schema_col: str = "db_schema", out: str = "f
     d = d.select("_schema_key", reformat_schema(F.col("_schema_key")).alias(out))
     keyed = df.withColumn("_schema_key", F.coalesce(F.col(schema_col), F.lit("")))
     return keyed.join(d, "_schema_key", "left").drop("_schema_key")
+
+
+def schema_cards(catalog: DataFrame, max_columns: int = 20, description: str = "") -> DataFrame:
+    """One card per table: the table line plus up to ``max_columns`` column lines (O-SCH-12).
+
+    Table card ``Table {name}: {description}`` + ``Columns: a, b, ...``; column
+    card ``  - {column} ({type}): {description}``.  No description source
+    exists, so it is a parameter (empty by default).
+    """
+    t = catalog.select("schema_id", F.posexplode("tables").alias("table_pos", "t"))
+    cols = F.slice(F.col("t.columns"), 1, max_columns)
+    table_line = F.concat(F.lit("Table "), F.col("t.name"), F.lit(": " + description + "\nColumns: "),
+                          F.array_join(F.transform(cols, lambda c: c["name"]), ", "))
+    col_lines = F.transform(cols, lambda c: F.concat(F.lit("  - "), c["name"], F.lit(" ("), c["type"],
+                                                     F.lit("): " + description)))
+    card = F.concat_ws("\n", table_line, F.array_join(col_lines, "\n"))
+    return t.select("schema_id", "table_pos", F.col("t.name").alias("table_name"), card.alias("card"))
+
+
+def assemble_context(cards: DataFrame, budget: int, order_col: str = "table_pos") -> DataFrame:
+    """Take cards in order while the running token count stays within ``budget`` (O-WN-2 / O-RT-2).
+
+    Tokens are approximated by whitespace-separated words.  The running sum is
+    a window partitioned by schema, so no task sees more than one schema.
+    """
+    from pyspark.sql import Window
+    w = Window.partitionBy("schema_id").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    n_tok = F.size(F.split(F.trim(F.col("card")), r"\s+"))
+    c = cards.withColumn("n_tokens", n_tok).withColumn("running_tokens", F.sum("n_tokens").over(w))
+    kept = c.filter(F.col("running_tokens") <= budget)
+    return kept.groupBy("schema_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col, "card"))), lambda x: x["card"]), "\n\n")
+        .alias("context"), F.count(F.lit(1)).alias("n_cards"), F.max("running_tokens").alias("n_tokens"))

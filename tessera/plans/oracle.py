@@ -325,3 +325,26 @@ ORACLE["pr_chat_render"] = (
     f"{_NL}'</tool_response>' || (CASE WHEN nxt IS NULL OR nxt <> 'tool' THEN '{_E}'{_NL.rstrip(' || ')} ELSE '' END) "
     "ELSE '' END) AS piece FROM t)\n"
     "SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS chat_text, count(*) AS n_turns FROM p GROUP BY conv_id")
+
+# ---------------------------------------------------------------- schema cards / context
+_CARDS = CATALOG + (
+    ",\ncards AS (SELECT schema_id, CAST(pos - 1 AS INTEGER) AS table_pos, t.name AS table_name, "
+    f"'Table ' || t.name || ': ' || chr(10) || 'Columns: ' || array_to_string(list_transform(list_slice(t.columns, 1, {fixed.MAX_CARD_COLUMNS}), lambda c: c.name), ', ') "
+    f"|| CASE WHEN len(list_slice(t.columns, 1, {fixed.MAX_CARD_COLUMNS})) > 0 THEN chr(10) || array_to_string(list_transform("
+    f"list_slice(t.columns, 1, {fixed.MAX_CARD_COLUMNS}), lambda c: '  - ' || c.name || ' (' || c.type || '): '), chr(10)) ELSE chr(10) END AS card "
+    "FROM (SELECT schema_id, unnest(tables) AS t, generate_subscripts(tables, 1) AS pos FROM cat))")
+ORACLE["sch_schema_cards"] = _with("examples", extra=_CARDS) + "SELECT schema_id, table_pos, table_name, card FROM cards"
+
+ORACLE["rt_context_assembly"] = _with("examples", extra=_CARDS + (
+    ",\nrun AS (SELECT *, len(string_split_regex(trim(card), '\\s+')) AS n_tok, "
+    "sum(len(string_split_regex(trim(card), '\\s+'))) OVER (PARTITION BY schema_id ORDER BY table_pos "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM cards),\n"
+    f"ctx AS (SELECT schema_id, string_agg(card, chr(10) || chr(10) ORDER BY table_pos) AS context, count(*) AS n_cards, "
+    f"max(running) AS n_tokens FROM run WHERE running <= {fixed.MAX_CONTEXT_TOKENS} GROUP BY schema_id)")) + (
+    "SELECT e.ex_id, ctx.n_cards, CAST(ctx.n_tokens AS BIGINT) AS n_tokens, length(ctx.context) AS context_chars "
+    "FROM examples e JOIN ctx ON md5(coalesce(e.db_schema, '')) = ctx.schema_id")
+
+# ---------------------------------------------------------------- sources / sinks and streaming
+ORACLE["io_jsonl_roundtrip"] = _with("examples") + "SELECT ex_id, question, \"SQL\", db_schema FROM examples"
+ORACLE["st_classify_stream"] = ORACLE["cu_class_distribution"]
+ORACLE["st_class_counts_stream"] = ORACLE["cu_class_distribution"]

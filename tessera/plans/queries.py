@@ -279,3 +279,63 @@ def pr_stop_truncate(spark, sf):
 @query("pr_chat_render")
 def pr_chat_render(spark, sf):
     return chat.render_chat(spread(table(spark, sf, "conversations")))
+
+
+# ---------------------------------------------------------------- schema cards / context assembly
+@query("sch_schema_cards")
+def sch_schema_cards(spark, sf):
+    return schema_ops.schema_cards(schema_ops.parsed_catalog(fx.examples(spark, sf)), fixed.MAX_CARD_COLUMNS)
+
+
+@query("rt_context_assembly")
+def rt_context_assembly(spark, sf):
+    ex = fx.examples(spark, sf)
+    cat = schema_ops.parsed_catalog(ex)
+    ctx = schema_ops.assemble_context(schema_ops.schema_cards(cat, fixed.MAX_CARD_COLUMNS), fixed.MAX_CONTEXT_TOKENS)
+    keyed = ex.select("ex_id", F.md5(F.coalesce("db_schema", F.lit(""))).alias("schema_id"))
+    return keyed.join(ctx, "schema_id").select("ex_id", "n_cards", "n_tokens", F.length("context").alias("context_chars"))
+
+
+# ---------------------------------------------------------------- sources / sinks and streaming
+from tessera.session import scratch_path  # noqa: E402
+from tessera.sources import jsonl  # noqa: E402
+from tessera.streaming import stateless  # noqa: E402
+
+
+@query("io_jsonl_roundtrip")
+def io_jsonl_roundtrip(spark, sf):
+    """Write the examples as JSON lines (some with a lower-case ``sql`` key,
+    plus blank and comment lines), read them back, and return the fields."""
+    ex = fx.examples(spark, sf)
+    upper = F.to_json(F.struct("ex_id", "db_id", "question", "SQL", "db_schema"))
+    lower = F.to_json(F.struct("ex_id", "db_id", "question", F.col("SQL").alias("sql"), "db_schema"))
+    lines = ex.select(F.when(F.col("ex_id") % 7 == 0, lower).otherwise(upper).alias("value"))
+    noise = ex.filter(F.col("ex_id") % 11 == 0).select(F.lit("   ").alias("value")).unionByName(
+        ex.filter(F.col("ex_id") % 13 == 0).select(F.concat(F.lit("# note "), F.col("ex_id").cast("string")).alias("value")))
+    path = scratch_path(spark, "jsonl")
+    lines.unionByName(noise).write.mode("overwrite").text(path)
+    back = jsonl.read_jsonl(spark, path, skip_comments=True)
+    return back.select("ex_id", "question", "SQL", "db_schema")
+
+
+def _stream_source(spark, sf) -> tuple[str, object]:
+    ex = fx.examples(spark, sf)
+    src = scratch_path(spark, "stream-src")
+    ex.write.mode("overwrite").parquet(src)
+    return src, ex.schema
+
+
+@query("st_classify_stream")
+def st_classify_stream(spark, sf):
+    src, schema = _stream_source(spark, sf)
+    sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
+    stateless.classify_stream(spark, src, schema, sink, ckpt).awaitTermination()
+    return curate.class_distribution(spark.read.parquet(sink))
+
+
+@query("st_class_counts_stream")
+def st_class_counts_stream(spark, sf):
+    src, schema = _stream_source(spark, sf)
+    out, ckpt = scratch_path(spark, "stream-counts"), scratch_path(spark, "stream-ckpt")
+    stateless.class_counts_stream(spark, src, schema, out, ckpt).awaitTermination()
+    return spark.read.parquet(out).select("query_type", "n")
