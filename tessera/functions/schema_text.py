@@ -30,7 +30,8 @@ from tessera import fixed
 from tessera.functions.text import WS_CLASS, strip
 
 WORD_RUN = r"[\p{L}\p{N}_]+"
-EMPTY_STR_ARRAY = F.array().cast("array<string>")
+def empty_str_array() -> Column:
+    return F.array().cast("array<string>")
 
 COLUMN_T = "struct<name:string,type:string>"
 FK_T = "struct<col:string,ref_table:string,ref_col:string>"
@@ -106,7 +107,7 @@ def question_tokens(question: Column) -> Column:
     relevant = F.array_distinct(F.filter(words, lambda w: ~F.array_contains(stop, w) & (F.length(w) > 1)))
     syn = _synonym_map()
     return let(relevant, lambda r: F.array_union(
-        r, F.flatten(F.transform(r, lambda w: F.coalesce(F.try_element_at(syn, w), EMPTY_STR_ARRAY)))))
+        r, F.flatten(F.transform(r, lambda w: F.coalesce(F.try_element_at(syn, w), empty_str_array())))))
 
 
 def name_matches(name: Column, tokens: Column) -> Column:
@@ -157,7 +158,7 @@ def _render_with(t: Column, cols: Column) -> Column:
                           lambda f: F.concat(F.lit("FK("), f["col"], F.lit(" REFERENCES "), f["ref_table"],
                                              F.lit("("), f["ref_col"], F.lit("))")))
     pk = F.when(F.size(t["pks"]) > 0, F.array(F.concat(F.lit("PK("), F.array_join(t["pks"], ", "), F.lit(")")))) \
-        .otherwise(EMPTY_STR_ARRAY)
+        .otherwise(empty_str_array())
     cons = F.concat(pk, fk_strs)
     return F.when(F.size(cons) > 0, F.concat(t["name"], F.lit("("), col_str, F.lit("; "), F.array_join(cons, ", "), F.lit(")"))) \
         .otherwise(F.concat(t["name"], F.lit("("), col_str, F.lit(")")))
@@ -201,7 +202,7 @@ def _cut_tables(s: Column) -> Column:
     """Pieces of ``s`` that end where the parenthesis depth returns to 0."""
     pieces = F.split(s, r"\)")
     body = F.slice(pieces, 1, F.size(pieces) - 1)
-    init = F.struct(F.lit(0).alias("d"), F.lit("").alias("cur"), EMPTY_STR_ARRAY.alias("out"))
+    init = F.struct(F.lit(0).alias("d"), F.lit("").alias("cur"), empty_str_array().alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         d = acc["d"] + (F.length(p) - F.length(F.replace(p, F.lit("("), F.lit("")))) - 1
@@ -217,7 +218,7 @@ def _split_top_semicolons(content: Column) -> Column:
 
 
 def _split_pieces(pieces: Column) -> Column:
-    init = F.struct(F.lit(0).alias("d"), F.lit("").alias("cur"), EMPTY_STR_ARRAY.alias("out"), F.lit(0).alias("i"))
+    init = F.struct(F.lit(0).alias("d"), F.lit("").alias("cur"), empty_str_array().alias("out"), F.lit(0).alias("i"))
     n = F.size(pieces)
 
     def step(acc: Column, p: Column) -> Column:
