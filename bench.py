@@ -28,10 +28,10 @@ HEADLINE = [
     "sch_prune_eval",
     "sch_prune_dataset_report",
     "sch_reformat",
-    "pr_train_inputs",
+    "pr_truncate_mask",
     "pr_pad_batch",
     "pr_chat_render",
-    "rt_cosine_topk",
+    "rt_context_assembly",
     "wl_4plus_table_join",
 ]
 

@@ -23,17 +23,31 @@ def parsed_catalog(df: DataFrame, schema_col: str = "db_schema") -> DataFrame:
                     parse_schema(F.col(schema_col)).alias("tables"))
 
 
+def _tables_exploded(catalog: DataFrame) -> DataFrame:
+    """schema_id, table_pos, t -- one row per parsed table.
+
+    ``posexplode_outer`` plus an explicit null filter: for a plain
+    ``posexplode`` Catalyst infers ``size(tables) > 0`` and, ``tables`` being a
+    function of the distinct key, pushes that filter below the distinct --
+    which would parse the schema text of every input row instead of every
+    distinct schema.
+    """
+    e = catalog.select("schema_id", F.posexplode_outer("tables").alias("table_pos", "t"))
+    return e.filter(F.col("t").isNotNull())
+
+
 def catalog_tables(catalog: DataFrame) -> DataFrame:
     """schema_table rows: schema_id, table_pos, table_key, table_name, pks, n_columns."""
-    return catalog.select("schema_id", F.posexplode("tables").alias("table_pos", "t")).select(
+    return _tables_exploded(catalog).select(
         "schema_id", "table_pos", F.col("t.key").alias("table_key"), F.col("t.name").alias("table_name"),
         F.col("t.pks").alias("pks"), F.size("t.columns").alias("n_columns"))
 
 
 def catalog_columns(catalog: DataFrame) -> DataFrame:
     """schema_column rows: schema_id, table_key, col_pos, col_name, col_type."""
-    t = catalog.select("schema_id", F.explode("tables").alias("t"))
-    return t.select("schema_id", F.col("t.key").alias("table_key"), F.posexplode("t.columns").alias("col_pos", "c")).select(
+    t = _tables_exploded(catalog)
+    c = t.select("schema_id", F.col("t.key").alias("table_key"), F.posexplode_outer("t.columns").alias("col_pos", "c"))
+    return c.filter(F.col("c").isNotNull()).select(
         "schema_id", "table_key", "col_pos", F.col("c.name").alias("col_name"), F.col("c.type").alias("col_type"))
 
 
@@ -76,7 +90,7 @@ def schema_cards(catalog: DataFrame, max_columns: int = 20, description: str = "
     card ``  - {column} ({type}): {description}``.  No description source
     exists, so it is a parameter (empty by default).
     """
-    t = catalog.select("schema_id", F.posexplode("tables").alias("table_pos", "t"))
+    t = _tables_exploded(catalog)
     cols = F.slice(F.col("t.columns"), 1, max_columns)
     table_line = F.concat(F.lit("Table "), F.col("t.name"), F.lit(": " + description + "\nColumns: "),
                           F.array_join(F.transform(cols, lambda c: c["name"]), ", "))
