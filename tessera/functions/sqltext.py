@@ -8,11 +8,13 @@ Sets are represented as distinct arrays.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed
-from tessera.functions.text import WS_CLASS, squash_ws, strip
+from tessera.functions.text import ascii_ws, squash_ws, strip
 
 # identifier characters after FROM / JOIN: quotes, brackets, word chars, dots
 _TABLE_PAT = r"(?i)\b(?:FROM|JOIN)\s+([`\"\[\]\p{L}\p{N}_.]+)"
@@ -26,11 +28,11 @@ def _lit_array(items: list[str]) -> Column:
 
 def normalize_sql(s: Column) -> Column:
     """Fence removal, strip, one trailing ';' dropped, whitespace collapsed (O-SC-1)."""
-    s = F.coalesce(s, F.lit(""))
+    s = ascii_ws(F.coalesce(s, F.lit("")))
     s = F.when(F.instr(s, "```") > 0, F.regexp_replace(s, r"(?i)```sql|```", "")).otherwise(s)
     s = strip(s)
-    s = F.when(F.instr(s, ";") > 0, F.regexp_replace(s, ";" + WS_CLASS + "*$", "")).otherwise(s)
-    return squash_ws(s)
+    s = F.when(F.instr(s, ";") > 0, F.regexp_replace(s, r";\s*$", "")).otherwise(s)
+    return strip(F.regexp_replace(s, r"\s+", " "))
 
 
 def extract_tables(norm: Column) -> Column:
@@ -51,18 +53,33 @@ def extract_columns(norm: Column) -> Column:
     return F.array_distinct(F.filter(ids, lambda x: ~F.array_contains(kw, F.upper(x)) & ~F.array_contains(aliases, x)))
 
 
-def extract_clauses(norm: Column) -> Column:
-    """Names of the clause patterns present (O-SC-4)."""
+# clause patterns that are one keyword between word boundaries: such a clause
+# is present exactly when the keyword is one of the text's word runs
+_WORD_CLAUSE = re.compile(r"^\\b([A-Z]+)\\b$")
+_RUN = r"[\p{L}\p{N}_]+"
+
+
+def extract_clauses(norm: Column, upper_words: Column | None = None) -> Column:
+    """Names of the clause patterns present (O-SC-4).
+
+    Single-keyword patterns are answered from the upper-cased word runs
+    (one regex pass for all of them); the multi-token ones (GROUP BY,
+    ORDER BY, '( SELECT', the aggregate alternation) keep a regex, guarded by
+    a substring test.
+    """
     u = F.upper(norm)
+    words = F.regexp_extract_all(u, F.lit(_RUN), 0) if upper_words is None else upper_words
     arms = []
     for name, pat in fixed.CLAUSES:
-        words = [w for w in ("SELECT", "FROM", "WHERE", "JOIN", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "UNION",
-                             "INTERSECT", "EXCEPT", "DISTINCT", "COUNT", "SUM", "AVG", "MIN", "MAX", "CASE") if w in pat]
-        pre = None
-        for w in words:  # cheap substring pre-check before the regex
-            e = F.instr(u, w) > 0
-            pre = e if pre is None else (pre | e)
-        arms.append(F.when(pre & u.rlike(pat), F.lit(name)))
+        m = _WORD_CLAUSE.match(pat)
+        if m:
+            arms.append(F.when(F.array_contains(words, m.group(1)), F.lit(name)))
+        elif name == "AGG":
+            arms.append(F.when(F.arrays_overlap(words, F.array(*[F.lit(k) for k in ("COUNT", "SUM", "AVG", "MIN", "MAX")])),
+                               F.lit(name)))
+        else:
+            guard = "SELECT" if name == "SUBQUERY" else name.split("_")[0]
+            arms.append(F.when((F.instr(u, guard) > 0) & u.rlike(pat), F.lit(name)))
     return F.array_compact(F.array(*arms))
 
 
@@ -87,14 +104,14 @@ def jaccard(a: Column, b: Column) -> Column:
 FEATURES = ("tables", "columns", "clauses", "keywords", "tokens")
 
 
-def features_of_normalized(n: Column) -> Column:
+def features_of_normalized(n: Column, upper_words: Column | None = None) -> Column:
     """Struct of the five feature sets of an already normalised SQL column.
 
     ``n`` should be a column reference: every feature reads it (the clause
     set 16 times), so it must be computed once in an earlier projection.
     """
     return F.struct(extract_tables(n).alias("tables"), extract_columns(n).alias("columns"),
-                    extract_clauses(n).alias("clauses"), extract_keywords(n).alias("keywords"),
+                    extract_clauses(n, upper_words).alias("clauses"), extract_keywords(n).alias("keywords"),
                     sql_tokens(n).alias("tokens"))
 
 
@@ -106,8 +123,10 @@ def with_sql_features(df: DataFrame, sql_col: str, out: str) -> DataFrame:
     each text is normalised once.
     """
     tmp = f"_{out}_norm"
+    words = f"_{out}_words"
     return (df.withColumn(tmp, normalize_sql(F.col(sql_col)))
-              .withColumn(out, features_of_normalized(F.col(tmp))).drop(tmp))
+              .withColumn(words, F.regexp_extract_all(F.upper(F.col(tmp)), F.lit(_RUN), 0))
+              .withColumn(out, features_of_normalized(F.col(tmp), F.col(words))).drop(tmp, words))
 
 
 def semantic_score(pred_features: Column, gt_features: Column) -> Column:

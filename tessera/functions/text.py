@@ -20,9 +20,18 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(WHITESPACE))
 
 
+# whitespace outside ASCII: mapped to a plain space with ``translate`` (a
+# character map, no regex) so the collapsing regex can use the fast ASCII \s
+EXOTIC_WS = "".join(c for c in WHITESPACE if c not in "\t\n\x0b\x0c\r ")
+
+
+def ascii_ws(c: Column) -> Column:
+    return F.translate(c, EXOTIC_WS, " " * len(EXOTIC_WS))
+
+
 def squash_ws(c: Column) -> Column:
     """Collapse whitespace runs to one space and strip."""
-    return strip(F.regexp_replace(c, WS_CLASS + "+", " "))
+    return strip(F.regexp_replace(ascii_ws(c), r"\s+", " "))
 
 
 def count_occurrences(haystack: Column, needle: str) -> Column:

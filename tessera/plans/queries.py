@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.classify import classify_query_type
 from tessera.functions.sqltext import FEATURES, near_correct, semantic_score, with_sql_features
 from tessera.operators import curate, evaluate as ev
+from tessera.session import scratch_path
 from tessera.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +69,13 @@ def cu_target_check(spark, sf):
 
 
 def _split(spark, sf) -> DataFrame:
-    b = curate.balanced_dataset(fx.examples(spark, sf), spark)
-    return curate.tail_split(b, ["shuffle_key", "row_key"], "row_key")
+    # The balanced set is a product of its own (written once, then split and
+    # probed several times): it is written as a table under the cluster's
+    # spark.checkpoint.dir and read back, which computes it once and cuts the
+    # lineage (Dataset.checkpoint would run the plan twice).
+    path = scratch_path(spark, "balanced")
+    curate.balanced_dataset(fx.examples(spark, sf), spark).write.mode("overwrite").parquet(path)
+    return curate.tail_split(spark.read.parquet(path), ["shuffle_key", "row_key"], "row_key")
 
 
 @query("cu_tail_split")
