@@ -23,6 +23,8 @@ Output order is schema order (deterministic).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,25 +149,33 @@ def _prune_columns(t: Column, tokens: Column, max_cols: int) -> Column:
     return let(fk_cols, with_fk)
 
 
-def _render_table(t: Column, cols_expr: Column) -> Column:
-    return let(cols_expr, lambda cols: _render_with(t, cols))
+def _render_table(t: Column, cols_expr: Column, documented: bool = False) -> Column:
+    return let(cols_expr, lambda cols: _render_with(t, cols, documented))
 
 
-def _render_with(t: Column, cols: Column) -> Column:
+def _render_with(t: Column, cols: Column, documented: bool = False) -> Column:
     col_str = F.array_join(F.transform(cols, lambda c: F.concat(c["name"], F.lit(" "), c["type"])), ", ")
     kept = F.transform(cols, lambda c: c["name"])
-    fk_strs = F.transform(F.filter(t["fks"], lambda f: F.array_contains(kept, f["col"])),
-                          lambda f: F.concat(F.lit("FK("), f["col"], F.lit(" REFERENCES "), f["ref_table"],
-                                             F.lit("("), f["ref_col"], F.lit("))")))
-    pk = F.when(F.size(t["pks"]) > 0, F.array(F.concat(F.lit("PK("), F.array_join(t["pks"], ", "), F.lit(")")))) \
+    fks = F.filter(t["fks"], lambda f: F.array_contains(kept, f["col"]) & (f["ref_table"] != "")) if documented \
+        else F.filter(t["fks"], lambda f: F.array_contains(kept, f["col"]))
+    fk_strs = F.transform(fks, lambda f: F.concat(F.lit("FK("), f["col"], F.lit(" REFERENCES "), f["ref_table"],
+                                                  F.lit("("), f["ref_col"], F.lit("))")))
+    # observed rendering lists every PK; documented rendering only the kept ones
+    pks = F.filter(t["pks"], lambda p: F.array_contains(kept, p)) if documented else t["pks"]
+    pk = F.when(F.size(pks) > 0, F.array(F.concat(F.lit("PK("), F.array_join(pks, ", "), F.lit(")")))) \
         .otherwise(empty_str_array())
     cons = F.concat(pk, fk_strs)
     return F.when(F.size(cons) > 0, F.concat(t["name"], F.lit("("), col_str, F.lit("; "), F.array_join(cons, ", "), F.lit(")"))) \
         .otherwise(F.concat(t["name"], F.lit("("), col_str, F.lit(")")))
 
 
-def prune_parsed(tables: Column, tokens: Column, original: Column, min_tables: int, max_cols: int) -> Column:
-    """Pruned schema text from a parsed schema and question tokens (O-SCH-5..9)."""
+def prune_parsed(tables: Column, tokens: Column, original: Column, min_tables: int, max_cols: int,
+                 documented: bool = False) -> Column:
+    """Pruned schema text from a parsed schema and question tokens (O-SCH-5..9).
+
+    ``documented`` renders valid compressed text (tables joined by ``; ``,
+    kept PKs only); otherwise the observed rendering (``); `` joins plus a
+    closing ``)``)."""
     matched = F.transform(F.filter(tables, lambda t: name_matches(t["key"], tokens)), lambda t: t["key"])
 
     def expand(m: Column) -> Column:
@@ -191,8 +201,12 @@ def prune_parsed(tables: Column, tokens: Column, original: Column, min_tables: i
 
     selected = let(let(matched, expand), top_up)
     rendered = let(selected, lambda sel: F.transform(F.filter(tables, lambda t: F.array_contains(sel, t["key"])),
-                                                     lambda t: _render_table(t, _prune_columns(t, tokens, max_cols))))
-    text = let(rendered, lambda r: F.when(F.size(r) > 0, F.concat(F.array_join(r, "); "), F.lit(")"))).otherwise(F.lit("")))
+                                                     lambda t: _render_table(t, _prune_columns(t, tokens, max_cols),
+                                                                             documented)))
+    if documented:
+        text = let(rendered, lambda r: F.array_join(r, "; "))
+    else:
+        text = let(rendered, lambda r: F.when(F.size(r) > 0, F.concat(F.array_join(r, "); "), F.lit(")"))).otherwise(F.lit("")))
     return let(text, lambda tx: F.when((F.size(tables) == 0) | (tx == ""), original).otherwise(tx))
 
 
@@ -214,10 +228,15 @@ def _cut_tables(s: Column) -> Column:
 
 
 def _split_top_semicolons(content: Column) -> Column:
-    return let(F.split(content, ";"), _split_pieces)
+    return _split_top(content, ";")
+
+
+def _split_top(s: Column, sep: str) -> Column:
+    """Stripped, non-empty pieces of ``s`` split at ``sep`` where the paren depth is 0."""
+    return let(F.split(s, re.escape(sep)), lambda pieces: _split_pieces(pieces, sep))
 
 
-def _split_pieces(pieces: Column) -> Column:
+def _split_pieces(pieces: Column, sep: str = ";") -> Column:
     init = F.struct(F.lit(0).alias("d"), F.lit("").alias("cur"), empty_str_array().alias("out"), F.lit(0).alias("i"))
     n = F.size(pieces)
 
@@ -228,7 +247,7 @@ def _split_pieces(pieces: Column) -> Column:
         last = acc["i"] == n - 1
         cut = last | (d == 0)
         out = F.when(cut & (strip(cur) != ""), F.concat(acc["out"], F.array(strip(cur)))).otherwise(acc["out"])
-        nxt = F.when(cut, F.lit("")).otherwise(F.concat(cur, F.lit(";")))
+        nxt = F.when(cut, F.lit("")).otherwise(F.concat(cur, F.lit(sep)))
         return F.struct(d.alias("d"), nxt.alias("cur"), out.alias("out"), (acc["i"] + 1).alias("i"))
 
     return F.aggregate(pieces, init, step, lambda acc: acc["out"])
@@ -252,3 +271,73 @@ def reformat_schema(schema: Column) -> Column:
         return strip(F.concat(F.lit("Table: "), name, F.lit("\n"), F.array_join(lines, "\n")))
 
     return F.array_join(F.transform(tables, block), "\n\n")
+
+
+# ----------------------------------------------------------------------------- documented (FK-aware) parse
+
+_N = r"[\p{L}\p{N}_]+"
+FK_PATTERNS = [  # FK(col REFERENCES t(c)) | FK col->t(c) | FOREIGN KEY(col) REFERENCES t(c)
+    r"(?i)^FK\s*\(\s*(" + _N + r")\s+REFERENCES\s+(" + _N + r")\s*\(\s*(" + _N + r")\s*\)\s*\)$",
+    r"(?i)^FK\s+(" + _N + r")\s*->\s*(" + _N + r")\s*\(\s*(" + _N + r")\s*\)$",
+    r"(?i)^FOREIGN\s+KEY\s*\(\s*(" + _N + r")\s*\)\s*REFERENCES\s+(" + _N + r")\s*\(\s*(" + _N + r")\s*\)$",
+]
+PK_PATTERN = r"(?i)^(?:PK|PRIMARY\s+KEY)\s*\((.*)\)$"
+
+
+def _fk_struct(item: Column) -> Column:
+    out = None
+    for pat in FK_PATTERNS:
+        st = F.struct(*[F.lower(F.regexp_extract(item, pat, g)).alias(n) for g, n in ((1, "col"), (2, "ref_table"), (3, "ref_col"))])
+        out = F.when(item.rlike(pat), st) if out is None else out.when(item.rlike(pat), st)
+    return out
+
+
+def parse_schema_documented(schema: Column) -> Column:
+    """Depth-aware, FK-aware parse of all four notations (O-SCH-1, documented mode).
+
+    Tables are cut where the paren depth returns to 0 (so ``);``, ``)\\n``
+    and ``);\\n`` separators all work); columns and constraints are split at
+    depth-0 ``;`` and ``,`` (so ``DECIMAL(10,2)`` stays whole).  PKs come from
+    ``PK(...)``, ``PRIMARY KEY(...)`` or a ``PK`` type word; FKs from
+    ``FK(c REFERENCES t(x))``, ``FK c->t(x)``, ``FOREIGN KEY(c) REFERENCES t(x)``
+    or an ``FK`` type word (target unknown: ref_table '').
+    """
+    cut = F.transform(_cut_tables(F.coalesce(schema, F.lit(""))), lambda td: F.regexp_replace(td, r"^[;\s]+", ""))
+    tds = F.filter(cut, lambda td: td.rlike("^" + _N + r"\s*\("))
+
+    def build(name: Column, parts: Column) -> Column:
+        col_items = _split_top(F.coalesce(F.get(parts, 0), F.lit("")), ",")
+        words = F.transform(col_items, lambda c: F.split(c, WS_CLASS + "+"))
+        cols_raw = F.transform(F.filter(words, lambda w: F.size(w) >= 2),
+                               lambda w: F.struct(F.lower(w[0]).alias("name"),
+                                                  F.array_join(F.slice(w, 2, F.size(w) - 1), " ").alias("type")))
+        columns = _dedupe_by(cols_raw, "name",
+                             lambda first, last: F.struct(first["name"].alias("name"), last["type"].alias("type")))
+        cons = F.flatten(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+                                     lambda p: _split_top(p, ",")))
+
+        def assemble(cols: Column, items: Column) -> Column:
+            pk_typed = F.transform(F.filter(cols, lambda c: (F.upper(c["type"]) == "PK")
+                                            | (F.instr(F.upper(c["type"]), "PRIMARY KEY") > 0)), lambda c: c["name"])
+            pk_items = F.flatten(F.transform(F.filter(items, lambda x: x.rlike(PK_PATTERN)),
+                                             lambda x: F.transform(F.split(F.regexp_extract(x, PK_PATTERN, 1), ","),
+                                                                   lambda y: F.lower(strip(y)))))
+            fk_items = F.transform(F.filter(items, lambda x: x.rlike(FK_PATTERNS[0]) | x.rlike(FK_PATTERNS[1])
+                                            | x.rlike(FK_PATTERNS[2])), _fk_struct)
+            fk_typed = F.transform(F.filter(cols, lambda c: F.upper(c["type"]) == "FK"),
+                                   lambda c: F.struct(c["name"].alias("col"), F.lit("").alias("ref_table"),
+                                                      F.lit("").alias("ref_col")))
+            return F.struct(F.lower(name).alias("key"), name.alias("name"), cols.alias("columns"),
+                            F.array_distinct(F.concat(pk_typed, pk_items)).alias("pks"),
+                            F.concat(fk_items, fk_typed).alias("fks"))
+
+        return let(columns, lambda cols: let(cons, lambda items: assemble(cols, items)))
+
+    def table(td: Column) -> Column:
+        name = F.regexp_extract(td, "^(" + _N + r")\s*\(", 1)
+        open_at = F.instr(td, "(")
+        close_at = F.length(td) - F.instr(F.reverse(td), ")") + 1
+        content = F.substring(td, open_at + 1, close_at - open_at - 1)
+        return let(_split_top(content, ";"), lambda parts: build(name, parts))
+
+    return _dedupe_by(F.transform(tds, table), "key", lambda first, last: last)

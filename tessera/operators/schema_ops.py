@@ -13,14 +13,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.schema_text import parse_schema, prune_parsed, question_tokens, reformat_schema
+from tessera.functions.schema_text import (
+    parse_schema, parse_schema_documented, prune_parsed, question_tokens, reformat_schema,
+)
 
 
-def parsed_catalog(df: DataFrame, schema_col: str = "db_schema") -> DataFrame:
+MODES = ("observed", "documented")
+
+
+def _parser(mode: str):
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    return parse_schema_documented if mode == "documented" else parse_schema
+
+
+def parsed_catalog(df: DataFrame, schema_col: str = "db_schema", mode: str = "observed") -> DataFrame:
     """schema_id, <schema_col>, tables -- one row per distinct schema text (O-SCH-1)."""
     d = df.select(F.coalesce(F.col(schema_col), F.lit("")).alias(schema_col)).distinct()
     return d.select(F.md5(F.col(schema_col)).alias("schema_id"), schema_col,
-                    parse_schema(F.col(schema_col)).alias("tables"))
+                    _parser(mode)(F.col(schema_col)).alias("tables"))
 
 
 def _tables_exploded(catalog: DataFrame) -> DataFrame:
@@ -51,20 +62,26 @@ def catalog_columns(catalog: DataFrame) -> DataFrame:
         "schema_id", "table_key", "col_pos", F.col("c.name").alias("col_name"), F.col("c.type").alias("col_type"))
 
 
-def with_parsed(df: DataFrame, schema_col: str = "db_schema") -> DataFrame:
+def with_parsed(df: DataFrame, schema_col: str = "db_schema", mode: str = "observed") -> DataFrame:
     """Attach ``tables`` (parsed once per distinct schema) to every row."""
-    cat = parsed_catalog(df, schema_col).select(schema_col, "tables")
+    cat = parsed_catalog(df, schema_col, mode).select(schema_col, "tables")
     keyed = df.withColumn("_schema_key", F.coalesce(F.col(schema_col), F.lit("")))
     j = keyed.join(cat.withColumnRenamed(schema_col, "_schema_key"), "_schema_key", "left")
     return j.withColumn("tables", F.coalesce(F.col("tables"), F.array().cast(cat.schema["tables"].dataType))).drop("_schema_key")
 
 
 def prune_schemas(df: DataFrame, min_tables: int, max_cols: int, out: str = "pruned_schema",
-                  schema_col: str = "db_schema", question_col: str = "question") -> DataFrame:
-    """Add ``out``: the schema pruned to the tables/columns the question needs (O-SCH-9)."""
-    p = with_parsed(df, schema_col).withColumn("_tokens", question_tokens(F.col(question_col)))
-    return p.withColumn(out, prune_parsed(F.col("tables"), F.col("_tokens"), F.col(schema_col), min_tables, max_cols)) \
-        .drop("tables", "_tokens")
+                  schema_col: str = "db_schema", question_col: str = "question", mode: str = "observed") -> DataFrame:
+    """Add ``out``: the schema pruned to the tables/columns the question needs (O-SCH-9).
+
+    ``mode="observed"`` reproduces the original rules exactly (no foreign keys
+    are ever recognised, extra closing parens in the output);
+    ``mode="documented"`` parses all four notations with foreign keys, follows
+    FK links, ranks by FK degree and renders valid compressed text.
+    """
+    p = with_parsed(df, schema_col, mode).withColumn("_tokens", question_tokens(F.col(question_col)))
+    return p.withColumn(out, prune_parsed(F.col("tables"), F.col("_tokens"), F.col(schema_col), min_tables, max_cols,
+                                          documented=(mode == "documented"))).drop("tables", "_tokens")
 
 
 def prune_dataset_report(pruned: DataFrame, out: str = "pruned_schema", schema_col: str = "db_schema") -> DataFrame:

@@ -195,3 +195,98 @@ def reformat(s: str) -> str:
              f"string_split(p, ','), lambda c: {strip('c')}), lambda c: c <> ''), lambda c: '  - ' || c) END))")
     block = f"{strip(chr(39) + 'Table: ' + chr(39) + ' || ' + strip('split_part(td, ' + chr(39) + '(' + chr(39) + ', 1)') + ' || chr(10) || array_to_string(' + lines + ', chr(10))')}"
     return f"array_to_string(list_transform({tables}, lambda td: {block}), chr(10) || chr(10))"
+
+
+# ----------------------------------------------------------------------------- documented (FK-aware) schema mode
+
+def split_top(s: str, sep: str) -> str:
+    pieces = f"string_split({s}, '{sep}')"
+    n = f"len({pieces})"
+    init = "{'d': 0, 'cur': '', 'out': []::VARCHAR[], 'i': 1}"
+    d2 = f"acc.d + {_count('p', '(')} - {_count('p', ')')}"
+    cut = f"(acc.i = {n} OR {d2} = 0)"
+    cur = "acc.cur || p"
+    step = (f"lambda acc, p: {{'d': {d2}, 'cur': CASE WHEN {cut} THEN '' ELSE {cur} || '{sep}' END, "
+            f"'out': CASE WHEN {cut} AND {strip(cur)} <> '' THEN list_append(acc.out, {strip(cur)}) ELSE acc.out END, "
+            f"'i': acc.i + 1}}")
+    return f"list_reduce({pieces}, {step}, {init}).out"
+
+
+def ordered_distinct(lst_expr: str) -> str:
+    return f"list_filter({lst_expr}, lambda x, i: NOT list_contains(list_slice({lst_expr}, 1, i - 1), x))"
+
+
+def cut_tables(s: str) -> str:
+    pieces = f"string_split(coalesce({s}, ''), ')')"
+    body = f"list_slice({pieces}, 1, len({pieces}) - 1)"
+    init = "{'d': 0, 'cur': '', 'out': []::VARCHAR[]}"
+    step = (f"lambda acc, p: CASE WHEN acc.d + {_count('p', '(')} - 1 = 0 THEN "
+            f"{{'d': 0, 'cur': '', 'out': list_append(acc.out, {strip(chr(39) + chr(39) + ' || acc.cur || p || ' + chr(39) + ')' + chr(39))})}} "
+            f"ELSE {{'d': acc.d + {_count('p', '(')} - 1, 'cur': acc.cur || p || ')', 'out': acc.out}} END")
+    return f"list_reduce({body}, {step}, {init}).out"
+
+
+def parse_schema_documented(s: str) -> str:
+    from tessera.functions.schema_text import FK_PATTERNS, PK_PATTERN
+    n_ = "[\\p{L}\\p{N}_]+"
+    tds = (f"list_filter(list_transform({cut_tables(s)}, lambda td: regexp_replace(td, '^[;\\s]+', '')), "
+           f"lambda td: regexp_matches(td, '^{n_}\\s*\\('))")
+    content = ("substr(td, instr(td, '(') + 1, (length(td) - instr(reverse(td), ')') + 1) - instr(td, '(') - 1)")
+    parts = split_top(content, ";")
+    col_items = split_top(f"coalesce(({parts})[1], '')", ",")
+    cols = (f"list_transform(list_filter(list_transform({col_items}, lambda c: string_split_regex(c, '\\s+')), "
+            f"lambda w: len(w) >= 2), lambda w: {{'name': lower(w[1]), 'type': array_to_string(w[2:], ' ')}})")
+    columns = dedupe(cols, "name", "type")
+    cons = f"flatten(list_transform(list_slice({parts}, 2, len({parts})), lambda pp: {split_top('pp', ',')}))"
+    pk_typed = (f"list_transform(list_filter({columns}, lambda c: upper(c.type) = 'PK' OR instr(upper(c.type), 'PRIMARY KEY') > 0), "
+                "lambda c: c.name)")
+    pk_items = (f"flatten(list_transform(list_filter({cons}, lambda x: regexp_matches(x, '{PK_PATTERN}')), "
+                f"lambda x: list_transform(string_split(regexp_extract(x, '{PK_PATTERN}', 1), ','), lambda y: lower({strip('y')}))))")
+    arms = " ".join(f"WHEN regexp_matches(x, '{p}') THEN {{'col': lower(regexp_extract(x, '{p}', 1)), "
+                    f"'ref_table': lower(regexp_extract(x, '{p}', 2)), 'ref_col': lower(regexp_extract(x, '{p}', 3))}}"
+                    for p in FK_PATTERNS)
+    fk_items = (f"list_transform(list_filter({cons}, lambda x: " + " OR ".join(f"regexp_matches(x, '{p}')" for p in FK_PATTERNS)
+                + f"), lambda x: CASE {arms} END)")
+    fk_typed = (f"list_transform(list_filter({columns}, lambda c: upper(c.type) = 'FK'), "
+                "lambda c: {'col': c.name, 'ref_table': '', 'ref_col': ''})")
+    name = f"regexp_extract(td, '^({n_})\\s*\\(', 1)"
+    tables = (f"list_transform({tds}, lambda td: {{'key': lower({name}), 'name': {name}, 'columns': {columns}, "
+              f"'pks': {ordered_distinct(f'list_concat({pk_typed}, {pk_items})')}, 'fks': list_concat({fk_items}, {fk_typed})}})")
+    return dedupe(tables, "key", None)
+
+
+def prune_documented(tables: str, tok: str, original: str, min_tables: int, max_cols: int) -> str:
+    matched = f"list_transform(list_filter({tables}, lambda t: {name_matches('t.key', tok)}), lambda t: t.key)"
+    refs = (f"flatten(list_transform(list_filter({tables}, lambda t: list_contains({matched}, t.key)), "
+            f"lambda t: list_transform(t.fks, lambda f: f.ref_table)))")
+    keys = f"list_transform({tables}, lambda t: t.key)"
+    step2 = f"list_distinct(list_concat({matched}, list_filter({refs}, lambda r: list_contains({keys}, r))))"
+    step3 = (f"list_reduce({tables}, lambda acc, t: CASE WHEN len(list_filter(t.fks, lambda f: list_contains(acc, f.ref_table))) > 0 "
+             f"AND NOT list_contains(acc, t.key) THEN list_append(acc, t.key) ELSE acc END, {step2})")
+    score = (f"CAST(len(t.fks) + list_sum(list_transform({tables}, lambda o: len(list_filter(o.fks, lambda f: f.ref_table = t.key)))) "
+             "AS BIGINT)")
+    need = f"greatest({min_tables} - len({step3}), 0)"
+    extra = (f"list_transform(list_slice(list_sort(list_transform(list_filter({tables}, lambda t: NOT list_contains({step3}, t.key)), "
+             f"lambda t: {{'s': {score}, 'k': t.key}}), 'DESC'), 1, {need}), lambda s: s.k)")
+    selected = f"list_concat({step3}, {extra})"
+    names = "list_transform(t.columns, lambda c: c.name)"
+    fkc = "list_transform(t.fks, lambda f: f.col)"
+    keep0 = f"list_distinct(list_concat(t.pks, {fkc}, list_filter({names}, lambda n: {name_matches('n', tok)})))"
+    remaining = f"list_filter({names}, lambda n: NOT list_contains({keep0}, n))"
+    keep1 = f"(CASE WHEN len({keep0}) < 3 THEN list_distinct(list_concat({keep0}, list_slice({remaining}, 1, 3))) ELSE {keep0} END)"
+    ranked = (f"list_transform(list_slice(list_sort(list_transform({keep1}, lambda c: {{'p': (CASE WHEN list_contains(t.pks, c) "
+              f"THEN 100 ELSE 0 END) + (CASE WHEN list_contains({fkc}, c) THEN 50 ELSE 0 END) + "
+              f"(CASE WHEN {name_matches('c', tok)} THEN 10 ELSE 0 END), 'c': c}}), 'DESC'), 1, {max_cols}), lambda s: s.c)")
+    keep = f"(CASE WHEN len({keep1}) > {max_cols} THEN {ranked} ELSE {keep1} END)"
+    cols = f"list_filter(t.columns, lambda c: list_contains({keep}, c.name))"
+    kept = f"list_transform({cols}, lambda c: c.name)"
+    col_str = f"array_to_string(list_transform({cols}, lambda c: c.name || ' ' || c.type), ', ')"
+    kpks = f"list_filter(t.pks, lambda p: list_contains({kept}, p))"
+    fk_strs = (f"list_transform(list_filter(t.fks, lambda f: list_contains({kept}, f.col) AND f.ref_table <> ''), "
+               "lambda f: 'FK(' || f.col || ' REFERENCES ' || f.ref_table || '(' || f.ref_col || '))')")
+    cons = f"list_concat(CASE WHEN len({kpks}) > 0 THEN ['PK(' || array_to_string({kpks}, ', ') || ')'] ELSE []::VARCHAR[] END, {fk_strs})"
+    render = (f"(CASE WHEN len({cons}) > 0 THEN t.name || '(' || {col_str} || '; ' || array_to_string({cons}, ', ') || ')' "
+              f"ELSE t.name || '(' || {col_str} || ')' END)")
+    rendered = f"list_transform(list_filter({tables}, lambda t: list_contains({selected}, t.key)), lambda t: {render})"
+    text = f"array_to_string({rendered}, '; ')"
+    return f"(CASE WHEN len({tables}) = 0 OR {text} = '' THEN {original} ELSE {text} END)"

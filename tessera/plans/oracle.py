@@ -348,3 +348,17 @@ ORACLE["rt_context_assembly"] = _with("examples", extra=_CARDS + (
 ORACLE["io_jsonl_roundtrip"] = _with("examples") + "SELECT ex_id, question, \"SQL\", db_schema FROM examples"
 ORACLE["st_classify_stream"] = ORACLE["cu_class_distribution"]
 ORACLE["st_class_counts_stream"] = ORACLE["cu_class_distribution"]
+
+# ---------------------------------------------------------------- documented (FK-aware) schema mode
+CATALOG_DOC = ("catd AS (SELECT md5(s) AS schema_id, s, " + d.parse_schema_documented("s") +
+               " AS tables FROM (SELECT DISTINCT coalesce(db_schema, '') AS s FROM examples))")
+
+ORACLE["sch_catalog_fks"] = _with("examples", extra=CATALOG_DOC) + (
+    "SELECT schema_id, CAST(pos - 1 AS INTEGER) AS table_pos, t.key AS table_key, t.name AS table_name, t.pks AS pks, "
+    "len(t.columns) AS n_columns, list_transform(t.fks, lambda f: concat_ws('|', f.col, f.ref_table, f.ref_col)) AS fks "
+    "FROM (SELECT schema_id, unnest(tables) AS t, generate_subscripts(tables, 1) AS pos FROM catd)")
+
+ORACLE["sch_prune_eval_documented"] = _with("examples", extra=CATALOG_DOC + (
+    ",\npjd AS (SELECT e.ex_id, e.db_schema, " + d.question_tokens("e.question") +
+    " AS tok, c.tables FROM examples e JOIN catd c ON coalesce(e.db_schema, '') = c.s)")) + (
+    f"SELECT ex_id, {d.prune_documented('tables', 'tok', 'db_schema', *fixed.PRUNE_EVAL)} AS pruned_schema FROM pjd")

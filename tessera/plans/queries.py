@@ -345,3 +345,19 @@ def st_class_counts_stream(spark, sf):
     out, ckpt = scratch_path(spark, "stream-counts"), scratch_path(spark, "stream-ckpt")
     stateless.class_counts_stream(spark, src, schema, out, ckpt).awaitTermination()
     return spark.read.parquet(out).select("query_type", "n")
+
+
+# ---------------------------------------------------------------- documented (FK-aware) schema mode
+@query("sch_catalog_fks")
+def sch_catalog_fks(spark, sf):
+    cat = schema_ops.parsed_catalog(fx.examples(spark, sf), mode="documented")
+    fk_text = lambda f: F.concat_ws("|", f["col"], f["ref_table"], f["ref_col"])
+    return schema_ops._tables_exploded(cat).select(
+        "schema_id", "table_pos", F.col("t.key").alias("table_key"), F.col("t.name").alias("table_name"),
+        F.col("t.pks").alias("pks"), F.size("t.columns").alias("n_columns"), F.transform("t.fks", fk_text).alias("fks"))
+
+
+@query("sch_prune_eval_documented")
+def sch_prune_eval_documented(spark, sf):
+    mt, mc = fixed.PRUNE_EVAL
+    return schema_ops.prune_schemas(fx.examples(spark, sf), mt, mc, mode="documented").select("ex_id", "pruned_schema")
