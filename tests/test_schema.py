@@ -22,7 +22,7 @@ def test_parse_duplicates_keep_first_position_last_value(spark):
     assert [x["name"] for x in t] == ["A", "b"]
     assert [(c["name"], c["type"]) for c in t[0]["columns"]] == [("w", "INT)")]  # last table keeps its ')' (Q4)
     t2 = col_values(spark, parse_schema, ["a(x INT, y INT, x TEXT)"])[0]
-    assert [(c["name"], c["type"]) for c in t2[0]["columns"]] == [("x", "TEXT"), ("y", "INT")]
+    assert [(c["name"], c["type"]) for c in t2[0]["columns"]] == [("x", "TEXT)"), ("y", "INT")]
 
 
 def test_question_tokens(spark):
