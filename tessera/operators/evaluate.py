@@ -46,20 +46,30 @@ def answer_status(variant: Column, answer: Column, match: Column) -> Column:
     return F.when(skipped | errored, F.lit(None).cast("boolean")).otherwise(match)
 
 
-def evaluate(examples: DataFrame, predictions: DataFrame, only_valid: bool = True) -> DataFrame:
+def evaluate(examples: DataFrame, predictions: DataFrame, only_valid: bool = True,
+             prune: tuple[int, int] = fixed.PRUNE_EVAL) -> DataFrame:
     """Long result: ex_id, label, variant, answer, correct, score (O-EV-7).
 
+    A local model's response echoes its prompt, which is dropped by length:
+    the full-schema prompt for base / finetuned_no_prune, the pruned-schema
+    prompt for finetuned_prune (when schema and question are both present).
     Ground-truth features are computed once per example before the join,
     prediction features once per (example, variant).
     """
+    from tessera.operators.schema_ops import prune_schemas
     ex = examples.filter(valid_schema(F.col("db_schema"))) if only_valid else examples
+    ex = prune_schemas(ex, prune[0], prune[1])
+    has_both = (F.coalesce(F.length("db_schema"), F.lit(0)) > 0) & (F.coalesce(F.length("question"), F.lit(0)) > 0)
     ex = ex.select(
         "ex_id", group_label(examples.columns).alias("label"), F.col("SQL").alias("gt_sql"),
-        eval_prompt_len(F.col("question"), F.col("db_schema")).alias("prompt_len"))
+        eval_prompt_len(F.col("question"), F.col("db_schema")).alias("prompt_len"),
+        F.when(has_both, eval_prompt_len(F.col("question"), F.col("pruned_schema")))
+         .otherwise(eval_prompt_len(F.col("question"), F.col("db_schema"))).alias("pruned_prompt_len"))
     ex = with_sql_features(ex, "gt_sql", "gt_f")
     j = predictions.join(ex, "ex_id")
+    plen = F.when(F.col("variant") == "finetuned_prune", F.col("pruned_prompt_len")).otherwise(F.col("prompt_len"))
     local = F.col("variant") != "llama"
-    response = F.when(local, strip_prompt_echo(F.col("raw_answer"), F.col("prompt_len"))).otherwise(F.col("raw_answer"))
+    response = F.when(local, strip_prompt_echo(F.col("raw_answer"), plen)).otherwise(F.col("raw_answer"))
     answered = j.select("ex_id", "label", "variant", "gt_sql", "gt_f", extract_sql_answer(response).alias("answer"))
     answered = with_sql_features(answered, "answer", "p_f")
     return answered.select(

@@ -118,10 +118,21 @@ ORACLE["pf_head_n"] = _with("examples") + (
     f"SELECT ex_id, coalesce(query_type_name, 'Unknown') AS label FROM examples WHERE {d.valid_schema('db_schema')} "
     f"ORDER BY ex_id LIMIT {fixed.MAX_TEST_SAMPLES}")
 
-_resp = f"CASE WHEN p.variant <> 'llama' THEN {d.strip_echo('p.raw_answer', 'e.prompt_len')} ELSE p.raw_answer END"
+_plen = "(CASE WHEN p.variant = 'finetuned_prune' THEN e.pruned_prompt_len ELSE e.prompt_len END)"
+_resp = f"CASE WHEN p.variant <> 'llama' THEN {d.strip_echo('p.raw_answer', _plen)} ELSE p.raw_answer END"
+# the catalog / prune CTEs used for the pruned-prompt length
+_EV_CAT = ("evcat AS (SELECT sch, " + d.parse_schema("sch") + " AS tables FROM (SELECT DISTINCT coalesce(db_schema, '') AS sch "
+           f"FROM examples WHERE {d.valid_schema('db_schema')})),\n"
+           "evt AS (SELECT e.*, " + d.question_tokens("e.question") + " AS tok, c.tables FROM examples e JOIN evcat c "
+           f"ON coalesce(e.db_schema, '') = c.sch WHERE {d.valid_schema('e.db_schema')}),\n"
+           "evp AS (SELECT *, " + d.prune("tables", "tok", "db_schema", *fixed.PRUNE_EVAL) + " AS pruned_schema FROM evt)")
 LONG = (
+    _EV_CAT + ",\n"
     f"ex AS (SELECT ex_id, coalesce(query_type_name, 'Unknown') AS label, \"SQL\" AS gt_sql, "
-    f"{d.prompt_len('question', 'db_schema')} AS prompt_len FROM examples WHERE {d.valid_schema('db_schema')}),\n"
+    f"{d.prompt_len('question', 'db_schema')} AS prompt_len, "
+    f"CASE WHEN coalesce(length(db_schema), 0) > 0 AND coalesce(length(question), 0) > 0 THEN "
+    f"{d.prompt_len('question', 'pruned_schema')} ELSE {d.prompt_len('question', 'db_schema')} END AS pruned_prompt_len "
+    f"FROM evp),\n"
     f"ans AS (SELECT p.ex_id, e.label, p.variant, e.gt_sql, {d.extract_answer(_resp)} AS answer "
     f"FROM predictions p JOIN ex e ON p.ex_id = e.ex_id),\n"
     f"long AS (SELECT ex_id, label, variant, answer, "
