@@ -341,3 +341,22 @@ def parse_schema_documented(schema: Column) -> Column:
         return let(_split_top(content, ";"), lambda parts: build(name, parts))
 
     return _dedupe_by(F.transform(tds, table), "key", lambda first, last: last)
+
+
+def reformat_schema_documented(schema: Column) -> Column:
+    """Clear rendering from the FK-aware parse (O-SCH-11, documented mode).
+
+    ``Table: name`` then one ``  - column: TYPE`` line per column, annotated
+    ``(PRIMARY KEY)`` and ``(FOREIGN KEY -> table.column)``; tables separated
+    by a blank line.
+    """
+    def block(t: Column) -> Column:
+        def line(c: Column) -> Column:
+            fk = F.filter(t["fks"], lambda f: (f["col"] == c["name"]) & (f["ref_table"] != ""))
+            pk_note = F.when(F.array_contains(t["pks"], c["name"]), F.lit(" (PRIMARY KEY)")).otherwise(F.lit(""))
+            fk_note = F.when(F.size(fk) > 0, F.concat(F.lit(" (FOREIGN KEY -> "), fk[0]["ref_table"], F.lit("."),
+                                                      fk[0]["ref_col"], F.lit(")"))).otherwise(F.lit(""))
+            return F.concat(F.lit("  - "), c["name"], F.lit(": "), c["type"], pk_note, fk_note)
+        return F.concat_ws("\n", F.concat(F.lit("Table: "), t["name"]), F.array_join(F.transform(t["columns"], line), "\n"))
+
+    return let(parse_schema_documented(schema), lambda ts: F.array_join(F.transform(ts, block), "\n\n"))

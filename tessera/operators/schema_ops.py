@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.schema_text import (
     parse_schema, parse_schema_documented, prune_parsed, question_tokens, reformat_schema,
+    reformat_schema_documented,
 )
 
 
@@ -92,10 +93,12 @@ def prune_dataset_report(pruned: DataFrame, out: str = "pruned_schema", schema_c
         F.round(F.try_divide(F.col("n_pruned") * 100.0, F.col("n_total")).cast("double"), 6).alias("pct_pruned"))
 
 
-def reformat_schemas(df: DataFrame, schema_col: str = "db_schema", out: str = "formatted_schema") -> DataFrame:
+def reformat_schemas(df: DataFrame, schema_col: str = "db_schema", out: str = "formatted_schema",
+                     mode: str = "observed") -> DataFrame:
     """Add the clear multi-line rendering of each row's schema (O-SCH-11), computed per distinct schema."""
+    fn = reformat_schema_documented if mode == "documented" else reformat_schema
     d = df.select(F.coalesce(F.col(schema_col), F.lit("")).alias("_schema_key")).distinct()
-    d = d.select("_schema_key", reformat_schema(F.col("_schema_key")).alias(out))
+    d = d.select("_schema_key", fn(F.col("_schema_key")).alias(out))
     keyed = df.withColumn("_schema_key", F.coalesce(F.col(schema_col), F.lit("")))
     return keyed.join(d, "_schema_key", "left").drop("_schema_key")
 

@@ -290,3 +290,11 @@ def prune_documented(tables: str, tok: str, original: str, min_tables: int, max_
     rendered = f"list_transform(list_filter({tables}, lambda t: list_contains({selected}, t.key)), lambda t: {render})"
     text = f"array_to_string({rendered}, '; ')"
     return f"(CASE WHEN len({tables}) = 0 OR {text} = '' THEN {original} ELSE {text} END)"
+
+
+def reformat_documented(s: str) -> str:
+    fk = "list_filter(t.fks, lambda f: f.col = c.name AND f.ref_table <> '')"
+    line = (f"'  - ' || c.name || ': ' || c.type || CASE WHEN list_contains(t.pks, c.name) THEN ' (PRIMARY KEY)' ELSE '' END "
+            f"|| CASE WHEN len({fk}) > 0 THEN ' (FOREIGN KEY -> ' || ({fk})[1].ref_table || '.' || ({fk})[1].ref_col || ')' ELSE '' END")
+    block = (f"concat_ws(chr(10), 'Table: ' || t.name, array_to_string(list_transform(t.columns, lambda c: {line}), chr(10)))")
+    return f"array_to_string(list_transform({parse_schema_documented(s)}, lambda t: {block}), chr(10) || chr(10))"

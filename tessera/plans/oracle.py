@@ -373,3 +373,8 @@ ORACLE["sch_prune_eval_documented"] = _with("examples", extra=CATALOG_DOC + (
     ",\npjd AS (SELECT e.ex_id, e.db_schema, " + d.question_tokens("e.question") +
     " AS tok, c.tables FROM examples e JOIN catd c ON coalesce(e.db_schema, '') = c.s)")) + (
     f"SELECT ex_id, {d.prune_documented('tables', 'tok', 'db_schema', *fixed.PRUNE_EVAL)} AS pruned_schema FROM pjd")
+
+ORACLE["sch_reformat_documented"] = _with("examples", extra=(
+    "rfd AS (SELECT sch, " + d.reformat_documented("sch") + " AS formatted_schema FROM (SELECT DISTINCT coalesce(db_schema, '') AS sch "
+    "FROM examples))")) + (
+    "SELECT e.ex_id, rfd.formatted_schema FROM examples e JOIN rfd ON coalesce(e.db_schema, '') = rfd.sch")

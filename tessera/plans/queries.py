@@ -361,3 +361,8 @@ def sch_catalog_fks(spark, sf):
 def sch_prune_eval_documented(spark, sf):
     mt, mc = fixed.PRUNE_EVAL
     return schema_ops.prune_schemas(fx.examples(spark, sf), mt, mc, mode="documented").select("ex_id", "pruned_schema")
+
+
+@query("sch_reformat_documented")
+def sch_reformat_documented(spark, sf):
+    return schema_ops.reformat_schemas(fx.examples(spark, sf), mode="documented").select("ex_id", "formatted_schema")

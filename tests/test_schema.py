@@ -90,3 +90,11 @@ def test_documented_prune_follows_foreign_keys(spark):
     # customer matches; nation is referenced by it (one hop); region is not reached
     assert got == ("nation(n_id INT, n_name TEXT, r_id INT; PK(n_id), FK(r_id REFERENCES region(r_id))); "
                    "customer(c_id INT, c_name TEXT, n_id INT; PK(c_id), FK(n_id REFERENCES nation(n_id)))")
+
+
+def test_reformat_documented(spark):
+    from tessera.functions.schema_text import reformat_schema_documented
+    s = "game(id INTEGER, genre_id INTEGER; PK(id); FK genre_id->genre(id))\ngame_platform(id INTEGER, game_id INTEGER)"
+    got = col_values(spark, reformat_schema_documented, [s])[0]
+    assert got == ("Table: game\n  - id: INTEGER (PRIMARY KEY)\n  - genre_id: INTEGER (FOREIGN KEY -> genre.id)\n\n"
+                   "Table: game_platform\n  - id: INTEGER\n  - game_id: INTEGER")
