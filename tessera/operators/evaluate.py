@@ -66,7 +66,10 @@ def evaluate(examples: DataFrame, predictions: DataFrame, only_valid: bool = Tru
         F.when(has_both, eval_prompt_len(F.col("question"), F.col("pruned_schema")))
          .otherwise(eval_prompt_len(F.col("question"), F.col("db_schema"))).alias("pruned_prompt_len"))
     ex = with_sql_features(ex, "gt_sql", "gt_f")
-    j = predictions.join(ex, "ex_id")
+    # both sides grow with the corpus: a shuffle join on ex_id, never a
+    # broadcast of either side (static size estimates of derived inputs can
+    # be far too small); AQE still splits skewed partitions
+    j = predictions.join(ex.hint("shuffle_hash"), "ex_id")
     plen = F.when(F.col("variant") == "finetuned_prune", F.col("pruned_prompt_len")).otherwise(F.col("prompt_len"))
     local = F.col("variant") != "llama"
     response = F.when(local, strip_prompt_echo(F.col("raw_answer"), plen)).otherwise(F.col("raw_answer"))

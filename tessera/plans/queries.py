@@ -107,7 +107,7 @@ def sc_sql_features(spark, sf):
 def sc_semantic_score(spark, sf):
     ex = with_sql_features(fx.examples(spark, sf).select("ex_id", "SQL"), "SQL", "gt_f")
     p = with_sql_features(fx.predictions(spark, sf), "raw_answer", "p_f")
-    s = p.join(ex.select("ex_id", "gt_f"), "ex_id").select("ex_id", "variant", semantic_score(F.col("p_f"), F.col("gt_f")).alias("score"))
+    s = p.join(ex.select("ex_id", "gt_f").hint("shuffle_hash"), "ex_id").select("ex_id", "variant", semantic_score(F.col("p_f"), F.col("gt_f")).alias("score"))
     return s.withColumn("near_correct", near_correct(F.col("score")))
 
 
