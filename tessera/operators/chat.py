@@ -20,7 +20,15 @@ S, E = fixed.IM_START, fixed.IM_END
 
 
 def render_chat(turns: DataFrame, add_generation_prompt: bool = False, conv: str = "conv_id", turn: str = "turn",
-                role: str = "role", content: str = "text") -> DataFrame:
+                role: str = "role", content: str = "text", tools: list[str] | None = None,
+                tool_calls: str | None = None) -> DataFrame:
+    """One ChatML string per conversation.
+
+    ``tools``: JSON signatures to list in the system header.  ``tool_calls``:
+    optional column of ``array<struct<name: string, arguments: string>>``
+    (arguments already JSON) on assistant turns, rendered as ``<tool_call>``
+    blocks.
+    """
     w = Window.partitionBy(conv).orderBy(turn)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     r, c = F.col(role), F.coalesce(F.col(content), F.lit(""))
@@ -28,18 +36,32 @@ def render_chat(turns: DataFrame, add_generation_prompt: bool = False, conv: str
     is_first = F.row_number().over(w) == 1
     first_role = F.first(role).over(whole)
     first_text = F.first(F.coalesce(F.col(content), F.lit(""))).over(whole)
-    t = (turns.select(conv, turn, role, content)
+    calls_col = F.col(tool_calls) if tool_calls else F.lit(None).cast("array<struct<name:string,arguments:string>>")
+    t = (turns.select(conv, turn, role, content, calls_col.alias("_calls"))
          .withColumn("_first", is_first).withColumn("_prev", prev).withColumn("_next", nxt)
          .withColumn("_first_role", first_role).withColumn("_first_text", first_text))
-    header = F.when(F.col("_first_role") == "system",
-                    F.concat(F.lit(S + "system\n"), F.col("_first_text"), F.lit(E + "\n"))) \
-        .otherwise(F.lit(S + "system\n" + fixed.DEFAULT_SYSTEM + E + "\n"))
+    system_text = F.when(F.col("_first_role") == "system", F.col("_first_text")).otherwise(F.lit(fixed.DEFAULT_SYSTEM))
+    if tools:
+        listed = "".join("\n" + x for x in tools)
+        header = F.concat(F.lit(S + "system\n"), system_text,
+                          F.lit(fixed.TOOLS_HEADER_START + listed + fixed.TOOLS_HEADER_END + E + "\n"))
+    else:
+        header = F.concat(F.lit(S + "system\n"), system_text, F.lit(E + "\n"))
     plain = F.concat(F.lit(S), r, F.lit("\n"), c, F.lit(E + "\n"))
+    has_calls = F.coalesce(F.size("_calls"), F.lit(0)) > 0
+    call_blocks = F.array_join(F.transform(F.coalesce(F.col("_calls"), F.array().cast("array<struct<name:string,arguments:string>>")),
+                                           lambda x: F.concat(F.lit('\n<tool_call>\n{"name": "'), x["name"],
+                                                              F.lit('", "arguments": '), x["arguments"],
+                                                              F.lit("}\n</tool_call>"))), "")
+    with_calls = F.concat(F.lit(S + "assistant"),
+                          F.when(F.length(c) > 0, F.concat(F.lit("\n"), c)).otherwise(F.lit("")),
+                          call_blocks, F.lit(E + "\n"))
     tool = F.concat(
         F.when(F.col("_first") | (F.col("_prev") != "tool"), F.lit(S + "user")).otherwise(F.lit("")),
         F.lit("\n<tool_response>\n"), c, F.lit("\n</tool_response>"),
         F.when(F.col("_next").isNull() | (F.col("_next") != "tool"), F.lit(E + "\n")).otherwise(F.lit("")))
-    piece = (F.when((r == "user") | (r == "assistant") | ((r == "system") & ~F.col("_first")), plain)
+    piece = (F.when((r == "assistant") & has_calls, with_calls)
+             .when((r == "user") | (r == "assistant") | ((r == "system") & ~F.col("_first")), plain)
              .when(r == "tool", tool).otherwise(F.lit("")))
     t = t.withColumn("_piece", F.concat(F.when(F.col("_first"), header).otherwise(F.lit("")), piece))
     out = t.groupBy(conv).agg(

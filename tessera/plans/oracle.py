@@ -321,21 +321,40 @@ ORACLE["pr_stop_truncate"] = _with("predictions") + (
 
 _S, _E = fixed.IM_START, fixed.IM_END
 _NL = " || chr(10) || "
-ORACLE["pr_chat_render"] = (
-    "WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS c, row_number() OVER w = 1 AS is_first, "
-    "lag(role) OVER w AS prev, lead(role) OVER w AS nxt, first_value(role) OVER w2 AS first_role, "
-    "first_value(coalesce(text, '')) OVER w2 AS first_text FROM conversations "
-    "WINDOW w AS (PARTITION BY conv_id ORDER BY turn), "
-    "w2 AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),\n"
-    "p AS (SELECT conv_id, turn, "
-    f"(CASE WHEN is_first THEN (CASE WHEN first_role = 'system' THEN '{_S}system'{_NL}first_text || '{_E}'{_NL.rstrip(' || ')} "
-    f"ELSE '{_S}system'{_NL}'{fixed.DEFAULT_SYSTEM}{_E}'{_NL.rstrip(' || ')} END) ELSE '' END) || "
-    f"(CASE WHEN role = 'user' OR role = 'assistant' OR (role = 'system' AND NOT is_first) THEN '{_S}' || role{_NL}c || '{_E}'"
-    f"{_NL.rstrip(' || ')} "
-    f"WHEN role = 'tool' THEN (CASE WHEN is_first OR prev <> 'tool' THEN '{_S}user' ELSE '' END){_NL}'<tool_response>'{_NL}c"
-    f"{_NL}'</tool_response>' || (CASE WHEN nxt IS NULL OR nxt <> 'tool' THEN '{_E}'{_NL.rstrip(' || ')} ELSE '' END) "
-    "ELSE '' END) AS piece FROM t)\n"
-    "SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS chat_text, count(*) AS n_turns FROM p GROUP BY conv_id")
+_PLAIN_HEADER = (f"(CASE WHEN first_role = 'system' THEN '{_S}system'{_NL}first_text || '{_E}' || chr(10) "
+                 f"ELSE '{_S}system'{_NL}'{fixed.DEFAULT_SYSTEM}{_E}' || chr(10) END)")
+
+
+def _tools_header(tools: list[str]) -> str:
+    listed = "".join("\n" + x for x in tools)
+    tail = fixed.TOOLS_HEADER_START + listed + fixed.TOOLS_HEADER_END + _E + "\n"
+    return (f"('{_S}system'{_NL}(CASE WHEN first_role = 'system' THEN first_text ELSE '{fixed.DEFAULT_SYSTEM}' END) "
+            f"|| {fx.duck_str(tail)})")
+
+
+def _chat_sql(header: str) -> str:
+    return (
+        "WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS c, row_number() OVER w = 1 AS is_first, "
+        "lag(role) OVER w AS prev, lead(role) OVER w AS nxt, first_value(role) OVER w2 AS first_role, "
+        "first_value(coalesce(text, '')) OVER w2 AS first_text FROM conversations "
+        "WINDOW w AS (PARTITION BY conv_id ORDER BY turn), "
+        "w2 AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),\n"
+        "p AS (SELECT conv_id, turn, "
+        f"(CASE WHEN is_first THEN {header} ELSE '' END) || "
+        f"(CASE WHEN role = 'user' OR role = 'assistant' OR (role = 'system' AND NOT is_first) THEN '{_S}' || role{_NL}c || '{_E}' "
+        "|| chr(10) "
+        f"WHEN role = 'tool' THEN (CASE WHEN is_first OR prev <> 'tool' THEN '{_S}user' ELSE '' END){_NL}'<tool_response>'{_NL}c"
+        f"{_NL}'</tool_response>' || (CASE WHEN nxt IS NULL OR nxt <> 'tool' THEN '{_E}' || chr(10) ELSE '' END) "
+        "ELSE '' END) AS piece FROM t)\n"
+        "SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS chat_text, count(*) AS n_turns FROM p GROUP BY conv_id")
+
+
+ORACLE["pr_chat_render"] = _chat_sql(_PLAIN_HEADER)
+
+# a tool signature offered to the model when rendering with tools (our own example)
+SQL_TOOL = ('{"type": "function", "function": {"name": "run_sql", "description": "Run a SQL query", '
+            '"parameters": {"type": "object", "properties": {"query": {"type": "string"}}}}}')
+ORACLE["pr_chat_render_tools"] = _chat_sql(_tools_header([SQL_TOOL]))
 
 # ---------------------------------------------------------------- schema cards / context
 _CARDS = CATALOG + (

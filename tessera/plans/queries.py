@@ -366,3 +366,9 @@ def sch_prune_eval_documented(spark, sf):
 @query("sch_reformat_documented")
 def sch_reformat_documented(spark, sf):
     return schema_ops.reformat_schemas(fx.examples(spark, sf), mode="documented").select("ex_id", "formatted_schema")
+
+
+@query("pr_chat_render_tools")
+def pr_chat_render_tools(spark, sf):
+    from tessera.plans.oracle import SQL_TOOL
+    return chat.render_chat(spread(table(spark, sf, "conversations")), tools=[SQL_TOOL])

@@ -33,3 +33,14 @@ def test_truncate_mask_and_pad(spark):
     assert prow[0]["padded_mask"][4:6] == [1, 0] and prow[0]["padded_labels"][-1] == -100
     small = mi.pad_batches(m.filter("doc_id < 2").withColumn("b", F.lit(0)), "b").collect()
     assert all(r["padded_len"] == 8 for r in small)
+
+
+def test_chat_tool_calls_and_tools_header(spark):
+    rows = [(1, 0, "user", "q", None), (1, 1, "assistant", "", [("run_sql", '{"query": "SELECT 1"}')]),
+            (1, 2, "tool", "1", None), (1, 3, "assistant", "one", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, "
+                                     "calls array<struct<name:string,arguments:string>>")
+    out = render_chat(df, tools=['{"name": "run_sql"}'], tool_calls="calls").collect()[0]["chat_text"]
+    assert out.startswith(f"{S}system\n{fixed.DEFAULT_SYSTEM}{fixed.TOOLS_HEADER_START}\n" + '{"name": "run_sql"}')
+    assert (f"{S}assistant\n<tool_call>\n" + '{"name": "run_sql", "arguments": {"query": "SELECT 1"}}' + f"\n</tool_call>{E}\n") in out
+    assert out.endswith(f"{S}user\n<tool_response>\n1\n</tool_response>{E}\n{S}assistant\none{E}\n")
