@@ -315,11 +315,12 @@ def io_jsonl_roundtrip(spark, sf):
     ex = fx.examples(spark, sf)
     upper = F.to_json(F.struct("ex_id", "db_id", "question", "SQL", "db_schema"))
     lower = F.to_json(F.struct("ex_id", "db_id", "question", F.col("SQL").alias("sql"), "db_schema"))
-    lines = ex.select(F.when(F.col("ex_id") % 7 == 0, lower).otherwise(upper).alias("value"))
-    noise = ex.filter(F.col("ex_id") % 11 == 0).select(F.lit("   ").alias("value")).unionByName(
-        ex.filter(F.col("ex_id") % 13 == 0).select(F.concat(F.lit("# note "), F.col("ex_id").cast("string")).alias("value")))
+    record = F.when(F.col("ex_id") % 7 == 0, lower).otherwise(upper)
+    # every example becomes three lines: its record, a blank line and a comment line
+    lines = ex.select(F.explode(F.array(record, F.lit("   "),
+                                        F.concat(F.lit("# note "), F.col("ex_id").cast("string")))).alias("value"))
     path = scratch_path(spark, "jsonl")
-    lines.unionByName(noise).write.mode("overwrite").text(path)
+    lines.write.mode("overwrite").text(path)
     back = jsonl.read_jsonl(spark, path, skip_comments=True)
     return back.select("ex_id", "question", "SQL", "db_schema")
 

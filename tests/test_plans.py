@@ -27,3 +27,13 @@ def test_anti_joins_and_pushdown(spark):
     assert "LeftAnti" in p and any("EqualTo(o_orderpriority,1-URGENT)" in x.split("]")[0] for x in p.split("PushedFilters")[1:])
     p = plan(QUERIES["wl_anti_join_not_in"](spark, SF))
     assert "LeftAnti" in p
+
+
+def test_spread_only_repartitions_small_scans(spark):
+    from tessera.sources.tables import spread
+    par = spark.sparkContext.defaultParallelism
+    small = spark.range(10).coalesce(1)
+    big = spark.range(1000).repartition(par * 2)
+    assert spread(small).rdd.getNumPartitions() == par
+    assert "RoundRobin" not in plan(spread(big)) or spread(big).rdd.getNumPartitions() == par * 2
+    assert spread(big).rdd.getNumPartitions() == par * 2
