@@ -24,7 +24,7 @@ SCALE_CONF = {
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "tessera") -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", "16g")
     for k, v in SCALE_CONF.items():
