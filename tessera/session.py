@@ -22,10 +22,16 @@ SCALE_CONF = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "tessera") -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app)
+def build_session(master: str | None = "local[8]", shuffle_partitions: int | None = 8,
+                  app: str = "tessera") -> SparkSession:
+    """Session with the scale settings.  ``master=None`` keeps the cluster's
+    (spark-submit) master; ``shuffle_partitions=None`` keeps its default."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", "16g")
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
