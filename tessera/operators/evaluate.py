@@ -165,3 +165,8 @@ def score_distribution(long: DataFrame) -> DataFrame:
         F.round(F.median("score"), 6).alias("median_score"),
         F.count_if(near_correct(F.col("score"))).alias("n_near_correct"),
         F.count_if(F.col("correct")).alias("n_exact"))
+
+
+def cap_samples(df: DataFrame, order_col: str, n: int | None) -> DataFrame:
+    """Config sample cap (O-PF-6): all rows when ``n`` is None, else the first ``n`` in order."""
+    return df if n is None else head_n(df, order_col, n)

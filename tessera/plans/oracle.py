@@ -397,3 +397,8 @@ ORACLE["sch_reformat_documented"] = _with("examples", extra=(
     "rfd AS (SELECT sch, " + d.reformat_documented("sch") + " AS formatted_schema FROM (SELECT DISTINCT coalesce(db_schema, '') AS sch "
     "FROM examples))")) + (
     "SELECT e.ex_id, rfd.formatted_schema FROM examples e JOIN rfd ON coalesce(e.db_schema, '') = rfd.sch")
+
+ORACLE["pf_config_caps"] = _with("examples") + (
+    "SELECT ex_id, 'train' AS part FROM examples UNION ALL "
+    f"SELECT * FROM (SELECT ex_id, 'eval' AS part FROM examples WHERE {d.valid_schema('db_schema')} "
+    f"ORDER BY ex_id LIMIT {fixed.MAX_EVAL_SAMPLES})")

@@ -373,3 +373,12 @@ def sch_reformat_documented(spark, sf):
 def pr_chat_render_tools(spark, sf):
     from tessera.plans.oracle import SQL_TOOL
     return chat.render_chat(spread(table(spark, sf, "conversations")), tools=[SQL_TOOL])
+
+
+@query("pf_config_caps")
+def pf_config_caps(spark, sf):
+    ex = fx.examples(spark, sf)
+    train = ev.cap_samples(ex, "ex_id", fixed.MAX_TRAIN_SAMPLES).select("ex_id", F.lit("train").alias("part"))
+    evals = ev.cap_samples(ex.filter(ev.valid_schema(F.col("db_schema"))), "ex_id", fixed.MAX_EVAL_SAMPLES) \
+        .select("ex_id", F.lit("eval").alias("part"))
+    return train.unionByName(evals)
