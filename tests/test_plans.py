@@ -37,3 +37,10 @@ def test_spread_only_repartitions_small_scans(spark):
     assert spread(small).rdd.getNumPartitions() == par
     assert "RoundRobin" not in plan(spread(big)) or spread(big).rdd.getNumPartitions() == par * 2
     assert spread(big).rdd.getNumPartitions() == par * 2
+
+
+def test_prediction_join_is_a_shuffle_join(spark):
+    p = plan(QUERIES["ev_evaluate"](spark, SF))
+    assert "ShuffledHashJoin [ex_id" in p
+    p = plan(QUERIES["sc_semantic_score"](spark, SF))
+    assert "ShuffledHashJoin [ex_id" in p
