@@ -298,3 +298,29 @@ def reformat_documented(s: str) -> str:
             f"|| CASE WHEN len({fk}) > 0 THEN ' (FOREIGN KEY -> ' || ({fk})[1].ref_table || '.' || ({fk})[1].ref_col || ')' ELSE '' END")
     block = (f"concat_ws(chr(10), 'Table: ' || t.name, array_to_string(list_transform(t.columns, lambda c: {line}), chr(10)))")
     return f"array_to_string(list_transform({parse_schema_documented(s)}, lambda t: {block}), chr(10) || chr(10))"
+
+
+# ----------------------------------------------------------------------------- classification
+
+def classify(sql: str) -> str:
+    """The 13-way classification rule chain as DuckDB SQL text."""
+    u = f"upper(coalesce({sql}, ''))"
+    has = lambda s: f"(instr({u}, '{s}') > 0)"
+    cnt = lambda s: f"((length({u}) - length(replace({u}, '{s}', ''))) // {len(s)})"
+    after = f"substr(coalesce(string_split({u}, 'NOT IN')[2], ''), 1, {fixed.NOT_IN_WINDOW})"
+    any_of = lambda xs: "(" + " OR ".join(has(x) for x in xs) + ")"
+    j = cnt(" JOIN ")
+    return f"""CASE
+  WHEN {has('NOT EXISTS')} THEN 'anti_join_not_exists'
+  WHEN {has('LEFT JOIN')} AND {has('IS NULL')} THEN 'anti_join_left_null'
+  WHEN {has('NOT IN')} AND instr({after}, 'SELECT') > 0 THEN 'anti_join_not_in'
+  WHEN {has('CASE')} OR {has('WHEN')} THEN 'complex_case'
+  WHEN {cnt('SELECT')} > 1 THEN 'subquery'
+  WHEN {any_of(fixed.DATE_MARKERS)} THEN 'date_filtering'
+  WHEN {j} >= 3 THEN '4plus_table_join'
+  WHEN {j} = 2 THEN '3_table_join'
+  WHEN {j} = 1 AND {has('GROUP BY')} THEN '2_table_join_agg'
+  WHEN {j} = 1 THEN '2_table_join'
+  WHEN {has('GROUP BY')} OR {any_of(fixed.AGG_MARKERS)} THEN 'single_table_agg'
+  WHEN {has('WHERE')} THEN 'single_table_where'
+  ELSE 'simple_select' END"""

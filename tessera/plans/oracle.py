@@ -7,7 +7,6 @@ derived fixtures are defined in a leading ``WITH`` clause.
 from __future__ import annotations
 
 from tessera import fixed
-from tessera.functions.classify import duck_classify
 from tessera.operators.evaluate import BEST_MODEL_LABELS, VARIANT_LABELS, VARIANT_NAMES
 from tessera.plans import duck as d
 from tessera.sources import fixtures as fx
@@ -22,7 +21,7 @@ def _with(*fixture_names: str, extra: str = "") -> str:
     return head + ("," + extra if extra else "") + "\n"
 
 
-CLASSIFIED = f"classified AS (SELECT e.*, {duck_classify('e.\"SQL\"')} AS query_type FROM examples e)"
+CLASSIFIED = f"classified AS (SELECT e.*, {d.classify('e.\"SQL\"')} AS query_type FROM examples e)"
 
 ORACLE["cl_classify_examples"] = _with("examples", extra=CLASSIFIED) + "SELECT ex_id, query_type FROM classified"
 
@@ -77,7 +76,7 @@ ORACLE["cu_balanced_dataset"] = _with("examples", "targets", extra=BALANCED) + (
 ORACLE["cu_target_check"] = _with("examples", "targets", extra=BALANCED) + (
     f"SELECT a.query_type, a.actual, coalesce(t.target, 0) AS target, "
     f"abs(a.actual - coalesce(t.target, 0)) <= {fixed.TARGET_TOLERANCE} AS ok "
-    f"FROM (SELECT {duck_classify('\"SQL\"')} AS query_type, count(*) AS actual FROM bal GROUP BY 1) a "
+    f"FROM (SELECT {d.classify('\"SQL\"')} AS query_type, count(*) AS actual FROM bal GROUP BY 1) a "
     f"LEFT JOIN targets t ON a.query_type = t.query_type ORDER BY a.query_type")
 
 SPLIT = (BALANCED + ",\n"
