@@ -73,10 +73,10 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rule:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from tessera.llm.pretokens import IdEncoder
+        from tessera.llm.pretokens import worker_encoder
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")]
                            + [("ids", pa.binary())])
-        encoder, end = IdEncoder(tokenizer, rule), end_id.to_bytes(4, "little")
+        encoder, end = worker_encoder(tokenizer, rule), end_id.to_bytes(4, "little")
         next_sequence = TaskContext.get().partitionId() << 33
         names: list = []
         ids: list[bytes] = []

@@ -10,14 +10,19 @@ library encodes each new pre-token.
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import re
+from collections import Counter, deque
+from itertools import chain
 
 from tessera.llm.common import tokenizer_file
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 SPACES = "\t-\r "
-KEPT = 400_000          # pre-tokens a worker remembers before starting anew
+KEPT = 500_000          # pre-tokens a worker remembers
+RECENT = 8              # batches that decide which of them it goes on with
 
 #: The splitting rules that the two vocabulary files name, over
 #: the plain range.
@@ -33,6 +38,7 @@ class IdEncoder:
     the ``tokenizers`` library gives them without added special tokens."""
 
     def __init__(self, file: str, rule: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # a task has one core
         from tokenizers import Tokenizer
         path = tokenizer_file(file)
         self.library = Tokenizer.from_file(path)
@@ -45,6 +51,7 @@ class IdEncoder:
         special = "".join(f"|{re.escape(t['content'])}" for t in added)
         self.beyond = re.compile(f"[^\x00-\x7f{LETTERS}]{special}").search
         self.known: dict[str, bytes] = {}
+        self.recent: deque[set[str]] = deque(maxlen=RECENT)
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -56,11 +63,12 @@ class IdEncoder:
         skip = set(whole)
         split = {i: self.find(t.lower() if self.lower else t) for i, t in enumerate(texts) if i not in skip}
         words = set().union(*split.values())
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = words
-        asked = list(new)
+        self.recent.append(words)
+        asked = list(words.difference(self.known))
+        if len(self.known) + len(asked) > KEPT:
+            often = Counter(chain.from_iterable(self.recent))
+            self.known = {w: self.known[w] for w, n in often.items() if n > 1 and w in self.known}
+            asked = list(words.difference(self.known))
         self.known.update(zip(asked, self._ask(asked), strict=True))
         out = [b""] * len(texts)
         get = self.known.__getitem__
@@ -69,3 +77,9 @@ class IdEncoder:
         for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
+
+
+@functools.cache
+def worker_encoder(file: str, rule: str) -> IdEncoder:
+    """The encoder of this Python worker, which serves many tasks."""
+    return IdEncoder(file, rule)

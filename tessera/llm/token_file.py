@@ -71,8 +71,8 @@ def token_ids(docs: DataFrame, tokenizer: str, rule: str, end_id: int) -> DataFr
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from tessera.llm.pretokens import IdEncoder
-        encoder, end = IdEncoder(tokenizer, rule), end_id.to_bytes(4, "little")
+        from tessera.llm.pretokens import worker_encoder
+        encoder, end = worker_encoder(tokenizer, rule), end_id.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
