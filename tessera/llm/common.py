@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tessera.session import scratch_path
 from tessera.sources.tables import table
 
-__all__ = ["table", "materialize", "fold", "text_or_empty", "held_out", "one_label_per_document", "tokenizer_file"]
+__all__ = ["table", "materialize", "drop_table", "id_marks", "range_of", "fold", "text_or_empty", "held_out",
+           "one_label_per_document", "tokenizer_file"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -18,10 +19,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     files instead of recomputing the whole plan."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and nothing reads
+    any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def id_marks(rows: DataFrame, column: str, ranges: int) -> list[int]:
+    """Ascending ids that cut ``rows`` into about ``ranges`` ranges of equally
+    many rows (approximate quantiles of one long column); the first one is the
+    smallest id.  Empty if there is no id."""
+    shares = [(i + 1) / ranges for i in range(ranges - 1)] or [0.5]
+    low, cuts = rows.agg(F.min(column), F.percentile_approx(column, shares, max(10_000, 20 * ranges))).first()
+    return [] if low is None else sorted({low, *cuts})
+
+
+def range_of(column: str, marks: list[int]) -> Column:
+    """Number of the range that an id falls into: of the marks after the first
+    that are up to it, found in two steps of about the root of their number.
+    Null ids fall into the last range."""
+    later = marks[1:]
+    if not later:
+        return F.lit(0)
+    step = max(1, int(len(later) ** 0.5))
+    chunks = [later[i:i + step] for i in range(0, len(later), step)]
+    upto = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col(column)))
+    chunk = upto(F.lit([c[0] for c in chunks]))
+    inside = F.get(F.array(*(F.lit(c) for c in chunks)), chunk - 1)
+    return (F.when(F.col(column).isNull(), len(later)).when(chunk == 0, 0)
+            .otherwise((chunk - 1) * step + upto(inside)).cast("int"))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

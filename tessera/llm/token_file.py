@@ -9,10 +9,16 @@ every value's place in the data stream at once.
 A token file is a folder of two Parquet tables: ``vocabulary`` (rank, id,
 occurrences) and ``blocks``, in ascending doc_id order over (part, block), each
 row holding whole documents: doc_ids, lengths (ids of each), first (ids of the
-part before the block), n_ids, control, data.
+part before the block), n_ids, and the documents' control and data bytes one
+after the other (each document starts a control byte of its own).  A part is a
+range of document ids; parts hold about equally many documents.
+
+Each text is tokenised once; the ids wait, two bytes each where the vocabulary
+allows it, in a table that is deleted when the file is written.  The only
+shuffle moves documents already in their final coding.
 
 Defined results: null and empty texts are the end id alone; repeated ids keep
-one entry per row, in the order of their ids' bytes; null ids come first; an
+one entry per row, in the order of their coding; null ids come last; an
 empty table gives an empty file and no rows.  Only ``doc_id`` and ``text`` are
 read.
 """
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tessera.llm.common import materialize, text_or_empty
+from tessera.llm.common import drop_table, id_marks, materialize, range_of, text_or_empty, tokenizer_file
 from tessera.session import scratch_path
 
 BLOCKS = ("part long, block long, first long, n_ids long, doc_ids array<long>, lengths array<long>, "
@@ -55,18 +61,22 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.astype(np.uint8).tobytes(), octets[np.arange(4) < size[:, None]].tobytes()
 
 
-def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` unsigned 32-bit values of a block."""
-    size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    octets = np.zeros((n, 4), dtype=np.uint8)
+def decode_values(control: bytes, data: bytes, lengths: list[int]) -> np.ndarray:
+    """The values of a block of documents with the given numbers of values."""
+    lengths = np.asarray(lengths, dtype=np.int64)
+    padded = -(-lengths // 4) * 4
+    size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)
+    nth = np.arange(len(size)) - np.repeat(np.cumsum(padded) - padded, padded)
+    size = size[nth < np.repeat(lengths, padded)]
+    octets = np.zeros((len(size), 4), dtype=np.uint8)
     octets[np.arange(4) < size[:, None]] = np.frombuffer(data, dtype=np.uint8)
     return octets.view("<u4").reshape(-1)
 
 
 # --- Spark jobs -----------------------------------------------------------
 
-def token_ids(docs: DataFrame, tokenizer: str, rule: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): every document's ids and the end id."""
+def token_ids(docs: DataFrame, tokenizer: str, rule: str, end_id: int, id_type: str) -> DataFrame:
+    """(doc_id, ids): every document's ids and the end id, as ``id_type``."""
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -76,14 +86,24 @@ def token_ids(docs: DataFrame, tokenizer: str, rule: str, end_id: int) -> DataFr
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+                ids = [np.frombuffer(x + end, dtype="<u4").astype(id_type).tobytes()
+                       for x in encoder.encode(part.column(1).to_pylist())]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return (docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
             .mapInArrow(encode, "doc_id long, ids binary"))
 
 
-def frequency_ranks(tokens: DataFrame) -> DataFrame:
+def all_values(column, id_type: str) -> np.ndarray:
+    """The values of all rows of an Arrow binary column, one after the other."""
+    if not len(column):
+        return np.zeros(0, dtype=id_type)
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[[column.offset, column.offset + len(column)]]
+    return np.frombuffer(data, dtype=np.uint8)[ends[0]:ends[1]].view(id_type)
+
+
+def frequency_ranks(tokens: DataFrame, id_type: str) -> DataFrame:
     """(rank, id, occurrences): all ids by descending count, then by id.  As
     many rows as the vocabulary has ids in use, whatever the corpus size."""
 
@@ -91,12 +111,10 @@ def frequency_ranks(tokens: DataFrame) -> DataFrame:
         import pyarrow as pa
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                ids = np.frombuffer(x.as_buffer(), dtype="<u4")
-                seen = np.bincount(ids)
-                if len(seen) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(seen) - len(counts), dtype=np.int64)])
-                counts[:len(seen)] += seen
+            seen = np.bincount(all_values(batch.column(0), id_type))
+            if len(seen) > len(counts):
+                counts = np.concatenate([counts, np.zeros(len(seen) - len(counts), dtype=np.int64)])
+            counts[:len(seen)] += seen
         ids = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(counts[ids], pa.int64())], names=["id", "n"])
 
@@ -109,46 +127,63 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.
                      end_id: int = 2) -> None:
     """Encode every document and write the token file at ``path`` (a folder in
     storage that all executors share)."""
-    tokens = materialize(token_ids(docs, tokenizer, rule, end_id), "token-ids")
-    vocabulary = frequency_ranks(tokens)
-    vocabulary.write.parquet(f"{path}/vocabulary")
+    from tokenizers import Tokenizer
+    spark = docs.sparkSession
+    largest = max(Tokenizer.from_file(tokenizer_file(tokenizer)).get_vocab_size() - 1, end_id)
+    id_type = "<u2" if largest < 1 << 16 else "<u4"
+    tokens = materialize(token_ids(docs, tokenizer, rule, end_id, id_type), "token-ids")
+    frequency_ranks(tokens, id_type).write.parquet(f"{path}/vocabulary")
     # At most as many rows as the tokenizer has ids.
-    by_rank = docs.sparkSession.read.parquet(f"{path}/vocabulary").orderBy("rank").toPandas()
-    rank_of = np.zeros(int(by_rank["id"].max()) + 1 if len(by_rank) else 0, dtype="<u4")
+    by_rank = spark.read.parquet(f"{path}/vocabulary").toPandas()
+    rank_of = np.zeros(largest + 1, dtype="<u4")
     rank_of[by_rank["id"].to_numpy()] = by_rank["rank"].to_numpy()
-    ranks = docs.sparkSession.sparkContext.broadcast(rank_of)
+    ranks = spark.sparkContext.broadcast(rank_of)
 
-    def write(batches: Iterator) -> Iterator:
+    def code(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
-        part, block, first = TaskContext.get().partitionId(), 0, 0
-        names: list = []
-        found: list[np.ndarray] = []
-        held = 0
-
-        def row():
-            values = np.concatenate(found)
-            control, data = encode_values(values)
-            return pa.RecordBatch.from_pylist([{
-                "part": part, "block": block, "first": first, "n_ids": len(values), "doc_ids": names,
-                "lengths": [len(x) for x in found], "control": control, "data": data}], schema=pa.schema([
-                    ("part", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()),
-                    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
-                    ("control", pa.binary()), ("data", pa.binary())]))
-
         for batch in batches:
-            for name, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                names.append(name)
-                found.append(ranks.value[np.frombuffer(x.as_buffer(), dtype="<u4")])
-                held += len(found[-1])
-                if held >= BLOCK_IDS:
-                    yield row()
-                    block, first, held, names, found = block + 1, first + held, 0, [], []
-        if found:
-            yield row()
+            for at in range(0, len(batch), 512):
+                own = batch.slice(at, 512)
+                values = [ranks.value[np.frombuffer(x.as_buffer(), dtype=id_type)] for x in own.column(2)]
+                control, data = zip(*map(encode_values, values), strict=True)
+                yield pa.record_batch([own.column(0), own.column(1), pa.array([len(x) for x in values], pa.int64()),
+                                       pa.array(control, pa.binary()), pa.array(data, pa.binary())],
+                                      names=["part", "doc_id", "length", "control", "data"])
+
+    def block(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        schema = pa.schema([(c, pa.int64()) for c in ("part", "block", "first", "n_ids")]
+                           + [("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
+                              ("control", pa.binary()), ("data", pa.binary())])
+        rows: list[dict] = []
+        part, number, first, held = None, 0, 0, 0
+
+        def packed():
+            nonlocal rows, number, first, held
+            row = {"part": part, "block": number, "first": first, "n_ids": held, "doc_ids": [r["doc_id"] for r in rows],
+                   "lengths": [r["length"] for r in rows], "control": b"".join(r["control"] for r in rows),
+                   "data": b"".join(r["data"] for r in rows)}
+            rows, number, first, held = [], number + 1, first + held, 0
+            return pa.RecordBatch.from_pylist([row], schema=schema)
 
-    (tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-     .mapInArrow(write, BLOCKS).write.parquet(f"{path}/blocks"))
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                for r in batch.slice(at, 64).to_pylist():
+                    if rows and (r["part"] != part or held >= BLOCK_IDS):
+                        yield packed()
+                    if r["part"] != part:
+                        part, number, first = r["part"], 0, 0
+                    rows.append(r)
+                    held += r["length"]
+        if rows:
+            yield packed()
+
+    marks = id_marks(tokens, "doc_id", 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (tokens.select(range_of("doc_id", marks).cast("long").alias("part"), "doc_id", "ids")
+     .mapInArrow(code, "part long, doc_id long, length long, control binary, data binary")
+     .repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "control", "data")
+     .mapInArrow(block, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks"))
+    drop_table(tokens)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -167,8 +202,8 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
         base, id_of = shared.value
         for batch in batches:
-            for b in batch.to_pylist():
-                ids = id_of[decode_values(b["control"], b["data"], b["n_ids"])]
+            for b in (row for at in range(len(batch)) for row in batch.slice(at, 1).to_pylist()):
+                ids = id_of[decode_values(b["control"], b["data"], b["lengths"])]
                 ends = np.cumsum(np.array(b["lengths"], dtype=np.int64))
                 starts = ends - b["lengths"]
                 raw = ids.tobytes()

@@ -32,6 +32,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tessera.llm.common import id_marks, range_of
+
 QUANTILES = 2048
 LOW = (1 << 32) - 1
 
@@ -107,32 +109,16 @@ def hex_signature(sig: Column) -> Column:
 
 def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     """``docs`` (doc_id, text) with the range b of each id and late: the first
-    rows of each range come once more, late, at the end of the range before."""
-    marks = sorted(set(docs.agg(F.percentile_approx("doc_id", [(i + 1) / ranges for i in range(ranges - 1)] or [0.5],
-                                                    max(10_000, 20 * ranges)).alias("q"), F.min("doc_id").alias("low"))
-                       .select(F.array_append(F.coalesce("q", F.array().cast("array<long>")), F.col("low"))).first()[0] or [])
-                   - {None})
+    rows of each range come once more, late, at the end of the range before
+    (those of the first range at the end of the last)."""
+    marks = id_marks(docs, "doc_id", ranges)
     if not marks:
         return docs.withColumns({"b": F.lit(0), "late": F.lit(0)})
-    # marks[0] is the smallest id; the range of an id is the number of later
-    # marks up to it, found in two steps of about the root of their number.
-    later = marks[1:]
-    step = max(1, int(len(later) ** 0.5))
-    chunks = [later[i:i + step] for i in range(0, len(later), step)]
-    if later:
-        upto = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("doc_id")))
-        chunk = upto(F.lit([c[0] for c in chunks]))
-        inside = F.get(F.array(*(F.lit(c) for c in chunks)), chunk - 1)
-        place = F.when(chunk == 0, 0).otherwise((chunk - 1) * step + upto(inside))
-        b = F.when(F.col("doc_id").isNull(), len(later)).otherwise(place)
-    else:
-        b = F.lit(0)
-    last = len(later)
-    starts = F.get(F.lit(marks), F.col("b")) == F.col("doc_id")
-    before = F.when(F.col("b") == 0, last).otherwise(F.col("b") - 1)
+    is_first = F.coalesce(F.get(F.lit(marks), F.col("b")) == F.col("doc_id"), F.lit(False))
+    before = F.when(F.col("b") == 0, len(marks) - 1).otherwise(F.col("b") - 1)
     spots = F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("late")),
-                    F.when(F.coalesce(starts, F.lit(False)), F.struct(before.alias("b"), F.lit(1).alias("late"))))
-    return (docs.withColumn("b", b.cast("int"))
+                    F.when(is_first, F.struct(before.alias("b"), F.lit(1).alias("late"))))
+    return (docs.withColumn("b", range_of("doc_id", marks))
             .select("doc_id", "text", F.explode(F.array_compact(spots)).alias("spot"))
             .select("doc_id", "text", "spot.b", "spot.late"))
 
