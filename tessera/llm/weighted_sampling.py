@@ -89,9 +89,13 @@ def signatures(texts: DataFrame, keys: list[str], text: str, samples: int) -> Da
             .select(*keys, F.get("_hashes", F.col("_start")).alias("_term"),
                     F.ln((F.coalesce(F.get("_starts", F.col("_at") + 1), F.size("_hashes")) - F.col("_start")).cast("double"))
                     .alias("_log_weight")))
-    r_table, c_table = constant_array(gamma_quantiles()), constant_array(np.log(gamma_quantiles()))
+    # The tables stay columns (no constant, because of the condition): as
+    # constants they would be written into each sample's expression anew.
+    always = F.col("_log_weight").isNull() | (F.col("_log_weight") >= 0)
+    rows = rows.withColumns({"_r": F.when(always, constant_array(gamma_quantiles())),
+                             "_c": F.when(always, constant_array(np.log(gamma_quantiles())))})
     found = rows.groupBy(*keys).agg(*(
-        F.min(sample_value(k, F.col("_term"), F.col("_log_weight"), r_table, c_table)).alias(f"_s{k}")
+        F.min(sample_value(k, F.col("_term"), F.col("_log_weight"), F.col("_r"), F.col("_c"))).alias(f"_s{k}")
         for k in range(samples)))
     sig = F.array(*(F.coalesce(F.col(f"_s{k}").bitwiseAND(F.lit(LOW)), F.lit(0).cast("long")) for k in range(samples)))
     return found.select(*keys, sig.alias("sig"))
