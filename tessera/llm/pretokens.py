@@ -5,7 +5,7 @@ order.  The pre-tokens are found here only in texts whose characters all lie in
 a small range (ASCII and the Latin letters up to U+017F), where the splitting
 rule of the vocabulary file can be stated without doubt; every other text, and
 every text that holds a special token's string, goes to the library whole.  The
-library encodes each new pre-token.
+library's BPE model merges each new pre-token.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections import Counter, deque
 from itertools import chain
 
@@ -21,7 +22,7 @@ from tessera.llm.common import tokenizer_file
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 SPACES = "\t-\r "
-KEPT = 500_000          # pre-tokens a worker remembers
+KEPT = 1_000_000        # pre-tokens a worker remembers
 RECENT = 8              # batches that decide which of them it goes on with
 
 #: The splitting rules that the two vocabulary files name, over
@@ -33,6 +34,14 @@ RULES = {
 }
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: visible
+    Latin-1 characters stand for themselves, the others for those from 256."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class IdEncoder:
     """``encode(texts)``: little-endian unsigned 32-bit ids of each text, as
     the ``tokenizers`` library gives them without added special tokens."""
@@ -42,38 +51,52 @@ class IdEncoder:
         from tokenizers import Tokenizer
         path = tokenizer_file(file)
         self.library = Tokenizer.from_file(path)
+        self.merge, self.letters = self.library.model.tokenize, byte_letters()
         self.library.no_padding()
         self.library.no_truncation()
         with open(path, encoding="utf-8") as f:
             added = json.load(f).get("added_tokens", [])
         self.lower = rule == "words"
         self.find = re.compile(RULES[rule]).findall
-        special = "".join(f"|{re.escape(t['content'])}" for t in added)
-        self.beyond = re.compile(f"[^\x00-\x7f{LETTERS}]{special}").search
+        special = "|".join(re.escape(t["content"]) for t in added) or r"(?!)"
+        self.special = re.compile(special).search
+        self.beyond = re.compile(f"[^\x00-\x7f{LETTERS}]|{special}").search
         self.known: dict[str, bytes] = {}
         self.recent: deque[set[str]] = deque(maxlen=RECENT)
 
+    def _merge(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
     def _ask(self, texts: list[str]) -> list[bytes]:
         import numpy as np
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if self.beyond(t)]
-        skip = set(whole)
-        split = {i: self.find(t.lower() if self.lower else t) for i, t in enumerate(texts) if i not in skip}
-        words = set().union(*split.values())
-        self.recent.append(words)
-        asked = list(words.difference(self.known))
-        if len(self.known) + len(asked) > KEPT:
-            often = Counter(chain.from_iterable(self.recent))
-            self.known = {w: self.known[w] for w, n in often.items() if n > 1 and w in self.known}
-            asked = list(words.difference(self.known))
-        self.known.update(zip(asked, self._ask(asked), strict=True))
         out = [b""] * len(texts)
-        get = self.known.__getitem__
-        for i, words_of in split.items():
-            out[i] = b"".join(map(get, words_of))
+        whole, waiting, new = [], [], set()
+        get = self.known.get
+        for i, t in enumerate(texts):
+            if self.special(t) if t.isascii() else self.beyond(t):
+                whole.append(i)
+                continue
+            words = self.find(t.lower() if self.lower else t)
+            ids = list(map(get, words))
+            if None in ids:
+                new.update(w for w, x in zip(words, ids, strict=True) if x is None)
+                waiting.append((i, words))
+            else:
+                out[i] = b"".join(ids)
+        if new:
+            self.known.update((w, self._merge(w)) for w in new)
+            known = self.known.__getitem__
+            for i, words in waiting:
+                out[i] = b"".join(map(known, words))
+            self.recent.append(set().union(*(words for _, words in waiting)))
+            if len(self.known) > KEPT:
+                often = Counter(chain.from_iterable(self.recent))
+                self.known = {w: self.known[w] for w, n in often.items() if n > 1 and w in self.known}
         for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
