@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.llm.common import materialize
 
 BLOCK_BYTES, BLOCK_WORDS = 256, 32
+SHORT = 24              # bytes added to every length, so that a few letters show no extreme shares
 CLASSES = 7
 WIDTH = 256 + 2 * CLASSES + 4
 
@@ -41,13 +42,13 @@ def shape(text: str) -> np.ndarray:
     if not len(raw):
         return out
     counts = np.bincount(raw, minlength=256)
-    out[:256] = np.sqrt(counts / len(raw))
-    shares = np.bincount(BYTE_CLASS, weights=counts, minlength=CLASSES) / len(raw)
+    out[:256] = np.sqrt(counts / (len(raw) + SHORT))
+    shares = np.bincount(BYTE_CLASS, weights=counts, minlength=CLASSES) / (len(raw) + SHORT)
     blocks = max(1, len(raw) // BLOCK_BYTES)
     at = np.minimum(np.arange(len(raw)) // BLOCK_BYTES, blocks - 1)
     table = np.bincount(at * CLASSES + BYTE_CLASS[raw], minlength=blocks * CLASSES).reshape(blocks, CLASSES)
     out[256:256 + CLASSES] = shares
-    out[256 + CLASSES:256 + 2 * CLASSES] = (table / table.sum(axis=1, keepdims=True)).max(axis=0)
+    out[256 + CLASSES:256 + 2 * CLASSES] = (table / (table.sum(axis=1, keepdims=True) + SHORT)).max(axis=0)
     words = text.split()
     n = len(words)
     if n > 1:
@@ -61,12 +62,12 @@ def shape(text: str) -> np.ndarray:
 
 
 LETTERS = re.compile(r"[^\W\d_]{2,}").findall
-STEMS = (4, 5, 6)
+STEMS = range(3, 9)
 
 
 def terms(text: str) -> set[str]:
     """Distinct lower-case words of two or more letters, each with its stems
-    of 4 to 6 letters (marked by a trailing hyphen)."""
+    of 3 to 8 letters (marked by a trailing hyphen)."""
     words = set(LETTERS(text.lower()))
     return words.union(*({w[:k] + "-" for w in words if len(w) > k} for k in STEMS))
 
@@ -81,14 +82,15 @@ def shape_column(text: Column) -> Column:
 
 
 def telling_terms(sample: DataFrame, classes: int, wanted: list[int], most: int, share: float = 0.01,
-                  least: int = 3, z: float = 4.0) -> list[list[str]]:
+                  least: int = 3, z: float = 4.0, lift: float = 3.0) -> list[list[str]]:
     """For each wanted class (0 to ``classes`` - 1), the terms that its texts
     hold significantly more often than the others' (at most ``most`` of them,
     highest first).
 
     ``sample`` is a bounded set of (text, class) rows; its terms are counted in
     Spark and only the selected ones come to the driver.  A term needs
-    ``share`` of the class's texts, ``least`` of them at any rate.
+    ``share`` of the class's texts, ``least`` of them at any rate, and to be
+    ``lift`` times as frequent as among the others.
     """
     def tally(batches: Iterator) -> Iterator:
         found: dict[str, np.ndarray] = {}
@@ -125,7 +127,8 @@ def telling_terms(sample: DataFrame, classes: int, wanted: list[int], most: int,
         mine, all_of = F.col(f"n{k}"), sum((F.col(f"n{i}") for i in range(1, classes)), F.col("n0"))
         p = all_of / total
         score = (mine / own - (all_of - mine) / rest) / F.sqrt(p * (1 - p) * (1 / own + 1 / rest) + 1e-12)
-        rows = (counts.where(mine >= max(least, share * own)).withColumn("z", score).where(F.col("z") >= z)
+        lifted = mine / own >= lift * (all_of - mine + 0.5) / rest
+        rows = (counts.where((mine >= max(least, share * own)) & lifted).withColumn("z", score).where(F.col("z") >= z)
                 .orderBy(F.col("z").desc(), "term").limit(most).collect())
         chosen.append([r["term"] for r in rows])
     return chosen

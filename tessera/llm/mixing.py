@@ -108,9 +108,9 @@ def fit_posterior(docs: DataFrame, domains: DataFrame, classes: int, sample: int
         return pa.array([blank.features(t.as_py()) for t in batch], pa.list_(pa.float32()))
 
     got = rows.select("doc_id", "class", extract("text").alias("x")).toPandas().sort_values("doc_id")
-    y = got["class"].to_numpy()
-    share = np.bincount(y, minlength=classes) / max(len(y), 1) if len(y) else np.full(classes, 1 / classes)
-    if (share > 0).sum() < 2:
+    y = got["class"].to_numpy(dtype=np.int64)
+    share = np.bincount(y, minlength=classes) / len(y) if len(y) else np.full(classes, 1 / classes)
+    if not len(y) or (share > 0).sum() < 2:
         blank.weights[-1] = np.log(np.maximum(share, 1e-30))
         return blank
     x = np.stack(got["x"].to_numpy())

@@ -75,28 +75,18 @@ class IdEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
-        whole, waiting, new = [], [], set()
-        get = self.known.get
-        for i, t in enumerate(texts):
-            if self.special(t) if t.isascii() else self.beyond(t):
-                whole.append(i)
-                continue
-            words = self.find(t.lower() if self.lower else t)
-            ids = list(map(get, words))
-            if None in ids:
-                new.update(w for w, x in zip(words, ids, strict=True) if x is None)
-                waiting.append((i, words))
-            else:
-                out[i] = b"".join(ids)
-        if new:
-            self.known.update((w, self._merge(w)) for w in new)
-            known = self.known.__getitem__
-            for i, words in waiting:
-                out[i] = b"".join(map(known, words))
-            self.recent.append(set().union(*(words for _, words in waiting)))
-            if len(self.known) > KEPT:
-                often = Counter(chain.from_iterable(self.recent))
-                self.known = {w: self.known[w] for w, n in often.items() if n > 1 and w in self.known}
+        whole = [i for i, t in enumerate(texts) if (self.special(t) if t.isascii() else self.beyond(t))]
+        skip = set(whole)
+        split = {i: self.find(t.lower() if self.lower else t) for i, t in enumerate(texts) if i not in skip}
+        words = set().union(*split.values())
+        self.recent.append(words)
+        self.known.update((w, self._merge(w)) for w in words.difference(self.known))
+        known = self.known.__getitem__
+        for i, own in split.items():
+            out[i] = b"".join(map(known, own))
+        if len(self.known) > KEPT:
+            often = Counter(chain.from_iterable(self.recent))
+            self.known = {w: self.known[w] for w, n in often.items() if n > 1 and w in self.known}
         for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out

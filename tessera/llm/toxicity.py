@@ -10,7 +10,9 @@ logistic loss, and when a batch's difference is negative, steps to raise that
 part instead, as in the published algorithm.
 
 The features are the presence of single terms (words and word stems) that the
-positives hold significantly more often than the unlabelled texts.  Terms are
+positives hold significantly more often than the unlabelled texts, by half the
+inverse prior or more (a term of toxic texts only is as much more frequent as
+the inverse prior).  Terms are
 counted in Spark; the model is fitted on the driver from bounded samples
 (``positives`` and ``unlabelled`` documents, by a hash of their ids).  The
 prior is the toxic share of the labels outside the hidden fold.
@@ -43,34 +45,35 @@ class TermModel:
 
     def __post_init__(self) -> None:
         self.words = frozenset(t for t in self.weights if not t.endswith("-"))
-        self.stems = {k: frozenset(t[:-1] for t in self.weights if t.endswith("-") and len(t) == k + 1) for k in STEMS}
+        self.stems = frozenset(t[:-1] for t in self.weights if t.endswith("-"))
+        self.heads = frozenset(s[:STEMS[0]] for s in self.stems)
+        self.sizes = sorted({len(s) for s in self.stems})
 
     def found(self, text: str) -> set[str]:
         """The model's terms in a text."""
         words = set(LETTERS(text.lower()))
         hits = set(words & self.words)
-        for k, stems in self.stems.items():
-            if stems:
-                hits.update(w[:k] + "-" for w in words if w[:k] in stems and len(w) > k)
+        head, heads = STEMS[0], self.heads
+        for w in words:
+            if w[:head] in heads:
+                hits.update(w[:k] + "-" for k in self.sizes if len(w) > k and w[:k] in self.stems)
         return hits
 
     def score(self, text: str) -> float:
         return float(sigmoid(self.bias + sum(self.weights[t] for t in sorted(self.found(text)))))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05,
-             ridge: float = 1e-4, beta: float = 0.0, gamma: float = 1.0, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias of the non-negative PU risk's minimiser (Adam)."""
-    rng = np.random.default_rng(seed)
-    width = positive.shape[1]
-    w = np.zeros(width + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    first, second = np.zeros(width + 1), np.zeros(width + 1)
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05,
+             ridge: float = 1e-4, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and bias of the non-negative PU risk's minimiser (Adam over the
+    whole sample; the rate falls to a tenth, so that the two kinds of step
+    settle)."""
     with_one = lambda x: np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    p_all, u_all = with_one(positive), with_one(unlabelled)
+    p, u = with_one(positive), with_one(unlabelled)
+    w = np.zeros(p.shape[1])
+    w[-1] = np.log(prior / (1 - prior))
+    first, second = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, steps + 1):
-        p = p_all[rng.choice(len(p_all), min(256, len(p_all)), replace=False)]
-        u = u_all[rng.choice(len(u_all), min(512, len(u_all)), replace=False)]
         fp, fu = p @ w, u @ w
         # Logistic loss: l(+) = log(1 + e^-f), l(-) = log(1 + e^f).
         clean_risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
@@ -82,7 +85,8 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         gradient[:-1] += ridge * w[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient ** 2
-        w -= rate * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
+        step = rate * (1 - 0.9 * t / steps)
+        w -= step * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
@@ -98,8 +102,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, unla
     anyone = (docs.select("doc_id").where(~held_out("doc_id", 4, 2)).orderBy(*by_hash).limit(unlabelled)
               .select("doc_id", F.lit(0).alias("class")))
     # Both sides are bounded by the sample sizes.
-    sample = materialize(texts.join(F.broadcast(confirmed.unionByName(anyone)), "doc_id"), "toxicity-sample")
-    chosen = telling_terms(sample, 2, [1], most_terms)[0]
+    sample = materialize(texts.join(F.broadcast(confirmed.unionByName(anyone)), "doc_id")
+                         .dropDuplicates(["class", "text"]), "toxicity-sample")
+    chosen = telling_terms(sample, 2, [1], most_terms, least=5, lift=0.5 / float(share))[0]
     if not chosen:
         return TermModel({}, float(np.log(share / (1 - share))) if share < 1 else 60.0)
     index = {t: i for i, t in enumerate(chosen)}
