@@ -26,11 +26,11 @@ KEPT = 1_000_000        # pre-tokens a worker remembers
 RECENT = 8              # batches that decide which of them it goes on with
 
 #: The splitting rules that the two vocabulary files name, over
-#: the plain range.
+#: the plain range.  Letters come first, as most pre-tokens start with one.
 RULES = {
-    "bytes": f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACES}{LETTERS}0-9]+"
+    "bytes": f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{SPACES}{LETTERS}0-9]+"
              f"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+",
-    "words": f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{SPACES}{LETTERS}0-9]+",
+    "words": f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^{SPACES}{LETTERS}0-9]+",
 }
 
 
@@ -58,6 +58,7 @@ class IdEncoder:
             added = json.load(f).get("added_tokens", [])
         self.lower = rule == "words"
         self.find = re.compile(RULES[rule]).findall
+        self.find_ascii = re.compile(RULES[rule].replace(LETTERS, "A-Za-z")).findall
         special = "|".join(re.escape(t["content"]) for t in added) or r"(?!)"
         self.special = re.compile(special).search
         self.beyond = re.compile(f"[^\x00-\x7f{LETTERS}]|{special}").search
@@ -75,9 +76,13 @@ class IdEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if (self.special(t) if t.isascii() else self.beyond(t))]
-        skip = set(whole)
-        split = {i: self.find(t.lower() if self.lower else t) for i, t in enumerate(texts) if i not in skip}
+        whole, split = [], {}
+        for i, t in enumerate(texts):
+            ascii = t.isascii()
+            if self.special(t) if ascii else self.beyond(t):
+                whole.append(i)
+            else:
+                split[i] = (self.find_ascii if ascii else self.find)(t.lower() if self.lower else t)
         words = set().union(*split.values())
         self.recent.append(words)
         self.known.update((w, self._merge(w)) for w in words.difference(self.known))

@@ -43,7 +43,7 @@ BLOCK_IDS = 1 << 16
 def _lengths_table() -> np.ndarray:
     """Lengths of the four values of each control byte."""
     control = np.arange(256)
-    return np.stack([(control >> (2 * k)) & 3 for k in range(4)], axis=1).astype(np.int64) + 1
+    return np.stack([(control >> (2 * k)) & 3 for k in range(4)], axis=1).astype(np.uint8) + 1
 
 
 LENGTHS = _lengths_table()
@@ -52,13 +52,18 @@ LENGTHS = _lengths_table()
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit values."""
     n = len(values)
-    size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    size = (values > 0xFF).astype(np.uint8)
+    width = 2
+    if n and values.max() > 0xFFFF:
+        size += values > 0xFFFF
+        size += values > 0xFFFFFF
+        width = 4
     codes = np.zeros(-(-n // 4) * 4, dtype=np.uint8)
-    codes[:n] = size - 1
+    codes[:n] = size
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    octets = np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), octets[np.arange(4) < size[:, None]].tobytes()
+    octets = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
+    return control.tobytes(), octets[np.arange(width) <= size[:, None]].tobytes()
 
 
 def decode_values(control: bytes, data: bytes, lengths: list[int]) -> np.ndarray:
@@ -66,11 +71,14 @@ def decode_values(control: bytes, data: bytes, lengths: list[int]) -> np.ndarray
     lengths = np.asarray(lengths, dtype=np.int64)
     padded = -(-lengths // 4) * 4
     size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)
-    nth = np.arange(len(size)) - np.repeat(np.cumsum(padded) - padded, padded)
-    size = size[nth < np.repeat(lengths, padded)]
-    octets = np.zeros((len(size), 4), dtype=np.uint8)
-    octets[np.arange(4) < size[:, None]] = np.frombuffer(data, dtype=np.uint8)
-    return octets.view("<u4").reshape(-1)
+    ends = np.cumsum(padded)
+    unused = [np.arange(e - p + n, e) for e, p, n in zip(ends, padded, lengths, strict=True) if p > n]
+    if unused:
+        size = np.delete(size, np.concatenate(unused))
+    width = 4 if len(size) and size.max() > 2 else 2
+    octets = np.zeros((len(size), width), dtype=np.uint8)
+    octets[np.arange(width) < size[:, None]] = np.frombuffer(data, dtype=np.uint8)
+    return octets.view(f"<u{width}").reshape(-1)
 
 
 # --- Spark jobs -----------------------------------------------------------
