@@ -34,6 +34,19 @@ def eval_prompt(question: Column, schema: Column) -> Column:
         .otherwise(_fill(fixed.EVAL_PROMPT_NO_SCHEMA, question=question))
 
 
+def eval_prompt_len(question: Column, schema: Column) -> Column:
+    """Length of the evaluation prompt without building it (null text is empty)."""
+    with_schema = len(fixed.EVAL_PROMPT) - len("{schema}") - len("{question}")
+    no_schema = len(fixed.EVAL_PROMPT_NO_SCHEMA) - len("{question}")
+    n_schema, n_question = F.coalesce(F.length(schema), F.lit(0)), F.coalesce(F.length(question), F.lit(0))
+    return F.when(n_schema > 0, F.lit(with_schema) + n_schema + n_question).otherwise(F.lit(no_schema) + n_question)
+
+
+def variants_array() -> Column:
+    """The model variants, in report order."""
+    return F.array(*[F.lit(v) for v, _ in fixed.VARIANTS])
+
+
 def response_part(text: Column, marker: str = fixed.RESPONSE_TEMPLATE) -> Column:
     """Supervised part: the text after the first response marker, '' without one (O-PR-9)."""
     at = F.instr(text, marker)

@@ -50,10 +50,21 @@ def let(value: Column, body) -> Column:
 
 
 def _dedupe_by(arr: Column, key: str, merge) -> Column:
-    """Keep the first element per ``key``; ``merge(first, last)`` builds the kept value."""
+    """Keep the first element per ``key``; ``merge(first, last)`` builds the kept value.
+
+    The places of equal keys become neighbours by one sort of (key, place), so
+    a table of many columns costs n log n comparisons.
+    """
     def body(a: Column) -> Column:
-        firsts = F.filter(a, lambda x, i: ~F.exists(F.slice(a, 1, i), lambda y: y[key] == x[key]))
-        return F.transform(firsts, lambda x: merge(x, F.element_at(F.filter(a, lambda y: y[key] == x[key]), -1)))
+        places = F.array_sort(F.transform(a, lambda x, i: F.struct(x[key].alias("k"), i.alias("i"))))
+
+        def pick(p: Column) -> Column:
+            ends = F.filter(p, lambda x, j: (j == 0) | (F.get(p, j - 1)["k"] != x["k"]))
+            last = F.filter(p, lambda x, j: (j == F.size(p) - 1) | (F.get(p, j + 1)["k"] != x["k"]))
+            pairs = F.array_sort(F.zip_with(ends, last, lambda f, z: F.struct(f["i"].alias("first"), z["i"].alias("last"))))
+            return F.transform(pairs, lambda x: merge(F.get(a, x["first"]), F.get(a, x["last"])))
+
+        return let(places, pick)
     return let(arr, body)
 
 

@@ -130,15 +130,17 @@ def with_sql_features(df: DataFrame, sql_col: str, out: str) -> DataFrame:
 
 
 def semantic_score(pred_features: Column, gt_features: Column) -> Column:
-    """Weighted Jaccard over the five feature sets, rounded to 6 places (O-SC-8)."""
+    """Weighted Jaccard over the five feature sets (O-SC-8), not rounded:
+    reports round it, comparisons do not."""
     out = None
     for w, name in zip(fixed.SCORE_WEIGHTS, FEATURES):
         term = F.lit(w) * jaccard(pred_features[name], gt_features[name])
         out = term if out is None else out + term
-    return F.round(out, 6)
+    return out
 
 
 def near_correct(score: Column) -> Column:
+    """Whether an unrounded score reaches the near-correct bound (O-SC-9)."""
     return score >= F.lit(fixed.NEAR_CORRECT)
 
 

@@ -47,12 +47,6 @@ def contains_any(c: Column, needles: list[str]) -> Column:
     return out
 
 
-def sql_field(df_cols: list[str]) -> Column:
-    """``SQL`` field with ``sql`` as the fallback key and '' for missing."""
-    parts = [F.col(f"`{n}`") for n in ("SQL", "sql") if n in df_cols]
-    return F.coalesce(*parts, F.lit(""))
-
-
 def group_label(df_cols: list[str]) -> Column:
     """Report label: query_type_name, then query_type, then 'Unknown'."""
     parts = [F.col(n) for n in ("query_type_name", "query_type") if n in df_cols]

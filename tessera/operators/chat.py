@@ -6,7 +6,8 @@ default system text is used), later system turns are rendered inline,
 consecutive ``tool`` turns share one user block, unknown roles are dropped.
 The pieces are then concatenated in turn order per conversation.  Both the
 window and the final aggregate are keyed by ``conv_id``, so Spark shuffles the
-turns once and reuses that partitioning for the aggregate.
+turns once and reuses that partitioning for the aggregate.  The result is one
+string per conversation, so a conversation's text must fit in one row (2 GB).
 """
 
 from __future__ import annotations
@@ -30,17 +31,14 @@ def render_chat(turns: DataFrame, add_generation_prompt: bool = False, conv: str
     blocks.
     """
     w = Window.partitionBy(conv).orderBy(turn)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     r, c = F.col(role), F.coalesce(F.col(content), F.lit(""))
     prev, nxt = F.lag(role).over(w), F.lead(role).over(w)
     is_first = F.row_number().over(w) == 1
-    first_role = F.first(role).over(whole)
-    first_text = F.first(F.coalesce(F.col(content), F.lit(""))).over(whole)
     calls_col = F.col(tool_calls) if tool_calls else F.lit(None).cast("array<struct<name:string,arguments:string>>")
     t = (turns.select(conv, turn, role, content, calls_col.alias("_calls"))
-         .withColumn("_first", is_first).withColumn("_prev", prev).withColumn("_next", nxt)
-         .withColumn("_first_role", first_role).withColumn("_first_text", first_text))
-    system_text = F.when(F.col("_first_role") == "system", F.col("_first_text")).otherwise(F.lit(fixed.DEFAULT_SYSTEM))
+         .withColumn("_first", is_first).withColumn("_prev", prev).withColumn("_next", nxt))
+    # The header stands on the first turn, which holds the system text if any.
+    system_text = F.when(r == "system", c).otherwise(F.lit(fixed.DEFAULT_SYSTEM))
     if tools:
         listed = "".join("\n" + x for x in tools)
         header = F.concat(F.lit(S + "system\n"), system_text,

@@ -1,4 +1,4 @@
-"""Model-input preparation: prompt rendering, variant expansion, truncation,
+"""Model-input preparation: prompt rendering, variant expansion, token windows,
 label masking, mask audit and per-batch padding -- all array expressions.
 
 Token ids enter as an ``array<int>`` column (no vocabulary ships with the
@@ -11,17 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed
-from tessera.functions.prompts import eval_prompt, train_prompt
-from tessera.operators.schema_ops import prune_schemas
-from tessera.sources.fixtures import variants_array
+from tessera.functions.prompts import eval_prompt, train_prompt, variants_array
+from tessera.operators.schema_ops import MODE, prune_schemas
 
 
-def training_examples(examples: DataFrame, prune: tuple[int, int] | None = None) -> DataFrame:
+def training_examples(examples: DataFrame, prune: tuple[int, int] | None = None, mode: str = MODE) -> DataFrame:
     """input / output / full_text per example, optionally on pruned schemas (O-PR-1)."""
     df = examples
     schema = "db_schema"
     if prune is not None:
-        df = prune_schemas(df, prune[0], prune[1])
+        df = prune_schemas(df, prune[0], prune[1], mode=mode)
         schema = "pruned_schema"
     inp = train_prompt(F.col("question"), F.col(schema))
     out = F.coalesce(F.col("SQL"), F.lit(""))
@@ -29,14 +28,14 @@ def training_examples(examples: DataFrame, prune: tuple[int, int] | None = None)
         .withColumn("full_text", F.concat(F.col("input"), F.col("output")))
 
 
-def variant_prompts(examples: DataFrame, prune: tuple[int, int] = fixed.PRUNE_EVAL) -> DataFrame:
+def variant_prompts(examples: DataFrame, prune: tuple[int, int] = fixed.PRUNE_EVAL, mode: str = MODE) -> DataFrame:
     """One prompt per (example, variant) (O-PR-2/3).
 
     ``finetuned_prune`` sees the pruned schema when both schema and question
     are non-empty; ``llama`` gets the answer-only suffix.  The 4x expansion is
     a ``posexplode`` of a literal array (narrow), not a join.
     """
-    p = prune_schemas(examples, prune[0], prune[1])
+    p = prune_schemas(examples, prune[0], prune[1], mode=mode)
     full = eval_prompt(F.col("question"), F.col("db_schema"))
     use_pruned = ((F.col("variant") == "finetuned_prune") & (F.coalesce(F.length("db_schema"), F.lit(0)) > 0)
                   & (F.coalesce(F.length("question"), F.lit(0)) > 0))
@@ -48,22 +47,37 @@ def variant_prompts(examples: DataFrame, prune: tuple[int, int] = fixed.PRUNE_EV
     return x.withColumn("prompt", prompt)
 
 
-def truncate_and_mask(ids: Column, input_len: Column, max_len: int = fixed.MAX_SEQ_LEN) -> Column:
-    """struct(input_ids, attention_mask, labels): ids cut to ``max_len``; the
-    first min(input_len, len) labels are the ignore index (O-PR-4)."""
-    t = F.slice(ids, 1, max_len)
-    n = F.size(t)
-    m = F.least(input_len, n)
-    labels = F.concat(F.array_repeat(F.lit(fixed.IGNORE_INDEX), m), F.slice(t, m + 1, F.greatest(n - m, F.lit(0))))
-    return F.struct(t.alias("input_ids"), F.array_repeat(F.lit(1), n).alias("attention_mask"), labels.alias("labels"))
+def token_windows(rows: DataFrame, ids: str = "ids", input_len: str = "input_len",
+                  max_len: int = fixed.MAX_SEQ_LEN) -> DataFrame:
+    """One row per window of ``max_len`` ids of each row, numbered by
+    ``window_idx`` from 0, with input_ids, attention_mask and labels (O-PR-4).
 
-
-def mask_audit(inputs: DataFrame, truncated_col: str = "truncated") -> DataFrame:
-    """Rows whose labels are all masked (nothing to learn), and truncations (O-PR-5)."""
-    return inputs.agg(
-        F.count(F.lit(1)).alias("n_rows"),
+    Window 0 is the original's truncated input; the further ones hold the ids
+    that it cut off, so every id is in one window.  Labels of the first
+    ``input_len`` ids of the row are the ignore index.  A row without ids has
+    one empty window.
+    """
+    last = F.greatest(F.ceil(F.size(ids) / max_len).cast("int") - 1, F.lit(0))
+    w = rows.withColumn("window_idx", F.explode(F.sequence(F.lit(0), last)))
+    w = w.withColumn("input_ids", F.slice(ids, F.col("window_idx") * max_len + 1, F.lit(max_len)))
+    n = F.size("input_ids")
+    masked = F.least(F.greatest(F.col(input_len) - F.col("window_idx") * max_len, F.lit(0)), n)
+    labels = F.concat(F.array_repeat(F.lit(fixed.IGNORE_INDEX), masked),
+                      F.slice("input_ids", masked + 1, F.greatest(n - masked, F.lit(0))))
+    return w.withColumns({"attention_mask": F.array_repeat(F.lit(1), n), "labels": labels,
+                          "truncated": F.size(ids) > max_len})
+
+
+def mask_audit(windows: DataFrame) -> DataFrame:
+    """Over all windows: rows (window 0 of each), windows, windows whose labels
+    are all masked (nothing to learn), rows that one window cannot hold, ids,
+    and supervised ids (O-PR-5)."""
+    first = F.col("window_idx") == 0
+    return windows.agg(
+        F.count_if(first).alias("n_rows"), F.count(F.lit(1)).alias("n_windows"),
         F.count_if(F.forall("labels", lambda x: x == fixed.IGNORE_INDEX)).alias("n_fully_masked"),
-        F.count_if(F.col(truncated_col)).alias("n_truncated"),
+        F.count_if(first & F.col("truncated")).alias("n_truncated"),
+        F.sum(F.size("input_ids")).alias("n_tokens"),
         F.sum(F.size(F.filter("labels", lambda x: x != fixed.IGNORE_INDEX))).alias("n_supervised_tokens"))
 
 

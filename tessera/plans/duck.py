@@ -67,7 +67,7 @@ FEATURE_FUNS = [tables, columns, clauses, keywords, tokens]
 
 def score(pred_norm: str, gt_norm: str) -> str:
     terms = [f"{w}::DOUBLE * {jaccard(f(pred_norm), f(gt_norm))}" for w, f in zip(fixed.SCORE_WEIGHTS, FEATURE_FUNS)]
-    return "round(" + " + ".join(terms) + ", 6)"
+    return "(" + " + ".join(terms) + ")"
 
 
 def exact_match(a: str, b: str) -> str:
@@ -89,8 +89,8 @@ def strip_echo(r: str, plen: str) -> str:
 def prompt_len(question: str, schema: str) -> str:
     a = len(fixed.EVAL_PROMPT) - len("{schema}") - len("{question}")
     b = len(fixed.EVAL_PROMPT_NO_SCHEMA) - len("{question}")
-    return (f"(CASE WHEN coalesce(length({schema}), 0) > 0 THEN {a} + length({schema}) + length({question}) "
-            f"ELSE {b} + length({question}) END)")
+    q = f"coalesce(length({question}), 0)"
+    return f"(CASE WHEN coalesce(length({schema}), 0) > 0 THEN {a} + length({schema}) + {q} ELSE {b} + {q} END)"
 
 
 def valid_schema(s: str) -> str:
@@ -103,7 +103,16 @@ def valid_schema(s: str) -> str:
 WORD_RUN = "[\\p{L}\\p{N}_]+"
 
 
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"(list_transform([{value}], lambda {name}: {body}))[1]"
+
+
 def dedupe(arr: str, key: str, keep_last_field: str | None) -> str:
+    return let(arr, f"all_{key}", _dedupe(f"all_{key}", key, keep_last_field))
+
+
+def _dedupe(arr: str, key: str, keep_last_field: str | None) -> str:
     firsts = f"list_filter({arr}, lambda x, i: len(list_filter(list_slice({arr}, 1, i - 1), lambda y: y.{key} = x.{key})) = 0)"
     if keep_last_field is None:  # whole element of the last occurrence
         return f"list_transform({firsts}, lambda x: list_filter({arr}, lambda y: y.{key} = x.{key})[-1])"
@@ -145,25 +154,26 @@ def name_matches(n: str, tok: str) -> str:
 def prune(tables: str, tok: str, original: str, min_tables: int, max_cols: int) -> str:
     """Prune with the observed parse (no foreign keys: every FK degree is 0)."""
     matched = f"list_transform(list_filter({tables}, lambda t: {name_matches('t.key', tok)}), lambda t: t.key)"
-    need = f"greatest({min_tables} - len({matched}), 0)"
     extra = (f"list_transform(list_slice(list_sort(list_transform(list_filter({tables}, lambda t: NOT list_contains("
-             f"{matched}, t.key)), lambda t: {{'s': 0, 'k': t.key}}), 'DESC'), 1, {need}), lambda s: s.k)")
-    selected = f"list_concat({matched}, {extra})"
+             f"matched_, t.key)), lambda t: {{'s': 0, 'k': t.key}}), 'DESC'), 1, greatest({min_tables} - len(matched_), 0)), "
+             f"lambda z: z.k)")
+    selected = let(matched, "matched_", f"list_concat(matched_, {extra})")
     names = "list_transform(t.columns, lambda c: c.name)"
     keep0 = f"list_distinct(list_concat(t.pks, list_filter({names}, lambda n: {name_matches('n', tok)})))"
-    remaining = f"list_filter({names}, lambda n: NOT list_contains({keep0}, n))"
-    keep1 = f"(CASE WHEN len({keep0}) < 3 THEN list_distinct(list_concat({keep0}, list_slice({remaining}, 1, 3))) ELSE {keep0} END)"
-    ranked = (f"list_transform(list_slice(list_sort(list_transform({keep1}, lambda c: {{'p': (CASE WHEN list_contains(t.pks, c) "
+    remaining = f"list_filter({names}, lambda n: NOT list_contains(keep0_, n))"
+    keep1 = f"(CASE WHEN len(keep0_) < 3 THEN list_distinct(list_concat(keep0_, list_slice({remaining}, 1, 3))) ELSE keep0_ END)"
+    ranked = (f"list_transform(list_slice(list_sort(list_transform(keep1_, lambda c: {{'p': (CASE WHEN list_contains(t.pks, c) "
               f"THEN 100 ELSE 0 END) + (CASE WHEN {name_matches('c', tok)} THEN 10 ELSE 0 END), 'c': c}}), 'DESC'), 1, {max_cols}), "
-              f"lambda s: s.c)")
-    keep = f"(CASE WHEN len({keep1}) > {max_cols} THEN {ranked} ELSE {keep1} END)"
-    cols = f"list_filter(t.columns, lambda c: list_contains({keep}, c.name))"
+              f"lambda z: z.c)")
+    keep = let(keep0, "keep0_", let(keep1, "keep1_", f"(CASE WHEN len(keep1_) > {max_cols} THEN {ranked} ELSE keep1_ END)"))
+    cols = "list_filter(t.columns, lambda c: list_contains(keep_, c.name))"
     col_str = f"array_to_string(list_transform({cols}, lambda c: c.name || ' ' || c.type), ', ')"
     render = (f"(CASE WHEN len(t.pks) > 0 THEN t.name || '(' || {col_str} || '; PK(' || array_to_string(t.pks, ', ') || '))' "
               f"ELSE t.name || '(' || {col_str} || ')' END)")
-    rendered = f"list_transform(list_filter({tables}, lambda t: list_contains({selected}, t.key)), lambda t: {render})"
-    text = f"(CASE WHEN len({rendered}) > 0 THEN array_to_string({rendered}, '); ') || ')' ELSE '' END)"
-    return f"(CASE WHEN len({tables}) = 0 OR {text} = '' THEN {original} ELSE {text} END)"
+    rendered = let(selected, "selected_", f"list_transform(list_filter({tables}, lambda t: list_contains(selected_, t.key)), "
+                                          f"lambda t: {let(keep, 'keep_', render)})")
+    text = "(CASE WHEN len(rendered_) > 0 THEN array_to_string(rendered_, '); ') || ')' ELSE '' END)"
+    return let(rendered, "rendered_", f"(CASE WHEN len({tables}) = 0 OR {text} = '' THEN {original} ELSE {text} END)")
 
 
 def _count(s: str, ch: str) -> str:
@@ -227,69 +237,82 @@ def cut_tables(s: str) -> str:
 
 
 def parse_schema_documented(s: str) -> str:
-    from tessera.functions.schema_text import FK_PATTERNS, PK_PATTERN
     n_ = "[\\p{L}\\p{N}_]+"
+    pk_pattern = "(?i)^(?:PK|PRIMARY\\s+KEY)\\s*\\((.*)\\)$"
+    fk_patterns = [
+        f"(?i)^FK\\s*\\(\\s*({n_})\\s+REFERENCES\\s+({n_})\\s*\\(\\s*({n_})\\s*\\)\\s*\\)$",
+        f"(?i)^FK\\s+({n_})\\s*->\\s*({n_})\\s*\\(\\s*({n_})\\s*\\)$",
+        f"(?i)^FOREIGN\\s+KEY\\s*\\(\\s*({n_})\\s*\\)\\s*REFERENCES\\s+({n_})\\s*\\(\\s*({n_})\\s*\\)$",
+    ]
     tds = (f"list_filter(list_transform({cut_tables(s)}, lambda td: regexp_replace(td, '^[;\\s]+', '')), "
            f"lambda td: regexp_matches(td, '^{n_}\\s*\\('))")
     content = ("substr(td, instr(td, '(') + 1, (length(td) - instr(reverse(td), ')') + 1) - instr(td, '(') - 1)")
-    parts = split_top(content, ";")
+    parts = "parts_"
     col_items = split_top(f"coalesce(({parts})[1], '')", ",")
     cols = (f"list_transform(list_filter(list_transform({col_items}, lambda c: string_split_regex(c, '\\s+')), "
             f"lambda w: len(w) >= 2), lambda w: {{'name': lower(w[1]), 'type': array_to_string(w[2:], ' ')}})")
-    columns = dedupe(cols, "name", "type")
-    cons = f"flatten(list_transform(list_slice({parts}, 2, len({parts})), lambda pp: {split_top('pp', ',')}))"
+    columns_value = dedupe(cols, "name", "type")
+    cons_value = f"flatten(list_transform(list_slice({parts}, 2, len({parts})), lambda pp: {split_top('pp', ',')}))"
+    columns, cons = "columns_", "cons_"
     pk_typed = (f"list_transform(list_filter({columns}, lambda c: upper(c.type) = 'PK' OR instr(upper(c.type), 'PRIMARY KEY') > 0), "
                 "lambda c: c.name)")
-    pk_items = (f"flatten(list_transform(list_filter({cons}, lambda x: regexp_matches(x, '{PK_PATTERN}')), "
-                f"lambda x: list_transform(string_split(regexp_extract(x, '{PK_PATTERN}', 1), ','), lambda y: lower({strip('y')}))))")
+    pk_items = (f"flatten(list_transform(list_filter({cons}, lambda x: regexp_matches(x, '{pk_pattern}')), "
+                f"lambda x: list_transform(string_split(regexp_extract(x, '{pk_pattern}', 1), ','), lambda y: lower({strip('y')}))))")
     arms = " ".join(f"WHEN regexp_matches(x, '{p}') THEN {{'col': lower(regexp_extract(x, '{p}', 1)), "
                     f"'ref_table': lower(regexp_extract(x, '{p}', 2)), 'ref_col': lower(regexp_extract(x, '{p}', 3))}}"
-                    for p in FK_PATTERNS)
-    fk_items = (f"list_transform(list_filter({cons}, lambda x: " + " OR ".join(f"regexp_matches(x, '{p}')" for p in FK_PATTERNS)
+                    for p in fk_patterns)
+    fk_items = (f"list_transform(list_filter({cons}, lambda x: " + " OR ".join(f"regexp_matches(x, '{p}')" for p in fk_patterns)
                 + f"), lambda x: CASE {arms} END)")
     fk_typed = (f"list_transform(list_filter({columns}, lambda c: upper(c.type) = 'FK'), "
                 "lambda c: {'col': c.name, 'ref_table': '', 'ref_col': ''})")
     name = f"regexp_extract(td, '^({n_})\\s*\\(', 1)"
-    tables = (f"list_transform({tds}, lambda td: {{'key': lower({name}), 'name': {name}, 'columns': {columns}, "
-              f"'pks': {ordered_distinct(f'list_concat({pk_typed}, {pk_items})')}, 'fks': list_concat({fk_items}, {fk_typed})}})")
-    return dedupe(tables, "key", None)
+    pks = let(f"list_concat({pk_typed}, {pk_items})", "pks_", ordered_distinct("pks_"))
+    table = (f"{{'key': lower({name}), 'name': {name}, 'columns': {columns}, 'pks': {pks}, "
+             f"'fks': list_concat({fk_items}, {fk_typed})}}")
+    table = let(split_top(content, ";"), parts, let(columns_value, columns, let(cons_value, cons, table)))
+    return dedupe(f"list_transform({tds}, lambda td: {table})", "key", None)
 
 
-def prune_documented(tables: str, tok: str, original: str, min_tables: int, max_cols: int) -> str:
-    matched = f"list_transform(list_filter({tables}, lambda t: {name_matches('t.key', tok)}), lambda t: t.key)"
-    refs = (f"flatten(list_transform(list_filter({tables}, lambda t: list_contains({matched}, t.key)), "
-            f"lambda t: list_transform(t.fks, lambda f: f.ref_table)))")
-    keys = f"list_transform({tables}, lambda t: t.key)"
-    step2 = f"list_distinct(list_concat({matched}, list_filter({refs}, lambda r: list_contains({keys}, r))))"
-    step3 = (f"list_reduce({tables}, lambda acc, t: CASE WHEN len(list_filter(t.fks, lambda f: list_contains(acc, f.ref_table))) > 0 "
-             f"AND NOT list_contains(acc, t.key) THEN list_append(acc, t.key) ELSE acc END, {step2})")
-    score = (f"CAST(len(t.fks) + list_sum(list_transform({tables}, lambda o: len(list_filter(o.fks, lambda f: f.ref_table = t.key)))) "
-             "AS BIGINT)")
-    need = f"greatest({min_tables} - len({step3}), 0)"
-    extra = (f"list_transform(list_slice(list_sort(list_transform(list_filter({tables}, lambda t: NOT list_contains({step3}, t.key)), "
-             f"lambda t: {{'s': {score}, 'k': t.key}}), 'DESC'), 1, {need}), lambda s: s.k)")
-    selected = f"list_concat({step3}, {extra})"
+def prune_documented_ctes(pairs: str, min_tables: int, max_cols: int) -> str:
+    """CTEs that prune the distinct (question, s, tok, tables) rows of ``pairs``
+    in documented mode, a step per CTE so that each value is computed once.
+    The last one, ``pruned``, has question, s, n_tables and text."""
     names = "list_transform(t.columns, lambda c: c.name)"
-    fkc = "list_transform(t.fks, lambda f: f.col)"
-    keep0 = f"list_distinct(list_concat(t.pks, {fkc}, list_filter({names}, lambda n: {name_matches('n', tok)})))"
-    remaining = f"list_filter({names}, lambda n: NOT list_contains({keep0}, n))"
-    keep1 = f"(CASE WHEN len({keep0}) < 3 THEN list_distinct(list_concat({keep0}, list_slice({remaining}, 1, 3))) ELSE {keep0} END)"
-    ranked = (f"list_transform(list_slice(list_sort(list_transform({keep1}, lambda c: {{'p': (CASE WHEN list_contains(t.pks, c) "
-              f"THEN 100 ELSE 0 END) + (CASE WHEN list_contains({fkc}, c) THEN 50 ELSE 0 END) + "
-              f"(CASE WHEN {name_matches('c', tok)} THEN 10 ELSE 0 END), 'c': c}}), 'DESC'), 1, {max_cols}), lambda s: s.c)")
-    keep = f"(CASE WHEN len({keep1}) > {max_cols} THEN {ranked} ELSE {keep1} END)"
-    cols = f"list_filter(t.columns, lambda c: list_contains({keep}, c.name))"
-    kept = f"list_transform({cols}, lambda c: c.name)"
-    col_str = f"array_to_string(list_transform({cols}, lambda c: c.name || ' ' || c.type), ', ')"
-    kpks = f"list_filter(t.pks, lambda p: list_contains({kept}, p))"
-    fk_strs = (f"list_transform(list_filter(t.fks, lambda f: list_contains({kept}, f.col) AND f.ref_table <> ''), "
+    refs = ("flatten(list_transform(list_filter(tables, lambda t: list_contains(matched, t.key)), "
+            "lambda t: list_transform(t.fks, lambda f: f.ref_table)))")
+    closed = ("list_reduce(tables, lambda acc, t: CASE WHEN len(list_filter(t.fks, lambda f: list_contains(acc, f.ref_table))) > 0 "
+              "AND NOT list_contains(acc, t.key) THEN list_append(acc, t.key) ELSE acc END, step2)")
+    degree = ("CAST(len(t.fks) + list_sum(list_transform(tables, lambda o: len(list_filter(o.fks, lambda f: f.ref_table = t.key)))) "
+              "AS BIGINT)")
+    extra = (f"list_transform(list_slice(list_sort(list_transform(list_filter(tables, lambda t: NOT list_contains(step3, t.key)), "
+             f"lambda t: {{'s': {degree}, 'k': t.key}}), 'DESC'), 1, greatest({min_tables} - len(step3), 0)), lambda z: z.k)")
+    ranked = (f"list_transform(list_slice(list_sort(list_transform(keep1, lambda c: {{'p': (CASE WHEN list_contains(t.pks, c) "
+              f"THEN 100 ELSE 0 END) + (CASE WHEN list_contains(fkc, c) THEN 50 ELSE 0 END) + "
+              f"(CASE WHEN list_contains(hits, c) THEN 10 ELSE 0 END), 'c': c}}), 'DESC'), 1, {max_cols}), lambda z: z.c)")
+    fk_strs = ("list_transform(list_filter(t.fks, lambda f: list_contains(kept, f.col) AND f.ref_table <> ''), "
                "lambda f: 'FK(' || f.col || ' REFERENCES ' || f.ref_table || '(' || f.ref_col || '))')")
-    cons = f"list_concat(CASE WHEN len({kpks}) > 0 THEN ['PK(' || array_to_string({kpks}, ', ') || ')'] ELSE []::VARCHAR[] END, {fk_strs})"
-    render = (f"(CASE WHEN len({cons}) > 0 THEN t.name || '(' || {col_str} || '; ' || array_to_string({cons}, ', ') || ')' "
-              f"ELSE t.name || '(' || {col_str} || ')' END)")
-    rendered = f"list_transform(list_filter({tables}, lambda t: list_contains({selected}, t.key)), lambda t: {render})"
-    text = f"array_to_string({rendered}, '; ')"
-    return f"(CASE WHEN len({tables}) = 0 OR {text} = '' THEN {original} ELSE {text} END)"
+    m = "AS MATERIALIZED"
+    return f"""
+d1 {m} (SELECT *, list_transform(list_filter(tables, lambda t: {name_matches('t.key', 'tok')}), lambda t: t.key) AS matched,
+  list_transform(tables, lambda t: t.key) AS keys FROM {pairs}),
+d2 {m} (SELECT *, list_distinct(list_concat(matched, list_filter({refs}, lambda r: list_contains(keys, r)))) AS step2 FROM d1),
+d3 {m} (SELECT *, {closed} AS step3 FROM d2),
+d4 {m} (SELECT question, s, tok, tables, list_concat(step3, {extra}) AS selected FROM d3),
+e0 {m} (SELECT question, s, tok, selected, unnest(tables) AS t, generate_subscripts(tables, 1) AS pos FROM d4),
+e1 {m} (SELECT question, s, pos, t, {names} AS cols, list_transform(t.fks, lambda f: f.col) AS fkc,
+  list_filter({names}, lambda n: {name_matches('n', 'tok')}) AS hits FROM e0 WHERE list_contains(selected, t.key)),
+e2 {m} (SELECT *, list_distinct(list_concat(t.pks, fkc, hits)) AS keep0 FROM e1),
+e3 {m} (SELECT *, CASE WHEN len(keep0) < 3 THEN list_distinct(list_concat(keep0,
+  list_slice(list_filter(cols, lambda n: NOT list_contains(keep0, n)), 1, 3))) ELSE keep0 END AS keep1 FROM e2),
+e4 {m} (SELECT *, CASE WHEN len(keep1) > {max_cols} THEN {ranked} ELSE keep1 END AS keep FROM e3),
+e5 {m} (SELECT *, list_filter(t.columns, lambda c: list_contains(keep, c.name)) AS shown,
+  list_filter(cols, lambda c: list_contains(keep, c)) AS kept FROM e4),
+e6 {m} (SELECT *, list_concat(CASE WHEN len(list_filter(t.pks, lambda p: list_contains(kept, p))) > 0
+  THEN ['PK(' || array_to_string(list_filter(t.pks, lambda p: list_contains(kept, p)), ', ') || ')'] ELSE []::VARCHAR[] END,
+  {fk_strs}) AS cons FROM e5),
+pruned {m} (SELECT question, s, string_agg(t.name || '(' || array_to_string(list_transform(shown, lambda c: c.name || ' ' || c.type), ', ')
+  || CASE WHEN len(cons) > 0 THEN '; ' || array_to_string(cons, ', ') ELSE '' END || ')', '; ' ORDER BY pos) AS text
+  FROM e6 GROUP BY question, s)"""
 
 
 def reformat_documented(s: str) -> str:

@@ -1,19 +1,20 @@
 """End-to-end jobs over files: the entry points a corpus user runs.
 
     python -m tessera.plans.jobs balance   --input train.jsonl --output balanced/
-    python -m tessera.plans.jobs prune     --input data.jsonl  --output pruned/ [--min-tables 1 --max-columns 10 --mode observed]
+    python -m tessera.plans.jobs prune     --input data.jsonl  --output pruned/ [--min-tables 1 --max-columns 10 --mode documented]
     python -m tessera.plans.jobs reformat  --input data.jsonl  --output clear/
     python -m tessera.plans.jobs prepare   --input balanced/   --output inputs/ [--dev-size 200 --prune]
     python -m tessera.plans.jobs evaluate  --test test.jsonl --predictions preds/ --output report/
 
 Every job reads and writes through Spark (JSON lines or parquet folders), so
-input and output can live on any Hadoop-compatible storage.
+input and output can live on any Hadoop-compatible storage.  Records keep all
+their fields; a job replaces only the one it computes.  Results are written
+first, and reports are taken from what was written.
 """
 
 from __future__ import annotations
 
 import argparse
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,65 +22,80 @@ from pyspark.sql import functions as F
 from tessera import fixed
 from tessera.operators import curate, evaluate as ev, schema_ops
 from tessera.operators.model_inputs import training_examples
+from tessera.session import scratch_path
 from tessera.sources import jsonl
 
-EXAMPLE_OUT = ["question", "SQL", "db_schema", "db_id"]
 
-
-def _with_ids(df: DataFrame) -> DataFrame:
-    """A stable row id: the ``ex_id`` field when present, else a content hash."""
-    content_id = F.xxhash64(F.coalesce("question", F.lit("")), F.coalesce("SQL", F.lit("")),
-                            F.coalesce("db_schema", F.lit("")))
-    return df.withColumn("ex_id", F.coalesce(F.col("ex_id"), content_id))
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def balance(spark: SparkSession, input_path: str, output_path: str, seed: int = curate.SEED) -> DataFrame:
-    """Classify, sample per class, fill shortfalls from templates, shuffle, write; returns the target check."""
-    examples = _with_ids(jsonl.read_jsonl(spark, input_path))
-    balanced = curate.balanced_dataset(examples, spark, seed)
-    jsonl.write_jsonl(curate.shuffled(balanced).select(*EXAMPLE_OUT, "query_type"), output_path)
-    return curate.target_check(spark.read.json(output_path), spark)
+    """Classify, sample per class, fill shortfalls from templates, shuffle,
+    write; returns the target check.  Sampled records keep all their fields."""
+    rows = jsonl.read_jsonl(spark, input_path, keep_record=True)
+    examples = jsonl.with_position_id(rows).withColumn("record", F.to_json("record", {"ignoreNullFields": "false"}))
+    balanced = _written(curate.balanced_dataset(examples, spark, seed, keep=["record"]), "balanced")
+    made = F.to_json(F.struct("question", "SQL", "db_schema", "db_id"), {"ignoreNullFields": "false"})
+    record = F.from_json(F.coalesce("record", made), jsonl.RECORD)
+    line = jsonl.record_with("query_type", F.col("query_type"))
+    curate.shuffled(balanced.withColumn("record", record)).select(line.alias("value")).write.mode("overwrite").text(output_path)
+    return curate.target_check(balanced, spark)
 
 
 def prune(spark: SparkSession, input_path: str, output_path: str, min_tables: int = fixed.PRUNE_TRAIN[0],
-          max_columns: int = fixed.PRUNE_TRAIN[1], mode: str = "observed") -> DataFrame:
-    """Replace every row's schema by its pruned form; returns changed / total / percent."""
-    rows = _with_ids(jsonl.read_jsonl(spark, input_path))
+          max_columns: int = fixed.PRUNE_TRAIN[1], mode: str = schema_ops.MODE) -> DataFrame:
+    """Replace every record's schema by its pruned form; returns changed / total / percent."""
+    rows = jsonl.read_jsonl(spark, input_path, keep_record=True)
     pruned = schema_ops.prune_schemas(rows, min_tables, max_columns, mode=mode)
-    jsonl.write_jsonl(pruned.withColumn("db_schema", F.col("pruned_schema")).select(*EXAMPLE_OUT), output_path)
-    return schema_ops.prune_dataset_report(pruned)
+    done = _written(pruned.select("db_schema", "pruned_schema", jsonl.record_with("db_schema", F.col("pruned_schema"))
+                                  .alias("value")), "pruned")
+    done.select("value").write.mode("overwrite").text(output_path)
+    return schema_ops.prune_dataset_report(done)
 
 
-def reformat(spark: SparkSession, input_path: str, output_path: str, mode: str = "observed") -> None:
-    rows = jsonl.read_jsonl(spark, input_path)
+def reformat(spark: SparkSession, input_path: str, output_path: str, mode: str = schema_ops.MODE) -> None:
+    """Replace every record's schema by its clear rendering."""
+    rows = jsonl.read_jsonl(spark, input_path, keep_record=True)
     out = schema_ops.reformat_schemas(rows, mode=mode)
-    jsonl.write_jsonl(out.withColumn("db_schema", F.col("formatted_schema")).select(*EXAMPLE_OUT), output_path)
+    out.select(jsonl.record_with("db_schema", F.col("formatted_schema")).alias("value")) \
+        .write.mode("overwrite").text(output_path)
 
 
 def prepare(spark: SparkSession, input_path: str, output_path: str, dev_size: int = fixed.DEV_SUBSET_SIZE,
-            use_pruning: bool = False) -> DataFrame:
+            use_pruning: bool = False, mode: str = schema_ops.MODE) -> DataFrame:
     """Tail split (file order) and training prompt rendering; writes train/ and dev/ parquet."""
-    rows = _with_ids(jsonl.read_jsonl(spark, input_path))
-    split = curate.tail_split(rows, ["ord"], "ord", dev_size)
-    formatted = training_examples(split, fixed.PRUNE_TRAIN if use_pruning else None)
-    out = formatted.select("ex_id", "split", "input", "output", "full_text")
+    rows = jsonl.with_position_id(jsonl.read_jsonl(spark, input_path))
+    formatted = training_examples(rows, fixed.PRUNE_TRAIN if use_pruning else None, mode)
+    done = _written(formatted.select("ord", "ex_id", "input", "output", "full_text"), "prompts")
+    split = curate.tail_split(done, ["ord"], "ord", dev_size)
     base = output_path.rstrip("/")
-    out.filter(F.col("split") == "train").drop("split").write.mode("overwrite").parquet(f"{base}/train")
-    out.filter(F.col("split") == "dev").drop("split").write.mode("overwrite").parquet(f"{base}/dev")
+    for part in ("train", "dev"):
+        split.filter(F.col("split") == part).drop("split", "ord").write.mode("overwrite").parquet(f"{base}/{part}")
     return curate.dataset_report(split)
 
 
 def evaluate(spark: SparkSession, test_path: str, predictions_path: str, output_path: str,
-             max_samples: int | None = None, metadata: dict | None = None) -> DataFrame:
-    """Valid-schema test rows x predictions (ex_id, variant, raw_answer) -> report tables."""
-    test = _with_ids(jsonl.read_jsonl(spark, test_path, skip_comments=True))
+             max_samples: int | None = None, models: dict[str, str] | None = None,
+             mode: str = schema_ops.MODE) -> DataFrame:
+    """Valid-schema test rows x predictions (ex_id, variant, raw_answer) -> report tables.
+
+    Test records need a unique ``ex_id`` field.  All of them are evaluated
+    unless the caller asks for the first ``max_samples``.
+    """
+    test = jsonl.require_source(spark, test_path, skip_comments=True)
     test = test.filter(ev.valid_schema(F.col("db_schema")))
     if max_samples is not None:
         test = ev.head_n(test, "ord", max_samples)
-    preds = spark.read.parquet(predictions_path).select("ex_id", "variant", "raw_answer")
-    wide = ev.wide_results(ev.evaluate(test, preds))
+    preds = spark.read.parquet(predictions_path).select(F.col("ex_id").cast("string"), "variant", "raw_answer")
+    wide = _written(ev.wide_results(ev.evaluate(test, preds, mode=mode)), "results")
     overall = ev.overall_accuracy(wide)
-    jsonl.write_report(spark, output_path, metadata or {}, overall, ev.accuracy_by_type(wide), wide)
+    total = overall.first()["total"]
+    metadata = jsonl.report_metadata(total, fixed.PRUNE_EVAL, models or {})
+    jsonl.write_report(output_path, metadata, overall, ev.accuracy_by_type(wide), wide, ev.VARIANT_NAMES)
     return overall
 
 
@@ -91,8 +107,8 @@ def main(argv: list[str] | None = None) -> None:
         s = sub.add_parser(name)
         s.add_argument("--input", required=True)
         s.add_argument("--output", required=True)
-        if name in ("prune", "reformat"):
-            s.add_argument("--mode", default="observed", choices=schema_ops.MODES)
+        if name != "balance":
+            s.add_argument("--mode", default=schema_ops.MODE, choices=schema_ops.MODES)
         if name == "prune":
             s.add_argument("--min-tables", type=int, default=fixed.PRUNE_TRAIN[0])
             s.add_argument("--max-columns", type=int, default=fixed.PRUNE_TRAIN[1])
@@ -103,9 +119,10 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--test", required=True)
     s.add_argument("--predictions", required=True)
     s.add_argument("--output", required=True)
-    s.add_argument("--max-samples", type=int, default=None)
+    s.add_argument("--mode", default=schema_ops.MODE, choices=schema_ops.MODES)
     for sp in sub.choices.values():
         sp.add_argument("--master", default=None, help="omit on a cluster (spark-submit sets it)")
+        sp.add_argument("--report", default=None, help="where to write the job's report rows as JSON lines")
     a = p.parse_args(argv)
     spark = build_session(master=a.master, shuffle_partitions=None)
     if a.job == "balance":
@@ -116,11 +133,12 @@ def main(argv: list[str] | None = None) -> None:
         reformat(spark, a.input, a.output, a.mode)
         return
     elif a.job == "prepare":
-        out = prepare(spark, a.input, a.output, a.dev_size, a.prune)
+        out = prepare(spark, a.input, a.output, a.dev_size, a.prune, a.mode)
     else:
-        out = evaluate(spark, a.test, a.predictions, a.output, a.max_samples)
-    for row in out.toJSON().take(100):  # small report frames only
-        print(json.dumps(json.loads(row)))
+        out = evaluate(spark, a.test, a.predictions, a.output, mode=a.mode)
+    report = a.report or f"{a.output.rstrip('/')}-report"
+    jsonl.write_jsonl(out, report)
+    print(f"report: {report}")
 
 
 if __name__ == "__main__":

@@ -105,7 +105,7 @@ ORACLE["sc_sql_features"] = _with("predictions") + (
     f" FROM (SELECT ex_id, variant, {d.normalize('raw_answer')} AS n FROM predictions)")
 
 ORACLE["sc_semantic_score"] = _with("predictions") + (
-    f"SELECT ex_id, variant, score, score >= {fixed.NEAR_CORRECT} AS near_correct FROM ("
+    f"SELECT ex_id, variant, round(score, 6) AS score, score >= {fixed.NEAR_CORRECT} AS near_correct FROM ("
     f"SELECT p.ex_id, p.variant, {d.score('pn', 'gn')} AS score FROM "
     f"(SELECT ex_id, variant, {d.normalize('raw_answer')} AS pn FROM predictions) p JOIN "
     f"(SELECT ex_id, {d.normalize(chr(34) + 'SQL' + chr(34))} AS gn FROM examples) g ON p.ex_id = g.ex_id)")
@@ -114,10 +114,10 @@ ORACLE["sc_semantic_score"] = _with("predictions") + (
 ORACLE["pf_valid_schema"] = _with("examples") + f"SELECT ex_id, db_id FROM examples WHERE {d.valid_schema('db_schema')}"
 
 ORACLE["pf_head_n"] = _with("examples") + (
-    f"SELECT ex_id, coalesce(query_type_name, 'Unknown') AS label FROM examples WHERE {d.valid_schema('db_schema')} "
-    f"ORDER BY ex_id LIMIT {fixed.MAX_TEST_SAMPLES}")
+    f"SELECT ex_id, coalesce(query_type_name, 'Unknown') AS label, row_number() OVER (ORDER BY ex_id) <= {fixed.MAX_TEST_SAMPLES} "
+    f"AS in_head FROM examples WHERE {d.valid_schema('db_schema')}")
 
-_plen = "(CASE WHEN p.variant = 'finetuned_prune' THEN e.pruned_prompt_len ELSE e.prompt_len END)"
+_plen = "(CASE WHEN p.variant = 'finetuned_prune' THEN p.pruned_prompt_len ELSE p.prompt_len END)"
 _resp = f"CASE WHEN p.variant <> 'llama' THEN {d.strip_echo('p.raw_answer', _plen)} ELSE p.raw_answer END"
 # the catalog / prune CTEs used for the pruned-prompt length
 _EV_CAT = ("evcat AS (SELECT sch, " + d.parse_schema("sch") + " AS tables FROM (SELECT DISTINCT coalesce(db_schema, '') AS sch "
@@ -125,6 +125,7 @@ _EV_CAT = ("evcat AS (SELECT sch, " + d.parse_schema("sch") + " AS tables FROM (
            "evt AS (SELECT e.*, " + d.question_tokens("e.question") + " AS tok, c.tables FROM examples e JOIN evcat c "
            f"ON coalesce(e.db_schema, '') = c.sch WHERE {d.valid_schema('e.db_schema')}),\n"
            "evp AS (SELECT *, " + d.prune("tables", "tok", "db_schema", *fixed.PRUNE_EVAL) + " AS pruned_schema FROM evt)")
+_EV_VARIANTS = ", ".join(f"('{v}')" for v in VARIANT_NAMES)
 LONG = (
     _EV_CAT + ",\n"
     f"ex AS (SELECT ex_id, coalesce(query_type_name, 'Unknown') AS label, \"SQL\" AS gt_sql, "
@@ -132,18 +133,26 @@ LONG = (
     f"CASE WHEN coalesce(length(db_schema), 0) > 0 AND coalesce(length(question), 0) > 0 THEN "
     f"{d.prompt_len('question', 'pruned_schema')} ELSE {d.prompt_len('question', 'db_schema')} END AS pruned_prompt_len "
     f"FROM evp),\n"
-    f"ans AS (SELECT p.ex_id, e.label, p.variant, e.gt_sql, {d.extract_answer(_resp)} AS answer "
-    f"FROM predictions p JOIN ex e ON p.ex_id = e.ex_id),\n"
-    f"long AS (SELECT ex_id, label, variant, answer, "
-    f"CASE WHEN (variant IN ('finetuned_no_prune', 'finetuned_prune') AND starts_with(answer, 'SKIPPED')) "
-    f"OR (variant = 'llama' AND starts_with(answer, 'ERROR')) THEN NULL ELSE {d.exact_match('answer', 'gt_sql')} END AS correct, "
-    f"{d.score(d.normalize('answer'), d.normalize('gt_sql'))} AS score FROM ans),\n"
-    "wide AS (SELECT ex_id, label, " + ", ".join(
+    # every example has a row per variant; an absent prediction is a missing answer
+    f"grid AS (SELECT e.*, v.variant, p.raw_answer FROM ex e, (VALUES {_EV_VARIANTS}) AS v(variant) "
+    "LEFT JOIN {PREDICTIONS} p ON p.ex_id = e.ex_id AND p.variant = v.variant),\n"
+    f"ans AS (SELECT p.ex_id, p.label, p.variant, p.gt_sql, p.raw_answer IS NULL AS missing, {d.extract_answer(_resp)} AS answer "
+    "FROM grid p),\n"
+    f"long0 AS (SELECT ex_id, label, variant, answer, missing, "
+    f"CASE WHEN (variant IN ('finetuned_no_prune', 'finetuned_prune') AND starts_with(coalesce(answer, ''), 'SKIPPED')) "
+    f"OR (variant = 'llama' AND starts_with(coalesce(answer, ''), 'ERROR')) THEN NULL "
+    f"ELSE NOT missing AND {d.exact_match('answer', 'gt_sql')} END AS correct, "
+    f"CASE WHEN missing THEN 0.0::DOUBLE ELSE {d.score(d.normalize('answer'), d.normalize('gt_sql'))} END AS raw_score FROM ans),\n"
+    f"long AS (SELECT ex_id, label, variant, answer, missing, correct, round(raw_score, 6) AS score, "
+    f"raw_score >= {fixed.NEAR_CORRECT} AS near_correct FROM long0),\n"
+    "wide AS (SELECT ex_id, label, CAST(count_if(missing) AS INTEGER) AS n_missing, " + ", ".join(
         f"max(CASE WHEN variant = '{v}' THEN answer END) AS {v}_answer, "
         f"max(CASE WHEN variant = '{v}' THEN correct END) AS {v}_correct" for v in VARIANT_NAMES) +
     " FROM long GROUP BY ex_id, label)")
+LONG_MISSING = LONG.replace("{PREDICTIONS}", "(SELECT * FROM predictions WHERE ex_id % 4 <> 1 AND NOT (ex_id % 4 = 2 AND variant = 'base'))")
+LONG = LONG.replace("{PREDICTIONS}", "predictions")
 
-ORACLE["ev_evaluate"] = _with("predictions", extra=LONG) + "SELECT ex_id, label, variant, answer, correct, score FROM long"
+ORACLE["ev_evaluate"] = _with("predictions", extra=LONG) + "SELECT * FROM long"
 
 ORACLE["ev_results_wide"] = _with("predictions", extra=LONG) + "SELECT * FROM wide"
 
@@ -155,10 +164,10 @@ def _winner_sql() -> str:
 
 
 BY_TYPE = (LONG + ",\n"
-           "agg AS (SELECT label, count(*) AS total, " +
+           "agg AS (SELECT label, count(*) AS total, CAST(sum(n_missing) AS BIGINT) AS n_missing, " +
            ", ".join(f"count_if(coalesce({v}_correct, false)) AS {v}_n" for v in VARIANT_NAMES) +
            " FROM wide GROUP BY label),\n"
-           "by_type AS (SELECT label, total, " + ", ".join(f"{v}_n" for v in VARIANT_NAMES) + ", " +
+           "by_type AS (SELECT label, total, n_missing, " + ", ".join(f"{v}_n" for v in VARIANT_NAMES) + ", " +
            ", ".join(f"round(CAST({v}_n AS DOUBLE) * 100 / total, 6) AS {v}_pct" for v in VARIANT_NAMES) +
            f", {_winner_sql()} AS winner FROM agg)")
 
@@ -172,19 +181,24 @@ def _overall_sql() -> str:
     best = "greatest(" + ", ".join(f"{v}_n" for v in VARIANT_NAMES) + ")"
     best_model = "CASE " + " ".join(f"WHEN {v}_n = {best} THEN '{BEST_MODEL_LABELS[v]}'" for v in VARIANT_NAMES) + " END"
     return (
-        f"SELECT total, {', '.join(f'{v}_n' for v in VARIANT_NAMES)}, "
+        f"SELECT total, n_missing, {', '.join(f'{v}_n' for v in VARIANT_NAMES)}, "
         + ", ".join(f"{frac(f'{v}_n')} AS {v}_acc" for v in VARIANT_NAMES)
         + f", {frac('finetuned_prune_n - finetuned_no_prune_n')} AS pruning_difference, pruning_helps, pruning_hurts, "
         "CASE WHEN finetuned_prune_n > finetuned_no_prune_n THEN 'helps' WHEN finetuned_prune_n < finetuned_no_prune_n "
         "THEN 'hurts' ELSE 'no effect' END AS pruning_effect, "
         f"{best_model} AS best_model, "
         f"CASE WHEN total > 0 THEN round(CAST({best} AS DOUBLE) * 100 / total, 6) ELSE 0.0::DOUBLE END AS best_pct "
-        f"FROM (SELECT count(*) AS total, {counts}, "
+        f"FROM (SELECT count(*) AS total, CAST(coalesce(sum(n_missing), 0) AS BIGINT) AS n_missing, {counts}, "
         f"count_if({t('finetuned_prune')} AND NOT {t('finetuned_no_prune')}) AS pruning_helps, "
         f"count_if({t('finetuned_no_prune')} AND NOT {t('finetuned_prune')}) AS pruning_hurts FROM wide)")
 
 
 ORACLE["ev_overall_accuracy"] = _with("predictions", extra=LONG) + _overall_sql()
+ORACLE["ev_missing_predictions"] = _with("predictions", extra=LONG_MISSING) + _overall_sql()
+ORACLE["io_report"] = _with("predictions", extra=LONG + f",\noverall AS ({_overall_sql()})") + (
+    "SELECT " + ", ".join(f"{v}_acc AS {v}" for v in VARIANT_NAMES) +
+    ", pruning_difference AS difference, pruning_helps, pruning_hurts, n_missing, "
+    f"CAST({fixed.PRUNE_EVAL[1]} AS BIGINT) AS max_columns FROM overall")
 
 ORACLE["ev_category_wins"] = _with("predictions", extra=BY_TYPE) + (
     "SELECT " + ", ".join(f"count_if(winner = '{lab}') AS wins_{v}" for v, lab in fixed.VARIANTS) +
@@ -192,7 +206,7 @@ ORACLE["ev_category_wins"] = _with("predictions", extra=BY_TYPE) + (
 
 ORACLE["ev_score_distribution"] = _with("predictions", extra=LONG) + (
     "SELECT variant, label, count(*) AS n, round(avg(score), 6) AS avg_score, round(median(score), 6) AS median_score, "
-    f"count_if(score >= {fixed.NEAR_CORRECT}) AS n_near_correct, count_if(correct) AS n_exact "
+    "count_if(near_correct) AS n_near_correct, count_if(correct) AS n_exact "
     "FROM long GROUP BY variant, label")
 
 # ---------------------------------------------------------------- workload classes
@@ -275,32 +289,42 @@ ORACLE["pr_eval_prompts"] = _with("examples", extra=PRUNE_INPUT + (
     f"WHEN variant = 'llama' THEN {_eval_prompt('question', 'db_schema')} || {fx.duck_str(fixed.LLAMA_SUFFIX)} "
     f"ELSE {_eval_prompt('question', 'db_schema')} END AS prompt FROM pv, (VALUES {_VARIANTS}) AS v(ord, variant)")
 
-MASKED = (
+_L = fixed.MAX_SEQ_LEN
+_IGN = f"CAST({fixed.IGNORE_INDEX} AS INTEGER)"
+WINDOWS = (
     f"WITH tk AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{d.WORD_RUN}'), lambda w: CAST(length(w) AS INTEGER)) AS ids "
     "FROM documents),\n"
-    f"tr AS (SELECT doc_id, ids, list_slice(ids, 1, {fixed.MAX_SEQ_LEN}) AS input_ids, (len(ids) * 3) // 4 AS input_len FROM tk),\n"
-    "mk AS (SELECT doc_id, input_ids, list_transform(range(len(input_ids)), lambda x: CAST(1 AS INTEGER)) AS attention_mask, "
-    f"list_concat(list_transform(range(least(input_len, len(input_ids))), lambda x: CAST({fixed.IGNORE_INDEX} AS INTEGER)), "
-    "list_slice(input_ids, least(input_len, len(input_ids)) + 1, len(input_ids))) AS labels, "
-    f"len(ids) > {fixed.MAX_SEQ_LEN} AS truncated FROM tr)\n")
+    f"wn AS (SELECT doc_id, ids, CAST(unnest(range(greatest(CAST(ceil(len(ids) / {_L}) AS BIGINT), 1))) AS INTEGER) AS window_idx, "
+    "(len(ids) * 3) // 4 AS input_len FROM tk),\n"
+    f"tr AS (SELECT doc_id, window_idx, len(ids) > {_L} AS truncated, list_slice(ids, window_idx * {_L} + 1, (window_idx + 1) * {_L}) "
+    f"AS input_ids, greatest(input_len - window_idx * {_L}, 0) AS lead FROM wn),\n"
+    "mk AS (SELECT doc_id, window_idx, input_ids, list_transform(range(len(input_ids)), lambda x: CAST(1 AS INTEGER)) AS attention_mask, "
+    f"list_concat(list_transform(range(least(lead, len(input_ids))), lambda x: {_IGN}), "
+    "list_slice(input_ids, least(lead, len(input_ids)) + 1, len(input_ids))) AS labels, truncated FROM tr)\n")
 
-ORACLE["pr_truncate_mask"] = MASKED + "SELECT doc_id, input_ids, attention_mask, labels, truncated FROM mk"
+ORACLE["pr_truncate_mask"] = WINDOWS + "SELECT doc_id, window_idx, input_ids, attention_mask, labels, truncated FROM mk"
 
-ORACLE["pr_mask_audit"] = MASKED + (
-    f"SELECT count(*) AS n_rows, count_if(len(list_filter(labels, lambda x: x <> {fixed.IGNORE_INDEX})) = 0) AS n_fully_masked, "
-    f"count_if(truncated) AS n_truncated, CAST(sum(len(list_filter(labels, lambda x: x <> {fixed.IGNORE_INDEX}))) AS BIGINT) "
-    "AS n_supervised_tokens FROM mk")
+ORACLE["pr_mask_audit"] = WINDOWS + (
+    f"SELECT count_if(window_idx = 0) AS n_rows, count(*) AS n_windows, "
+    f"count_if(len(list_filter(labels, lambda x: x <> {fixed.IGNORE_INDEX})) = 0) AS n_fully_masked, "
+    "count_if(window_idx = 0 AND truncated) AS n_truncated, CAST(sum(len(input_ids)) AS BIGINT) AS n_tokens, "
+    f"CAST(sum(len(list_filter(labels, lambda x: x <> {fixed.IGNORE_INDEX}))) AS BIGINT) AS n_supervised_tokens FROM mk")
+
+# taken from the whole texts, not from windows
+ORACLE["pr_token_windows"] = WINDOWS.split(",\nwn AS")[0] + (
+    f"\nSELECT doc_id, greatest(CAST(ceil(len(ids) / {_L}) AS BIGINT), 1) AS n_windows, len(ids) AS n_tokens, "
+    "CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS sum_ids FROM tk")
 
 
 def _pad(col: str, v: int) -> str:
     return f"list_concat({col}, list_transform(range(padded_len - len({col})), lambda x: CAST({v} AS INTEGER)))"
 
 
-ORACLE["pr_pad_batch"] = MASKED.rstrip() + (
+ORACLE["pr_pad_batch"] = WINDOWS.rstrip() + (
     f",\npb AS (SELECT *, doc_id // {fixed.BATCH_SIZE} AS batch_id FROM mk),\n"
-    f"pl AS (SELECT *, CAST(ceil(max(len(input_ids)) OVER (PARTITION BY batch_id) / {fixed.PAD_MULTIPLE}) * {fixed.PAD_MULTIPLE} "
+    f"pl AS (SELECT *, CAST(ceil(max(len(input_ids)) OVER (PARTITION BY batch_id, window_idx) / {fixed.PAD_MULTIPLE}) * {fixed.PAD_MULTIPLE} "
     "AS INTEGER) AS padded_len FROM pb)\n"
-    f"SELECT doc_id, batch_id, padded_len, {_pad('input_ids', fixed.PAD_TOKEN_ID)} AS padded_ids, "
+    f"SELECT doc_id, window_idx, batch_id, padded_len, {_pad('input_ids', fixed.PAD_TOKEN_ID)} AS padded_ids, "
     f"{_pad('attention_mask', 0)} AS padded_mask, {_pad('labels', fixed.IGNORE_INDEX)} AS padded_labels FROM pl")
 
 
@@ -331,16 +355,19 @@ def _tools_header(tools: list[str]) -> str:
             f"|| {fx.duck_str(tail)})")
 
 
-def _chat_sql(header: str) -> str:
+def _chat_sql(header: str, turns: str = "SELECT conv_id, turn, role, text, []::VARCHAR[] AS calls FROM conversations") -> str:
     return (
-        "WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS c, row_number() OVER w = 1 AS is_first, "
+        f"WITH src AS ({turns}),\n"
+        "t AS (SELECT conv_id, turn, role, coalesce(text, '') AS c, calls, row_number() OVER w = 1 AS is_first, "
         "lag(role) OVER w AS prev, lead(role) OVER w AS nxt, first_value(role) OVER w2 AS first_role, "
-        "first_value(coalesce(text, '')) OVER w2 AS first_text FROM conversations "
+        "first_value(coalesce(text, '')) OVER w2 AS first_text FROM src "
         "WINDOW w AS (PARTITION BY conv_id ORDER BY turn), "
         "w2 AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),\n"
         "p AS (SELECT conv_id, turn, "
         f"(CASE WHEN is_first THEN {header} ELSE '' END) || "
-        f"(CASE WHEN role = 'user' OR role = 'assistant' OR (role = 'system' AND NOT is_first) THEN '{_S}' || role{_NL}c || '{_E}' "
+        f"(CASE WHEN role = 'assistant' AND len(calls) > 0 THEN '{_S}assistant' || (CASE WHEN c <> '' THEN chr(10) || c ELSE '' END) "
+        f"|| array_to_string(calls, '') || '{_E}' || chr(10) "
+        "WHEN role = 'user' OR role = 'assistant' OR (role = 'system' AND NOT is_first) THEN " f"'{_S}' || role{_NL}c || '{_E}' "
         "|| chr(10) "
         f"WHEN role = 'tool' THEN (CASE WHEN is_first OR prev <> 'tool' THEN '{_S}user' ELSE '' END){_NL}'<tool_response>'{_NL}c"
         f"{_NL}'</tool_response>' || (CASE WHEN nxt IS NULL OR nxt <> 'tool' THEN '{_E}' || chr(10) ELSE '' END) "
@@ -350,31 +377,50 @@ def _chat_sql(header: str) -> str:
 
 ORACLE["pr_chat_render"] = _chat_sql(_PLAIN_HEADER)
 
-# a tool signature offered to the model when rendering with tools (our own example)
-SQL_TOOL = ('{"type": "function", "function": {"name": "run_sql", "description": "Run a SQL query", '
-            '"parameters": {"type": "object", "properties": {"query": {"type": "string"}}}}}')
-ORACLE["pr_chat_render_tools"] = _chat_sql(_tools_header([SQL_TOOL]))
+ORACLE["pr_chat_render_tools"] = _chat_sql(_tools_header([fixed.SQL_TOOL]))
+
+_CALL = ("chr(10) || '<tool_call>' || chr(10) || '{\"name\": \"run_sql\", \"arguments\": {\"query\": \"SELECT ' || turn || '\"}}' "
+         "|| chr(10) || '</tool_call>'")
+ORACLE["pr_chat_tool_runs"] = _chat_sql(_tools_header([fixed.SQL_TOOL]), (
+    "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 IN (2, 3, 4) THEN 'tool' WHEN (conv_id + turn) % 6 = 1 THEN 'assistant' "
+    "ELSE role END AS role, CASE WHEN (conv_id + turn) % 6 = 1 AND conv_id % 2 = 0 THEN '' ELSE text END AS text, "
+    f"CASE WHEN (conv_id + turn) % 6 = 1 THEN list_transform(range(1 + conv_id % 2), lambda i: {_CALL}) ELSE []::VARCHAR[] END AS calls "
+    "FROM conversations"))
 
 # ---------------------------------------------------------------- schema cards / context
+_C = fixed.MAX_CARD_COLUMNS
 _CARDS = CATALOG + (
-    ",\ncards AS (SELECT schema_id, CAST(pos - 1 AS INTEGER) AS table_pos, t.name AS table_name, "
-    f"'Table ' || t.name || ': ' || chr(10) || 'Columns: ' || array_to_string(list_transform(list_slice(t.columns, 1, {fixed.MAX_CARD_COLUMNS}), lambda c: c.name), ', ') "
-    f"|| CASE WHEN len(list_slice(t.columns, 1, {fixed.MAX_CARD_COLUMNS})) > 0 THEN chr(10) || array_to_string(list_transform("
-    f"list_slice(t.columns, 1, {fixed.MAX_CARD_COLUMNS}), lambda c: '  - ' || c.name || ' (' || c.type || '): '), chr(10)) ELSE chr(10) END AS card "
-    "FROM (SELECT schema_id, unnest(tables) AS t, generate_subscripts(tables, 1) AS pos FROM cat))")
-ORACLE["sch_schema_cards"] = _with("examples", extra=_CARDS) + "SELECT schema_id, table_pos, table_name, card FROM cards"
-
+    ",\npaged AS (SELECT schema_id, CAST(pos - 1 AS INTEGER) AS table_pos, t, "
+    f"CAST(unnest(range(greatest(CAST(ceil(len(t.columns) / {_C}) AS BIGINT), 1))) AS INTEGER) AS card_page "
+    "FROM (SELECT schema_id, unnest(tables) AS t, generate_subscripts(tables, 1) AS pos FROM cat)),\n"
+    f"shown AS (SELECT schema_id, table_pos, card_page, t.name AS table_name, list_slice(t.columns, card_page * {_C} + 1, (card_page + 1) * {_C}) "
+    "AS cols FROM paged),\n"
+    "cards AS (SELECT schema_id, table_pos, card_page, table_name, 'Table ' || table_name || ': ' || chr(10) || 'Columns: ' || "
+    "array_to_string(list_transform(cols, lambda c: c.name), ', ') || chr(10) || array_to_string(list_transform(cols, "
+    "lambda c: '  - ' || c.name || ' (' || c.type || '): '), chr(10)) AS card FROM shown)")
+ORACLE["sch_schema_cards"] = _with("examples", extra=_CARDS) + "SELECT schema_id, table_pos, card_page, table_name, card FROM cards"
+
+CONTEXT_TOKENS = 100
 ORACLE["rt_context_assembly"] = _with("examples", extra=_CARDS + (
-    ",\nrun AS (SELECT *, len(string_split_regex(trim(card), '\\s+')) AS n_tok, "
-    "sum(len(string_split_regex(trim(card), '\\s+'))) OVER (PARTITION BY schema_id ORDER BY table_pos "
-    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM cards),\n"
-    f"ctx AS (SELECT schema_id, string_agg(card, chr(10) || chr(10) ORDER BY table_pos) AS context, count(*) AS n_cards, "
-    f"max(running) AS n_tokens FROM run WHERE running <= {fixed.MAX_CONTEXT_TOKENS} GROUP BY schema_id)")) + (
-    "SELECT e.ex_id, ctx.n_cards, CAST(ctx.n_tokens AS BIGINT) AS n_tokens, length(ctx.context) AS context_chars "
-    "FROM examples e JOIN ctx ON md5(coalesce(e.db_schema, '')) = ctx.schema_id")
+    ",\nsized AS (SELECT *, len(string_split_regex(trim(card), '\\s+')) AS n_tok FROM cards),\n"
+    "run AS (SELECT *, sum(n_tok) OVER (PARTITION BY schema_id ORDER BY table_pos, card_page "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM sized),\n"
+    f"ctx AS (SELECT schema_id, CAST((running - 1) // {CONTEXT_TOKENS} AS INTEGER) AS context_page, "
+    "string_agg(card, chr(10) || chr(10) ORDER BY table_pos, card_page) AS context, count(*) AS n_cards, "
+    "sum(n_tok) AS n_tokens FROM run GROUP BY ALL)")) + (
+    "SELECT e.ex_id, coalesce(ctx.context_page, 0) AS context_page, coalesce(ctx.n_cards, 0) AS n_cards, "
+    "CAST(coalesce(ctx.n_tokens, 0) AS BIGINT) AS n_tokens, coalesce(length(ctx.context), 0) AS context_chars "
+    "FROM examples e LEFT JOIN ctx ON md5(coalesce(e.db_schema, '')) = ctx.schema_id")
 
 # ---------------------------------------------------------------- sources / sinks and streaming
 ORACLE["io_jsonl_roundtrip"] = _with("examples") + "SELECT ex_id, question, \"SQL\", db_schema FROM examples"
+ORACLE["io_write_jsonl"] = _with("examples") + 'SELECT ex_id, db_id, question, "SQL", db_schema, query_type_name FROM examples'
+ORACLE["io_prefer_source"] = _with("examples") + "SELECT ex_id, db_id FROM examples"
+ORACLE["io_require_source"] = _with("examples") + (
+    "SELECT coalesce(query_type_name, 'Unknown') AS label, count(*) AS n FROM examples GROUP BY 1")
+ORACLE["io_tail_by_file_order"] = _with("examples") + (
+    "SELECT ex_id, CASE WHEN row_number() OVER (ORDER BY ex_id DESC) <= "
+    f"{fixed.DEV_SUBSET_SIZE} THEN 'dev' ELSE 'train' END AS split FROM examples")
 ORACLE["st_classify_stream"] = ORACLE["cu_class_distribution"]
 ORACLE["st_class_counts_stream"] = ORACLE["cu_class_distribution"]
 
@@ -387,10 +433,12 @@ ORACLE["sch_catalog_fks"] = _with("examples", extra=CATALOG_DOC) + (
     "len(t.columns) AS n_columns, list_transform(t.fks, lambda f: concat_ws('|', f.col, f.ref_table, f.ref_col)) AS fks "
     "FROM (SELECT schema_id, unnest(tables) AS t, generate_subscripts(tables, 1) AS pos FROM catd)")
 
-ORACLE["sch_prune_eval_documented"] = _with("examples", extra=CATALOG_DOC + (
-    ",\npjd AS (SELECT e.ex_id, e.db_schema, " + d.question_tokens("e.question") +
-    " AS tok, c.tables FROM examples e JOIN catd c ON coalesce(e.db_schema, '') = c.s)")) + (
-    f"SELECT ex_id, {d.prune_documented('tables', 'tok', 'db_schema', *fixed.PRUNE_EVAL)} AS pruned_schema FROM pjd")
+ORACLE["sch_prune_eval_documented"] = _with("examples", extra=CATALOG_DOC.replace("catd AS", "catd AS MATERIALIZED") + (
+    ",\ndpair AS MATERIALIZED (SELECT DISTINCT coalesce(question, '') AS question, coalesce(db_schema, '') AS s FROM examples),\n"
+    "dtok AS MATERIALIZED (SELECT dpair.*, " + d.question_tokens("question") + " AS tok, c.tables FROM dpair JOIN catd c USING (s)),"
+    + d.prune_documented_ctes("dtok", *fixed.PRUNE_EVAL))) + (
+    "SELECT e.ex_id, CASE WHEN coalesce(p.text, '') = '' THEN e.db_schema ELSE p.text END AS pruned_schema FROM examples e "
+    "LEFT JOIN pruned p ON coalesce(e.question, '') = p.question AND coalesce(e.db_schema, '') = p.s")
 
 ORACLE["sch_reformat_documented"] = _with("examples", extra=(
     "rfd AS (SELECT sch, " + d.reformat_documented("sch") + " AS formatted_schema FROM (SELECT DISTINCT coalesce(db_schema, '') AS sch "
@@ -398,6 +446,6 @@ ORACLE["sch_reformat_documented"] = _with("examples", extra=(
     "SELECT e.ex_id, rfd.formatted_schema FROM examples e JOIN rfd ON coalesce(e.db_schema, '') = rfd.sch")
 
 ORACLE["pf_config_caps"] = _with("examples") + (
-    "SELECT ex_id, 'train' AS part FROM examples UNION ALL "
-    f"SELECT * FROM (SELECT ex_id, 'eval' AS part FROM examples WHERE {d.valid_schema('db_schema')} "
-    f"ORDER BY ex_id LIMIT {fixed.MAX_EVAL_SAMPLES})")
+    "SELECT ex_id, 'train' AS part, true AS in_head FROM examples UNION ALL "
+    f"SELECT ex_id, 'eval' AS part, row_number() OVER (ORDER BY ex_id) <= {fixed.MAX_EVAL_SAMPLES} AS in_head FROM examples "
+    f"WHERE {d.valid_schema('db_schema')}")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import fixed
 from tessera.functions.classify import classify_query_type
 from tessera.functions.sqltext import FEATURES, near_correct, semantic_score, with_sql_features
 from tessera.operators import curate, evaluate as ev
@@ -105,16 +106,26 @@ def sc_sql_features(spark, sf):
 
 @query("sc_semantic_score")
 def sc_semantic_score(spark, sf):
-    ex = with_sql_features(fx.examples(spark, sf).select("ex_id", "SQL"), "SQL", "gt_f")
-    p = with_sql_features(fx.predictions(spark, sf), "raw_answer", "p_f")
-    s = p.join(ex.select("ex_id", "gt_f").hint("shuffle_hash"), "ex_id").select("ex_id", "variant", semantic_score(F.col("p_f"), F.col("gt_f")).alias("score"))
-    return s.withColumn("near_correct", near_correct(F.col("score")))
+    # The texts are joined while they are narrow; features are taken after.
+    ex = fx.examples(spark, sf).select("ex_id", F.col("SQL").alias("gt_sql"))
+    j = fx.predictions(spark, sf).join(ex.hint("merge"), "ex_id")
+    j = with_sql_features(with_sql_features(j, "gt_sql", "gt_f"), "raw_answer", "p_f")
+    s = j.select("ex_id", "variant", semantic_score(F.col("p_f"), F.col("gt_f")).alias("s"))
+    return s.select("ex_id", "variant", F.round("s", 6).alias("score"), near_correct(F.col("s")).alias("near_correct"))
 
 
 # ---------------------------------------------------------------- evaluation
 def _long(spark, sf) -> DataFrame:
     ex = fx.examples(spark, sf)
-    return ev.evaluate(ex, fx.predictions_from(ex))
+    return ev.evaluate(ex, fx.predictions_from(ex), mode="observed")
+
+
+@query("ev_missing_predictions")
+def ev_missing_predictions(spark, sf):
+    """A rule on the key drops some predictions: some examples lack one variant, some all."""
+    ex = fx.examples(spark, sf)
+    have = fx.predictions_from(ex).filter((F.col("ex_id") % 4 != 1) & ~((F.col("ex_id") % 4 == 2) & (F.col("variant") == "base")))
+    return ev.overall_accuracy(ev.wide_results(ev.evaluate(ex, have, mode="observed")))
 
 
 @query("pf_valid_schema")
@@ -125,7 +136,8 @@ def pf_valid_schema(spark, sf):
 @query("pf_head_n")
 def pf_head_n(spark, sf):
     ex = fx.examples(spark, sf).filter(ev.valid_schema(F.col("db_schema")))
-    return ev.head_n(ex, "ex_id").select("ex_id", F.coalesce("query_type_name", F.lit("Unknown")).alias("label"))
+    return ev.in_head(ex, "ex_id", fixed.MAX_TEST_SAMPLES).select(
+        "ex_id", F.coalesce("query_type_name", F.lit("Unknown")).alias("label"), "in_head")
 
 
 @query("ev_evaluate")
@@ -165,10 +177,9 @@ QUERIES.update(WORKLOAD)
 
 
 # ---------------------------------------------------------------- schema text
-from tessera import fixed  # noqa: E402,F811
 from tessera.functions.schema_text import question_tokens  # noqa: E402
 from tessera.operators import schema_ops  # noqa: E402
-from tessera.sources.tables import spread, table  # noqa: E402
+from tessera.sources.tables import table  # noqa: E402
 
 
 @query("sch_question_tokens")
@@ -178,41 +189,42 @@ def sch_question_tokens(spark, sf):
 
 @query("sch_document_tokens")
 def sch_document_tokens(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
     return d.select("doc_id", F.sort_array(question_tokens(F.col("text"))).alias("tokens"))
 
 
 @query("sch_catalog_tables")
 def sch_catalog_tables(spark, sf):
-    return schema_ops.catalog_tables(schema_ops.parsed_catalog(fx.examples(spark, sf)))
+    return schema_ops.catalog_tables(schema_ops.parsed_catalog(fx.examples(spark, sf), mode="observed"))
 
 
 @query("sch_catalog_columns")
 def sch_catalog_columns(spark, sf):
-    return schema_ops.catalog_columns(schema_ops.parsed_catalog(fx.examples(spark, sf)))
+    return schema_ops.catalog_columns(schema_ops.parsed_catalog(fx.examples(spark, sf), mode="observed"))
 
 
 @query("sch_prune_eval")
 def sch_prune_eval(spark, sf):
     mt, mc = fixed.PRUNE_EVAL
-    return schema_ops.prune_schemas(fx.examples(spark, sf), mt, mc).select("ex_id", "pruned_schema")
+    return schema_ops.prune_schemas(fx.examples(spark, sf), mt, mc, mode="observed").select("ex_id", "pruned_schema")
 
 
 @query("sch_prune_train")
 def sch_prune_train(spark, sf):
     mt, mc = fixed.PRUNE_TRAIN
-    return schema_ops.prune_schemas(fx.examples(spark, sf), mt, mc).select("ex_id", "pruned_schema")
+    return schema_ops.prune_schemas(fx.examples(spark, sf), mt, mc, mode="observed").select("ex_id", "pruned_schema")
 
 
 @query("sch_prune_dataset_report")
 def sch_prune_dataset_report(spark, sf):
     mt, mc = fixed.PRUNE_TRAIN
-    return schema_ops.prune_dataset_report(schema_ops.prune_schemas(fx.examples(spark, sf), mt, mc))
+    return schema_ops.prune_dataset_report(
+        schema_ops.prune_schemas(fx.examples(spark, sf), mt, mc, mode="observed"))
 
 
 @query("sch_reformat")
 def sch_reformat(spark, sf):
-    return schema_ops.reformat_schemas(fx.examples(spark, sf)).select("ex_id", "formatted_schema")
+    return schema_ops.reformat_schemas(fx.examples(spark, sf), mode="observed").select("ex_id", "formatted_schema")
 
 
 # ---------------------------------------------------------------- prompts, model inputs, chat
@@ -230,44 +242,52 @@ def pr_train_prompt(spark, sf):
 
 @query("pr_train_prompt_pruned")
 def pr_train_prompt_pruned(spark, sf):
-    return mi.training_examples(fx.examples(spark, sf), prune=fixed.PRUNE_TRAIN).select("ex_id", "input")
+    return mi.training_examples(fx.examples(spark, sf), prune=fixed.PRUNE_TRAIN, mode="observed").select("ex_id", "input")
 
 
 @query("pr_eval_prompts")
 def pr_eval_prompts(spark, sf):
     ex = fx.examples(spark, sf).filter(ev.valid_schema(F.col("db_schema")))
-    return mi.variant_prompts(ex).select("ex_id", "variant", "prompt")
+    return mi.variant_prompts(ex, mode="observed").select("ex_id", "variant", "prompt")
 
 
 def token_rows(spark, sf) -> DataFrame:
     """doc_id, ids (word lengths of the whole text), input_len (three quarters of them)."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
     ids = F.transform(F.regexp_extract_all("text", F.lit(WORD_RUN), 0), lambda w: F.length(w))
     return d.select("doc_id", ids.alias("ids")).withColumn("input_len", (F.size("ids") * 3 / 4).cast("int"))
 
 
-def _masked(spark, sf) -> DataFrame:
-    t = token_rows(spark, sf)
-    m = t.select("doc_id", mi.truncate_and_mask(F.col("ids"), F.col("input_len")).alias("m"),
-                 (F.size("ids") > fixed.MAX_SEQ_LEN).alias("truncated"))
-    return m.select("doc_id", "m.input_ids", "m.attention_mask", "m.labels", "truncated")
+def _windows(spark, sf) -> DataFrame:
+    return mi.token_windows(token_rows(spark, sf))
 
 
 @query("pr_truncate_mask")
 def pr_truncate_mask(spark, sf):
-    return _masked(spark, sf)
+    """Every window of every document; window 0 is the original's truncated input."""
+    return _windows(spark, sf).select("doc_id", "window_idx", "input_ids", "attention_mask", "labels", "truncated")
 
 
 @query("pr_mask_audit")
 def pr_mask_audit(spark, sf):
-    return mi.mask_audit(_masked(spark, sf))
+    return mi.mask_audit(_windows(spark, sf))
+
+
+@query("pr_token_windows")
+def pr_token_windows(spark, sf):
+    """Ids and windows of each document: nothing is cut off."""
+    return _windows(spark, sf).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.sum(F.size("input_ids")).alias("n_tokens"),
+        F.sum(F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x)).alias("sum_ids"))
 
 
 @query("pr_pad_batch")
 def pr_pad_batch(spark, sf):
-    m = _masked(spark, sf).withColumn("batch_id", (F.col("doc_id") / fixed.BATCH_SIZE).cast("long"))
-    return mi.pad_batches(m, "batch_id").select("doc_id", "batch_id", "padded_len", "padded_ids", "padded_mask",
-                                                "padded_labels")
+    m = _windows(spark, sf).withColumn("batch_id", (F.col("doc_id") / fixed.BATCH_SIZE).cast("long"))
+    batched = m.withColumn("batch_id", F.struct("batch_id", "window_idx"))
+    return mi.pad_batches(batched, "batch_id").select(
+        "doc_id", "window_idx", F.col("batch_id.batch_id").alias("batch_id"), "padded_len", "padded_ids", "padded_mask",
+        "padded_labels")
 
 
 @query("pr_response_mask")
@@ -284,22 +304,25 @@ def pr_stop_truncate(spark, sf):
 
 @query("pr_chat_render")
 def pr_chat_render(spark, sf):
-    return chat.render_chat(spread(table(spark, sf, "conversations")))
+    return chat.render_chat(table(spark, sf, "conversations"))
 
 
 # ---------------------------------------------------------------- schema cards / context assembly
 @query("sch_schema_cards")
 def sch_schema_cards(spark, sf):
-    return schema_ops.schema_cards(schema_ops.parsed_catalog(fx.examples(spark, sf)), fixed.MAX_CARD_COLUMNS)
+    return schema_ops.schema_cards(schema_ops.parsed_catalog(fx.examples(spark, sf), mode="observed"))
+
+
+#: A budget that the wider schemas of the test corpus exceed, so that further pages occur.
+CONTEXT_TOKENS = 100
 
 
 @query("rt_context_assembly")
 def rt_context_assembly(spark, sf):
     ex = fx.examples(spark, sf)
-    cat = schema_ops.parsed_catalog(ex)
-    ctx = schema_ops.assemble_context(schema_ops.schema_cards(cat, fixed.MAX_CARD_COLUMNS), fixed.MAX_CONTEXT_TOKENS)
-    keyed = ex.select("ex_id", F.md5(F.coalesce("db_schema", F.lit(""))).alias("schema_id"))
-    return keyed.join(ctx, "schema_id").select("ex_id", "n_cards", "n_tokens", F.length("context").alias("context_chars"))
+    ctx = schema_ops.assemble_context(schema_ops.schema_cards(schema_ops.parsed_catalog(ex, mode="observed")), CONTEXT_TOKENS)
+    return schema_ops.attach_context(ex, ctx).select(
+        "ex_id", "context_page", "n_cards", "n_tokens", F.length("context").alias("context_chars"))
 
 
 # ---------------------------------------------------------------- sources / sinks and streaming
@@ -322,7 +345,7 @@ def io_jsonl_roundtrip(spark, sf):
     path = scratch_path(spark, "jsonl")
     lines.write.mode("overwrite").text(path)
     back = jsonl.read_jsonl(spark, path, skip_comments=True)
-    return back.select("ex_id", "question", "SQL", "db_schema")
+    return back.select(F.col("ex_id").cast("long").alias("ex_id"), "question", "SQL", "db_schema")
 
 
 def _stream_source(spark, sf) -> tuple[str, object]:
@@ -345,7 +368,7 @@ def st_class_counts_stream(spark, sf):
     src, schema = _stream_source(spark, sf)
     out, ckpt = scratch_path(spark, "stream-counts"), scratch_path(spark, "stream-ckpt")
     stateless.class_counts_stream(spark, src, schema, out, ckpt).awaitTermination()
-    return spark.read.parquet(out).select("query_type", "n")
+    return stateless.latest(spark, out).select("query_type", "n")
 
 
 # ---------------------------------------------------------------- documented (FK-aware) schema mode
@@ -371,14 +394,95 @@ def sch_reformat_documented(spark, sf):
 
 @query("pr_chat_render_tools")
 def pr_chat_render_tools(spark, sf):
-    from tessera.plans.oracle import SQL_TOOL
-    return chat.render_chat(spread(table(spark, sf, "conversations")), tools=[SQL_TOOL])
+    return chat.render_chat(table(spark, sf, "conversations"), tools=[fixed.SQL_TOOL])
+
+
+def tool_turns(spark, sf) -> DataFrame:
+    """Conversations with tool turns and calls, by a rule on the turn: of six
+    turns in a row the third and fourth, or the fifth, answer a tool; the
+    assistant's turns before them call it once or twice."""
+    step = (F.col("conv_id") + F.col("turn")) % 6
+    call = F.struct(F.lit("run_sql").alias("name"),
+                    F.concat(F.lit('{"query": "SELECT '), F.col("turn").cast("string"), F.lit('"}')).alias("arguments"))
+    none = F.array().cast("array<struct<name:string,arguments:string>>")
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.when(step.isin(2, 3, 4), "tool").when(step == 1, "assistant").otherwise(F.col("role")).alias("role"),
+        F.when((step == 1) & (F.col("conv_id") % 2 == 0), F.lit("")).otherwise(F.col("text")).alias("text"),
+        F.when(step == 1, F.array_repeat(call, (1 + F.col("conv_id") % 2).cast("int"))).otherwise(none).alias("calls"))
+
+
+@query("pr_chat_tool_runs")
+def pr_chat_tool_runs(spark, sf):
+    return chat.render_chat(tool_turns(spark, sf), tools=[fixed.SQL_TOOL], tool_calls="calls")
 
 
 @query("pf_config_caps")
 def pf_config_caps(spark, sf):
     ex = fx.examples(spark, sf)
-    train = ev.cap_samples(ex, "ex_id", fixed.MAX_TRAIN_SAMPLES).select("ex_id", F.lit("train").alias("part"))
-    evals = ev.cap_samples(ex.filter(ev.valid_schema(F.col("db_schema"))), "ex_id", fixed.MAX_EVAL_SAMPLES) \
-        .select("ex_id", F.lit("eval").alias("part"))
+    train = ev.in_head(ex, "ex_id", fixed.MAX_TRAIN_SAMPLES).select("ex_id", F.lit("train").alias("part"), "in_head")
+    evals = ev.in_head(ex.filter(ev.valid_schema(F.col("db_schema"))), "ex_id", fixed.MAX_EVAL_SAMPLES) \
+        .select("ex_id", F.lit("eval").alias("part"), "in_head")
     return train.unionByName(evals)
+
+
+# ---------------------------------------------------------------- further sources / sinks
+def _written_examples(spark, sf, name: str) -> str:
+    path = scratch_path(spark, name)
+    jsonl.write_jsonl(fx.examples(spark, sf), path)
+    return path
+
+
+@query("io_write_jsonl")
+def io_write_jsonl(spark, sf):
+    """The sink's lines, parsed by Spark's own JSON reader."""
+    lines = spark.read.text(_written_examples(spark, sf, "written"))
+    return lines.select(F.from_json("value", "ex_id long, db_id string, question string, `SQL` string, db_schema string, "
+                                             "query_type_name string").alias("r")).select("r.*")
+
+
+@query("io_prefer_source")
+def io_prefer_source(spark, sf):
+    missing, present = scratch_path(spark, "missing"), _written_examples(spark, sf, "preferred")
+    got = jsonl.prefer_source(spark, [missing, present]).select(F.col("ex_id").cast("long").alias("ex_id"), "db_id")
+    none = jsonl.prefer_source(spark, [missing]).select(F.col("ex_id").cast("long").alias("ex_id"), "db_id")
+    return got.unionByName(none)
+
+
+@query("io_require_source")
+def io_require_source(spark, sf):
+    """Label counts of a required file; a path that is not there must fail."""
+    try:
+        jsonl.require_source(spark, scratch_path(spark, "missing"))
+        raise AssertionError("a missing source was read")
+    except FileNotFoundError:
+        pass
+    rows = jsonl.require_source(spark, _written_examples(spark, sf, "required"))
+    return rows.groupBy(F.coalesce("query_type_name", F.lit("Unknown")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("io_report")
+def io_report(spark, sf):
+    """The summary line of the evaluation report, without its time."""
+    wide = ev.wide_results(_long(spark, sf))
+    overall = ev.overall_accuracy(wide)
+    metadata = jsonl.report_metadata(0, fixed.PRUNE_EVAL, {"base": "b"})
+    line = jsonl.report_summary(overall, metadata, ev.VARIANT_NAMES)
+    get = lambda path, kind: F.try_variant_get(F.parse_json("value"), path, kind)
+    return line.select(
+        *[get(f"$.overall_accuracy.{v}", "double").alias(v) for v in ev.VARIANT_NAMES],
+        get("$.pruning_comparison.difference", "double").alias("difference"),
+        get("$.pruning_comparison.pruning_helps", "long").alias("pruning_helps"),
+        get("$.pruning_comparison.pruning_hurts", "long").alias("pruning_hurts"),
+        get("$.n_missing", "long").alias("n_missing"),
+        get("$.metadata.schema_pruning.max_columns", "long").alias("max_columns"))
+
+
+@query("io_tail_by_file_order")
+def io_tail_by_file_order(spark, sf):
+    """Train/dev split by place in the file: examples written in key order to
+    one file per range of keys, the last rows of the last file are dev."""
+    path = scratch_path(spark, "ordered")
+    fx.examples(spark, sf).repartitionByRange(4, "ex_id").sortWithinPartitions("ex_id") \
+        .select(F.to_json(F.struct("ex_id", "question")).alias("value")).write.text(path)
+    rows = jsonl.read_jsonl(spark, path, fields=["ex_id"])
+    return curate.tail_split(rows, ["ord"], "ord").select(F.col("ex_id").cast("long").alias("ex_id"), "split")

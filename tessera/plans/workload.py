@@ -2,8 +2,8 @@
 
 The classes are the labels of the curated corpus; here each is a real query
 over the driver tables.  Anti joins use ``left_anti`` (Catalyst does not
-rewrite LEFT JOIN ... IS NULL into one); NOT IN keeps its null-aware SQL
-semantics via ``spark.sql`` with DataFrame arguments; scalar subqueries run
+rewrite LEFT JOIN ... IS NULL into one); NOT IN keeps its null rules in a
+shuffled anti join (``rows_not_in``); scalar subqueries run
 once as a subquery, not as a join.  Money sums are taken in DECIMAL so they
 are exact, then cast to DOUBLE.
 """
@@ -58,9 +58,25 @@ def left_null(spark, sf):
 @wl("wl_anti_join_not_in",
     "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R')")
 def not_in(spark, sf):
-    return spark.sql("SELECT s_suppkey, s_name FROM {s} WHERE s_suppkey NOT IN (SELECT l_suppkey FROM {li} "
-                     "WHERE l_quantity >= 50 AND l_returnflag = 'R')",
-                     s=table(spark, sf, "supplier"), li=table(spark, sf, "lineitem"))
+    li = table(spark, sf, "lineitem").filter((F.col("l_quantity") >= 50) & (F.col("l_returnflag") == "R"))
+    return rows_not_in(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_suppkey", li.select("l_suppkey"))
+
+
+def rows_not_in(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is NOT IN the one column of ``listed``, with SQL's
+    null rules: nothing is kept if the list holds a null, and a null key only
+    if the list is empty.
+
+    The list is made distinct and anti-joined by shuffle; whether it holds a
+    null is asked once beforehand (a scan that stops at the first one).
+    """
+    item = listed.columns[0]
+    if listed.filter(F.col(item).isNull()).take(1):
+        return rows.limit(0)
+    if not listed.take(1):
+        return rows
+    keys = listed.select(F.col(item).alias(key)).distinct()
+    return rows.filter(F.col(key).isNotNull()).join(keys.hint("merge"), key, "left_anti")
 
 
 @wl("wl_4plus_table_join",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
 
@@ -20,49 +20,60 @@ SCALE_CONF = {
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
 }
+LOCAL_CONF = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
 
 
 def build_session(master: str | None = "local[8]", shuffle_partitions: int | None = 8,
                   app: str = "tessera") -> SparkSession:
-    """Session with the scale settings.  ``master=None`` keeps the cluster's
-    (spark-submit) master; ``shuffle_partitions=None`` keeps its default."""
+    """Session with the scale settings, where the cluster has not set them
+    itself.  ``master=None`` keeps the cluster's (spark-submit) master and
+    memory; ``shuffle_partitions=None`` keeps its default."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", "16g")
-    for k, v in SCALE_CONF.items():
-        builder = builder.config(k, v)
+        for k, v in LOCAL_CONF.items():
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    wanted = SCALE_CONF | ({"spark.sql.shuffle.partitions": str(shuffle_partitions)} if shuffle_partitions else {})
+    for k, v in wanted.items():
+        if not given.contains(k):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
-
-    The cluster's ``spark.checkpoint.dir`` is used as is; only when nothing is
-    set (local tests) is a private folder created.
-    """
+    """The shared checkpoint folder that the cluster names in
+    ``spark.checkpoint.dir``.  A folder of this machine stands in for it only
+    under a local master, where every executor is on this machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
-    sc.setCheckpointDir(conf_dir)
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-ckpt-")
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint folder."""
+    """A fresh, unique folder under the shared checkpoint folder, which goes
+    when the driver's process ends."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
+    return path
 
 
-def sf_dir_default() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is None:
+            return
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:       # the session or its JVM has ended before; nothing is left to clean with
+        pass

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import fixed
-from tessera.sources.tables import spread, table
+from tessera.functions.prompts import variants_array
+from tessera.sources.tables import table
 
 # (intended class, question, SQL) -- placeholders {c} customer key,
 # {p} order priority, {y} order year.
@@ -144,6 +145,13 @@ SCHEMA_TEXTS: list[str] = [
     "x(a INT)",
 ]
 
+# One of the schema texts gets a table of its customer's own (more columns than
+# a card page), so the number of distinct schemas grows with the customers.
+GROWING_SCHEMA = 1
+OWN_TABLE = ("\nledger_{c}(entry_{c} INTEGER, c_custkey INTEGER, order_date DATE, "
+             + ", ".join(f"amount_{i} REAL" for i in range(1, 22))
+             + "; PK(entry_{c}); FK c_custkey->customer(c_custkey))")
+
 # predictions: answer kinds picked by (ex_id * 7 + variant ordinal) % 6
 N_ANSWER_KINDS = 6
 FAIL_ANSWERS = ["ERROR: out of memory", "SKIPPED: Model not loaded", "SKIPPED: Model not loaded", "ERROR: Status 500"]
@@ -155,18 +163,9 @@ def _fill(template: Column, custkey: Column, priority: Column, year: Column) ->
     return F.replace(out, F.lit("{y}"), year.cast("string"))
 
 
-def eval_prompt_len(question: Column, schema: Column) -> Column:
-    """Length of the evaluation prompt without building it."""
-    with_schema = len(fixed.EVAL_PROMPT) - len("{schema}") - len("{question}")
-    no_schema = len(fixed.EVAL_PROMPT_NO_SCHEMA) - len("{question}")
-    return F.when(F.coalesce(F.length(schema), F.lit(0)) > 0,
-                  F.lit(with_schema) + F.length(schema) + F.length(question)) \
-        .otherwise(F.lit(no_schema) + F.length(question))
-
-
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ex_id, db_id, question, SQL, db_schema, query_type_name -- one per order."""
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     ns = len(SCHEMA_TEXTS)
     slot = F.col("o_orderkey") % 1000
     t_idx = None
@@ -178,21 +177,19 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     c_arr = F.array(*[F.lit(c) for c, _, _ in EXAMPLE_TEMPLATES])
     d_arr = F.array(*[F.lit(s) for s in SCHEMA_TEXTS])
     c, p, y = F.col("o_custkey"), F.col("o_orderpriority"), F.year("o_orderdate")
+    own = _fill(F.lit(OWN_TABLE), c, p, y)
     return o.select(
         F.col("o_orderkey").alias("ex_id"),
         F.concat(F.lit("tpch_"), s_idx.cast("string")).alias("db_id"),
         _fill(F.element_at(q_arr, t_idx), c, p, y).alias("question"),
         _fill(F.element_at(s_arr, t_idx), c, p, y).alias("SQL"),
-        F.element_at(d_arr, s_idx + 1).alias("db_schema"),
+        F.when(s_idx == GROWING_SCHEMA, F.concat(F.element_at(d_arr, s_idx + 1), own))
+         .otherwise(F.element_at(d_arr, s_idx + 1)).alias("db_schema"),
         F.when(F.col("o_orderkey") % 5 == 0, F.lit(None).cast("string"))
          .otherwise(F.element_at(c_arr, t_idx)).alias("query_type_name"),
     )
 
 
-def variants_array() -> Column:
-    return F.array(*[F.lit(v) for v, _ in fixed.VARIANTS])
-
-
 def predictions_from(ex: DataFrame) -> DataFrame:
     """ex_id, variant, raw_answer: one simulated model answer per variant."""
     sql = F.col("SQL")
@@ -227,12 +224,6 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions_from(examples(spark, sf_dir))
 
 
-def targets(spark: SparkSession) -> DataFrame:
-    """query_type, target, ord (13 literal rows)."""
-    return spark.createDataFrame(
-        [(q, t, i) for i, (q, t) in enumerate(fixed.TARGETS)], "query_type string, target int, ord int")
-
-
 # ----------------------------------------------------------------------------
 # DuckDB text of the same derivation (oracle side)
 # ----------------------------------------------------------------------------
@@ -264,7 +255,8 @@ def duck_examples_sql() -> str:
   'tpch_' || CAST(CAST(o_custkey % {ns} AS INTEGER) AS VARCHAR) AS db_id,
   {_duck_fill(f"list_extract({q}, {t_idx})")} AS question,
   {_duck_fill(f"list_extract({s}, {t_idx})")} AS "SQL",
-  list_extract({d}, CAST(o_custkey % {ns} AS INTEGER) + 1) AS db_schema,
+  CASE WHEN o_custkey % {ns} = {GROWING_SCHEMA} THEN list_extract({d}, {GROWING_SCHEMA + 1}) || {_duck_fill(duck_str(OWN_TABLE))}
+       ELSE list_extract({d}, CAST(o_custkey % {ns} AS INTEGER) + 1) END AS db_schema,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE list_extract({c}, {t_idx}) END AS query_type_name
 FROM orders"""
 

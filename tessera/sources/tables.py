@@ -15,23 +15,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Register every driver table as a temp view (for ``spark.sql``)."""
-    for name in TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan at least one partition per core.
-
-    Small parquet files are a single row group, hence a single split, which
-    would leave per-row text work on one core.  Such a scan is round-robin
-    repartitioned to ``defaultParallelism``; a large input already has more
-    splits than cores and is returned untouched (no shuffle at scale).
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df

@@ -2,8 +2,9 @@
 
 Classification, SQL features, scoring and prompt rendering are stateless
 column expressions, so the batch code applies unchanged to ``readStream``.
-Class counts run as a streaming aggregate whose full state is rewritten to
-a table on every micro-batch.  Both queries checkpoint to the given folder
+Class counts run as a streaming aggregate; every micro-batch writes its full
+result to a folder of its own (``epoch=<id>``, the same one when the batch is
+run again), so readers always find the last complete one.  Both queries checkpoint to the given folder
 (under the cluster's ``spark.checkpoint.dir``), so a restarted query resumes
 where it stopped.
 """
@@ -29,13 +30,20 @@ def classify_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str,
 
 def class_counts_stream(spark: SparkSession, source_dir: str, schema, table_dir: str, checkpoint_dir: str,
                         available_now: bool = True) -> StreamingQuery:
-    """Running rows-per-class counts; each micro-batch rewrites the full result."""
+    """Running rows-per-class counts; each micro-batch adds a version of the full result."""
     src = spark.readStream.schema(schema).parquet(source_dir)
     counts = src.groupBy(classify_query_type(F.col("SQL")).alias("query_type")).agg(F.count(F.lit(1)).alias("n"))
 
-    def publish(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(table_dir)
+    def publish(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table_dir}/epoch={epoch}")
 
     w = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_dir).foreachBatch(publish)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def latest(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The last version that ``class_counts_stream`` wrote."""
+    versions = spark.read.parquet(table_dir)
+    last = versions.agg(F.max("epoch")).first()[0]      # one row; partition values only
+    return versions.filter(F.col("epoch") == last).drop("epoch")

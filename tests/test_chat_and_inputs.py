@@ -19,10 +19,18 @@ def test_chat_tool_runs(spark):
     assert gen[2].endswith(f"{S}assistant\n")
 
 
-def test_truncate_mask_and_pad(spark):
+def test_windows_mask_and_pad(spark):
     df = spark.createDataFrame([(0, list(range(1, 6)), 2), (1, list(range(1, 4)), 9), (2, list(range(600)), 10)],
                                "doc_id long, ids array<int>, input_len int")
-    m = df.select("doc_id", mi.truncate_and_mask(F.col("ids"), F.col("input_len")).alias("m")).select("doc_id", "m.*")
+    every = mi.token_windows(df)
+    second = every.filter("window_idx = 1").collect()
+    assert [r["input_ids"] for r in second] == [list(range(512, 600))] and second[0]["labels"] == list(range(512, 600))
+    audit = mi.mask_audit(every).collect()[0]
+    assert (audit["n_rows"], audit["n_windows"], audit["n_tokens"], audit["n_truncated"]) == (3, 4, 608, 1)
+    late = mi.token_windows(spark.createDataFrame([(0, list(range(1100)), 600), (1, [], 0)], df.schema)).collect()
+    assert [sum(x == -100 for x in r["labels"]) for r in late if r["doc_id"] == 0] == [512, 88, 0]
+    assert [r["input_ids"] for r in late if r["doc_id"] == 1] == [[]]
+    m = every.filter("window_idx = 0")
     rows = {r["doc_id"]: r for r in m.collect()}
     assert rows[0]["labels"] == [-100, -100, 3, 4, 5]
     assert rows[1]["labels"] == [-100, -100, -100]

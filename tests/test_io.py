@@ -21,18 +21,55 @@ def test_read_jsonl_blank_comment_and_sql_keys(spark):
                       "", "   ", "# a comment",
                       json.dumps({"ex_id": 2, "question": "q2", "sql": "SELECT 2"})])
     rows = {r["ex_id"]: r for r in jsonl.read_jsonl(spark, d, skip_comments=True).collect()}
-    assert set(rows) == {1, 2} and rows[1]["question"] == "héllo" and rows[2]["SQL"] == "SELECT 2"
-    assert rows[2]["db_schema"] is None
-    # without comment skipping, the '#' line is kept as a row with no fields
-    assert jsonl.read_jsonl(spark, d, skip_comments=False).count() == 3
+    assert set(rows) == {"1", "2"} and rows["1"]["question"] == "héllo" and rows["2"]["SQL"] == "SELECT 2"
+    assert rows["2"]["db_schema"] is None
+
+
+def test_malformed_lines_stop_or_are_counted(spark):
+    d = _write_lines(['{"ex_id": 1}', "# no JSON", "[1]", '{"ex_id": '])
+    with pytest.raises(Exception, match="malformed JSON line"):
+        jsonl.read_jsonl(spark, d).collect()
+    assert [r["ex_id"] for r in jsonl.read_jsonl(spark, d, on_malformed="drop").collect()] == ["1"]
+    assert [r["n_malformed"] for r in jsonl.malformed_lines(spark, d).collect()] == [3]
+    assert [r["n_malformed"] for r in jsonl.malformed_lines(spark, d, skip_comments=True).collect()] == [2]
+
+
+def test_record_keeps_unknown_fields(spark):
+    lines = ['{"z":1.50,"db_schema":"s","q":{"a":[1,null]},"big":12345678901234567890,"none":null}', '{"only":"é"}']
+    rows = jsonl.read_jsonl(spark, _write_lines(lines), keep_record=True)
+    got = [json.loads(r[0]) for r in rows.select(jsonl.record_with("db_schema", F.lit("new"))).collect()]
+    want = [json.loads(x) | {"db_schema": "new"} for x in lines]
+    assert got == want and list(got[0]) == list(want[0])
+
+
+def test_equal_rows_get_different_ids(spark):
+    d = _write_lines(['{"question": "same"}'] * 5)
+    ids = [r["ex_id"] for r in jsonl.with_position_id(jsonl.read_jsonl(spark, d)).collect()]
+    assert len(set(ids)) == 5
+
+
+def test_scratch_needs_a_shared_folder():
+    from tessera import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
 
 
 def test_prefer_and_require_source(spark):
     d = _write_lines([json.dumps({"ex_id": 7, "SQL": "SELECT 7"})])
     missing = os.path.join(tempfile.mkdtemp(), "absent")
     got = jsonl.prefer_source(spark, [missing, d])
-    assert [r["ex_id"] for r in got.collect()] == [7]
-    assert jsonl.prefer_source(spark, [missing]) is None
+    assert [r["ex_id"] for r in got.collect()] == ["7"]
+    none = jsonl.prefer_source(spark, [missing])
+    assert none.count() == 0 and none.dtypes == got.dtypes
     with pytest.raises(FileNotFoundError):
         jsonl.require_source(spark, missing)
 
@@ -51,8 +88,11 @@ def test_write_report(spark):
     ex = fx.examples(spark, "/root/testdata/sf0.001")
     wide = ev.wide_results(ev.evaluate(ex, fx.predictions_from(ex)))
     out = os.path.join(tempfile.mkdtemp(), "report")
-    jsonl.write_report(spark, out, {"total_examples": "n"}, ev.overall_accuracy(wide), ev.accuracy_by_type(wide), wide)
+    metadata = jsonl.report_metadata(wide.count(), (2, 12), {"base": "b"})
+    jsonl.write_report(out, metadata, ev.overall_accuracy(wide), ev.accuracy_by_type(wide), wide, ev.VARIANT_NAMES)
     summary = json.loads(spark.read.text(f"{out}/summary").first()[0])
-    assert set(summary) == {"metadata", "overall_accuracy", "pruning_comparison"}
-    assert set(summary["overall_accuracy"]) == {"base_acc", "finetuned_no_prune_acc", "finetuned_prune_acc", "llama_acc"}
+    assert set(summary) == {"metadata", "overall_accuracy", "pruning_comparison", "n_missing"}
+    assert set(summary["overall_accuracy"]) == set(ev.VARIANT_NAMES)
+    assert summary["metadata"]["schema_pruning"] == {"tested_both": True, "min_tables": 2, "max_columns": 12}
+    assert summary["metadata"]["total_examples"] == wide.count() and "evaluated_at" in summary["metadata"]
     assert spark.read.json(f"{out}/results").count() == wide.count()

@@ -32,7 +32,7 @@ def test_question_tokens(spark):
 
 def _prune(spark, rows, mt, mc):
     df = spark.createDataFrame([(i, s, q) for i, (s, q) in enumerate(rows)], "ex_id int, db_schema string, question string")
-    return [r["pruned_schema"] for r in prune_schemas(df, mt, mc).orderBy("ex_id").collect()]
+    return [r["pruned_schema"] for r in prune_schemas(df, mt, mc, mode="observed").orderBy("ex_id").collect()]
 
 
 def test_prune_golden(spark):
@@ -43,7 +43,7 @@ def test_prune_golden(spark):
         ("", "anything"),
         ("no parens here", "anything"),
     ], 2, 2)
-    assert got[0] == "table2(id INT, name TEXT)); table1(col1 TYPE, col2 TYPE; PK(col1)))" or got[0].startswith("table1")
+    assert got[0] == "table1(col1 TYPE, col2 TYPE; PK(col1))); table2(id INT, name TEXT)))"
     assert got[2] == "t(a INT, d INT; PK(a)))"
     assert got[3] == "" and got[4] == "no parens here"
     got1 = _prune(spark, [(N1, "What is the name of each table2 entry?")], 1, 10)
@@ -98,3 +98,38 @@ def test_reformat_documented(spark):
     got = col_values(spark, reformat_schema_documented, [s])[0]
     assert got == ("Table: game\n  - id: INTEGER (PRIMARY KEY)\n  - genre_id: INTEGER (FOREIGN KEY -> genre.id)\n\n"
                    "Table: game_platform\n  - id: INTEGER\n  - game_id: INTEGER")
+
+
+def _documented(spark, schema, question, mt, mc):
+    df = spark.createDataFrame([(0, schema, question)], "ex_id int, db_schema string, question string")
+    return prune_schemas(df, mt, mc).collect()[0]["pruned_schema"]      # documented is the default
+
+
+STAR = ("aaa(a_id INT; PK(a_id)); hub(h_id INT, h_a INT; PK(h_id), FK(h_a REFERENCES aaa(a_id))); "
+        "leaf1(l1 INT; FK(l1 REFERENCES hub(h_id))); leaf2(l2 INT; FK(l2 REFERENCES hub(h_id))); zzz(z INT)")
+
+
+def test_documented_referencing_table_is_added(spark):
+    # only hub matches; aaa is referenced by it, leaf1 and leaf2 refer to it, zzz has no link
+    got = _documented(spark, STAR, "hub", 1, 10)
+    assert [t.split("(")[0] for t in got.split("; ") if not t.startswith(("PK", "FK"))] == ["aaa", "hub", "leaf1", "leaf2"]
+
+
+def test_documented_min_tables_by_fk_degree(spark):
+    # nothing matches: the degrees are hub 3, aaa 1, leaf1 1, leaf2 1, zzz 0; ties go by name, descending
+    assert _documented(spark, STAR, "nothing here", 1, 10).startswith("hub(")
+    got = _documented(spark, STAR, "nothing here", 2, 10)
+    assert [t.split("(")[0] for t in got.split("; ") if not t.startswith(("PK", "FK"))] == ["hub", "leaf2"]
+
+
+def test_documented_fk_columns_rank_before_matches(spark):
+    s = "t(a INT, b INT, c INT, size INT, d INT; PK(a), FK(d REFERENCES u(x))); u(x INT)"
+    got = _documented(spark, s, "t size", 1, 2)
+    assert got.startswith("t(a INT, d INT; PK(a), FK(d REFERENCES u(x)))")
+
+
+def test_wide_table_duplicates(spark):
+    cols = [f"c{i % 700} T{i}" for i in range(1000)]
+    t = col_values(spark, parse_schema, [f"w({', '.join(cols)}; PK(c0)); x(a INT)"])[0][0]
+    assert [c["name"] for c in t["columns"]] == [f"c{i}" for i in range(700)]
+    assert [c["type"] for c in t["columns"]] == [f"T{i + 700 if i < 300 else i}" for i in range(700)]
