@@ -123,9 +123,9 @@ def test_documented_min_tables_by_fk_degree(spark):
 
 
 def test_documented_fk_columns_rank_before_matches(spark):
-    s = "t(a INT, b INT, c INT, size INT, d INT; PK(a), FK(d REFERENCES u(x))); u(x INT)"
-    got = _documented(spark, s, "t size", 1, 2)
-    assert got.startswith("t(a INT, d INT; PK(a), FK(d REFERENCES u(x)))")
+    s = "things(a INT, b INT, c INT, size INT, d INT; PK(a), FK(d REFERENCES u(x))); u(x INT)"
+    got = _documented(spark, s, "things size", 1, 2)
+    assert got.startswith("things(a INT, d INT; PK(a), FK(d REFERENCES u(x)))")
 
 
 def test_wide_table_duplicates(spark):
