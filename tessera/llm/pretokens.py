@@ -15,15 +15,12 @@ import json
 import os
 import re
 from array import array
-from collections import Counter, deque
-from itertools import chain
 
 from tessera.llm.common import tokenizer_file
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 SPACES = "\t-\r "
-KEPT = 1_000_000        # pre-tokens a worker remembers
-RECENT = 8              # batches that decide which of them it goes on with
+KEPT = 600_000          # pre-tokens in each of the two generations that a worker remembers
 
 #: The splitting rules that the two vocabulary files name, over
 #: the plain range.  Letters come first, as most pre-tokens start with one.
@@ -42,6 +39,22 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Merged(dict):
+    """Ids of pre-tokens, merged when first asked for.  The generation before
+    is asked first; what it still knows moves on to this one."""
+
+    def __init__(self, merge, before: dict):
+        super().__init__()
+        self.merge, self.before = merge, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.merge(word)
+        self[word] = ids
+        return ids
+
+
 class IdEncoder:
     """``encode(texts)``: little-endian unsigned 32-bit ids of each text, as
     the ``tokenizers`` library gives them without added special tokens."""
@@ -62,8 +75,7 @@ class IdEncoder:
         special = "|".join(re.escape(t["content"]) for t in added) or r"(?!)"
         self.special = re.compile(special).search
         self.beyond = re.compile(f"[^\x00-\x7f{LETTERS}]|{special}").search
-        self.known: dict[str, bytes] = {}
-        self.recent: deque[set[str]] = deque(maxlen=RECENT)
+        self.known = Merged(self._merge, {})
 
     def _merge(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
@@ -76,22 +88,17 @@ class IdEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
-        whole, split = [], {}
+        whole = []
+        known = self.known.__getitem__
         for i, t in enumerate(texts):
             ascii = t.isascii()
             if self.special(t) if ascii else self.beyond(t):
                 whole.append(i)
             else:
-                split[i] = (self.find_ascii if ascii else self.find)(t.lower() if self.lower else t)
-        words = set().union(*split.values())
-        self.recent.append(words)
-        self.known.update((w, self._merge(w)) for w in words.difference(self.known))
-        known = self.known.__getitem__
-        for i, own in split.items():
-            out[i] = b"".join(map(known, own))
+                out[i] = b"".join(map(known, (self.find_ascii if ascii else self.find)(t.lower() if self.lower else t)))
         if len(self.known) > KEPT:
-            often = Counter(chain.from_iterable(self.recent))
-            self.known = {w: self.known[w] for w, n in often.items() if n > 1 and w in self.known}
+            self.known.before = {}
+            self.known = Merged(self._merge, self.known)
         for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
