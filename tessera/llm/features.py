@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 from operator import eq
@@ -63,13 +64,26 @@ def shape(text: str) -> np.ndarray:
 
 LETTERS = re.compile(r"[^\W\d_]{2,}").findall
 STEMS = range(3, 9)
+TIMES = (1, 2, 3)
+
+
+def marked(term: str, times: int) -> set[str]:
+    """A term that occurs ``times`` times, as the terms "at least once", "at
+    least twice" (marked *2) and so on."""
+    return {f"{term}*{k}" if k > 1 else term for k in TIMES if k <= times}
 
 
 def terms(text: str) -> set[str]:
-    """Distinct lower-case words of two or more letters, each with its stems
-    of 3 to 8 letters (marked by a trailing hyphen)."""
-    words = set(LETTERS(text.lower()))
-    return words.union(*({w[:k] + "-" for w in words if len(w) > k} for k in STEMS))
+    """Lower-cased words of two or more letters, and the stems of 3 to 8
+    letters of longer words (marked by a trailing hyphen), each at least once
+    and, as terms of their own, at least twice and three times."""
+    words = Counter(LETTERS(text.lower()))
+    stems: Counter = Counter()
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) > k:
+                stems[w[:k] + "-"] += n
+    return {t for all_of in (words, stems) for term, n in all_of.items() for t in (marked(term, n) if n > 1 else (term,))}
 
 
 def shape_column(text: Column) -> Column:

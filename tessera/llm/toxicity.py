@@ -7,10 +7,11 @@ times the positives' risk of being called clean; that difference estimates a
 risk and so may not fall below zero.  Training descends
 pi * R(positive, +) + max(0, R(unlabelled, -) - pi * R(positive, -)) with
 logistic loss, and when a batch's difference is negative, steps to raise that
-part instead, as in the published algorithm.
+part instead, as in the published algorithm; its tolerance ``beta`` covers the
+difference between the prior and the toxic share of the unlabelled sample.
 
-The features are the presence of single terms (words and word stems) that the
-positives hold significantly more often than the unlabelled texts, by half the
+The features are single terms (words and word stems, at least once, twice or
+three times in a text) that the positives hold significantly more often than the unlabelled texts, by half the
 inverse prior or more (a term of toxic texts only is as much more frequent as
 the inverse prior).  Terms are
 counted in Spark; the model is fitted on the driver from bounded samples
@@ -25,6 +26,7 @@ count as the lower one; without positives nothing is learned and every score is
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.common import held_out, materialize, one_label_per_document
-from tessera.llm.features import LETTERS, STEMS, sigmoid, telling_terms
+from tessera.llm.features import LETTERS, STEMS, marked, sigmoid, telling_terms
 
 
 @dataclass
@@ -44,27 +46,31 @@ class TermModel:
     bias: float
 
     def __post_init__(self) -> None:
-        self.words = frozenset(t for t in self.weights if not t.endswith("-"))
-        self.stems = frozenset(t[:-1] for t in self.weights if t.endswith("-"))
+        plain = {t.partition("*")[0] for t in self.weights}
+        self.words = frozenset(t for t in plain if not t.endswith("-"))
+        self.stems = frozenset(t[:-1] for t in plain if t.endswith("-"))
         self.heads = frozenset(s[:STEMS[0]] for s in self.stems)
         self.sizes = sorted({len(s) for s in self.stems})
 
     def found(self, text: str) -> set[str]:
         """The model's terms in a text."""
-        words = set(LETTERS(text.lower()))
-        hits = set(words & self.words)
-        head, heads = STEMS[0], self.heads
-        for w in words:
+        head, heads, known = STEMS[0], self.heads, self.words
+        counts: Counter = Counter()
+        for w in LETTERS(text.lower()):
+            if w in known:
+                counts[w] += 1
             if w[:head] in heads:
-                hits.update(w[:k] + "-" for k in self.sizes if len(w) > k and w[:k] in self.stems)
-        return hits
+                for k in self.sizes:
+                    if len(w) > k and w[:k] in self.stems:
+                        counts[w[:k] + "-"] += 1
+        return {t for term, n in counts.items() for t in marked(term, n) if t in self.weights}
 
     def score(self, text: str) -> float:
         return float(sigmoid(self.bias + sum(self.weights[t] for t in sorted(self.found(text)))))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05,
-             ridge: float = 1e-4, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05,
+             ridge: float = 1e-4, beta: float = 0.1, gamma: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative PU risk's minimiser (Adam over the
     whole sample; the rate falls to a tenth, so that the two kinds of step
     settle)."""

@@ -84,6 +84,7 @@ def test_shape():
         assert x.shape == (features.WIDTH,) and np.isfinite(x).all()
     assert features.shape("a a a a b")[-4] == 0.75
     assert features.terms("Réeuxon 12 a bc") == {"réeuxon", "bc", "rée-", "réeu-", "réeux-", "réeuxo-"}
+    assert features.terms("bcde bcd bc bcde bcdx") == {"bcde", "bcde*2", "bcd", "bc", "bcdx", "bcd-", "bcd-*2", "bcd-*3"}
 
 
 # --- toxicity -------------------------------------------------------------
@@ -112,6 +113,8 @@ def test_nnpu_on_planted_terms():
 def test_found_terms():
     model = toxicity.TermModel({"idiot": 1.0, "réeux-": 2.0, "ach-": 0.5}, -1.0)
     assert model.found("Idiot! réeux RÉEUXON achte ach") == {"idiot", "réeux-", "ach-"}
+    twice = toxicity.TermModel({"idiot*2": 1.0, "réeux-*3": 2.0}, -1.0)
+    assert twice.found("idiot IDIOT réeuxa réeuxb") == {"idiot*2"} and twice.found("réeuxa réeuxa réeuxb") == {"réeux-*3"}
     assert model.found("") == set() and 0 < model.score("") < 0.5
 
 
