@@ -449,3 +449,10 @@ ORACLE["pf_config_caps"] = _with("examples") + (
     "SELECT ex_id, 'train' AS part, true AS in_head FROM examples UNION ALL "
     f"SELECT ex_id, 'eval' AS part, row_number() OVER (ORDER BY ex_id) <= {fixed.MAX_EVAL_SAMPLES} AS in_head FROM examples "
     f"WHERE {d.valid_schema('db_schema')}")
+
+ORACLE["rt_cosine_topk"] = (
+    "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), "
+    "s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS cos FROM v q, v WHERE q.vec_id % 20 = 0) "
+    "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(cos, 6) AS similarity FROM (SELECT *, row_number() OVER "
+    f"(PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank FROM s WHERE cos >= {fixed.SIMILARITY_THRESHOLD}) "
+    f"WHERE rank <= {fixed.TOP_K}")

@@ -486,3 +486,13 @@ def io_tail_by_file_order(spark, sf):
         .select(F.to_json(F.struct("ex_id", "question")).alias("value")).write.text(path)
     rows = jsonl.read_jsonl(spark, path, fields=["ex_id"])
     return curate.tail_split(rows, ["ord"], "ord").select(F.col("ex_id").cast("long").alias("ex_id"), "split")
+
+
+# ---------------------------------------------------------------- retrieval
+@query("rt_cosine_topk")
+def rt_cosine_topk(spark, sf):
+    """The vectors whose id is divisible by 20, as a list of queries, against all vectors."""
+    from tessera.operators.retrieve import MAX_QUERIES, cosine_top_k
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = vectors.filter(F.col("vec_id") % 20 == 0).orderBy("vec_id").limit(MAX_QUERIES + 1).collect()
+    return cosine_top_k(vectors, [(r["vec_id"], r["embedding"]) for r in asked])
