@@ -129,11 +129,15 @@ def membership(text: Column, model: Posterior, classes: int) -> Column:
     @F.arrow_udf("struct<n_tokens:long," + ",".join(f"p{k}:double" for k in range(classes)) + ">")
     def posterior(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.to_pylist()
-            p = model.probabilities(np.stack([model.features(t) for t in texts])) if texts else np.zeros((0, classes))
+            n, parts = [], [np.zeros((0, classes))]
+            for at in range(0, len(batch), 256):
+                texts = batch[at:at + 256].to_pylist()
+                n += [len(t.split()) for t in texts]
+                parts.append(model.probabilities(np.stack([model.features(t) for t in texts])))
+            p = np.concatenate(parts)
             yield pa.StructArray.from_arrays(
-                [pa.array([len(t.split()) for t in texts], pa.int64())]
-                + [pa.array(p[:, k].astype(np.float64)) for k in range(classes)], fields=[pa.field(*f) for f in fields])
+                [pa.array(n, pa.int64())] + [pa.array(p[:, k].astype(np.float64)) for k in range(classes)],
+                fields=[pa.field(*f) for f in fields])
 
     return posterior(F.coalesce(text, F.lit("")))
 

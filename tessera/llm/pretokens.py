@@ -20,7 +20,7 @@ from tessera.llm.common import tokenizer_file
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 SPACES = "\t-\r "
-KEPT = 600_000          # pre-tokens in each of the two generations that a worker remembers
+KEPT = 500_000          # pre-tokens in each of the two generations that a worker remembers
 
 #: The splitting rules that the two vocabulary files name, over
 #: the plain range.  Letters come first, as most pre-tokens start with one.

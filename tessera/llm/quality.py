@@ -90,8 +90,8 @@ def quality_score(text: Column, model: Ranking) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            x = np.stack([shape(t.as_py()) for t in batch]) if len(batch) else np.zeros((0, WIDTH))
-            yield pa.array(model.scores(x).astype(np.float64))
+            parts = [model.scores(np.stack([shape(t.as_py()) for t in batch[at:at + 256]])) for at in range(0, len(batch), 256)]
+            yield pa.array(np.concatenate(parts or [np.zeros(0)]).astype(np.float64))
 
     return score(F.coalesce(text, F.lit("")))
 
