@@ -178,9 +178,11 @@ def test_language_odd_rows(spark):
 # --- mixing ---------------------------------------------------------------
 
 def plain_rates(n, p, targets):
-    """Projected gradient in numpy, on all rows at once."""
+    """Projected gradient in numpy, on all rows at once; a domain that no row
+    may belong to has no target."""
     r = np.ones(len(n))
-    wanted = n.sum() * np.array(targets)
+    wanted = np.where(n @ p > 0, targets, 0.0)
+    wanted *= n.sum() / wanted.sum()
     inverse = np.linalg.pinv((p * n[:, None]).T @ p, rcond=1e-9, hermitian=True)
     for _ in range(25):
         residual = (n * r) @ p - wanted

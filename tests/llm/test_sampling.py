@@ -6,7 +6,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.llm import queries, weighted_sampling as cws
 
@@ -62,15 +61,10 @@ def test_odd_rows(spark):
             (None, "no id"), (8, " \n "), (11, "w " * 4000), (12, "w " * 2000 + "v " * 2000)]
     df = spark.createDataFrame([(i, t, "q", 3) for i, t in rows], "doc_id long, text string, sig string, b int")
     order = sorted(rows, key=lambda r: (r[0] is None, r[0], r[1] or ""))
-    got = cws.fingerprint_edits(df).collect()
-    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], [t for i, t in order if i == r["doc_id"]].index("again five")
-                            if r["n_chars"] == len("again five") else 0))
-    texts = [t or "" for _, t in order]
-    by = sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"] != len(texts[2])))
-    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((i, len(t or "")) for i, t in rows)
-    check(texts, sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0,
-                                            next(k for k, (i, t) in enumerate(order) if i == r["doc_id"] and len(t or "") == r["n_chars"]))))
-    assert by
+    place = {(i, len(t or "")): k for k, (i, t) in enumerate(order)}     # ids repeat, with texts of other lengths
+    got = sorted(cws.fingerprint_edits(df).collect(), key=lambda r: place[r["doc_id"], r["n_chars"]])
+    assert len(place) == len(rows) and [(r["doc_id"], r["n_chars"]) for r in got] == list(place)
+    check([t or "" for _, t in order], got)
     assert cws.fingerprint_edits(df.limit(0)).count() == 0
     one = cws.fingerprint_edits(df.where("doc_id = 11")).first()
     assert one["near_next"] == 1
@@ -101,4 +95,3 @@ def test_native(spark):
 def test_gamma_quantiles():
     x = cws.gamma_quantiles()
     assert abs(x.mean() - 2) < 0.01 and abs(x.var() - 2) < 0.03
-    assert F.lit(1) is not None
