@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tessera.session import scratch_path
 from tessera.sources.tables import table
 
-__all__ = ["table", "materialize", "drop_table", "id_marks", "range_of", "fold", "text_or_empty", "held_out",
+BATCH_ROWS = 1000
+
+__all__ = ["table", "bounded_batches", "materialize", "drop_table", "id_marks", "range_of", "fold", "text_or_empty", "held_out",
            "one_label_per_document", "tokenizer_file"]
 
 
@@ -57,6 +59,15 @@ def range_of(column: str, marks: list[int]) -> Column:
             .otherwise((chunk - 1) * step + upto(inside)).cast("int"))
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Hand texts to Python in batches of ``BATCH_ROWS`` rows instead of
+    Spark's default of 10,000, which suits short rows: a batch is held several
+    times over on its way.  A size that the cluster or the user chose stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import fold, held_out
+from tessera.llm.common import bounded_batches, fold, held_out
 
 WINDOW = 96
 PAD = 256               # a 257th symbol, whose gate keeps the state as it is
@@ -234,6 +234,7 @@ def train(windows: list[np.ndarray], labels: np.ndarray, languages: list[str], h
 def fit_language(docs: DataFrame, per_language: int = 300, windows_each: int = 3, **settings) -> LanguageModel:
     """Train on windows of at most ``per_language`` documents of each language
     outside the hidden fold (a hash of the id decides which)."""
+    bounded_batches(docs)
     seen = docs.where(F.col("lang").isNotNull() & (fold("doc_id", 5) != 0) & has_letter(F.col("text")))
     counts = {r["lang"]: r["count"] for r in seen.groupBy("lang").count().collect()}
     languages = sorted(counts)

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import bounded_batches, materialize
 from tessera.llm.features import WIDTH, shape, telling_terms
 from tessera.llm.toxicity import TermModel
 
@@ -95,6 +95,7 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, ridge: float = 1e-3,
 
 def fit_posterior(docs: DataFrame, domains: DataFrame, classes: int, sample: int = 6000, most_terms: int = 300) -> Posterior:
     """Fit on at most ``sample`` labelled documents, by a hash of their ids."""
+    bounded_batches(docs)
     chosen = domains.orderBy(F.xxhash64("doc_id", F.lit(19)), "doc_id").limit(sample)
     rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
             .join(F.broadcast(chosen.withColumnRenamed("domain", "class")), "doc_id"))  # at most ``sample`` ids

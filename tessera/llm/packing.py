@@ -23,8 +23,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import bounded_batches, text_or_empty
 
+KEPT = 150_000          # pre-tokens in each generation that a worker remembers
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, `offset` long, ids binary"
 
 
@@ -69,6 +70,8 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rule:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id,
     offset, ids (binary, little-endian unsigned 32-bit)."""
 
+    bounded_batches(docs)
+
     def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
@@ -76,7 +79,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rule:
         from tessera.llm.pretokens import worker_encoder
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")]
                            + [("ids", pa.binary())])
-        encoder, end = worker_encoder(tokenizer, rule), end_id.to_bytes(4, "little")
+        encoder, end = worker_encoder(tokenizer, rule, KEPT), end_id.to_bytes(4, "little")
         next_sequence = TaskContext.get().partitionId() << 33
         names: list = []
         ids: list[bytes] = []

@@ -20,7 +20,6 @@ from tessera.llm.common import tokenizer_file
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 SPACES = "\t-\r "
-KEPT = 500_000          # pre-tokens in each of the two generations that a worker remembers
 
 #: The splitting rules that the two vocabulary files name, over
 #: the plain range.  Letters come first, as most pre-tokens start with one.
@@ -59,7 +58,8 @@ class IdEncoder:
     """``encode(texts)``: little-endian unsigned 32-bit ids of each text, as
     the ``tokenizers`` library gives them without added special tokens."""
 
-    def __init__(self, file: str, rule: str):
+    def __init__(self, file: str, rule: str, kept: int = 150_000):
+        """``kept``: pre-tokens in each of the two generations remembered."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # a task has one core
         from tokenizers import Tokenizer
         path = tokenizer_file(file)
@@ -75,7 +75,7 @@ class IdEncoder:
         special = "|".join(re.escape(t["content"]) for t in added) or r"(?!)"
         self.special = re.compile(special).search
         self.beyond = re.compile(f"[^\x00-\x7f{LETTERS}]|{special}").search
-        self.known = Merged(self._merge, {})
+        self.known, self.kept = Merged(self._merge, {}), kept
 
     def _merge(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
@@ -96,7 +96,7 @@ class IdEncoder:
                 whole.append(i)
             else:
                 out[i] = b"".join(map(known, (self.find_ascii if ascii else self.find)(t.lower() if self.lower else t)))
-        if len(self.known) > KEPT:
+        if len(self.known) > self.kept:
             self.known.before = {}
             self.known = Merged(self._merge, self.known)
         for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
@@ -105,6 +105,6 @@ class IdEncoder:
 
 
 @functools.cache
-def worker_encoder(file: str, rule: str) -> IdEncoder:
+def worker_encoder(file: str, rule: str, kept: int) -> IdEncoder:
     """The encoder of this Python worker, which serves many tasks."""
-    return IdEncoder(file, rule)
+    return IdEncoder(file, rule, kept)

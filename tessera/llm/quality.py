@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import held_out, one_label_per_document
+from tessera.llm.common import bounded_batches, held_out, one_label_per_document
 from tessera.llm.features import WIDTH, shape, shape_column, sigmoid
 
 
@@ -77,6 +77,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int,
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, pairs: int = 20_000, ridge: float = 1e-3) -> Ranking:
+    bounded_batches(docs)
     rows = labelled_sample(docs, labels, "quality", 3, 1, sample)
     got = rows.select("doc_id", "label", shape_column(F.col("text")).alias("x")).toPandas().sort_values("doc_id")
     if not len(got):

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import bounded_batches, materialize
 from tessera.llm.components import Links, connected
 
 BITS = 64
@@ -147,6 +147,7 @@ def similar_fingerprints(rows: DataFrame, radius: int = 2, segments: int = 4, ti
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id, fp long, component_id) of every document."""
+    bounded_batches(docs)
     prints = materialize(
         docs.select(F.col("doc_id").cast("long"), fingerprint_column(F.col("text"), words, seed).alias("fp")), "fingerprints")
     first = materialize(

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import tokenizer_file
+from tessera.llm.common import bounded_batches, tokenizer_file
 
 MARK = "▁"          # the model's visible space
 KEPT_WORDS = 400_000     # merged words a worker remembers before starting anew
@@ -103,6 +103,7 @@ def token_count(text: Column, model: str) -> Column:
 
 def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every document."""
+    bounded_batches(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     return (docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"),
                         token_count(F.col("text"), model).alias("n_tokens"))

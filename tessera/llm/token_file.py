@@ -30,12 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tessera.llm.common import drop_table, id_marks, materialize, range_of, text_or_empty, tokenizer_file
+from tessera.llm.common import bounded_batches, drop_table, id_marks, materialize, range_of, text_or_empty, tokenizer_file
 from tessera.session import scratch_path
 
 BLOCKS = ("part long, block long, first long, n_ids long, doc_ids array<long>, lengths array<long>, "
           "control binary, data binary")
 BLOCK_IDS = 1 << 16
+KEPT = 500_000          # pre-tokens in each generation that a worker remembers
 
 
 # --- the coding -----------------------------------------------------------
@@ -90,7 +91,7 @@ def token_ids(docs: DataFrame, tokenizer: str, rule: str, end_id: int, id_type:
         import pyarrow as pa
 
         from tessera.llm.pretokens import worker_encoder
-        encoder, end = worker_encoder(tokenizer, rule), end_id.to_bytes(4, "little")
+        encoder, end = worker_encoder(tokenizer, rule, KEPT), end_id.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
@@ -137,6 +138,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.
     storage that all executors share)."""
     from tokenizers import Tokenizer
     spark = docs.sparkSession
+    bounded_batches(docs)
     largest = max(Tokenizer.from_file(tokenizer_file(tokenizer)).get_vocab_size() - 1, end_id)
     id_type = "<u2" if largest < 1 << 16 else "<u4"
     tokens = materialize(token_ids(docs, tokenizer, rule, end_id, id_type), "token-ids")

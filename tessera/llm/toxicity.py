@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import held_out, materialize, one_label_per_document
+from tessera.llm.common import bounded_batches, held_out, materialize, one_label_per_document
 from tessera.llm.features import LETTERS, STEMS, marked, sigmoid, telling_terms
 
 
@@ -98,6 +98,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 4000,
                  most_terms: int = 1000) -> TermModel:
+    bounded_batches(docs)
     known = one_label_per_document(labels, "toxic").where(~held_out("doc_id", 4, 2))
     by_hash = (F.xxhash64("doc_id", F.lit(13)), F.col("doc_id"))
     share = known.agg(F.avg("label")).first()[0]
