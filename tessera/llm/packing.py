@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import bounded_batches, text_or_empty
 
-KEPT = 150_000          # pre-tokens in each generation that a worker remembers
+KEPT = 300_000          # pre-tokens in each generation that a worker remembers
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, `offset` long, ids binary"
 
 
