@@ -36,7 +36,7 @@ from tessera.session import scratch_path
 BLOCKS = ("part long, block long, first long, n_ids long, doc_ids array<long>, lengths array<long>, "
           "control binary, data binary")
 BLOCK_IDS = 1 << 16
-KEPT = 500_000          # pre-tokens in each generation that a worker remembers
+KEPT = 800_000          # pre-tokens in each generation that a worker remembers
 
 
 # --- the coding -----------------------------------------------------------
