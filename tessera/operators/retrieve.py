@@ -1,23 +1,36 @@
-"""Similarity search: a given list of query vectors against all rows (O-RT-1).
+"""Similarity search: query vectors against all rows (O-RT-1).
 
-The list is the caller's and bounded (``MAX_QUERIES``; a longer one is an
-error, not cut): it travels with the plan, and every corpus row is scored where
-it is scanned.  Each task keeps its k best rows per query before anything is
-shuffled, so a query's final task sees at most k rows per salt.
+``cosine_top_k`` takes a caller's short list (``MAX_QUERIES``; a longer one is
+an error, not cut): it travels with the plan, and every corpus row is scored
+where it is scanned.  Each task keeps its k best rows per query before anything
+is shuffled, so a query's final task sees at most k rows per salt.
+
+``cosine_top_k_of`` takes the queries as a DataFrame of any size.  They are
+written once and dealt evenly into blocks of about ``BLOCK_ROWS``, the corpus
+rows into ``SALTED`` shares; each pair of a block and a share meets in one task,
+which holds the block and reads the share in batches.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed
+from tessera.session import scratch_path
 
 MAX_QUERIES = 1000
 SALTS = 256
+BLOCK_ROWS = 4096       # query vectors that a task holds
+SALTED = 16             # shares of the corpus
+BATCH_ROWS = 512        # corpus rows that a block is scored against at once
+SLACK = 1e-9            # more than a matrix product differs from a sum in order
 
 
 def cosine_top_k(corpus: DataFrame, queries: list[tuple[int, list[float]]], k: int = fixed.TOP_K,
@@ -30,7 +43,8 @@ def cosine_top_k(corpus: DataFrame, queries: list[tuple[int, list[float]]], k: i
     """
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"{len(queries)} query vectors; at most {MAX_QUERIES} travel with a plan")
-    listed = [{"i": int(i), "v": [float(x) for x in v], "n": math.sqrt(sum(float(x) ** 2 for x in v))} for i, v in queries]
+    listed = [{"i": int(i), "v": [float(x) for x in v], "n": math.sqrt(sum(float(x) ** 2 for x in v))} for i, v in queries
+              if v is not None and None not in v]
     q = F.explode(F.from_json(F.lit(json.dumps(listed)), "array<struct<i:bigint,v:array<double>,n:double>>"))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     rows = corpus.select(row_id, F.col(vector).cast("array<double>").alias("_v"))
@@ -44,3 +58,128 @@ def cosine_top_k(corpus: DataFrame, queries: list[tuple[int, list[float]]], k: i
     kept = scored.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k)
     return (kept.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
             .select("query_id", "rank", row_id, F.round("_s", 6).alias("similarity")))
+
+
+def _rows(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, vectors, squared lengths) of the vectors of each width.  Squares
+    and products are added up in the order of the components."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    widths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    start = np.cumsum(widths) - widths
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        rows = flat[start[at][:, None] + np.arange(width)]
+        yield ids.take(pa.array(at)), rows, in_order(rows, rows)
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total
+
+
+class Block:
+    """Query vectors of one width, with the k best rows of each so far."""
+
+    def __init__(self, ids: pa.Array, rows: np.ndarray, squares: np.ndarray, k: int, threshold: float):
+        self.ids, self.rows, self.squares, self.k, self.threshold = ids, rows, squares, k, threshold
+        self.unit = rows / np.sqrt(squares)[:, None]
+        none = np.zeros(0, dtype=np.int64)
+        self.query, self.row, self.null, self.cosine = none, none, none.astype(bool), np.zeros(0)
+
+    def add(self, ids: pa.Array, rows: np.ndarray, squares: np.ndarray) -> None:
+        near = self.unit @ (rows / np.sqrt(squares)[:, None]).T
+        least = np.full(len(self.rows), self.threshold)
+        if len(rows) > self.k:
+            least = np.maximum(least, np.partition(near, len(rows) - self.k, axis=1)[:, len(rows) - self.k])
+        full = np.bincount(self.query, minlength=len(self.rows)) == self.k
+        worst = np.full(len(self.rows), np.inf)
+        np.minimum.at(worst, self.query, self.cosine)
+        least[full] = np.maximum(least, worst)[full]
+        i, j = np.nonzero(near >= least[:, None] - SLACK)
+        cosine = np.empty(len(i))
+        for lo in range(0, len(i), 100_000):
+            a, b = i[lo:lo + 100_000], j[lo:lo + 100_000]
+            cosine[lo:lo + 100_000] = in_order(self.rows[a], rows[b]) / np.sqrt(self.squares[a] * squares[b])
+        kept = cosine >= self.threshold
+        i, j = i[kept], j[kept]
+        if not len(i):
+            return
+        query, cosine = np.concatenate([self.query, i]), np.concatenate([self.cosine, np.minimum(cosine[kept], 1.0)])
+        row = np.concatenate([self.row, ids.fill_null(0).to_numpy()[j]])
+        null = np.concatenate([self.null, ids.is_null().to_numpy(zero_copy_only=False)[j]])
+        order = np.lexsort((row, null, -cosine, query))
+        query = query[order]
+        first = order[np.arange(len(query)) - np.searchsorted(query, query) < self.k]
+        self.query, self.row, self.null, self.cosine = (np.concatenate([own, new])[first] for own, new in (
+            (self.query, i), (self.row, row[len(self.row):]), (self.null, null[len(self.null):]),
+            (self.cosine, cosine[len(self.cosine):])))
+
+    def best(self) -> pa.RecordBatch:
+        return pa.record_batch([self.ids.take(pa.array(self.query)), pa.array(self.row, mask=self.null), pa.array(self.cosine)],
+                               names=["query_id", "row", "_s"])
+
+
+def cosine_top_k_of(corpus: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, threshold: float = fixed.SIMILARITY_THRESHOLD,
+                    row_id: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """As ``cosine_top_k``, for the vectors of ``queries`` (``row_id``,
+    ``vector``), however many.  Rows of one query id share its k places."""
+    spark = corpus.sparkSession
+
+    def usable(df: DataFrame) -> DataFrame:
+        fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+        return df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")) \
+            .filter(fine).filter((squares > 0) & (squares < float("inf")))
+
+    path = scratch_path(spark, "query-vectors")
+    usable(queries).write.parquet(path)
+    asked = spark.read.schema("id long, v array<double>").parquet(path)
+    blocks = -(-asked.count() // block_rows)
+    place = F.monotonically_increasing_id()
+    own, share, cell = F.pmod(place, F.lit(max(1, blocks))), F.pmod(place, F.lit(SALTED)), F.col("_b") * SALTED + F.col("_s")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    held = asked.withColumn("_b", own).withColumn("_s", every(SALTED)).select(cell.alias("cell"), F.lit(0).alias("role"), "id", "v")
+    read = usable(corpus).filter(F.lit(blocks > 0)).withColumn("_s", share).withColumn("_b", every(max(1, blocks))) \
+        .select(cell.alias("cell"), F.lit(1).alias("role"), "id", "v")
+
+    def score(batches: Iterator) -> Iterator:
+        here, waiting, ready = None, [], {}
+
+        def settle() -> None:
+            """The block is complete."""
+            vectors = pa.concat_arrays([x.column(3) for x in waiting])
+            for ids, rows, squares in _rows(pa.concat_arrays([x.column(2) for x in waiting]), vectors):
+                ready[rows.shape[1]] = Block(ids, rows, squares, k, threshold)
+            waiting.clear()
+
+        for batch in batches:
+            cells, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = np.flatnonzero((np.diff(cells) != 0) | (np.diff(role) != 0)) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(cells)], strict=True):
+                if lo == hi:
+                    continue
+                if cells[lo] != here:
+                    yield from (x.best() for x in ready.values())
+                    here = cells[lo]
+                    ready.clear()
+                    waiting.clear()
+                part = batch.slice(lo, hi - lo)
+                if role[lo] == 0:
+                    waiting.append(part)
+                    continue
+                if waiting:
+                    settle()
+                for at in range(0, hi - lo, BATCH_ROWS):
+                    some = part.slice(at, BATCH_ROWS)
+                    for ids, rows, squares in _rows(some.column(2), some.column(3)):
+                        if rows.shape[1] in ready:
+                            ready[rows.shape[1]].add(ids, rows, squares)
+        yield from (x.best() for x in ready.values())
+
+    dealt = held.unionByName(read).repartition(2 * max(1, blocks) * SALTED, "cell").sortWithinPartitions("cell", "role")
+    found = dealt.mapInArrow(score, "query_id long, row long, _s double")
+    last = Window.partitionBy("query_id").orderBy(F.col("_s").desc(), F.col("row").asc_nulls_last())
+    return (found.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
+            .select("query_id", "rank", F.col("row").alias(row_id), F.round("_s", 6).alias("similarity")))

@@ -491,8 +491,7 @@ def io_tail_by_file_order(spark, sf):
 # ---------------------------------------------------------------- retrieval
 @query("rt_cosine_topk")
 def rt_cosine_topk(spark, sf):
-    """The vectors whose id is divisible by 20, as a list of queries, against all vectors."""
-    from tessera.operators.retrieve import MAX_QUERIES, cosine_top_k
+    """The vectors whose id is divisible by 20 against all vectors."""
+    from tessera.operators.retrieve import cosine_top_k_of
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = vectors.filter(F.col("vec_id") % 20 == 0).orderBy("vec_id").limit(MAX_QUERIES + 1).collect()
-    return cosine_top_k(vectors, [(r["vec_id"], r["embedding"]) for r in asked])
+    return cosine_top_k_of(vectors, vectors.filter(F.col("vec_id") % 20 == 0))

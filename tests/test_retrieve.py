@@ -1,7 +1,13 @@
 import math
 
+import duckdb
+import numpy as np
 import pytest
 
+from tessera import fixed
+from tessera.plans.oracle import ORACLE
+from tessera.plans.queries import QUERIES
+
 from tessera.operators import retrieve
 
 VECTORS = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 2.0]), (3, [-1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0]),
@@ -24,3 +30,31 @@ def test_long_list_is_an_error(spark):
     df = spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>")
     with pytest.raises(ValueError):
         retrieve.cosine_top_k(df, [(i, [1.0, 0.0]) for i in range(retrieve.MAX_QUERIES + 1)])
+
+
+def test_queries_of_any_number(spark, tmp_path):
+    """More than MAX_QUERIES queries, null ones and copies, against the oracle."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(22_000, 4)).round(2).tolist()
+    rows = [(i, None if i in (40, 41) else v[i % 21_900]) for i in range(len(v))]
+    assert sum(i % 20 == 0 for i, _ in rows) > retrieve.MAX_QUERIES
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(path)
+    got = [tuple(r) for r in QUERIES["rt_cosine_topk"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert sorted(got) == sorted(con.execute(ORACLE["rt_cosine_topk"]).fetchall())
+
+
+def test_blocks_widths_and_odd_queries(spark):
+    df = spark.createDataFrame(VECTORS + [(9, [float("nan"), 1.0]), (None, [3.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {}
+    for r in retrieve.cosine_top_k_of(df.repartition(3), df, k=3, threshold=fixed.SIMILARITY_THRESHOLD, block_rows=2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["similarity"]))
+    cosine = round(0.9 / math.hypot(0.9, 0.1), 6)
+    first = [(1, 0, 1.0), (2, 7, 1.0), (3, None, 1.0)]
+    assert {q: sorted(x) for q, x in got.items()} == {
+        0: first, 7: first, None: first, 1: [(1, 1, 1.0), (2, 0, cosine), (3, 7, cosine)], 2: [(1, 2, 1.0)],
+        3: [(1, 3, 1.0)], 6: [(1, 6, 1.0)]}
+    assert retrieve.cosine_top_k_of(df, df.limit(0)).count() == 0
+    assert {r["query_id"] for r in retrieve.cosine_top_k(df, [(1, [1.0, 0.0]), (2, None), (3, [1.0, None])]).collect()} == {1}
