@@ -18,15 +18,18 @@ which holds one slice and reads the other side in batches; a vector goes only
 to the cells whose ball it can reach.  Equal vectors are one point that counts
 with its copies, so a large group of copies never meets itself.
 
+Vectors of different lengths never link; each length found gets a job of its
+own, one after the other.
+
 Defined results: a vector that is null, empty, zero, or holds a null or
-non-finite component, one whose length is not the most common one, and one
-with a null id link with nothing: 0 links, a component of their own; repeated
-ids are vectors of their own and keep their rows; an empty table gives an empty
+non-finite component, and one with a null id link with nothing: 0 links, a
+component of their own; repeated ids are vectors of their own and keep their rows; an empty table gives an empty
 result.  Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -316,29 +319,32 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, sample: int = 2048,
                     cell_rows: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     own = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    widths = (own.where(usable(F.col("embedding"))).groupBy(F.size("embedding").alias("width")).count()
-              .orderBy(F.col("count").desc(), "width").limit(1).collect())
-    width = widths[0]["width"] if widths else -1
-    compared = usable(F.col("embedding")) & (F.size("embedding") == width) & F.col("vec_id").isNotNull()
-    # Two independent 64-bit hashes stand for a vector's components.
-    keys = [F.when(compared, F.xxhash64("embedding")).alias("k1"),
+    compared = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
+    # Two independent 64-bit hashes stand for a vector's components, with their number.
+    keys = [F.when(compared, F.size("embedding")).alias("width"), F.when(compared, F.xxhash64("embedding")).alias("k1"),
             F.when(compared, F.xxhash64("embedding", F.lit(31))).alias("k2")]
     points = materialize(
-        own.where(compared).select("vec_id", "embedding", *keys).groupBy("k1", "k2")
+        own.where(compared).select("vec_id", "embedding", *keys).groupBy("width", "k1", "k2")
         .agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "points")
-    if not widths or not points.take(1):
+    widths = [r["width"] for r in points.groupBy("width").count().orderBy("width").collect()]   # one row per width
+    if not widths:
         alone = own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return alone.withColumn("kept", F.lit(True))
-    found = materialize(links_between(points.select("node", "copies", "embedding"), cosine, sample, most_cells, cell_rows),
-                        "vector-links")
-    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    component = connected(found.where("b is not null").select("a", "b"))
-    of_point = (points.select("k1", "k2", "node").join(counts, "node", "left").join(component, "node", "left")
-                .select("k1", "k2", F.greatest(F.coalesce("n", F.lit(1)) - 1, F.lit(0)).alias("n_links"),
+    counts, component = [], []
+    for width in widths:
+        found = materialize(links_between(points.where(F.col("width") == width).select("node", "copies", "embedding"),
+                                          cosine, sample, most_cells, cell_rows), "vector-links")
+        counts.append(found.where("b is null").groupBy(F.lit(width).alias("width"), F.col("a").alias("node"))
+                      .agg(F.sum("n").alias("n")))
+        component.append(connected(found.where("b is not null").select("a", "b")).withColumn("width", F.lit(width)))
+    counts, component = (functools.reduce(DataFrame.unionByName, parts) for parts in (counts, component))
+    of_point = (points.select("width", "k1", "k2", "node").join(counts, ["width", "node"], "left")
+                .join(component, ["width", "node"], "left")
+                .select("width", "k1", "k2", F.greatest(F.coalesce("n", F.lit(1)) - 1, F.lit(0)).alias("n_links"),
                         F.coalesce("component", "node").alias("component_id")))
     # The copies of a frequent vector are on the left side only, which adaptive
     # execution splits.
-    return (own.select("vec_id", *keys).join(of_point, ["k1", "k2"], "left")
+    return (own.select("vec_id", *keys).join(of_point, ["width", "k1", "k2"], "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
                     F.coalesce("component_id", "vec_id").alias("component_id"))
             .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))

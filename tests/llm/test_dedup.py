@@ -1,5 +1,6 @@
 """SimHash and embedding near-duplicates against brute force."""
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -163,6 +164,28 @@ def test_embeddings_odd_rows(spark):
     assert sorted(got.collect(), key=repr) == sorted([(4, 0, 4, True), (None, 0, None, True)], key=repr)
 
 
+def test_embeddings_of_several_widths(spark, tmp_path):
+    """Near vectors of every width, against the oracle; one id has two widths."""
+    rng = np.random.default_rng(5)
+    v = [x.tolist() for n, width in ((80, 8), (60, 3), (2, 5)) for x in clustered(rng, n, width, 0.2)]
+    v += v[80:90] + v[140:141]
+    rows = [(int(i), x) for i, x in zip(rng.permutation(len(v)), v, strict=True)]
+    path = str(tmp_path / "embeddings.parquet")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(path)
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in queries.op3_embeddings(spark, str(tmp_path)).collect()]
+    sql = queries.ORACLE["op3_embeddings"]
+    con, want = duckdb.connect(), []
+    for width in (8, 3, 5):     # DuckDB may take the cosine of a pair before it compares the lengths
+        con.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet') WHERE len(embedding) = {width}")
+        want += con.execute(sql).fetchall()
+    assert sorted(got) == sorted(want)
+    assert sum(n > 0 for i, n, _, _ in got if len(dict(rows)[i]) == 3) > 20
+    both = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (1, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0])], df.schema)
+    assert sorted(tuple(r) for r in emb.near_duplicates(both).collect()) == [
+        (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_embeddings_whole_table(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in queries.op3_embeddings(spark, SF).collect()]
