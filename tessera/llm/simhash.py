@@ -15,9 +15,9 @@ A task keeps only as many links as its components need, and the components of
 all tasks' links are found by Spark.
 
 Defined results: null and empty texts, and texts without a word, have
-fingerprint zero and link like any other; repeated ids each keep their row; a
-row with a null id gets its fingerprint, links with nothing and has a null
-component; an empty table gives an empty result.  Only doc_id and text are
+fingerprint zero and link like any other; repeated ids each keep their row, and
+different texts of one id are different nodes; a row with a null id gets its
+fingerprint, links with nothing and has a null component; an empty table gives an empty result.  Only doc_id and text are
 read; ``keep_first`` passes all other columns through, whatever their names.
 """
 
@@ -145,15 +145,25 @@ def similar_fingerprints(rows: DataFrame, radius: int = 2, segments: int = 4, ti
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long, component_id) of every document."""
+def fingerprints_of(docs: DataFrame, words: int, seed: int) -> DataFrame:
     bounded_batches(docs)
-    prints = materialize(
+    return materialize(
         docs.select(F.col("doc_id").cast("long"), fingerprint_column(F.col("text"), words, seed).alias("fp")), "fingerprints")
-    first = materialize(
-        prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    found = connected(similar_fingerprints(first, radius))
-    component = first.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+
+
+def groups_of(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, group): each fingerprint of ``prints``, its smallest doc_id,
+    and the smallest fingerprint of its component."""
+    first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    found = connected(similar_fingerprints(first.select(F.col("fp").alias("node"), "fp"), radius)).withColumnRenamed("node", "fp")
+    return first.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """(doc_id, fp long, component_id) of every document."""
+    prints = fingerprints_of(docs, words, seed)
+    groups = groups_of(prints.where("doc_id is not null"), radius)
+    component = groups.join(groups.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("fp", "component_id")
     # A frequent fingerprint's rows are on the left side only, which adaptive
     # execution splits.
     return (prints.join(component, "fp", "left")
@@ -165,9 +175,30 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_first(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id; of
-    rows that repeat an id, one stays; rows with a null id stay."""
-    gone = near_duplicates(docs, words, radius, seed)
-    first = gone.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each component: of its smallest doc_id, and of that id's
+    texts in it, the one of the smallest fingerprint.  An id with texts in
+    several components may stay once in each.  Rows with a null id have
+    components of their own, and one row of each stays."""
+    prints = fingerprints_of(docs, words, seed)
+    named = prints.where("doc_id is not null")
+    # Of a component's rows, the smallest id is that of the smallest (least, fp).
+    first = (groups_of(named, radius).groupBy("group").agg(F.min(F.struct("least", "fp")).alias("m"))
+             .select(F.col("m.least").alias("doc_id"), "m.fp"))
+    times = named.groupBy("doc_id").agg((F.count("*") > 1).alias("several"))
+    first = materialize(first.join(times, "doc_id"), "kept-rows")
+    kept = docs.join(first.where("not several").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    fp = "_fp"
+    while fp in docs.columns:
+        fp += "_"
+    # Only rows whose id does not name them need their fingerprint again.
+    several = first.where("several").select("doc_id", F.col("fp").alias(fp))
+    if several.take(1):
+        rows = docs.join(several.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+        rows = rows.withColumn(fp, fingerprint_column(F.col("text"), words, seed)).join(several, ["doc_id", fp], "left_semi")
+        kept = kept.unionByName(rows.dropDuplicates(["doc_id", fp]).select(*docs.columns))
+    nameless = prints.where("doc_id is null")
+    if nameless.take(1):
+        lone = groups_of(nameless, radius).groupBy("group").agg(F.min("fp").alias(fp)).select(fp)
+        rows = docs.where("doc_id is null").withColumn(fp, fingerprint_column(F.col("text"), words, seed)).join(lone, fp, "left_semi")
+        kept = kept.unionByName(rows.dropDuplicates([fp]).select(*docs.columns))
+    return kept

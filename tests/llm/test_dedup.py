@@ -95,6 +95,17 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_first(docs.limit(0)).count() == 0
 
 
+def test_keep_first_by_row(spark):
+    """Texts of one id are rows of their own; copies without an id go."""
+    a, b, c = ("one two three four", "five six seven eight nine", "ten eleven twelve and more")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, "quite another text here"), (4, c), (None, a), (None, a), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_first(docs).collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (4, c), (4, "quite another text here"), (None, a), (None, b)], key=repr)
+    component = {(r["doc_id"], r["fp"] % 2**64): r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert [component[i, plain_fingerprint(t)] for i, t in rows[:6]] == [1, 1, 2, 2, 4, 4]
+
+
 @pytest.mark.parametrize(("segments", "tile_rows"), [(4, 8192), (4, 3), (8, 5), (2, 100)])
 def test_similar_fingerprints(spark, segments, tile_rows):
     rng = np.random.default_rng(segments)
