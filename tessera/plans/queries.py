@@ -482,7 +482,7 @@ def io_tail_by_file_order(spark, sf):
     """Train/dev split by place in the file: examples written in key order to
     one file per range of keys, the last rows of the last file are dev."""
     path = scratch_path(spark, "ordered")
-    fx.examples(spark, sf).repartitionByRange(4, "ex_id").sortWithinPartitions("ex_id") \
+    fx.examples(spark, sf).repartitionByRange("ex_id").sortWithinPartitions("ex_id") \
         .select(F.to_json(F.struct("ex_id", "question")).alias("value")).write.text(path)
     rows = jsonl.read_jsonl(spark, path, fields=["ex_id"])
     return curate.tail_split(rows, ["ord"], "ord").select(F.col("ex_id").cast("long").alias("ex_id"), "split")

@@ -96,3 +96,21 @@ def test_write_report(spark):
     assert summary["metadata"]["schema_pruning"] == {"tested_both": True, "min_tables": 2, "max_columns": 12}
     assert summary["metadata"]["total_examples"] == wide.count() and "evaluated_at" in summary["metadata"]
     assert spark.read.json(f"{out}/results").count() == wide.count()
+
+
+def test_ordered_files_follow_the_session(spark, monkeypatch, tmp_path):
+    from tessera.plans import queries
+    path = str(tmp_path / "ordered")
+    monkeypatch.setattr(queries, "scratch_path", lambda *_: path)
+    settings = {"spark.sql.shuffle.partitions": "6", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = queries.QUERIES["io_tail_by_file_order"](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "ordered").glob("part-*"))) == 6
+    dev = [r["ex_id"] for r in got if r["split"] == "dev"]
+    assert dev and min(dev) > max(r["ex_id"] for r in got if r["split"] != "dev")
