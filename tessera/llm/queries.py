@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import (embedding_dedup, language, mixing, packing, quality, simhash, token_counts, token_file, toxicity,
-                         weighted_sampling)
+from tessera.llm import (embedding_dedup, language, lexical_search, mixing, packing, quality, simhash, spelling, token_counts,
+                         token_file, toxicity, weighted_sampling)
 from tessera.llm.common import table
 
 
@@ -56,12 +56,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), domains)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_embeddings, op4_toxicity, op5_packing, op6_token_file,
-                                   op7_weighted_sampling, op8_language, op9_simhash, op10_mixing)}
+                                   op7_weighted_sampling, op8_language, op9_simhash, op10_mixing, op11_spelling, op12_lexical_search)}
 
 #: DuckDB SQL where it can express an operator: here all pairs of vectors and
 #: what they reach.
-ORACLE: dict[str, str] = {"op3_embeddings": """
+ORACLE: dict[str, str] = {"op12_lexical_search": lexical_search.ORACLE, "op3_embeddings": """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
