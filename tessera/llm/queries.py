@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import (embedding_dedup, language, lexical_search, mixing, packing, quality, simhash, spelling, token_counts,
-                         token_file, toxicity, weighted_sampling)
+from tessera.llm import (embedding_dedup, language, lexical_search, mixing, packing, pii, quality, simhash, spelling,
+                         token_counts, token_file, toxicity, weighted_sampling)
 from tessera.llm.common import table
 
 
@@ -64,8 +64,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_embeddings, op4_toxicity, op5_packing, op6_token_file,
-                                   op7_weighted_sampling, op8_language, op9_simhash, op10_mixing, op11_spelling, op12_lexical_search)}
+                                   op7_weighted_sampling, op8_language, op9_simhash, op10_mixing, op11_spelling, op12_lexical_search,
+                                   op13_pii)}
 
 #: DuckDB SQL where it can express an operator: here all pairs of vectors and
 #: what they reach.
