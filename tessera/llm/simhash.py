@@ -178,7 +178,10 @@ def keep_first(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42)
     """One row of each component: of its smallest doc_id, and of that id's
     texts in it, the one of the smallest fingerprint.  An id with texts in
     several components may stay once in each.  Rows with a null id have
-    components of their own, and one row of each stays."""
+    components of their own, and one row of each stays.
+
+    The texts are joined with the rows to keep by sort-merge at every size:
+    they are shuffled once, and no estimate turns it into a broadcast."""
     prints = fingerprints_of(docs, words, seed)
     named = prints.where("doc_id is not null")
     # Of a component's rows, the smallest id is that of the smallest (least, fp).
@@ -186,19 +189,19 @@ def keep_first(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42)
              .select(F.col("m.least").alias("doc_id"), "m.fp"))
     times = named.groupBy("doc_id").agg((F.count("*") > 1).alias("several"))
     first = materialize(first.join(times, "doc_id"), "kept-rows")
-    kept = docs.join(first.where("not several").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(first.where("not several").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     fp = "_fp"
     while fp in docs.columns:
         fp += "_"
     # Only rows whose id does not name them need their fingerprint again.
     several = first.where("several").select("doc_id", F.col("fp").alias(fp))
     if several.take(1):
-        rows = docs.join(several.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-        rows = rows.withColumn(fp, fingerprint_column(F.col("text"), words, seed)).join(several, ["doc_id", fp], "left_semi")
+        rows = docs.join(several.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+        rows = rows.withColumn(fp, fingerprint_column(F.col("text"), words, seed)).join(several.hint("merge"), ["doc_id", fp], "left_semi")
         kept = kept.unionByName(rows.dropDuplicates(["doc_id", fp]).select(*docs.columns))
     nameless = prints.where("doc_id is null")
     if nameless.take(1):
         lone = groups_of(nameless, radius).groupBy("group").agg(F.min("fp").alias(fp)).select(fp)
-        rows = docs.where("doc_id is null").withColumn(fp, fingerprint_column(F.col("text"), words, seed)).join(lone, fp, "left_semi")
+        rows = docs.where("doc_id is null").withColumn(fp, fingerprint_column(F.col("text"), words, seed)).join(lone.hint("merge"), fp, "left_semi")
         kept = kept.unionByName(rows.dropDuplicates([fp]).select(*docs.columns))
     return kept
