@@ -72,7 +72,9 @@ class Posterior:
         return x
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        logits = (x / self.scale) @ self.weights
+        # Summed row by row: a matrix product depends on the rows of a batch.
+        z = (x / self.scale).astype(np.float64)
+        logits = np.stack([(z * w).sum(axis=1) for w in self.weights.T.astype(np.float64)], axis=1)
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
