@@ -23,7 +23,8 @@ own, one after the other.
 
 Defined results: a vector that is null, empty, zero, or holds a null or
 non-finite component, and one with a null id link with nothing: 0 links, a
-component of their own; repeated ids are vectors of their own and keep their rows; an empty table gives an empty
+component of their own; rows of a repeated id are vectors of their own, which
+link and have a component each by themselves; an empty table gives an empty
 result.  Only vec_id and embedding are read.
 """
 
@@ -207,8 +208,8 @@ def upper_centres(points: np.ndarray, most_cells: int) -> np.ndarray:
 
 def links_between(points: DataFrame, cosine: float, sample: int, most_cells: int, cell_rows: int) -> DataFrame:
     """Rows (a, b, n): with b, a link that components need; without, n copies
-    linked to the point a.  ``points`` has node, copies, embedding."""
-    chosen = points.orderBy(F.xxhash64("node", F.lit(29)), "node").limit(sample).select("embedding").toPandas()["embedding"]
+    linked to the point a.  ``points`` has node, copies, embedding, k1, k2."""
+    chosen = points.orderBy("k1", "k2").limit(sample).select("embedding").toPandas()["embedding"]
     centres = upper_centres(unit(np.stack(chosen.to_numpy()).astype(np.float64)), most_cells)
 
     @F.arrow_udf("struct<cell:int,far:double>")
@@ -325,23 +326,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, sample: int = 2048,
             F.when(compared, F.xxhash64("embedding", F.lit(31))).alias("k2")]
     points = materialize(
         own.where(compared).select("vec_id", "embedding", *keys).groupBy("width", "k1", "k2")
-        .agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "points")
+        .agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+        .withColumn("node", F.monotonically_increasing_id()), "points")     # one node per different vector, written once
     widths = [r["width"] for r in points.groupBy("width").count().orderBy("width").collect()]   # one row per width
     if not widths:
         alone = own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return alone.withColumn("kept", F.lit(True))
     counts, component = [], []
     for width in widths:
-        found = materialize(links_between(points.where(F.col("width") == width).select("node", "copies", "embedding"),
+        found = materialize(links_between(points.where(F.col("width") == width).select("node", "copies", "embedding", "k1", "k2"),
                                           cosine, sample, most_cells, cell_rows), "vector-links")
-        counts.append(found.where("b is null").groupBy(F.lit(width).alias("width"), F.col("a").alias("node"))
-                      .agg(F.sum("n").alias("n")))
-        component.append(connected(found.where("b is not null").select("a", "b")).withColumn("width", F.lit(width)))
+        counts.append(found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")))
+        component.append(connected(found.where("b is not null").select("a", "b")))
     counts, component = (functools.reduce(DataFrame.unionByName, parts) for parts in (counts, component))
-    of_point = (points.select("width", "k1", "k2", "node").join(counts, ["width", "node"], "left")
-                .join(component, ["width", "node"], "left")
-                .select("width", "k1", "k2", F.greatest(F.coalesce("n", F.lit(1)) - 1, F.lit(0)).alias("n_links"),
-                        F.coalesce("component", "node").alias("component_id")))
+    placed = (points.select("width", "k1", "k2", "node", "least").join(counts, "node", "left").join(component, "node", "left")
+              .withColumn("component", F.coalesce("component", "node")))
+    # A component goes by its smallest vec_id.
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_point = placed.join(named, "component").select(
+        "width", "k1", "k2", F.greatest(F.coalesce("n", F.lit(1)) - 1, F.lit(0)).alias("n_links"), "component_id")
     # The copies of a frequent vector are on the left side only, which adaptive
     # execution splits.
     return (own.select("vec_id", *keys).join(of_point, ["width", "k1", "k2"], "left")

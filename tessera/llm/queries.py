@@ -75,19 +75,20 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_embeddings
 #: DuckDB SQL where it can express an operator: here all pairs of vectors and
 #: what they reach.
 ORACLE: dict[str, str] = {"op12_lexical_search": lexical_search.ORACLE, "op3_embeddings": """
-WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+WITH RECURSIVE own AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings),
+v AS (
+  SELECT r, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM own
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS MATERIALIZED (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r
   WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
 reached AS (
-  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  SELECT r AS a, r AS b FROM own
   UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
-component AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
-counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
-SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept
-FROM component c LEFT JOIN counted USING (vec_id)
+component AS (SELECT a AS r, min(vec_id) AS component_id FROM reached JOIN own ON b = r GROUP BY a),
+counted AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM component JOIN own USING (r) LEFT JOIN counted USING (r)
 """}

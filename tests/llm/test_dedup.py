@@ -175,6 +175,23 @@ def test_embeddings_odd_rows(spark):
     assert sorted(got.collect(), key=repr) == sorted([(4, 0, 4, True), (None, 0, None, True)], key=repr)
 
 
+def test_embeddings_of_repeated_ids(spark, tmp_path):
+    """Different vectors of one id, of one width, link and group by themselves;
+    the oracle agrees by row."""
+    a, b, near = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.1, 0.0]
+    rows = [(5, a), (5, b), (6, near), (7, near), (3, b), (5, a), (9, [0.0, 0.0, 1.0]), (9, near)]
+    check_embeddings(spark, rows)
+    rng = np.random.default_rng(8)
+    v = clustered(rng, 200, 6, 0.25)
+    rows = [(int(i), x.tolist()) for i, x in zip(rng.integers(0, 70, 200), v, strict=True)]
+    check_embeddings(spark, rows, cell_rows=30, most_cells=40)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in queries.op3_embeddings(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(queries.ORACLE["op3_embeddings"]).fetchall())
+
+
 def test_embeddings_of_several_widths(spark, tmp_path):
     """Near vectors of every width, against the oracle; one id has two widths."""
     rng = np.random.default_rng(5)
