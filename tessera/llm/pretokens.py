@@ -38,6 +38,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def binary_slices(data: bytes, ends):
+    """Arrow binary column of consecutive slices of ``data``, which end at
+    ``ends[1:]``."""
+    import numpy as np
+    import pyarrow as pa
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.asarray(ends, dtype=np.int32)), pa.py_buffer(data)])
+
+
+def plain_rule_holds(file: dict, rule: str) -> bool:
+    """Whether a vocabulary file splits and normalises as ``RULES`` says."""
+    before, splits = file.get("normalizer"), file.get("pre_tokenizer") or {}
+    if rule == "bytes":
+        return before is None and splits.get("type") == "ByteLevel" and splits["use_regex"] and not splits["add_prefix_space"]
+    steps, parts = (before or {}).get("normalizers", []), splits.get("pretokenizers", [])
+    words = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+    return ([s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and len(parts) == 2 and parts[0] == words
+            and parts[1]["type"] == "ByteLevel" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"])
+
+
 class Merged(dict):
     """Ids of pre-tokens, merged when first asked for.  The generation before
     is asked first; what it still knows moves on to this one."""
@@ -68,11 +87,14 @@ class IdEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         with open(path, encoding="utf-8") as f:
-            added = json.load(f).get("added_tokens", [])
+            content = json.load(f)
+        added = content.get("added_tokens", [])
         self.lower = rule == "words"
         self.find = re.compile(RULES[rule]).findall
         self.find_ascii = re.compile(RULES[rule].replace(LETTERS, "A-Za-z")).findall
         special = "|".join(re.escape(t["content"]) for t in added) or r"(?!)"
+        if not plain_rule_holds(content, rule):
+            special = ""                    # found in every text: all go to the library
         self.special = re.compile(special).search
         self.beyond = re.compile(f"[^\x00-\x7f{LETTERS}]|{special}").search
         self.known, self.kept = Merged(self._merge, {}), kept

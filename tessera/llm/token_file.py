@@ -50,8 +50,9 @@ def _lengths_table() -> np.ndarray:
 LENGTHS = _lengths_table()
 
 
-def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of unsigned 32-bit values."""
+def encode_documents(values: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, bytes, np.ndarray]:
+    """(control, ends, data, ends) of documents of ``lengths`` unsigned 32-bit
+    values each, one after the other; a document begins a control byte."""
     n = len(values)
     size = (values > 0xFF).astype(np.uint8)
     width = 2
@@ -59,12 +60,22 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
         size += values > 0xFFFF
         size += values > 0xFFFFFF
         width = 4
-    codes = np.zeros(-(-n // 4) * 4, dtype=np.uint8)
-    codes[:n] = size
+    ends, padded = np.cumsum(lengths), -(-lengths // 4)
+    begin = np.cumsum(padded) - padded
+    codes = np.zeros(4 * int(padded.sum()), dtype=np.uint8)
+    codes[np.arange(n) + np.repeat(4 * begin - ends + lengths, lengths)] = size
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
     octets = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
-    return control.tobytes(), octets[np.arange(width) <= size[:, None]].tobytes()
+    data = octets[np.arange(width) <= size[:, None]]
+    reached = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[ends] + ends       # bytes up to each document's end
+    return control.tobytes(), np.append(0, np.cumsum(padded)), data.tobytes(), np.append(0, reached)
+
+
+def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
+    """(control, data) of the values of one document."""
+    control, _, data, _ = encode_documents(values, np.array([len(values)]))
+    return control, data
 
 
 def decode_values(control: bytes, data: bytes, lengths: list[int]) -> np.ndarray:
@@ -90,14 +101,16 @@ def token_ids(docs: DataFrame, tokenizer: str, rule: str, end_id: int, id_type:
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from tessera.llm.pretokens import worker_encoder
+        from tessera.llm.pretokens import binary_slices, worker_encoder
         encoder, end = worker_encoder(tokenizer, rule, KEPT), end_id.to_bytes(4, "little")
+        width = np.dtype(id_type).itemsize
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                ids = [np.frombuffer(x + end, dtype="<u4").astype(id_type).tobytes()
-                       for x in encoder.encode(part.column(1).to_pylist())]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                ids = encoder.encode(part.column(1).to_pylist())
+                ends = np.append(0, np.cumsum([len(x) // 4 + 1 for x in ids]))
+                whole = np.frombuffer(end.join([*ids, b""]), dtype="<u4").astype(id_type)
+                yield pa.record_batch([part.column(0), binary_slices(whole.tobytes(), ends * width)], names=["doc_id", "ids"])
 
     return (docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
             .mapInArrow(encode, "doc_id long, ids binary"))
@@ -151,13 +164,17 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.
 
     def code(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from tessera.llm.pretokens import binary_slices
+        width = np.dtype(id_type).itemsize
         for batch in batches:
             for at in range(0, len(batch), 512):
                 own = batch.slice(at, 512)
-                values = [ranks.value[np.frombuffer(x.as_buffer(), dtype=id_type)] for x in own.column(2)]
-                control, data = zip(*map(encode_values, values), strict=True)
-                yield pa.record_batch([own.column(0), own.column(1), pa.array([len(x) for x in values], pa.int64()),
-                                       pa.array(control, pa.binary()), pa.array(data, pa.binary())],
+                lengths = pc.binary_length(own.column(2)).to_numpy().astype(np.int64) // width
+                control, control_ends, data, data_ends = encode_documents(ranks.value[all_values(own.column(2), id_type)], lengths)
+                yield pa.record_batch([own.column(0), own.column(1), pa.array(lengths, pa.int64()),
+                                       binary_slices(control, control_ends), binary_slices(data, data_ends)],
                                       names=["part", "doc_id", "length", "control", "data"])
 
     def block(batches: Iterator) -> Iterator:
@@ -165,26 +182,32 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.
         schema = pa.schema([(c, pa.int64()) for c in ("part", "block", "first", "n_ids")]
                            + [("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
                               ("control", pa.binary()), ("data", pa.binary())])
-        rows: list[dict] = []
+        rows: list = []         # slices of batches, of whole documents
         part, number, first, held = None, 0, 0, 0
 
         def packed():
             nonlocal rows, number, first, held
-            row = {"part": part, "block": number, "first": first, "n_ids": held, "doc_ids": [r["doc_id"] for r in rows],
-                   "lengths": [r["length"] for r in rows], "control": b"".join(r["control"] for r in rows),
-                   "data": b"".join(r["data"] for r in rows)}
+            doc_ids, lengths = (pa.concat_arrays([r.column(k) for r in rows]) for k in (1, 2))
+            streams = [b"".join(all_values(r.column(k), np.uint8).tobytes() for r in rows) for k in (3, 4)]
+            ends = pa.array([0, len(doc_ids)], pa.int32())
+            row = [pa.array([x], pa.int64()) for x in (part, number, first, held)]
+            row += [pa.ListArray.from_arrays(ends, x) for x in (doc_ids, lengths)] + [pa.array([x], pa.binary()) for x in streams]
             rows, number, first, held = [], number + 1, first + held, 0
-            return pa.RecordBatch.from_pylist([row], schema=schema)
+            return pa.RecordBatch.from_arrays(row, schema=schema)
 
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                for r in batch.slice(at, 64).to_pylist():
-                    if rows and (r["part"] != part or held >= BLOCK_IDS):
-                        yield packed()
-                    if r["part"] != part:
-                        part, number, first = r["part"], 0, 0
-                    rows.append(r)
-                    held += r["length"]
+            parts, begin = batch.column(0).to_numpy(), 0
+            for at, (p, n) in enumerate(zip(parts.tolist(), batch.column(2).to_pylist(), strict=True)):
+                if held and (p != part or held >= BLOCK_IDS):
+                    if at > begin:
+                        rows.append(batch.slice(begin, at - begin))
+                    begin = at
+                    yield packed()
+                if p != part:
+                    part, number, first = p, 0, 0
+                held += n
+            if len(batch) > begin:
+                rows.append(batch.slice(begin))
         if rows:
             yield packed()
 
@@ -210,18 +233,19 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator) -> Iterator:
         import pyarrow as pa
+
+        from tessera.llm.pretokens import binary_slices
         base, id_of = shared.value
         for batch in batches:
-            for b in (row for at in range(len(batch)) for row in batch.slice(at, 1).to_pylist()):
-                ids = id_of[decode_values(b["control"], b["data"], b["lengths"])]
-                ends = np.cumsum(np.array(b["lengths"], dtype=np.int64))
-                starts = ends - b["lengths"]
-                raw = ids.tobytes()
+            for at in range(len(batch)):
+                part, first, control, data = (batch.column(k)[at] for k in (0, 1, 5, 6))
+                doc_ids, lengths = (batch.column(k)[at].values for k in (3, 4))
+                n = lengths.to_numpy()
+                ids = id_of[decode_values(control.as_buffer(), data.as_buffer(), n)]
+                ends = np.append(0, np.cumsum(n))
                 yield pa.record_batch([
-                    pa.array(b["doc_ids"], pa.int64()), pa.array(base[b["part"]] + b["first"] + starts, pa.int64()),
-                    pa.array(b["lengths"], pa.int64()),
-                    pa.array([raw[4 * s:4 * e] for s, e in zip(starts, ends, strict=True)], pa.binary()),
-                ], names=["doc_id", "start", "n_tokens", "ids"])
+                    doc_ids, pa.array(base[part.as_py()] + first.as_py() + ends[:-1], pa.int64()), lengths,
+                    binary_slices(ids.tobytes(), 4 * ends)], names=["doc_id", "start", "n_tokens", "ids"])
 
     return (blocks.select("part", "first", "n_ids", "doc_ids", "lengths", "control", "data")
             .mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary"))

@@ -189,3 +189,24 @@ def test_token_file_odd_texts(spark, tmp_path):
 def test_token_file_empty(spark, tmp_path):
     token_file.write_token_file(documents(spark, ["x"]).limit(0), str(tmp_path / "f"))
     assert token_file.read_token_file(spark, str(tmp_path / "f")).collect() == []
+
+
+def test_other_splitting_rules_go_to_the_library(tmp_path):
+    """A vocabulary file whose rules are not the stated ones is not split here."""
+    import json
+
+    from tessera.llm import pretokens
+    from tessera.llm.common import tokenizer_file
+    with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
+        content = json.load(f)
+    assert pretokens.plain_rule_holds(content, "bytes") and not pretokens.plain_rule_holds(content, "words")
+    with open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
+        assert pretokens.plain_rule_holds(json.load(f), "words")
+    content["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(content), encoding="utf-8")
+    from tokenizers import Tokenizer
+    texts = ["two words", "", "again, two words"]
+    want = [e.ids for e in Tokenizer.from_file(str(path)).encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in pretokens.IdEncoder(str(path), "bytes").encode(texts)]
+    assert got == want
