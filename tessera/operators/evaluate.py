@@ -214,3 +214,35 @@ def score_distribution(long: DataFrame) -> DataFrame:
         F.round(F.sum(F.col("score") * F.col("_n")) / F.sum("_n"), 6).alias("avg_score"),
         F.round(F.percentile("score", F.lit(0.5), F.col("_n")), 6).alias("median_score"),
         F.sum("_near").alias("n_near_correct"), F.sum("_exact").alias("n_exact"))
+
+
+def accuracy_rollup(long: DataFrame) -> DataFrame:
+    """level, label, variant, total, n_missing, n_correct, pct, mean_score: per
+    label and variant, per variant, and over all (O-EV-1/3/4 in one pass).
+
+    The long table is aggregated once, per label and variant; the grouping sets
+    run over those few rows.  A label or variant is null where a level sums
+    over it; ``level`` tells that from a null label.
+    """
+    per = long.groupBy("label", "variant").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("missing").alias("n_missing"), F.count_if("correct").alias("n_correct"),
+        F.sum(F.round(F.col("score") * 1_000_000).cast("long")).alias("_score"))
+    sets = per.groupingSets([["label", "variant"], ["variant"], []], "label", "variant").agg(
+        F.grouping_id().alias("_id"), *(F.sum(c).alias(c) for c in ("total", "n_missing", "n_correct", "_score")))
+    level = F.when(F.col("_id") == 0, "label").when(F.col("_id") == 2, "variant").otherwise("all")
+    return sets.filter(F.col("total").isNotNull()).select(
+        level.alias("level"), "label", "variant", "total", "n_missing", "n_correct", _pct(F.col("n_correct"), F.col("total")).alias("pct"),
+        F.round(F.col("_score") / 1_000_000 / F.col("total"), 6).alias("mean_score"))
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str = "ex_id") -> DataFrame:
+    """Write ``df`` at ``path`` as table ``name``, bucketed and sorted by
+    ``key``, and return it.  Tables with the same buckets join, and aggregate
+    by ``key``, without a shuffle.
+
+    Rows are dealt to their buckets first, so a bucket is one file; choose
+    ``buckets`` for the table's size (one task reads one bucket).
+    """
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("errorifexists")
+     .saveAsTable(name))
+    return df.sparkSession.table(name)

@@ -1,20 +1,15 @@
 """Similarity search: query vectors against all rows (O-RT-1).
 
-``cosine_top_k`` takes a caller's short list (``MAX_QUERIES``; a longer one is
-an error, not cut): it travels with the plan, and every corpus row is scored
-where it is scanned.  Each task keeps its k best rows per query before anything
-is shuffled, so a query's final task sees at most k rows per salt.
-
-``cosine_top_k_of`` takes the queries as a DataFrame of any size.  They are
-written once and dealt evenly into blocks of about ``BLOCK_ROWS``, the corpus
-rows into ``SALTED`` shares; each pair of a block and a share meets in one task,
-which holds the block and reads the share in batches.
+The queries are a DataFrame of any size.  They are written once and taken in
+blocks of at most ``BLOCK_ROWS`` vectors; each block travels to the tasks that
+scan the corpus, so corpus rows are never shuffled, whatever the number of
+blocks.  A task keeps the k best rows per query, and only those are shuffled.
+Half of a row's components and the length of the rest bound its cosines
+(Cauchy-Schwarz); a row that no query can use any more is not multiplied out.
 """
 
 from __future__ import annotations
 
-import json
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,41 +20,12 @@ from pyspark.sql import functions as F
 from tessera import fixed
 from tessera.session import scratch_path
 
-MAX_QUERIES = 1000
-SALTS = 256
-BLOCK_ROWS = 4096       # query vectors that a task holds
-SALTED = 16             # shares of the corpus
+BLOCK_ROWS = 4096       # query vectors in a block: 2 MB per 64 components
 BATCH_ROWS = 512        # corpus rows that a block is scored against at once
+SALTS = 64
 SLACK = 1e-9            # more than a matrix product differs from a sum in order
 
 
-def cosine_top_k(corpus: DataFrame, queries: list[tuple[int, list[float]]], k: int = fixed.TOP_K,
-                 threshold: float = fixed.SIMILARITY_THRESHOLD, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, ``row_id``, similarity: for each query the ``k`` rows of
-    the highest cosine that is at least ``threshold``; ties go by id.
-
-    Null vectors, vectors with a null, of another length or of length zero
-    match nothing; a query itself is a row like any other.
-    """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"{len(queries)} query vectors; at most {MAX_QUERIES} travel with a plan")
-    listed = [{"i": int(i), "v": [float(x) for x in v], "n": math.sqrt(sum(float(x) ** 2 for x in v))} for i, v in queries
-              if v is not None and None not in v]
-    q = F.explode(F.from_json(F.lit(json.dumps(listed)), "array<struct<i:bigint,v:array<double>,n:double>>"))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    rows = corpus.select(row_id, F.col(vector).cast("array<double>").alias("_v"))
-    rows = rows.withColumn("_n", F.sqrt(total(F.transform("_v", lambda x: x * x)))).select("*", q.alias("_q"))
-    dot = total(F.zip_with("_v", F.col("_q.v"), lambda a, b: a * b))
-    scored = rows.select(F.col("_q.i").alias("query_id"), row_id, F.try_divide(dot, F.col("_n") * F.col("_q.n")).alias("_s")) \
-        .filter(F.col("_s") >= threshold).withColumn("_salt", F.spark_partition_id() % SALTS)
-    order = [F.col("_s").desc(), F.col(row_id)]
-    first = Window.partitionBy("query_id", "_salt").orderBy(*order)
-    last = Window.partitionBy("query_id").orderBy(*order)
-    kept = scored.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k)
-    return (kept.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", row_id, F.round("_s", 6).alias("similarity")))
-
-
 def _rows(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids, vectors, squared lengths) of the vectors of each width.  Squares
     and products are added up in the order of the components."""
@@ -85,18 +51,29 @@ class Block:
     def __init__(self, ids: pa.Array, rows: np.ndarray, squares: np.ndarray, k: int, threshold: float):
         self.ids, self.rows, self.squares, self.k, self.threshold = ids, rows, squares, k, threshold
         self.unit = rows / np.sqrt(squares)[:, None]
+        self.half = rows.shape[1] // 2
+        self.rest = np.linalg.norm(self.unit[:, self.half:], axis=1)
         none = np.zeros(0, dtype=np.int64)
         self.query, self.row, self.null, self.cosine = none, none, none.astype(bool), np.zeros(0)
 
     def add(self, ids: pa.Array, rows: np.ndarray, squares: np.ndarray) -> None:
-        near = self.unit @ (rows / np.sqrt(squares)[:, None]).T
-        least = np.full(len(self.rows), self.threshold)
-        if len(rows) > self.k:
-            least = np.maximum(least, np.partition(near, len(rows) - self.k, axis=1)[:, len(rows) - self.k])
         full = np.bincount(self.query, minlength=len(self.rows)) == self.k
         worst = np.full(len(self.rows), np.inf)
         np.minimum.at(worst, self.query, self.cosine)
-        least[full] = np.maximum(least, worst)[full]
+        least = np.full(len(self.rows), self.threshold)
+        least[full] = np.maximum(self.threshold, worst)[full]
+        unit = rows / np.sqrt(squares)[:, None]
+        # Half of the components and the lengths of the other halves bound a
+        # cosine; rows that reach no query's least cosine end here.
+        first = self.unit[:, :self.half] @ unit[:, :self.half].T
+        reach = first + self.rest[:, None] * np.linalg.norm(unit[:, self.half:], axis=1)
+        going = np.flatnonzero((reach >= least[:, None] - SLACK).any(axis=0))
+        if not len(going):
+            return
+        ids, rows, squares = ids.take(pa.array(going)), rows[going], squares[going]
+        near = first[:, going] + self.unit[:, self.half:] @ unit[going, self.half:].T
+        if len(rows) > self.k:
+            least = np.maximum(least, np.partition(near, len(rows) - self.k, axis=1)[:, len(rows) - self.k])
         i, j = np.nonzero(near >= least[:, None] - SLACK)
         cosine = np.empty(len(i))
         for lo in range(0, len(i), 100_000):
@@ -121,65 +98,74 @@ class Block:
                                names=["query_id", "row", "_s"])
 
 
-def cosine_top_k_of(corpus: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, threshold: float = fixed.SIMILARITY_THRESHOLD,
-                    row_id: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """As ``cosine_top_k``, for the vectors of ``queries`` (``row_id``,
-    ``vector``), however many.  Rows of one query id share its k places."""
-    spark = corpus.sparkSession
+def _usable(df: DataFrame, row_id: str, vector: str) -> DataFrame:
+    """id, v of the vectors that can match: no null, non-finite or zero ones."""
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    return df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")) \
+        .filter(fine).filter((squares > 0) & (squares < float("inf")))
 
-    def usable(df: DataFrame) -> DataFrame:
-        fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-        return df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")) \
-            .filter(fine).filter((squares > 0) & (squares < float("inf")))
 
-    path = scratch_path(spark, "query-vectors")
-    usable(queries).write.parquet(path)
-    asked = spark.read.schema("id long, v array<double>").parquet(path)
-    blocks = -(-asked.count() // block_rows)
-    place = F.monotonically_increasing_id()
-    own, share, cell = F.pmod(place, F.lit(max(1, blocks))), F.pmod(place, F.lit(SALTED)), F.col("_b") * SALTED + F.col("_s")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    held = asked.withColumn("_b", own).withColumn("_s", every(SALTED)).select(cell.alias("cell"), F.lit(0).alias("role"), "id", "v")
-    read = usable(corpus).filter(F.lit(blocks > 0)).withColumn("_s", share).withColumn("_b", every(max(1, blocks))) \
-        .select(cell.alias("cell"), F.lit(1).alias("role"), "id", "v")
-
-    def score(batches: Iterator) -> Iterator:
-        here, waiting, ready = None, [], {}
-
-        def settle() -> None:
-            """The block is complete."""
-            vectors = pa.concat_arrays([x.column(3) for x in waiting])
-            for ids, rows, squares in _rows(pa.concat_arrays([x.column(2) for x in waiting]), vectors):
-                ready[rows.shape[1]] = Block(ids, rows, squares, k, threshold)
-            waiting.clear()
+def _blocks(asked: DataFrame, block_rows: int) -> Iterator[list]:
+    """(place, vector) of the queries in blocks; the driver holds one partition
+    and one block of them at a time."""
+    held = []
+    for row in asked.toLocalIterator():
+        held.append((row["place"], row["v"]))
+        if len(held) == block_rows:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _search_block(corpus: DataFrame, block: list, k: int, threshold: float) -> DataFrame:
+    """place, row, _s: per task at most ``k`` rows for each query of the block."""
+    held = corpus.sparkSession.sparkContext.broadcast(block)        # at most block_rows vectors
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, vectors = zip(*held.value, strict=True)
+        ready = {rows.shape[1]: Block(ids, rows, squares, k, threshold)
+                 for ids, rows, squares in _rows(pa.array(places, pa.int64()), pa.array(vectors, pa.list_(pa.float64())))}
         for batch in batches:
-            cells, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ends = np.flatnonzero((np.diff(cells) != 0) | (np.diff(role) != 0)) + 1
-            for lo, hi in zip([0, *ends], [*ends, len(cells)], strict=True):
-                if lo == hi:
-                    continue
-                if cells[lo] != here:
-                    yield from (x.best() for x in ready.values())
-                    here = cells[lo]
-                    ready.clear()
-                    waiting.clear()
-                part = batch.slice(lo, hi - lo)
-                if role[lo] == 0:
-                    waiting.append(part)
-                    continue
-                if waiting:
-                    settle()
-                for at in range(0, hi - lo, BATCH_ROWS):
-                    some = part.slice(at, BATCH_ROWS)
-                    for ids, rows, squares in _rows(some.column(2), some.column(3)):
-                        if rows.shape[1] in ready:
-                            ready[rows.shape[1]].add(ids, rows, squares)
-        yield from (x.best() for x in ready.values())
-
-    dealt = held.unionByName(read).repartition(2 * max(1, blocks) * SALTED, "cell").sortWithinPartitions("cell", "role")
-    found = dealt.mapInArrow(score, "query_id long, row long, _s double")
-    last = Window.partitionBy("query_id").orderBy(F.col("_s").desc(), F.col("row").asc_nulls_last())
-    return (found.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", F.col("row").alias(row_id), F.round("_s", 6).alias("similarity")))
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                some = batch.slice(at, BATCH_ROWS)
+                for ids, rows, squares in _rows(some.column(0), some.column(1)):
+                    if rows.shape[1] in ready:
+                        ready[rows.shape[1]].add(ids, rows, squares)
+        for x in ready.values():
+            best = x.best()
+            yield pa.record_batch(best.columns, names=["place", "row", "_s"])
+
+    return corpus.mapInArrow(score, "place long, row long, _s double")
+
+
+def cosine_top_k_of(corpus: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, threshold: float = fixed.SIMILARITY_THRESHOLD,
+                    row_id: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, rank, ``row_id``, similarity: for each query the ``k`` rows of
+    the highest cosine that is at least ``threshold``; ties go by id.
+
+    Null vectors, vectors with a null or non-finite component, of another length
+    or of length zero match nothing; a query itself is a row like any other.
+    Every row of ``queries`` is a query of its own, with ``k`` places of its
+    own, also where an id is repeated or null; a corpus row with a null id comes
+    after those it ties with.
+    """
+    spark = corpus.sparkSession
+    path = scratch_path(spark, "query-vectors")
+    _usable(queries, row_id, vector).withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
+    asked = spark.read.schema("id long, v array<double>, place long").parquet(path)
+    rows = _usable(corpus, row_id, vector)
+    found = asked.select("place", F.col("place").alias("row"), F.lit(0.0).alias("_s")).filter(F.lit(False))
+    for block in _blocks(asked.select("place", "v"), block_rows):
+        part = scratch_path(spark, "cosine-top-k")
+        _search_block(rows, block, k, threshold).write.parquet(part)
+        found = found.unionByName(spark.read.schema("place long, row long, _s double").parquet(part))
+    order = [F.col("_s").desc(), F.col("row").asc_nulls_last()]
+    # A query has k rows of each scan task: first the best of each salt.
+    salted = found.withColumn("_salt", F.spark_partition_id() % SALTS)
+    first, last = Window.partitionBy("place", "_salt").orderBy(*order), Window.partitionBy("place").orderBy(*order)
+    kept = salted.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k)
+    ranked = kept.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
+    return ranked.join(asked.select("place", F.col("id").alias("query_id")), "place").select(
+        "query_id", "rank", F.col("row").alias(row_id), F.round("_s", 6).alias("similarity"))

@@ -456,3 +456,49 @@ ORACLE["rt_cosine_topk"] = (
     "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(cos, 6) AS similarity FROM (SELECT *, row_number() OVER "
     f"(PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank FROM s WHERE cos >= {fixed.SIMILARITY_THRESHOLD}) "
     f"WHERE rank <= {fixed.TOP_K}")
+
+# ---------------------------------------------------------------- ranked context
+_STOPWORDS = "[" + ", ".join(fx.duck_str(w) for w in fixed.STOPWORDS) + "]"
+ORACLE["rt_ranked_context"] = _with("examples", extra=_CARDS + (
+    ",\nplaced AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY schema_id ORDER BY table_pos, card_page) AS place, "
+    "len(string_split_regex(trim(card), '\\s+')) AS n_tok FROM cards),\n"
+    "words AS (SELECT DISTINCT schema_id, place, unnest(regexp_extract_all(replace(lower(card), '_', ' '), '[\\p{L}\\p{N}_]+')) AS token "
+    "FROM placed),\n"
+    f"held AS MATERIALIZED (SELECT * FROM words WHERE length(token) > 1 AND NOT list_contains({_STOPWORDS}, token)),\n"
+    "weights AS (SELECT token, CAST(floor(1000 * ln((2 * (SELECT count(*) FROM placed) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w "
+    "FROM held GROUP BY token),\n"
+    "pairs AS MATERIALIZED (SELECT DISTINCT coalesce(question, '') AS q, md5(coalesce(db_schema, '')) AS schema_id FROM examples),\n"
+    "asked AS (SELECT q, schema_id, unnest(" + d.question_tokens("q") + ") AS token FROM pairs),\n"
+    "scored AS (SELECT q, schema_id, place, sum(w) AS score FROM asked JOIN held USING (schema_id, token) JOIN weights USING (token) "
+    "GROUP BY ALL),\n"
+    "ranked AS (SELECT p.q, schema_id, place, n_tok, table_pos, card_page, card, coalesce(score, 0) AS score, row_number() OVER "
+    "(PARTITION BY p.q, schema_id ORDER BY coalesce(score, 0) DESC, place) AS rank FROM pairs p JOIN placed USING (schema_id) "
+    "LEFT JOIN scored USING (q, schema_id, place)),\n"
+    "running AS (SELECT *, sum(n_tok) OVER (PARTITION BY q, schema_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS run FROM ranked "
+    f"WHERE rank <= {fixed.TOP_K}),\n"
+    "ctx AS (SELECT q, schema_id, count(*) AS n_cards, sum(n_tok) AS context_tokens, max(score) AS best_score, "
+    "string_agg(table_pos || '.' || card_page, ' ' ORDER BY rank) AS cards, string_agg(card, chr(10) || chr(10) ORDER BY rank) AS context "
+    f"FROM running WHERE run <= {CONTEXT_TOKENS} OR rank = 1 GROUP BY ALL)")) + (
+    "SELECT e.ex_id, coalesce(n_cards, 0) AS n_cards, CAST(coalesce(context_tokens, 0) AS BIGINT) AS context_tokens, "
+    "CAST(coalesce(best_score, 0) AS BIGINT) AS best_score, coalesce(ctx.cards, '') AS cards, md5(coalesce(context, '')) AS context_md5 "
+    "FROM examples e LEFT JOIN ctx ON coalesce(e.question, '') = ctx.q AND md5(coalesce(e.db_schema, '')) = ctx.schema_id")
+
+# ---------------------------------------------------------------- selection at any size
+_KEY = "md5('42|' || ex_id)"
+ORACLE["cu_quota_sample"] = _with("examples") + (
+    "SELECT ex_id, query_type FROM (SELECT ex_id, query_type, row_number() OVER (PARTITION BY query_type ORDER BY "
+    f"{_KEY}, ex_id) AS rn, count(*) OVER (PARTITION BY query_type) AS n FROM (SELECT ex_id, " + d.classify('"SQL"') +
+    " AS query_type FROM examples)) WHERE rn <= ceil(n / 10)")
+ORACLE["cu_tail_share"] = _with("examples") + (
+    f"SELECT ex_id, CASE WHEN row_number() OVER (ORDER BY {_KEY} DESC, ex_id DESC) <= floor(count(*) OVER () * 0.1) THEN 'dev' "
+    "ELSE 'train' END AS split FROM examples")
+ORACLE["io_row_number"] = _with("examples") + "SELECT ex_id, row_number() OVER (ORDER BY ex_id) AS row_number FROM examples"
+
+# ---------------------------------------------------------------- one pass over the evaluation, stored tables
+ORACLE["ev_rollup"] = _with("predictions", extra=LONG) + (
+    "SELECT CASE grouping(label, variant) WHEN 0 THEN 'label' WHEN 2 THEN 'variant' ELSE 'all' END AS level, label, variant, "
+    "count(*) AS total, count_if(missing) AS n_missing, count_if(correct) AS n_correct, "
+    "round(count_if(correct)::DOUBLE * 100 / count(*), 6) AS pct, "
+    "round(sum(CAST(round(score * 1000000) AS BIGINT))::DOUBLE / 1000000 / count(*), 6) AS mean_score "
+    "FROM long GROUP BY GROUPING SETS ((label, variant), (variant), ())")
+ORACLE["ev_bucketed"] = ORACLE["ev_overall_accuracy"]

@@ -495,3 +495,63 @@ def rt_cosine_topk(spark, sf):
     from tessera.operators.retrieve import cosine_top_k_of
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return cosine_top_k_of(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query("rt_ranked_context")
+def rt_ranked_context(spark, sf):
+    """The best cards of each question within a budget that some exceed."""
+    from tessera.operators.ranked_context import ranked_context
+    ex = fx.examples(spark, sf)
+    cards = schema_ops.schema_cards(schema_ops.parsed_catalog(ex, mode="observed"))
+    return ranked_context(ex, cards, budget=CONTEXT_TOKENS).select(
+        "ex_id", "n_cards", "context_tokens", "best_score", "cards", F.md5("context").alias("context_md5"))
+
+
+# ---------------------------------------------------------------- selection at any size
+from tessera.operators import selection  # noqa: E402
+
+
+@query("cu_quota_sample")
+def cu_quota_sample(spark, sf):
+    """A tenth of every class, rounded up, by seeded order."""
+    c = curate.with_query_type(fx.examples(spark, sf)).select("ex_id", "query_type")
+    return selection.quota_sample(c, F.ceil(F.col("n") / 10), curate.sample_key(F.col("ex_id")))
+
+
+@query("cu_tail_share")
+def cu_tail_share(spark, sf):
+    """The last tenth of the examples by seeded order is dev."""
+    ex = fx.examples(spark, sf).select("ex_id", curate.sample_key(F.col("ex_id")).alias("shuffle_key"))
+    return selection.tail_share(ex, ["shuffle_key", "ex_id"], 0.1).select("ex_id", "split")
+
+
+@query("io_row_number")
+def io_row_number(spark, sf):
+    """Dense numbers in file order of examples written in key order, a blank
+    line after each."""
+    path = scratch_path(spark, "numbered")
+    fx.examples(spark, sf).repartitionByRange("ex_id").sortWithinPartitions("ex_id") \
+        .select(F.explode(F.array(F.to_json(F.struct("ex_id")), F.lit(""))).alias("value")).write.text(path)
+    rows = jsonl.read_jsonl(spark, path, fields=["ex_id"])
+    return selection.with_row_number(rows, F.col("ord.file"), F.col("ord.split")).select(
+        F.col("ex_id").cast("long").alias("ex_id"), "row_number")
+
+
+@query("ev_rollup")
+def ev_rollup(spark, sf):
+    return ev.accuracy_rollup(_long(spark, sf))
+
+
+BUCKETS = 16
+
+
+@query("ev_bucketed")
+def ev_bucketed(spark, sf):
+    """Overall accuracy from stored tables that share their buckets."""
+    import uuid
+    ex = fx.examples(spark, sf)
+    run = uuid.uuid4().hex[:12]
+    stored = lambda df, name: ev.write_bucketed(df, f"{name}_{run}", scratch_path(spark, name), BUCKETS)
+    samples = stored(ev.prompt_lengths(ex.filter(ev.valid_schema(F.col("db_schema"))), mode="observed"), "samples")
+    predictions = stored(fx.predictions_from(ex), "predictions")
+    return ev.overall_accuracy(ev.wide_results(ev.evaluate(None, predictions, samples=samples)))
