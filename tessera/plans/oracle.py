@@ -502,3 +502,19 @@ ORACLE["ev_rollup"] = _with("predictions", extra=LONG) + (
     "round(sum(CAST(round(score * 1000000) AS BIGINT))::DOUBLE / 1000000 / count(*), 6) AS mean_score "
     "FROM long GROUP BY GROUPING SETS ((label, variant), (variant), ())")
 ORACLE["ev_bucketed"] = ORACLE["ev_overall_accuracy"]
+
+ORACLE["cu_near_overlap"] = _with("examples", "targets", extra=SPLIT + (
+    ",\nwords AS (SELECT ex_id, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', question, \"SQL\")), '[\\p{L}\\p{N}_]+'))) AS w "
+    f"FROM examples WHERE {d.valid_schema('db_schema')}),\n"
+    "tr AS MATERIALIZED (SELECT DISTINCT list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', question, \"SQL\")), "
+    "'[\\p{L}\\p{N}_]+'))) AS w FROM split WHERE split = 'train'),\n"
+    "te AS MATERIALIZED (SELECT DISTINCT w FROM words),\n"
+    "pair AS (SELECT te.w, len(list_intersect(te.w, tr.w)) AS c, len(te.w) + len(tr.w) AS s FROM te, tr WHERE len(te.w) > 0 AND len(tr.w) > 0 "
+    "AND 5 * len(te.w) >= 4 * len(tr.w) AND 5 * len(tr.w) >= 4 * len(te.w)),\n"
+    "near AS (SELECT w, count(*) AS n, max(c::DOUBLE / (s - c)) AS j FROM pair WHERE 5 * c >= 4 * (s - c) GROUP BY w)")) + (
+    "SELECT ex_id, coalesce(n, 0) AS n_near, round(coalesce(j, 0.0), 6) AS similarity FROM words LEFT JOIN near USING (w)")
+
+ORACLE["io_rejects"] = _with("examples") + (
+    "SELECT kind, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, count(*) AS n_counted FROM ("
+    "SELECT CASE WHEN ex_id % 5 = 0 THEN 'malformed' ELSE 'record' END AS kind, CASE WHEN ex_id % 5 = 0 THEN 9 ELSE ex_id END AS v FROM examples "
+    "UNION ALL SELECT 'blank', 2 FROM examples WHERE ex_id % 3 = 0 UNION ALL SELECT 'comment', 7 FROM examples WHERE ex_id % 3 = 1) GROUP BY kind")

@@ -106,10 +106,12 @@ def sc_sql_features(spark, sf):
 
 @query("sc_semantic_score")
 def sc_semantic_score(spark, sf):
-    # The texts are joined while they are narrow; features are taken after.
+    # One row per example meets its answers; its own features are taken once,
+    # after the join and before the answers are spread out.
     ex = fx.examples(spark, sf).select("ex_id", F.col("SQL").alias("gt_sql"))
-    j = fx.predictions(spark, sf).join(ex.hint("merge"), "ex_id")
-    j = with_sql_features(with_sql_features(j, "gt_sql", "gt_f"), "raw_answer", "p_f")
+    answers = fx.predictions(spark, sf).groupBy("ex_id").agg(F.collect_list(F.struct("variant", "raw_answer")).alias("a"))  # one per variant
+    j = with_sql_features(ex.hint("merge").join(answers, "ex_id"), "gt_sql", "gt_f")
+    j = with_sql_features(j.select("ex_id", "gt_f", F.explode("a").alias("a")).select("ex_id", "gt_f", "a.*"), "raw_answer", "p_f")
     s = j.select("ex_id", "variant", semantic_score(F.col("p_f"), F.col("gt_f")).alias("s"))
     return s.select("ex_id", "variant", F.round("s", 6).alias("score"), near_correct(F.col("s")).alias("near_correct"))
 
@@ -555,3 +557,32 @@ def ev_bucketed(spark, sf):
     samples = stored(ev.prompt_lengths(ex.filter(ev.valid_schema(F.col("db_schema"))), mode="observed"), "samples")
     predictions = stored(fx.predictions_from(ex), "predictions")
     return ev.overall_accuracy(ev.wide_results(ev.evaluate(None, predictions, samples=samples)))
+
+
+@query("cu_near_overlap")
+def cu_near_overlap(spark, sf):
+    """Test examples against the training set: question and SQL together share
+    four fifths of their words."""
+    from tessera.operators.near_overlap import near_overlap
+    test = fx.examples(spark, sf).filter(ev.valid_schema(F.col("db_schema")))
+    return near_overlap(test, _split(spark, sf).filter(F.col("split") == "train"), "question", "SQL")
+
+
+@query("io_rejects")
+def io_rejects(spark, sf):
+    """Lines of each kind, from the tables and as counted while they passed;
+    each example is a record, or by a rule on its key a broken line, with a
+    blank or a comment line after some."""
+    ex = fx.examples(spark, sf)
+    record = F.to_json(F.struct("ex_id", "question"))
+    line = F.when(F.col("ex_id") % 5 == 0, F.left(record, F.lit(9))).otherwise(record)
+    after = F.when(F.col("ex_id") % 3 == 0, F.array(F.lit("  "))).when(F.col("ex_id") % 3 == 1, F.array(F.lit(" # note")))
+    lines = ex.select(F.explode(F.concat(F.array(line), F.coalesce(after, F.array().cast("array<string>")))).alias("value"))
+    path = scratch_path(spark, "mixed-lines")
+    lines.write.text(path)
+    records, rejects, counts = jsonl.read_with_rejects(spark, path, fields=["ex_id"])
+    found = records.select(F.lit("record").alias("kind"), F.col("ex_id").cast("long").alias("v")).unionByName(
+        rejects.select("kind", F.length("value").cast("long").alias("v")))
+    counted = F.create_map(*(F.lit(x) for kv in counts.items() for x in kv))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")) \
+        .withColumn("n_counted", counted[F.col("kind")])

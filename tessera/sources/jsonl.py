@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip
+from tessera.session import scratch_path
 
 EXAMPLE_FIELDS = ["ex_id", "db_id", "question", "SQL", "db_schema", "query_type", "query_type_name"]
 RECORD = "map<string,variant>"
@@ -28,10 +29,14 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _lines(spark: SparkSession, path: str, skip_comments: bool) -> DataFrame:
-    t = spark.read.text(path).select(
+def _every_line(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(
         "value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
                           F.monotonically_increasing_id().alias("row")).alias("ord"))
+
+
+def _lines(spark: SparkSession, path: str, skip_comments: bool) -> DataFrame:
+    t = _every_line(spark, path)
     s = strip(F.col("value"))
     keep = (s != "") & ~s.startswith("#") if skip_comments else s != ""
     return t.filter(keep).withColumn("record", F.from_json("value", RECORD))
@@ -63,6 +68,37 @@ def read_jsonl(spark: SparkSession, path: str, skip_comments: bool = False, fiel
     return t.select("ord", *(["record"] if keep_record else []), *(field(f).alias(f) for f in fields))
 
 
+KINDS = ("record", "malformed", "comment", "blank")
+
+
+def read_with_rejects(spark: SparkSession, path: str, skip_comments: bool = True,
+                      fields: list[str] = EXAMPLE_FIELDS) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(records, rejects, counts) of a JSON-lines file or folder, from one scan.
+
+    Every line is sorted into one of ``KINDS`` and written to a table in the
+    session's scratch folder, a folder per kind; the counts are taken as the
+    lines pass.  ``records`` has what ``read_jsonl`` gives; ``rejects`` (kind,
+    ord, value) all other lines.  With ``skip_comments=False`` a ``#`` line is
+    malformed.
+    """
+    s = strip(F.col("value"))
+    lines = _every_line(spark, path).withColumn("record", F.from_json("value", RECORD))
+    kind = F.when(s == "", "blank").when(s.startswith("#") & F.lit(skip_comments), "comment") \
+        .when(F.col("record").isNull(), "malformed").otherwise("record")
+    seen = Observation()
+    sorted_lines = lines.withColumn("kind", kind).observe(
+        seen, *(F.count_if(F.col("kind") == k).alias(k) for k in KINDS))
+    folder = scratch_path(spark, "json-lines")
+    kept = F.col("kind") != "record"
+    sorted_lines.select("kind", "ord", F.when(kept, F.col("value")).alias("value"),
+                        *(F.when(~kept, field(f)).alias(f) for f in fields)).write.partitionBy("kind").parquet(folder)
+    back = spark.read.schema(f"ord {ORD}, value string, " + ", ".join(f"`{f}` string" for f in fields) + ", kind string").parquet(folder) \
+        if sum(seen.get.values()) else spark.createDataFrame([], f"ord {ORD}, value string, " + ", ".join(
+            f"`{f}` string" for f in fields) + ", kind string")
+    return (back.filter(F.col("kind") == "record").select("ord", *fields),
+            back.filter(F.col("kind") != "record").select("kind", "ord", "value"), dict(seen.get))
+
+
 def malformed_lines(spark: SparkSession, path: str, skip_comments: bool = False) -> DataFrame:
     """file, n_malformed: lines that are no JSON object."""
     t = _lines(spark, path, skip_comments).filter(F.col("record").isNull())

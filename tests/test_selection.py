@@ -133,3 +133,48 @@ def test_rollup_agrees_with_the_reports(spark):
     assert up["all", None, None]["total"] == 4 * overall["total"]
     for r in QUERIES["ev_accuracy_by_type"](spark, SF).collect():
         assert [up["label", r["label"], v]["n_correct"] for v in ev.VARIANT_NAMES] == [r[f"{v}_n"] for v in ev.VARIANT_NAMES]
+
+
+# --- near overlap ---------------------------------------------------------
+
+def test_near_overlap_by_brute_force(spark):
+    """Random sets over few and many words, with copies; one word in all."""
+    from tessera.operators import near_overlap as no
+    rnd = random.Random(2)
+    def text(i):
+        n = rnd.randint(0, 14)
+        own = rnd.sample(range(16), min(n, 16)) if i % 2 else [rnd.randint(0, 400) for _ in range(n)]
+        return " ".join(["every"] * (i % 7 > 0) + [f"w{x}" for x in own])
+    train = [text(i) for i in range(150)]
+    test = [text(i) for i in range(100)] + train[:40] + [t.replace("w1 ", "w2 ") for t in train[:40]] + ["", None]
+    a = spark.createDataFrame(list(enumerate(test)), "ex_id long, t string").repartition(3)
+    b = spark.createDataFrame([(t,) for t in train + train[:30]], "t string")
+    sets = {frozenset(t.split()) for t in train} - {frozenset()}
+    want = {}
+    for i, t in enumerate(test):
+        own = set((t or "").split())
+        near = [len(own & s) / len(own | s) for s in sets if own and 5 * len(own & s) >= 4 * len(own | s)]
+        want[i] = (len(near), round(max(near, default=0.0), 6))
+    got = {r["ex_id"]: (r["n_near"], r["similarity"]) for r in no.near_overlap(a, b, "t").collect()}
+    assert got == want and sum(n > 0 for n, _ in want.values()) > 60
+    assert no.near_overlap(a.limit(0), b, "t").count() == 0
+    assert {r["n_near"] for r in no.near_overlap(a, b.limit(0), "t").collect()} == {0}
+
+
+# --- rejected lines -------------------------------------------------------
+
+def test_rejects(spark, tmp_path):
+    from tessera.sources import jsonl
+    lines = ['{"ex_id": 1, "SQL": "a"}', "", "   ", "# note", '{"ex_id": 2, "sql": "b"', "[1]", '{"ex_id": 3, "sql": "c"}', "plain"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    records, rejects, counts = jsonl.read_with_rejects(spark, str(tmp_path / "in"), fields=["ex_id", "SQL"])
+    assert sorted((r["ex_id"], r["SQL"]) for r in records.collect()) == [("1", "a"), ("3", "c")]
+    assert sorted((r["kind"], r["value"]) for r in rejects.collect()) == [
+        ("blank", ""), ("blank", "   "), ("comment", "# note"), ("malformed", "[1]"), ("malformed", "plain"), ("malformed", '{"ex_id": 2, "sql": "b"')]
+    assert counts == {"record": 2, "malformed": 3, "comment": 1, "blank": 2}
+    assert jsonl.read_with_rejects(spark, str(tmp_path / "in"), skip_comments=False, fields=["ex_id"])[2]["malformed"] == 4
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.jsonl").write_text("", encoding="utf-8")
+    records, rejects, counts = jsonl.read_with_rejects(spark, str(tmp_path / "none"))
+    assert records.count() == rejects.count() == 0 and set(counts.values()) == {0}
