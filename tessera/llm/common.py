@@ -12,7 +12,7 @@ from tessera.sources.tables import table
 BATCH_ROWS = 1000
 
 __all__ = ["table", "bounded_batches", "materialize", "drop_table", "id_marks", "range_of", "fold", "text_or_empty", "held_out",
-           "one_label_per_document", "tokenizer_file"]
+           "one_label_per_document", "one_text_per_document", "tokenizer_file"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -62,10 +62,17 @@ def range_of(column: str, marks: list[int]) -> Column:
 def bounded_batches(df: DataFrame) -> None:
     """Hand texts to Python in batches of ``BATCH_ROWS`` rows instead of
     Spark's default of 10,000, which suits short rows: a batch is held several
-    times over on its way.  A size that the cluster or the user chose stays."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(BATCH_ROWS))
+    times over on its way.  A size that the cluster or the user chose stays,
+    the default's own number included."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def one_text_per_document(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, text: of several texts of one id the smallest, so that a sample
+    of ids is as bounded in rows.  Combined before the shuffle."""
+    return rows.groupBy(*keys).agg(F.min("text").alias("text"))
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import bounded_batches, fold, held_out
+from tessera.llm.common import bounded_batches, fold, held_out, one_text_per_document
 
 WINDOW = 96
 PAD = 256               # a 257th symbol, whose gate keeps the state as it is
@@ -253,6 +253,7 @@ def fit_language(docs: DataFrame, per_language: int = 300, windows_each: int = 3
             out.append([raw[s:s + WINDOW] for s in sorted(set(starts.tolist()))])
         return pa.array(out, pa.list_(pa.binary()))
 
+    taken = one_text_per_document(taken, "doc_id", "lang")
     rows = taken.select("doc_id", "lang", pieces("doc_id", "text").alias("pieces")).toPandas().sort_values(["doc_id", "lang"])
     windows = [np.frombuffer(w, dtype=np.uint8) for own in rows["pieces"] for w in own]
     place = {k: i for i, k in enumerate(languages)}

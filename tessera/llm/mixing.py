@@ -28,6 +28,7 @@ columns pass through unchanged, whatever their names.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import bounded_batches, materialize
+from tessera.llm.common import bounded_batches, materialize, one_text_per_document
 from tessera.llm.features import WIDTH, shape, telling_terms
 from tessera.llm.toxicity import TermModel
 
@@ -43,6 +44,10 @@ from tessera.llm.toxicity import TermModel
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
 
+#: Targets count as met when every domain's total is this near, as a share of
+#: all tokens.
+MET = 1e-3
+
 
 def domain_labels(labels: DataFrame) -> DataFrame:
     """(doc_id, domain) from the ``labels`` table: toxic, else poor, else good."""
@@ -101,7 +106,7 @@ def fit_posterior(docs: DataFrame, domains: DataFrame, classes: int, sample: int
     chosen = domains.orderBy(F.xxhash64("doc_id", F.lit(19)), "doc_id").limit(sample)
     rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
             .join(F.broadcast(chosen.withColumnRenamed("domain", "class")), "doc_id"))  # at most ``sample`` ids
-    rows = materialize(rows, "mixing-sample")
+    rows = materialize(one_text_per_document(rows, "doc_id", "class"), "mixing-sample")
     per_class = telling_terms(rows, classes, list(range(classes)), most_terms)
     terms = sorted(set().union(*per_class))
     blank = Posterior(terms, np.ones(WIDTH + len(terms) + 1), np.zeros((WIDTH + len(terms) + 1, classes)))
@@ -154,10 +159,12 @@ def rate_column(steps: list[np.ndarray], p: list[Column]) -> Column:
     return rate
 
 
-def fit_rates(members: DataFrame, targets: list[float], iterations: int = 25, tolerance: float = 1e-9) -> list[np.ndarray]:
-    """Gradient steps (short vectors, one per iteration) of the rates that
-    match ``targets`` (shares of all tokens).  ``members`` has n_tokens and p0,
-    p1, ...; it is read once per iteration."""
+def fit_rates(members: DataFrame, targets: list[float], iterations: int = 25, tolerance: float = 1e-9) -> tuple[list[np.ndarray], float]:
+    """(steps, gap): gradient steps (short vectors, one per iteration) of the
+    rates that match ``targets`` (shares of all tokens), and the largest gap
+    that is left, as a share.  Targets that are not met after ``iterations`` of
+    them, or that no rates can meet, end with a warning that names the gap.  ``members`` has n_tokens and p0, p1,
+    ...; it is read once per iteration."""
     classes = len(targets)
     p, n = [F.col(f"p{k}") for k in range(classes)], F.col("n_tokens").cast("double")
     pairs = [(i, j) for i in range(classes) for j in range(i, classes)]
@@ -165,7 +172,7 @@ def fit_rates(members: DataFrame, targets: list[float], iterations: int = 25, to
                         *(F.sum(n * p[k]).alias(f"s{k}") for k in range(classes))).first()
     total = first["n"] or 0.0
     if not total:
-        return []
+        return [], 0.0
     present = np.array([first[f"s{k}"] > 1e-9 * total for k in range(classes)])
     wanted = np.where(present, targets, 0.0)
     wanted = total * wanted / max(wanted.sum(), 1e-12)
@@ -183,7 +190,10 @@ def fit_rates(members: DataFrame, targets: list[float], iterations: int = 25, to
         row = members.select(*p, (n * rate_column(steps, p)).alias("w")).agg(
             *(F.sum(F.col("w") * p[k]).alias(f"s{k}") for k in range(classes))).first()
         now = np.array([row[f"s{k}"] for k in range(classes)])
-    return steps
+    gap = float(np.abs(np.where(present, now - wanted, 0.0)).max() / total)
+    if gap > MET:
+        warnings.warn(f"mixing: targets not met, a domain is {gap:.4f} of all tokens away", stacklevel=2)
+    return steps, gap
 
 
 def copies_column(rate: Column, doc_id: Column) -> Column:
@@ -197,7 +207,7 @@ def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float]
     model = fit_posterior(docs, domains, len(names))
     members = materialize(
         docs.select("doc_id", membership(F.col("text"), model, len(names)).alias("m")).select("doc_id", "m.*"), "membership")
-    steps = fit_rates(members, [targets[k] for k in names])
+    steps, _ = fit_rates(members, [targets[k] for k in names])
     p = [F.col(f"p{k}") for k in range(len(names))]
     return (members.withColumn("rate", rate_column(steps, p))
             .select("doc_id", "n_tokens", *(p[k].alias(f"p_{x}") for k, x in enumerate(names)), "rate",
@@ -212,7 +222,7 @@ def mix_documents(docs: DataFrame, domains: DataFrame, targets: dict[str, float]
     # The posteriors are written once, for the iterations; the second pass over
     # the texts finds the same values again, which saves a join on all texts.
     members = materialize(docs.select(member.alias("m")).select("m.*"), "membership")
-    steps = fit_rates(members, [targets[k] for k in names])
+    steps, _ = fit_rates(members, [targets[k] for k in names])
     inner = "_mixing"
     while inner in docs.columns:
         inner += "_"

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import bounded_batches, held_out, one_label_per_document
+from tessera.llm.common import bounded_batches, held_out, one_label_per_document, one_text_per_document
 from tessera.llm.features import WIDTH, shape, shape_column, sigmoid
 
 
@@ -70,12 +70,13 @@ def fit_pairs(x: np.ndarray, better: np.ndarray, pairs: int, ridge: float, seed:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, hidden: int, sample: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``sample`` labelled documents outside
-    the hidden fold, chosen by a hash of their ids."""
+    """(doc_id, label, text) of at most ``sample`` labelled documents outside
+    the hidden fold, chosen by a hash of their ids, one text of each."""
     known = one_label_per_document(labels, column).where(~held_out("doc_id", folds, hidden))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
-    return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
             .join(F.broadcast(chosen), "doc_id"))  # at most ``sample`` ids
+    return one_text_per_document(rows, "doc_id", "label")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, pairs: int = 20_000, ridge: float = 1e-3) -> Ranking:

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import bounded_batches, held_out, materialize, one_label_per_document
+from tessera.llm.common import bounded_batches, held_out, materialize, one_label_per_document, one_text_per_document
 from tessera.llm.features import LETTERS, STEMS, marked, sigmoid, telling_terms
 
 
@@ -70,10 +70,16 @@ class TermModel:
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05,
-             ridge: float = 1e-4, beta: float = 0.1, gamma: float = 1.0) -> tuple[np.ndarray, float]:
+             ridge: float = 1e-4, beta: float | None = None, gamma: float = 1.0,
+             risks: list[float] | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative PU risk's minimiser (Adam over the
     whole sample; the rate falls to a tenth, so that the two kinds of step
-    settle)."""
+    settle).
+
+    A clean risk below -``beta`` is corrected.  It cannot fall below the prior
+    times the positives' loss, so the tolerance grows with the prior: by default
+    0.9 of it, 0.1 at most.  ``risks`` takes the clean risk of every step."""
+    beta = min(0.1, 0.9 * prior) if beta is None else beta
     with_one = lambda x: np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     p, u = with_one(positive), with_one(unlabelled)
     w = np.zeros(p.shape[1])
@@ -83,6 +89,8 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         fp, fu = p @ w, u @ w
         # Logistic loss: l(+) = log(1 + e^-f), l(-) = log(1 + e^f).
         clean_risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        if risks is not None:
+            risks.append(float(clean_risk))
         clean_gradient = u.T @ sigmoid(fu) / len(u) - prior * (p.T @ sigmoid(fp)) / len(p)
         if clean_risk < -beta:
             gradient = -gamma * clean_gradient
@@ -109,8 +117,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, unla
     anyone = (docs.select("doc_id").where(~held_out("doc_id", 4, 2)).orderBy(*by_hash).limit(unlabelled)
               .select("doc_id", F.lit(0).alias("class")))
     # Both sides are bounded by the sample sizes.
-    sample = materialize(texts.join(F.broadcast(confirmed.unionByName(anyone)), "doc_id")
-                         .dropDuplicates(["class", "text"]), "toxicity-sample")
+    sample = texts.join(F.broadcast(confirmed.unionByName(anyone).distinct()), "doc_id")
+    sample = materialize(one_text_per_document(sample, "doc_id", "class").dropDuplicates(["class", "text"]), "toxicity-sample")
     chosen = telling_terms(sample, 2, [1], most_terms, least=5, lift=0.5 / float(share))[0]
     if not chosen:
         return TermModel({}, float(np.log(share / (1 - share))) if share < 1 else 60.0)

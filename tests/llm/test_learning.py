@@ -1,6 +1,7 @@
 """Learned operators: gradients and risks against plain formulas, held-out
 accuracy on the tables, defined results for odd rows."""
 
+import warnings
 import zlib
 
 import numpy as np
@@ -62,6 +63,26 @@ def test_pair_loss_is_minimal():
     # The threshold is the quantile of the poor share.
     assert abs((model.scores(x) < 0.5).mean() - (better == 0).mean()) < 0.01
     assert (quality.fit_pairs(x, np.ones(200, dtype=int), 10, 1e-2).scores(x) == 0.5).all()
+    # The weights are those of plain gradient descent on the same pairs' loss.
+    rng, scale = np.random.default_rng(7), x.std(axis=0) + 1e-3
+    z = (x / scale).astype(np.float64)
+    d = z[rng.choice(np.flatnonzero(better == 1), 3000)] - z[rng.choice(np.flatnonzero(better == 0), 3000)]
+    w = np.zeros(5)
+    for _ in range(4000):
+        w -= 0.2 * (1e-2 * w - d.T @ (1 / (1 + np.exp(d @ w))) / 3000)
+    assert np.allclose(model.weights * scale, w, atol=1e-3)
+
+
+def test_scores_do_not_depend_on_the_batch():
+    """A text scores the same alone, among 7 and among 256."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(256, features.WIDTH)).astype(np.float32)
+    ranking = quality.Ranking(rng.normal(size=features.WIDTH), 0.3)
+    posterior = mixing.Posterior([], np.ones(features.WIDTH + 1), rng.normal(size=(features.WIDTH + 1, 3)))
+    rows = np.hstack([x, np.ones((256, 1), dtype=np.float32)])
+    for f, data in ((ranking.scores, x), (posterior.probabilities, rows)):
+        whole = f(data)
+        assert all((f(data[i:i + n]) == whole[i:i + n]).all() for n in (1, 7) for i in range(0, 256, n))
 
 
 @pytest.mark.parametrize("rows", [LABELS, [], [(1, 1, 0, "a")]])
@@ -110,6 +131,31 @@ def test_nnpu_on_planted_terms():
     assert (score[kind] >= 0.3).mean() > 0.85 and (score[~kind] < 0.3).mean() > 0.95
 
 
+def test_nnpu_risk_and_correction():
+    """The recorded risk is the plain formula's, and a sample that overfits
+    drives it below the tolerance, also with few positives."""
+    for prior in (0.2, 0.01):
+        rng = np.random.default_rng(9)
+        p, u = (rng.random((n, 60)) < 0.3 for n in (20, 40))
+        p, u = p.astype(np.float32), u.astype(np.float32)
+        risks = []
+        toxicity.fit_nnpu(p, u, prior, risks=risks)
+        f = np.log(prior / (1 - prior))
+        assert np.isclose(risks[0], np.log(1 + np.exp(f)) - prior * np.log(1 + np.exp(f)))
+        assert any(r < -min(0.1, 0.9 * prior) for r in risks)
+        free = []
+        toxicity.fit_nnpu(p, u, prior, beta=np.inf, risks=free)
+        assert min(free) < min(risks)                   # the correction holds the risk back
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """One id on very many texts gives one row."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    got = quality.labelled_sample(docs, labels, "quality", 3, 99, 10).collect()
+    assert sorted((r["doc_id"], r["text"], r["label"]) for r in got) == [(1, "text 0", 1), (2, "other", 0), (3, "", 1)]
+
+
 def test_found_terms():
     model = toxicity.TermModel({"idiot": 1.0, "réeux-": 2.0, "ach-": 0.5}, -1.0)
     assert model.found("Idiot! réeux RÉEUXON achte ach") == {"idiot", "réeux-", "ach-"}
@@ -198,13 +244,19 @@ def test_rates(spark, targets):
     p = rng.dirichlet([0.4, 0.3, 0.2], 300)
     n = rng.integers(0, 500, 300)
     members = spark.createDataFrame([(int(k), *map(float, x)) for k, x in zip(n, p, strict=True)], "n_tokens long, p0 double, p1 double, p2 double")
-    steps = mixing.fit_rates(members, targets)
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        steps, gap = mixing.fit_rates(members, targets)
+    said = [w for w in said if "mixing" in str(w.message)]
+    assert (gap > mixing.MET) == bool(said)
     rate = mixing.rate_column(steps, [F.col(f"p{k}") for k in range(3)])
     got = np.array([r[0] for r in members.select(rate).collect()])
     assert (got >= 0).all() and np.allclose(got, plain_rates(n.astype(float), p, targets), atol=1e-6)
     if targets == [0.2, 0.5, 0.3]:                       # within what the posteriors allow
-        assert np.allclose((n * got) @ p / n.sum(), targets, atol=1e-6)
+        assert np.allclose((n * got) @ p / n.sum(), targets, atol=1e-6) and not said
     else:                                                # closer than the corpus as it is
+        assert np.isclose(gap, np.abs((n * got) @ p / n.sum() - targets).max(), atol=1e-9)
+        assert targets != [0.0, 0.0, 1.0] or said        # no rates meet it
         assert np.abs((n * got) @ p / n.sum() - targets).max() < 0.3 * np.abs(n @ p / n.sum() - targets).max()
 
 
