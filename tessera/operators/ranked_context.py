@@ -44,9 +44,8 @@ def postings(placed: DataFrame) -> DataFrame:
     """schema_id, token, place, weight: weight = floor(1000 ln((2 N + 2) /
     (2 df + 1))) over the N cards of the catalog; no row where it is 0."""
     found = placed.select("schema_id", "place", F.explode(card_tokens(F.col("card"))).alias("token"))
-    total = placed.agg(F.count(F.lit(1)).alias("_total"))                       # one row
-    weight = F.floor(1000 * F.log((2 * F.col("_total") + 2).cast("double") / (2 * F.col("_df") + 1)))
-    weights = (found.groupBy("token").agg(F.count(F.lit(1)).alias("_df")).join(F.broadcast(total))
+    weight = F.floor(1000 * F.log(F.lit(2.0 * placed.count() + 2) / (2 * F.col("_df") + 1)))
+    weights = (found.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
                .select("token", weight.alias("weight")).filter(F.col("weight") > 0))
     return found.join(weights.hint("merge"), "token")
 
