@@ -518,3 +518,23 @@ ORACLE["io_rejects"] = _with("examples") + (
     "SELECT kind, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, count(*) AS n_counted FROM ("
     "SELECT CASE WHEN ex_id % 5 = 0 THEN 'malformed' ELSE 'record' END AS kind, CASE WHEN ex_id % 5 = 0 THEN 9 ELSE ex_id END AS v FROM examples "
     "UNION ALL SELECT 'blank', 2 FROM examples WHERE ex_id % 3 = 0 UNION ALL SELECT 'comment', 7 FROM examples WHERE ex_id % 3 = 1) GROUP BY kind")
+
+# ---------------------------------------------------------------- large catalogs, sketches, pruning on a stream
+_PRUNED_DOC = CATALOG_DOC.replace("catd AS", "catd AS MATERIALIZED") + (
+    ",\ndpair AS MATERIALIZED (SELECT DISTINCT coalesce(question, '') AS question, coalesce(db_schema, '') AS s FROM examples),\n"
+    "dtok AS MATERIALIZED (SELECT dpair.*, " + d.question_tokens("question") + " AS tok, c.tables FROM dpair JOIN catd c USING (s)),"
+    + d.prune_documented_ctes("dtok", *fixed.PRUNE_EVAL))
+
+ORACLE["sch_fk_closure"] = _with("examples", extra=_PRUNED_DOC) + (
+    "SELECT md5(s) AS schema_id, md5(question) AS question_md5, table_key, CASE WHEN list_contains(matched, table_key) THEN 'matched' "
+    "WHEN list_contains(step2, table_key) THEN 'referenced' WHEN list_contains(step3, table_key) THEN 'referencing' ELSE 'added' END AS step "
+    "FROM (SELECT question, s, unnest(selected) AS table_key FROM d4) JOIN d3 USING (question, s)")
+
+ORACLE["ev_score_sketch"] = _with("predictions", extra=LONG) + (
+    "SELECT variant, label, count(*) AS n, min(score) AS min_score, max(score) AS max_score, true AS median_within, true AS p90_within "
+    "FROM long GROUP BY variant, label")
+
+ORACLE["st_prune_stream"] = _with("examples", extra=_PRUNED_DOC + (
+    ",\nshown AS (SELECT e.ex_id, e.question, CASE WHEN coalesce(p.text, '') = '' THEN e.db_schema ELSE p.text END AS pruned_schema "
+    "FROM examples e LEFT JOIN pruned p ON coalesce(e.question, '') = p.question AND coalesce(e.db_schema, '') = p.s)")) + (
+    "SELECT ex_id, pruned_schema, md5(" + fx.duck_eval_prompt("question", "pruned_schema") + ") AS prompt_md5 FROM shown")

@@ -586,3 +586,47 @@ def io_rejects(spark, sf):
     counted = F.create_map(*(F.lit(x) for kv in counts.items() for x in kv))
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")) \
         .withColumn("n_counted", counted[F.col("kind")])
+
+
+@query("sch_fk_closure")
+def sch_fk_closure(spark, sf):
+    """The tables that each distinct question over a schema needs, by joins."""
+    from tessera.operators import fk_closure
+    ex = fx.examples(spark, sf)
+    path = scratch_path(spark, "schema-catalog")
+    schema_ops.parsed_catalog(ex, mode="documented").select("schema_id", "tables").write.parquet(path)
+    catalog = spark.read.parquet(path)
+    pairs = fk_closure.question_pairs(ex)
+    selected = fk_closure.select_tables(pairs, fk_closure.table_rows(catalog), fk_closure.edge_rows(catalog), fixed.PRUNE_EVAL[0])
+    return selected.join(pairs.select("pair", F.md5("question").alias("question_md5")).hint("merge"), "pair") \
+        .select("schema_id", "question_md5", "table_key", "step")
+
+
+@query("ev_score_sketch")
+def ev_score_sketch(spark, sf):
+    """Sketches of two runs (by a rule on the key), stored and merged, and
+    whether the merged quantiles keep their bound."""
+    from tessera.operators import score_sketch as sk
+    path = scratch_path(spark, "scores")
+    _long(spark, sf).select((F.col("ex_id") % 2).alias("run"), "variant", "label", "score").write.parquet(path)
+    scores, runs = spark.read.parquet(path), scratch_path(spark, "score-sketches")
+    sk.score_sketches(scores, "run").write.partitionBy("run").parquet(runs)
+    found = sk.sketch_quantiles(sk.merge_score_sketches(spark.read.parquet(runs)), min_score=0, median=0.5, p90=0.9, max_score=1)
+    for name, q in (("median", 0.5), ("p90", 0.9)):
+        errors = sk.rank_errors(scores, found, name, q)
+        found = found.join(errors.select("variant", "label", (F.col("rank_error") <= sk.RANK_ERROR).alias(f"{name}_within")),
+                           ["variant", "label"])
+    return found.select("variant", "label", "n", "min_score", "max_score", "median_within", "p90_within")
+
+
+@query("st_prune_stream")
+def st_prune_stream(spark, sf):
+    """Examples that arrive in three parts, each taken up by a query started
+    anew from the checkpoint."""
+    from tessera.streaming import schema_stream
+    ex = fx.examples(spark, sf)
+    src, out, catalog, ckpt = (scratch_path(spark, f"prune-{n}") for n in ("src", "out", "catalog", "ckpt"))
+    for part in range(3):
+        ex.filter(F.col("ex_id") % 3 == part).write.mode("append").parquet(src)
+        schema_stream.prune_stream(spark, src, ex.schema, out, catalog, ckpt).awaitTermination()
+    return schema_stream.read_epochs(spark, out).select("ex_id", "pruned_schema", F.md5("prompt").alias("prompt_md5"))

@@ -4,7 +4,7 @@ from tessera.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 SIDE_EFFECT = {"io_jsonl_roundtrip", "st_classify_stream", "st_class_counts_stream", "io_write_jsonl", "io_prefer_source",
-               "io_require_source", "io_tail_by_file_order"}
+               "io_require_source", "io_tail_by_file_order", "st_prune_stream"}
 
 
 def plan(df) -> str:
