@@ -166,11 +166,12 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        from tessera.llm.pretokens import binary_slices
+        from tessera.llm.pretokens import binary_slices, worker_encoder
+        worker_encoder.cache_clear()        # all ids are known; a worker's pre-tokens take some 200 MB
         width = np.dtype(id_type).itemsize
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                own = batch.slice(at, 512)
+            for at in range(0, len(batch), 128):
+                own = batch.slice(at, 128)
                 lengths = pc.binary_length(own.column(2)).to_numpy().astype(np.int64) // width
                 control, control_ends, data, data_ends = encode_documents(ranks.value[all_values(own.column(2), id_type)], lengths)
                 yield pa.record_batch([own.column(0), own.column(1), pa.array(lengths, pa.int64()),
