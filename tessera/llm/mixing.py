@@ -3,7 +3,9 @@
 A softmax classifier, fitted on a labelled table, gives every document its
 posterior over domains.  Each document gets a nonnegative rate (expected number
 of copies) such that the domains' expected token totals, the sums of
-rate * tokens * posterior, match the targets in least squares.
+rate * tokens * posterior, match the targets in least squares.  Tokens are the
+ids of a public vocabulary, by default the one that packing uses, so the shares
+hold for the sequences that training sees.
 
 The rates are found by projected gradient from rate 1 for every document.  With
 M the tokens-weighted second moment of the posteriors, the residual is measured
@@ -38,12 +40,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.common import bounded_batches, materialize, one_text_per_document
 from tessera.llm.features import WIDTH, shape, telling_terms
+from tessera.llm.packing import KEPT
 from tessera.llm.toxicity import TermModel
 
 #: Domain numbers and their share of the mixed corpus' tokens.
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
 
+#: Vocabulary file whose ids are counted, and its splitting rule.
+TOKENIZER, RULE = "byte_bpe_50k.json", "bytes"
+
 #: Targets count as met when every domain's total is this near, as a share of
 #: all tokens.
 MET = 1e-3
@@ -129,18 +135,21 @@ def fit_posterior(docs: DataFrame, domains: DataFrame, classes: int, sample: int
     return Posterior(terms, scale, weights)
 
 
-def membership(text: Column, model: Posterior, classes: int) -> Column:
-    """struct<n_tokens long, p0 double, p1 double, ...>: white-space separated
-    tokens and domain posteriors of a text."""
+def membership(text: Column, model: Posterior, classes: int, tokenizer: str = TOKENIZER, rule: str = RULE) -> Column:
+    """struct<n_tokens long, p0 double, p1 double, ...>: a text's tokens by
+    ``tokenizer`` (without special tokens) and its domain posteriors.  Without a
+    ``tokenizer`` nothing is counted, and n_tokens is null."""
     fields = [("n_tokens", pa.int64())] + [(f"p{k}", pa.float64()) for k in range(classes)]
 
     @F.arrow_udf("struct<n_tokens:long," + ",".join(f"p{k}:double" for k in range(classes)) + ">")
     def posterior(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from tessera.llm.pretokens import worker_encoder
+        count = worker_encoder(tokenizer, rule, KEPT).count if tokenizer else lambda texts: [None] * len(texts)
         for batch in batches:
             n, parts = [], [np.zeros((0, classes))]
             for at in range(0, len(batch), 256):
                 texts = batch[at:at + 256].to_pylist()
-                n += [len(t.split()) for t in texts]
+                n += count(texts)
                 parts.append(model.probabilities(np.stack([model.features(t) for t in texts])))
             p = np.concatenate(parts)
             yield pa.StructArray.from_arrays(
@@ -201,12 +210,13 @@ def copies_column(rate: Column, doc_id: Column) -> Column:
     return F.floor(rate + share).cast("long")
 
 
-def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGETS,
+                 tokenizer: str = TOKENIZER, rule: str = RULE) -> DataFrame:
     """(doc_id, n_tokens, p_<domain>..., rate, copies) of every document."""
     names = list(targets)
     model = fit_posterior(docs, domains, len(names))
     members = materialize(
-        docs.select("doc_id", membership(F.col("text"), model, len(names)).alias("m")).select("doc_id", "m.*"), "membership")
+        docs.select("doc_id", membership(F.col("text"), model, len(names), tokenizer, rule).alias("m")).select("doc_id", "m.*"), "membership")
     steps, _ = fit_rates(members, [targets[k] for k in names])
     p = [F.col(f"p{k}") for k in range(len(names))]
     return (members.withColumn("rate", rate_column(steps, p))
@@ -214,20 +224,22 @@ def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float]
                     copies_column(F.col("rate"), F.col("doc_id")).alias("copies")))
 
 
-def mix_documents(docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mix_documents(docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGETS,
+                  tokenizer: str = TOKENIZER, rule: str = RULE) -> DataFrame:
     """The documents with each row as often as its copies say (0: dropped)."""
     names = list(targets)
     model = fit_posterior(docs, domains, len(names))
-    member = membership(F.col("text"), model, len(names))
-    # The posteriors are written once, for the iterations; the second pass over
-    # the texts finds the same values again, which saves a join on all texts.
-    members = materialize(docs.select(member.alias("m")).select("m.*"), "membership")
+    # Tokens and posteriors are written once, for the iterations; the second
+    # pass over the texts needs the posteriors alone, which it finds again: that
+    # saves a join on all texts.
+    counted = membership(F.col("text"), model, len(names), tokenizer, rule)
+    members = materialize(docs.select(counted.alias("m")).select("m.*"), "membership")
     steps, _ = fit_rates(members, [targets[k] for k in names])
     inner = "_mixing"
     while inner in docs.columns:
         inner += "_"
     p = [F.col(f"{inner}.p{k}") for k in range(len(names))]
     copies = copies_column(rate_column(steps, p), F.col("doc_id"))
-    return (docs.withColumn(inner, member)
+    return (docs.withColumn(inner, membership(F.col("text"), model, len(names), tokenizer=""))
             .withColumn(inner, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
             .select(*(docs[c] for c in docs.columns)))

@@ -125,6 +125,24 @@ class IdEncoder:
             out[i] = ids
         return out
 
+    def count(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text, without putting the ids together."""
+        out = [0] * len(texts)
+        whole = []
+        known = self.known.__getitem__
+        for i, t in enumerate(texts):
+            ascii = t.isascii()
+            if self.special(t) if ascii else self.beyond(t):
+                whole.append(i)
+            else:
+                out[i] = sum(map(len, map(known, (self.find_ascii if ascii else self.find)(t.lower() if self.lower else t)))) // 4
+        if len(self.known) > self.kept:
+            self.known.before = {}
+            self.known = Merged(self._merge, self.known)
+        for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
+            out[i] = len(ids) // 4
+        return out
+
 
 @functools.cache
 def worker_encoder(file: str, rule: str, kept: int) -> IdEncoder:

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_tokens import library
 
 from tessera.llm import features, language, mixing, quality, queries, toxicity
 from tessera.llm.common import table
@@ -260,6 +261,11 @@ def test_rates(spark, targets):
         assert np.abs((n * got) @ p / n.sum() - targets).max() < 0.3 * np.abs(n @ p / n.sum() - targets).max()
 
 
+def token_counts(texts):
+    encoded = library("byte_bpe_50k.json").encode_batch([t or "" for t in texts], add_special_tokens=False)
+    return [len(e.ids) for e in encoded]
+
+
 def test_mixing_table(spark):
     docs = table(spark, SF, "documents")
     got = queries.op10_mixing(spark, SF).toPandas()
@@ -267,8 +273,8 @@ def test_mixing_table(spark):
     p = got[["p_good", "p_poor", "p_toxic"]].to_numpy()
     assert np.allclose(p.sum(axis=1), 1) and (got["rate"] >= 0).all()
     n = got["n_tokens"].to_numpy()
-    texts = {r["doc_id"]: len(r["text"].split()) for r in docs.collect()}
-    assert dict(zip(got["doc_id"], n, strict=True)) == texts
+    rows = docs.collect()
+    assert dict(zip(got["doc_id"], n, strict=True)) == dict(zip([r["doc_id"] for r in rows], token_counts([r["text"] for r in rows]), strict=True))
     share = (n * got["rate"].to_numpy()) @ p / n.sum()
     assert np.allclose(share, list(mixing.TARGETS.values()), atol=1e-6)
     assert (np.abs(got["copies"] - got["rate"]) < 1).all()
@@ -281,6 +287,8 @@ def test_mixing_odd_rows(spark, rows):
     rates = mixing.mixing_rates(docs, domains)
     got = rates.collect()
     assert len(got) == len(ODD) and all(r["rate"] >= 0 and r["copies"] >= 0 for r in got)
+    # A text without spaces has as many tokens as the vocabulary gives it.
+    assert sorted(r["n_tokens"] for r in got) == sorted(token_counts([t for _, t, _ in ODD]))
     mixed = mixing.mix_documents(docs, domains)
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r["copies"] for r in got)

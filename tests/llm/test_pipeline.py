@@ -70,7 +70,7 @@ def test_mixing_stage(spark, stages):
     names = list(cp.TARGETS)
     model = mixing.fit_posterior(before, mixing.domain_labels(table(spark, SF, "labels")), len(names))
     docs = before.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 40)) / float(1 << 40)).collect()
-    n = np.array([len(r["text"].split()) for r in docs], dtype=float)
+    n = np.array([len(library("byte_bpe_50k.json").encode(r["text"], add_special_tokens=False).ids) for r in docs], dtype=float)
     p = model.probabilities(np.stack([model.features(r["text"]) for r in docs])).astype(np.float64)
     copies = np.floor(plain_rates(n, p, list(cp.TARGETS.values())) + [r["u"] for r in docs])
     got = Counter(r["doc_id"] for r in after.collect())

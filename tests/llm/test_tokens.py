@@ -79,6 +79,7 @@ def test_any_text(texts):
     for name, rule in (("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")):
         got = [np.frombuffer(x, "<u4").tolist() for x in encoder(name, rule).encode(texts)]
         assert got == [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+        assert encoder(name, rule).count(texts) == [len(x) for x in got]
 
 
 @pytest.mark.parametrize(("name", "rule"), [("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")])
