@@ -67,16 +67,16 @@ def rows_not_in(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
     null rules: nothing is kept if the list holds a null, and a null key only
     if the list is empty.
 
-    The list is made distinct and anti-joined by shuffle; whether it holds a
-    null is asked once beforehand (a scan that stops at the first one).
+    The list is made distinct and anti-joined by shuffle; how many rows and
+    nulls it holds are scalar subqueries of the same plan, so no job runs before
+    the result is asked for, and a list that changes until then is read anew.
     """
-    item = listed.columns[0]
-    if listed.filter(F.col(item).isNull()).take(1):
-        return rows.limit(0)
-    if not listed.take(1):
-        return rows
-    keys = listed.select(F.col(item).alias(key)).distinct()
-    return rows.filter(F.col(key).isNotNull()).join(keys.hint("merge"), key, "left_anti")
+    item = F.col(listed.columns[0])
+    n_listed = listed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_nulls = listed.agg(F.count_if(item.isNull()).alias("n")).scalar()
+    keys = listed.select(item.alias(key)).distinct()
+    kept = rows.filter((n_nulls == 0) & (F.col(key).isNotNull() | (n_listed == 0)))
+    return kept.join(keys.hint("merge"), key, "left_anti")
 
 
 @wl("wl_4plus_table_join",

@@ -52,6 +52,19 @@ def test_not_in_null_rules(spark):
     assert rows_not_in(rows, "k", listed.limit(0)).count() == 3
 
 
+def test_not_in_runs_no_job_before_its_result(spark, tmp_path):
+    from tessera.plans.workload import rows_not_in
+    spark.range(3).selectExpr("int(id) AS x").write.parquet(str(tmp_path / "listed"))
+    listed = spark.read.schema("x int").parquet(str(tmp_path / "listed"))
+    spark.sparkContext.setJobGroup("not-in", "building the plan")
+    try:
+        got = rows_not_in(spark.range(5).selectExpr("int(id) AS k"), "k", listed)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("not-in")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["k"] for r in got.collect()) == [3, 4]
+
+
 def test_sample_ranks_narrow_rows_and_deficit_needs_no_scan(spark):
     p = plan(QUERIES["cu_balanced_dataset"](spark, SF))
     scans = [x for x in p.split("\n") if "FileScan parquet" in x]
