@@ -58,19 +58,19 @@ def plain_rule_holds(file: dict, rule: str) -> bool:
 
 
 class Merged(dict):
-    """Ids of pre-tokens, merged when first asked for.  The generation before
+    """Ids of pre-tokens, or their number, found when first asked for.  The generation before
     is asked first; what it still knows moves on to this one."""
 
     def __init__(self, merge, before: dict):
         super().__init__()
         self.merge, self.before = merge, before
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.before.get(word)
-        if ids is None:
-            ids = self.merge(word)
-        self[word] = ids
-        return ids
+    def __missing__(self, word: str):
+        found = self.before.get(word)
+        if found is None:
+            found = self.merge(word)
+        self[word] = found
+        return found
 
 
 class IdEncoder:
@@ -98,6 +98,7 @@ class IdEncoder:
         self.special = re.compile(special).search
         self.beyond = re.compile(f"[^\x00-\x7f{LETTERS}]|{special}").search
         self.known, self.kept = Merged(self._merge, {}), kept
+        self.sizes = Merged(self._size, {})
 
     def _merge(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
@@ -125,20 +126,24 @@ class IdEncoder:
             out[i] = ids
         return out
 
+    def _size(self, word: str) -> int:
+        return len(self._merge(word)) // 4
+
     def count(self, texts: list[str]) -> list[int]:
-        """The number of ids of each text, without putting the ids together."""
+        """The number of ids of each text.  Sizes of pre-tokens are remembered
+        apart from their ids: they take less memory, and less to add up."""
         out = [0] * len(texts)
         whole = []
-        known = self.known.__getitem__
+        size = self.sizes.__getitem__
         for i, t in enumerate(texts):
             ascii = t.isascii()
             if self.special(t) if ascii else self.beyond(t):
                 whole.append(i)
             else:
-                out[i] = sum(map(len, map(known, (self.find_ascii if ascii else self.find)(t.lower() if self.lower else t)))) // 4
-        if len(self.known) > self.kept:
-            self.known.before = {}
-            self.known = Merged(self._merge, self.known)
+                out[i] = sum(map(size, (self.find_ascii if ascii else self.find)(t.lower() if self.lower else t)))
+        if len(self.sizes) > self.kept:
+            self.sizes.before = {}
+            self.sizes = Merged(self._size, self.sizes)
         for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
             out[i] = len(ids) // 4
         return out
