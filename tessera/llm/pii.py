@@ -11,8 +11,11 @@ The trees learn from the corpus itself: a candidate that is a base span of its
 kind is a positive; one that the base pattern matched as such and dropped, or
 that crosses base spans, or that no pattern touched, a negative; one inside a
 longer match that was dropped, or an address written around its ``@``, is what
-they are meant to decide, and teaches nothing.  The fit takes at most ``sample``
-candidates by a hash of their features (numbers; no text reaches the driver).
+they are meant to decide, and teaches nothing.  The fit takes every candidate
+that teaches, equal ones as one row with their number, in Spark: a level of a
+tree is one job that sums gradients per node, feature and code, in whole
+numbers, so that neither order nor partitions change a tree; the driver gets
+these sums (at most ``CUTS`` + 1 a node and feature) and picks the splits.
 Scores of two-fold cross fitting calibrate a threshold per kind: the smallest at
 which ``precision`` of the candidates above it are positives.  A kind without
 ``LEAST`` candidates of both sorts adds nothing.
@@ -21,8 +24,8 @@ Base spans stay.  An added span crosses none of them, and of added spans that
 cross each other the one of the higher score (then the longer, the earlier, the
 kind listed first) goes before: a span goes if a better one crosses it.
 
-The main path is DataFrame functions only, without a shuffle (the fit shuffles its sample).  Digits and their
-punctuation are cut out of a text as regions first, as no match of these kinds
+All of it is DataFrame functions, the search without a shuffle (the fit shuffles
+counts of equal candidates).  Digits and their punctuation are cut out of a text as regions first, as no match of these kinds
 crosses a region's end; every pattern is bounded or possessive, so that a long
 run of digits or letters is read once.  A candidate has at least seven
 characters, so only ``NEAR`` neighbours in the order of starts can cross it.
@@ -42,6 +45,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.schema_text import let
 from tessera.llm.features import sigmoid
+from tessera.session import scratch_path
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -70,9 +74,13 @@ FEATURES = ("digits", "chars", "luhn", "marks", "groups", "first", "last", "plus
 NEAR = 31
 LEAST = 5
 ROUNDS, DEPTH, RATE, RIDGE = 12, 3, 0.5, 1.0
+CUTS = 64
+#: Gradients are summed as multiples of 1 / UNIT; scores are calibrated on
+#: multiples of 1 / GRID up to TOP, which bounds what the driver gets.
+UNIT, GRID, TOP = 1 << 24, 1024, 32
 
 
-# --- boosted trees, fitted on the driver ----------------------------------
+# --- boosted trees ---------------------------------------------------------
 
 Tree = tuple | float        # (feature, threshold, tree at or below it, tree above it)
 
@@ -101,12 +109,13 @@ def tree_values(tree: Tree, x: np.ndarray) -> np.ndarray:
 
 
 def boost(x: np.ndarray, y: np.ndarray) -> list[Tree]:
-    """Trees whose sum is the log-odds of y."""
+    """Trees whose sum is the log-odds of y: the plain form, on arrays, of what
+    ``fit`` does in Spark."""
     cuts = []
     for k in range(x.shape[1]):
         values = np.unique(x[:, k])
         between = (values[1:] + values[:-1]) / 2
-        cuts.append(between if len(between) <= 64 else np.unique(np.quantile(between, np.linspace(0, 1, 64))))
+        cuts.append(between if len(between) <= CUTS else np.unique(np.quantile(between, np.linspace(0, 1, CUTS))))
     codes = np.stack([np.searchsorted(c, x[:, k], side="left") for k, c in enumerate(cuts)], axis=1)
     margin, trees = np.zeros(len(x)), []
     for _ in range(ROUNDS):
@@ -120,11 +129,12 @@ def margins(trees: list[Tree], x: np.ndarray) -> np.ndarray:
     return sum((tree_values(t, x) for t in trees), np.zeros(len(x)))
 
 
-def calibrated(scores: np.ndarray, y: np.ndarray, precision: float) -> float | None:
+def calibrated(scores: np.ndarray, y: np.ndarray, precision: float, n: np.ndarray | None = None) -> float | None:
     """Smallest threshold such that of the scores from it on, ``precision``
-    belong to positives; halfway down to the next lower score."""
+    belong to positives; halfway down to the next lower score.  With ``n``, a
+    score stands for so many candidates, ``y`` of them positives."""
     order = np.argsort(-scores, kind="stable")
-    s, right = scores[order], np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    s, right = scores[order], np.cumsum(y[order]) / np.cumsum(np.ones(len(y)) if n is None else n[order])
     whole = np.append(s[:-1] > s[1:], True)     # ties stay together
     fine = np.flatnonzero(whole & (right >= precision))
     if not len(fine):
@@ -141,22 +151,6 @@ class Detector:
     thresholds: dict[int, float] = field(default_factory=dict)
 
 
-def fit_detector(kinds: np.ndarray, x: np.ndarray, y: np.ndarray, precision: float) -> Detector:
-    found = Detector()
-    for kind in range(len(KINDS)):
-        own = kinds == kind
-        xs, ys = x[own], y[own]
-        if ys.sum() < LEAST or len(ys) - ys.sum() < LEAST:
-            continue
-        scores, fold = np.zeros(len(ys)), np.arange(len(ys)) % 2
-        for f in (0, 1):
-            scores[fold == f] = margins(boost(xs[fold != f], ys[fold != f]), xs[fold == f])
-        threshold = calibrated(scores, ys, precision)
-        if threshold is not None:
-            found.trees[kind], found.thresholds[kind] = boost(xs, ys), threshold
-    return found
-
-
 def tree_column(tree: Tree, features: Column) -> Column:
     if not isinstance(tree, tuple):
         return F.lit(tree)
@@ -310,7 +304,8 @@ def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def training_sample(found: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(kinds, features, labels) of at most ``sample`` candidates that teach,
+    """(kinds, features, labels) of at most ``sample`` candidates that teach, to
+    look at: no fit uses it.  They are
     the first by a hash of their text, place and kind, copies included.  At most
     ``sample`` rows reach the driver, and about twice as many a single task,
     whatever the number of rows and of copies."""
@@ -336,9 +331,148 @@ def training_sample(found: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarr
     return tuple(np.repeat(x, copies, axis=0) for x in every)
 
 
-def fit(found: DataFrame, sample: int = 20_000, precision: float = 0.99) -> Detector:
-    """The detector that the ``prepared`` rows teach."""
-    return fit_detector(*training_sample(found, sample), precision)
+def taught(found: DataFrame) -> DataFrame:
+    """(kind, fold, label, f, n): every candidate that teaches, equal ones as
+    one row.  A hash of its text, place and kind gives a candidate's fold, so
+    copies of a text share theirs."""
+    each = found.select(F.crc32(F.coalesce("_text", F.lit("")).cast("binary")).alias("row"),
+                        F.explode(F.filter("_candidates", lambda c: c["label"].isNotNull())).alias("c"))
+    fold = F.pmod(F.xxhash64("row", "c.start", "c.kind", F.lit(41)), F.lit(2)).cast("int")
+    return each.select("c.kind", fold.alias("fold"), "c.label", "c.f").groupBy("kind", "fold", "label", "f").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def cut_points(rows: DataFrame) -> dict[int, list[list[float]]]:
+    """Per kind and feature, the middles between its different values, ``CUTS``
+    evenly chosen ones at most."""
+    values = rows.select("kind", F.posexplode("f").alias("k", "v")).groupBy("kind", "k").agg(F.array_sort(F.collect_set("v")).alias("v"))
+    rest = F.size("v") - 1
+    middles = values.select("kind", "k", F.zip_with(F.slice("v", F.lit(1), rest), F.slice("v", F.lit(2), rest), lambda a, b: (a + b) / 2).alias("m"))
+    at = lambda i: F.floor(i * (F.size("m") - 1) / (CUTS - 1)).cast("int")
+    few = F.when(F.size("m") <= CUTS, F.col("m")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(CUTS - 1)), lambda i: F.get("m", at(i))))
+    found: dict[int, list[list[float]]] = {}
+    for r in middles.select("kind", "k", few.alias("m")).orderBy("kind", "k").collect():
+        found.setdefault(r["kind"], []).append(r["m"])
+    return found
+
+
+def sql_array(values: list, kind: str) -> str:
+    return f"cast(array({', '.join(f'{v!r}D' if isinstance(v, float) else str(v) for v in values)}) as array<{kind}>)"
+
+
+@dataclass
+class Heap:
+    """A tree by place: 1 is the root, 2 i and 2 i + 1 are below i.  A feature
+    of -1 ends a path with the value there."""
+
+    feature: list[int] = field(default_factory=lambda: [-1] * (2 << DEPTH))
+    cut: list[int] = field(default_factory=lambda: [0] * (2 << DEPTH))
+    value: list[float] = field(default_factory=lambda: [0.0] * (2 << DEPTH))
+
+    def sql(self) -> str:
+        return (f"named_struct('feature', {sql_array(self.feature, 'int')}, 'cut', {sql_array(self.cut, 'int')}, "
+                f"'value', {sql_array(self.value, 'double')})")
+
+    def tree(self, cuts: list[list[float]], at: int = 1) -> Tree:
+        k = self.feature[at]
+        return self.value[at] if k < 0 else (k, cuts[k][self.cut[at]], self.tree(cuts, 2 * at), self.tree(cuts, 2 * at + 1))
+
+
+def place(tree: Column, steps: int) -> Column:
+    """Where ``steps`` steps down the heap lead by ``codes``."""
+    def step(at: Column, _: Column) -> Column:
+        k = F.get(tree["feature"], at)
+        return F.when(k < 0, at).otherwise(2 * at + (F.get("codes", k) > F.get(tree["cut"], at)).cast("int"))
+
+    return F.aggregate(F.array(*[F.lit(0)] * steps), F.lit(1), step) if steps else F.lit(1)
+
+
+def margin(heaps: dict[int, list[Heap]]) -> Column:
+    """Sum of the trees of the row's ``fit`` at its ``codes``."""
+    if not all(heaps.values()):
+        return F.lit(0.0)
+    trees = F.expr("map(" + ", ".join(f"{key}, array({', '.join(h.sql() for h in of)})" for key, of in heaps.items()) + ")")
+    return F.aggregate(trees[F.col("fit")], F.lit(0.0), lambda s, t: s + let(place(t, DEPTH), lambda at: F.get(t["value"], at)))
+
+
+def grow_level(heap: Heap, depth: int, sums: dict[tuple[int, int], dict[int, tuple[int, int]]], cuts: list[list[float]]) -> None:
+    """Split the nodes of ``depth`` by the sums per (node, feature) and code, as ``grow`` does."""
+    leaf = lambda g, h: float(-RATE * g / (h + RIDGE))
+    for at in range(1 << depth, 2 << depth):
+        best = (1e-6, None)
+        for k, cut in enumerate(cuts):
+            table = np.zeros((2, len(cut) + 1), dtype=np.int64)
+            for code, pair in sums.get((at, k), {}).items():
+                table[:, code] = pair
+            low = np.cumsum(table, axis=1)
+            (g_low, h_low), (g, h) = low[:, :-1] / UNIT, low[:, -1] / UNIT
+            if k == 0:
+                heap.value[at] = leaf(g, h)
+            gain = g_low ** 2 / (h_low + RIDGE) + (g - g_low) ** 2 / (h - h_low + RIDGE) - g ** 2 / (h + RIDGE)
+            if len(gain) and gain.max() > best[0]:
+                i = int(gain.argmax())
+                best = (gain.max(), (k, i, leaf(g_low[i], h_low[i]), leaf(g - g_low[i], h - h_low[i])))
+        if best[1] is not None:
+            heap.feature[at], heap.cut[at], heap.value[2 * at], heap.value[2 * at + 1] = best[1]
+
+
+def boosted(rows: DataFrame, cuts: dict[int, list[list[float]]]) -> dict[int, list[Heap]]:
+    """Trees per fit of the (kind, fold, label, codes, n) rows: fit 3 kind + f
+    learns from the rows outside fold f, and 3 kind + 2 from all."""
+    heaps: dict[int, list[Heap]] = {3 * kind + f: [] for kind in cuts for f in range(3)}
+    taking = rows.withColumn("fit", F.explode(F.array(3 * F.col("kind") + 1 - F.col("fold"), 3 * F.col("kind") + 2)))
+    whole = lambda c: F.round(c * UNIT).cast("long") * F.col("n")
+    for _ in range(ROUNDS):
+        scored = taking.withColumn("p", 1 / (1 + F.exp(-margin(heaps))))
+        steps = scored.select("fit", "codes", whole(F.col("p") - F.col("label")).alias("g"), whole(F.col("p") * (1 - F.col("p"))).alias("h"))
+        new = {key: Heap() for key in heaps}
+        for depth in range(DEPTH):
+            here = F.expr("map(" + ", ".join(f"{key}, {h.sql()}" for key, h in new.items()) + ")")[F.col("fit")]
+            sums = steps.withColumn("at", place(here, depth)).where(F.col("at") >= 1 << depth) \
+                .select("fit", "at", F.posexplode("codes").alias("k", "code"), "g", "h") \
+                .groupBy("fit", "at", "k", "code").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+            found: dict[int, dict] = {key: {} for key in heaps}
+            for r in sums.collect():
+                found[r["fit"]].setdefault((r["at"], r["k"]), {})[r["code"]] = (r["g"], r["h"])
+            for key, heap in new.items():
+                grow_level(heap, depth, found[key], cuts[key // 3])
+        for key, heap in new.items():
+            heaps[key].append(heap)
+    return heaps
+
+
+def fit(found: DataFrame, precision: float = 0.99) -> Detector:
+    """The detector that the ``prepared`` rows teach, all of them."""
+    spark, detector = found.sparkSession, Detector()
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    rows = stored(taught(found), "pii-taught")
+    sorts: dict[int, list[int]] = {}
+    for r in rows.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect():
+        sorts.setdefault(r["kind"], []).append(r["n"])
+    kinds = sorted(k for k, n in sorts.items() if len(n) == 2 and min(n) >= LEAST)
+    if not kinds:
+        return detector
+    rows = rows.where(F.col("kind").isin(kinds))
+    cuts = cut_points(rows)
+    of_kind = F.expr("map(" + ", ".join(f"{k}, array({', '.join(sql_array(c, 'double') for c in cuts[k])})" for k in kinds) + ")")
+    code = lambda v, cs: F.size(F.filter(cs, lambda c: c < v))
+    coded = rows.select("kind", "fold", "label", F.zip_with("f", of_kind[F.col("kind")], code).alias("codes"), "n")
+    coded = stored(coded.groupBy("kind", "fold", "label", "codes").agg(F.sum("n").alias("n")), "pii-coded")
+    heaps = boosted(coded, cuts)
+    score = F.greatest(F.lit(-float(TOP)), F.least(F.lit(float(TOP)), margin(heaps)))
+    per = coded.withColumn("fit", 3 * F.col("kind") + F.col("fold")).withColumn("score", F.floor(score * GRID) / GRID) \
+        .groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("y")).orderBy("kind", "score").collect()
+    for kind in kinds:
+        s, y, n = (np.array([r[c] for r in per if r["kind"] == kind], dtype=float) for c in ("score", "y", "n"))
+        threshold = calibrated(s, y, precision, n)
+        if threshold is not None:
+            detector.trees[kind], detector.thresholds[kind] = [h.tree(cuts[kind]) for h in heaps[3 * kind + 2]], threshold
+    return detector
 
 
 def with_spans(found: DataFrame, detector: Detector) -> DataFrame:
@@ -389,10 +523,10 @@ def redacted(found: DataFrame, detector: Detector, text: str = "text") -> DataFr
     return cleaned.select(*(F.col("_clean").alias(c) if c == text else F.col("_row")[c].alias(c) for c in columns))
 
 
-def find_personal_data(docs: DataFrame, sample: int = 20_000, precision: float = 0.99) -> DataFrame:
+def find_personal_data(docs: DataFrame, precision: float = 0.99) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
     found = prepared(docs.select("doc_id", "text"))
-    found = with_spans(found, fit(found, sample, precision))
+    found = with_spans(found, fit(found, precision))
     of_kind = lambda name: F.size(F.filter("base_spans", lambda s: s["kind_name"] == name)).cast("long")
     counts = [of_kind(name).alias(f"n_{name}") for name in KINDS]
     return found.select("_row.doc_id", *counts, F.sha2(span_list(F.col("base_spans")), 256).alias("base_sha256"),

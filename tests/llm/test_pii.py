@@ -159,3 +159,29 @@ def test_training_sample(spark):
         assert kinds.tolist() == [r["kind"] for r in rows[:sample]]
         assert x.tolist() == [list(r["f"]) for r in rows[:sample]] and y.tolist() == [float(r["label"]) for r in rows[:sample]]
     assert len(rows) > 1000
+
+
+def test_fit_takes_every_candidate(spark):
+    """The trees are those of the plain form over all candidates, far more than
+    any sample of 20,000, and rare ones of another format count."""
+    texts = [f"host 10.{i}.3.{j} up" for i in range(30) for j in range(30)] * 30 + [f"ver 900.{i}.3.{i} x" for i in range(40)] \
+        + [f'key "a{card(i)}b" or {no_card(i)}' for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = pii.prepared(docs)
+    rows = pii.taught(found)
+    assert rows.agg(F.sum("n")).first()[0] > 25_000
+    detector = pii.fit(found)
+    kinds, x, y = pii.training_sample(found, 1_000_000)
+    assert set(detector.trees) == {pii.IP, pii.CARD}
+    for kind, trees in detector.trees.items():
+        own = kinds == kind
+        assert np.allclose(pii.margins(trees, x[own]), pii.margins(pii.boost(x[own], y[own]), x[own]), atol=1e-4)
+        assert ((pii.margins(trees, x[own]) >= detector.thresholds[kind]) == (y[own] == 1)).all()
+    again = pii.fit(pii.prepared(docs.repartition(7)))
+    assert again == detector
+
+
+def test_calibrated_counts():
+    scores, n, y = np.array([2.0, 1.0, 0.0]), np.array([98, 2, 9]), np.array([98, 1, 0])
+    one = np.repeat(scores, n), np.concatenate([np.arange(m) < k for m, k in zip(n, y, strict=True)]).astype(float)
+    assert pii.calibrated(scores, y, 0.99, n) == pii.calibrated(*one, 0.99) == 0.5
