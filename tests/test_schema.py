@@ -133,3 +133,17 @@ def test_wide_table_duplicates(spark):
     t = col_values(spark, parse_schema, [f"w({', '.join(cols)}; PK(c0)); x(a INT)"])[0][0]
     assert [c["name"] for c in t["columns"]] == [f"c{i}" for i in range(700)]
     assert [c["type"] for c in t["columns"]] == [f"T{i + 700 if i < 300 else i}" for i in range(700)]
+
+
+def test_matcher_agrees_with_name_matches(spark):
+    """Names and tokens that lie in each other, of one and two characters, with
+    underscores and commas."""
+    from tessera.functions.schema_text import _matcher, name_matches
+    names = ["a", "ab", "x_ab", "ab_x", "x__ab", "abc", "xabcx", "f(a,b)", "o_totalprice", "price", "_", "", "a_b", "2)", "é_ab"]
+    tokens = [[], ["a"], ["ab"], ["abc"], ["xabc", "cxa"], ["_a"], ["a_"], ["totalprice", "ab"], ["prices"], ["price", "f", "a", "b"], ["é", "éa"], ["a_b_c"], ["__a"]]
+    tables = F.array(F.struct(F.lit("").alias("key"), F.array(F.struct(F.col("n").alias("name"))).alias("columns"),
+                              F.array().cast("array<string>").alias("pks"), F.array(F.struct(F.lit("ab").alias("col"))).alias("fks")))
+    rows = spark.createDataFrame([(n, t) for n in names for t in tokens], "n string, t array<string>")
+    got = rows.select("n", "t", name_matches(F.col("n"), F.col("t")).alias("want"),
+                      _matcher(tables, F.col("t"))(lambda matches: matches(F.col("n"))).alias("got")).collect()
+    assert [r for r in got if r["want"] != r["got"]] == [] and {r["want"] for r in got} == {True, False}
