@@ -94,11 +94,12 @@ def sql_tokens(norm: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """|a & b| / |a | b|; 1.0 when both empty, 0.0 when one is (O-SC-7)."""
+    """|a & b| / |a | b| of distinct arrays; 1.0 when both empty, 0.0 when one is (O-SC-7)."""
     sa, sb = F.size(a), F.size(b)
-    return (F.when((sa == 0) & (sb == 0), F.lit(1.0))
+    both = F.size(F.array_intersect(a, b))
+    return (F.when(a == b, F.lit(1.0))
             .when((sa == 0) | (sb == 0), F.lit(0.0))
-            .otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))))
+            .otherwise(both / (sa + sb - both)))
 
 
 FEATURES = ("tables", "columns", "clauses", "keywords", "tokens")
@@ -115,18 +116,68 @@ def features_of_normalized(n: Column, upper_words: Column | None = None) -> Colu
                     sql_tokens(n).alias("tokens"))
 
 
+# The same features of ASCII text.  Letter case is one to one there, so the
+# patterns run over the lower- or upper-cased text and need no case-insensitive
+# match, and a word that is one of a fixed list is told by the pattern that finds
+# the words: no array goes through an interpreted lambda or a set of literals.
+
+def _one_of(words: list[str]) -> str:
+    """Pattern of any of ``words``, by their first letters."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        heads.setdefault(w[0], []).append(re.escape(w[1:]))
+    return "(?:" + "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in sorted(heads.items())) + ")"
+
+
+_WORD_CLAUSES = [m.group(1) for _, pat in fixed.CLAUSES if (m := _WORD_CLAUSE.match(pat))]
+# the sought part is group 1; it is empty for the other matches
+_LISTED_CLAUSE = f"({_one_of(_WORD_CLAUSES)})(?![A-Z0-9_])|[A-Z0-9_]+"
+_LISTED_KEYWORD = f"({_one_of(fixed.SQL_KEYWORDS)})(?![A-Z_])|[A-Z_]+"
+_COLUMN = f"{_one_of([k.lower() for k in fixed.SQL_KEYWORDS] + fixed.ALIAS_NAMES)}(?![a-z0-9_])|({_IDENT_PAT.replace('A-Z', '')})"
+_LOW_TABLE = r"\b(?:from|join)\s+([`\"\[\]a-z0-9_.]+)"
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return F.array_remove(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1)), "")
+
+
+def _tables_of_lower(low: Column, raw: Column) -> Column:
+    return F.when(F.array_join(raw, "").rlike(r"[^a-z0-9_]"), extract_tables(low)).otherwise(F.array_distinct(raw))
+
+
+def _columns_of_lower(low: Column) -> Column:
+    sel = F.regexp_extract(low, r"(?s)\bselect\s+(.*?)\bfrom\b", 1)
+    return _found(F.regexp_replace(sel, r"\(.*?\)", " "), _COLUMN)
+
+
+def _clauses_of_upper(up: Column) -> Column:
+    arms = []
+    for name, pat in fixed.CLAUSES:
+        if not _WORD_CLAUSE.match(pat):
+            guard = {"SUBQUERY": "SELECT", "AGG": ""}.get(name, name.split("_")[0])
+            arms.append(F.when((F.instr(up, guard) > 0) & up.rlike(pat), F.lit(name)).otherwise(F.lit("")))
+    return F.concat(_found(up, _LISTED_CLAUSE), F.array_remove(F.array(*arms), ""))
+
+
 def with_sql_features(df: DataFrame, sql_col: str, out: str) -> DataFrame:
     """Add ``out`` = feature struct of ``sql_col``.
 
     Normalisation is its own projection; Catalyst keeps it there (a costly
     expression referenced many times is not collapsed into its consumers), so
-    each text is normalised once.
+    each text is normalised once.  So are the lower- and upper-cased forms, null
+    for text beyond ASCII, which takes the general patterns.
     """
-    tmp = f"_{out}_norm"
-    words = f"_{out}_words"
-    return (df.withColumn(tmp, normalize_sql(F.col(sql_col)))
-              .withColumn(words, F.regexp_extract_all(F.upper(F.col(tmp)), F.lit(_RUN), 0))
-              .withColumn(out, features_of_normalized(F.col(tmp), F.col(words))).drop(tmp, words))
+    parts = [f"_{out}_{x}" for x in ("norm", "low", "up", "raw")]
+    norm, low, up, raw = map(F.col, parts)
+    ascii = F.octet_length(norm) == F.length(norm)
+    plain = F.struct(_tables_of_lower(low, raw).alias("tables"), _columns_of_lower(low).alias("columns"),
+                     _clauses_of_upper(up).alias("clauses"), _found(up, _LISTED_KEYWORD).alias("keywords"),
+                     F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z_]+"), 0)).alias("tokens"))
+    return (df.withColumn(parts[0], normalize_sql(F.col(sql_col)))
+              .withColumns({parts[1]: F.when(ascii, F.lower(norm)), parts[2]: F.when(ascii, F.upper(norm))})
+              .withColumn(parts[3], F.regexp_extract_all(low, F.lit(_LOW_TABLE), 1))
+              .withColumn(out, F.when(low.isNull(), features_of_normalized(norm)).otherwise(plain))
+              .drop(*parts))
 
 
 def semantic_score(pred_features: Column, gt_features: Column) -> Column:
@@ -144,10 +195,14 @@ def near_correct(score: Column) -> Column:
     return score >= F.lit(fixed.NEAR_CORRECT)
 
 
+def match_form(c: Column) -> Column:
+    """Upper-cased, whitespace collapsed; null is empty."""
+    return squash_ws(F.upper(F.coalesce(c, F.lit(""))))
+
+
 def exact_match(pred: Column, gt: Column) -> Column:
     """Upper-case + whitespace-collapse equality (O-SC-10)."""
-    norm = lambda c: squash_ws(F.upper(F.coalesce(c, F.lit(""))))
-    return norm(pred) == norm(gt)
+    return match_form(pred) == match_form(gt)
 
 
 def extract_sql_answer(text: Column) -> Column:

@@ -23,10 +23,13 @@ def strip(c: Column) -> Column:
 # whitespace outside ASCII: mapped to a plain space with ``translate`` (a
 # character map, no regex) so the collapsing regex can use the fast ASCII \s
 EXOTIC_WS = "".join(c for c in WHITESPACE if c not in "\t\n\x0b\x0c\r ")
+# a character that may be one of them; ``translate`` looks up every character
+# of a text, so only texts that hold such a character go through it
+_MAYBE_EXOTIC = r"[\x1c-\x1f\x80-\x{10ffff}]"
 
 
 def ascii_ws(c: Column) -> Column:
-    return F.translate(c, EXOTIC_WS, " " * len(EXOTIC_WS))
+    return F.when(c.rlike(_MAYBE_EXOTIC), F.translate(c, EXOTIC_WS, " " * len(EXOTIC_WS))).otherwise(c)
 
 
 def squash_ws(c: Column) -> Column:

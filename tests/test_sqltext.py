@@ -50,3 +50,34 @@ def test_answer_cleaning(spark):
 def test_exact_match(spark):
     df = spark.createDataFrame([("select  a\nfrom t", "SELECT a FROM t"), ("SELECT a FROM t;", "SELECT a FROM t")], "p string, g string")
     assert [r[0] for r in df.select(st.exact_match(F.col("p"), F.col("g"))).collect()] == [True, False]
+
+
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_features_equal_the_general_ones(spark):
+    texts = ["SELECT COUNT(x), t1.name, t11 FROM [dbo].[T] JOIN a.b ON 1", "select 1from_ FROM1 x; (Select y from \"t\" GROUP  BY z)",
+             "", None, "SELECT1 COUNT1 _SELECT sum(a) ORDER BY b", "SELECT a FROM \"\" JOIN c. JOIN .d JOIN c", "SELECT ıs, a FROM été",
+             "select\x1cfrom\x1da from b union c", "SELECT DISTINCT in_x, t10, t100, selects, as1 FROM t LIMIT 1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    both = st.with_sql_features(df, "t", "f").withColumn("n", st.normalize_sql(F.col("t"))) \
+        .withColumn("g", st.features_of_normalized(F.col("n")))
+    for k in st.FEATURES:
+        for r in both.select("t", F.sort_array(F.col("f")[k]), F.sort_array(F.col("g")[k])).collect():
+            assert r[1] == r[2], (k, r[0])
+
+
+def test_scores_take_no_union_of_sets(spark):
+    df = spark.createDataFrame([("SELECT a, b FROM t", "SELECT a FROM t JOIN u")], "p string, g string")
+    df = st.with_sql_features(st.with_sql_features(df, "p", "pf"), "g", "gf").select(st.semantic_score(F.col("pf"), F.col("gf")).alias("s"))
+    assert "array_union" not in _executed(df)
+    assert abs(df.first()[0] - (0.25 / 2 + 0.25 / 2 + 0.25 * 2 / 3 + 0.15 * 2 / 3 + 0.10 * 4 / 7)) < 1e-12
+
+
+def test_only_texts_with_unusual_whitespace_are_translated(spark):
+    from tessera.functions.text import EXOTIC_WS, ascii_ws, squash_ws
+    df = spark.createDataFrame([("a b",), ("a" + EXOTIC_WS + "b",), ("é \t c",), (None,)], "x string")
+    plan = _executed(df.select(ascii_ws(F.col("x")).alias("y")))
+    assert "CASE WHEN RLIKE(x" in plan
+    assert [r[0] for r in df.select(squash_ws(F.col("x"))).collect()] == ["a b", "a b", "é c", None]
