@@ -1,3 +1,5 @@
+import re
+
 from conftest import col_values
 from pyspark.sql import functions as F
 
@@ -147,3 +149,12 @@ def test_matcher_agrees_with_name_matches(spark):
     got = rows.select("n", "t", name_matches(F.col("n"), F.col("t")).alias("want"),
                       _matcher(tables, F.col("t"))(lambda matches: matches(F.col("n"))).alias("got")).collect()
     assert [r for r in got if r["want"] != r["got"]] == [] and {r["want"] for r in got} == {True, False}
+
+
+def test_membership_binds_a_struct_field_first(spark):
+    from tessera.functions.schema_text import has
+    df = spark.createDataFrame([(["a", "c"], [("a", 1), ("b", 2), ("c", 3)])], "names array<string>, s array<struct<k:string,v:int>>")
+    kept = df.select(F.filter("s", lambda x: has(F.col("names"), x["k"])).alias("kept"))
+    assert [x["k"] for x in kept.first()[0]] == ["a", "c"]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"array_contains\(names#\d+, lambda \w+#\d+\)", plan)
