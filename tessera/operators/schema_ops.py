@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera import fixed
 from tessera.functions.schema_text import (
-    parse_schema, parse_schema_documented, prune_parsed, question_tokens, reformat_schema,
+    parse_schema, parse_schema_documented, prune_plan, prune_planned, question_tokens, reformat_schema,
     reformat_schema_documented,
 )
 
@@ -93,9 +93,10 @@ def prune_schemas(df: DataFrame, min_tables: int, max_cols: int, out: str = "pru
     FK links, ranks by FK degree and renders valid compressed text.  At most
     ``max_cols`` columns of a table are kept: that is the operator's meaning.
     """
-    p = with_parsed(df, schema_col, mode).withColumn("_tokens", question_tokens(F.col(question_col)))
-    return p.withColumn(out, prune_parsed(F.col("tables"), F.col("_tokens"), F.col(schema_col), min_tables, max_cols,
-                                          documented=(mode == "documented"))).drop("tables", "_tokens")
+    parse = _parser(mode)
+    p = _per_schema(df, schema_col, lambda text: prune_plan(parse(text)), "_plan").withColumn("_tokens", question_tokens(F.col(question_col)))
+    return p.withColumn(out, prune_planned(F.col("_plan"), F.col("_tokens"), F.col(schema_col), min_tables, max_cols,
+                                           documented=(mode == "documented"))).drop("_plan", "_tokens")
 
 
 def prune_dataset_report(pruned: DataFrame, out: str = "pruned_schema", schema_col: str = "db_schema") -> DataFrame:

@@ -158,3 +158,21 @@ def test_membership_binds_a_struct_field_first(spark):
     assert [x["k"] for x in kept.first()[0]] == ["a", "c"]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"array_contains\(names#\d+, lambda \w+#\d+\)", plan)
+
+
+def test_prune_plan_is_made_once_per_schema(spark):
+    """What does not depend on the question is found below the join with the
+    catalog, and pruning from it gives what pruning a parsed schema gives."""
+    from tessera.functions.schema_text import parse_schema_documented, prune_parsed, question_tokens
+    from tessera.operators.schema_ops import prune_schemas
+    text = "a(id INT, b_id INT, x DECIMAL(10,2), y INT, z INT; PK(id), FK(b_id REFERENCES b(id))); b(id INT, name TEXT; PK(id)); c(w INT)"
+    rows = [(i, q, s) for i, (q, s) in enumerate([("which name", text), ("sum of x and y", text), ("", text), (None, text), ("w", text), ("a", ""), ("a", None)])]
+    df = spark.createDataFrame(rows, "i int, question string, db_schema string")
+    pruned = prune_schemas(df, 2, 3)
+    plan = pruned._jdf.queryExecution().optimizedPlan().toString()
+    assert "ranked" in plan[plan.index("Join"):]
+    one = df.select("i", prune_parsed(parse_schema_documented(F.col("db_schema")), question_tokens(F.col("question")), F.col("db_schema"), 2, 3, documented=True))
+    got = sorted(pruned.select("i", "pruned_schema").collect())
+    assert got == sorted(one.collect())
+    # "which" lies around the name c; of equal columns the last by name stays
+    assert got[0][1] == "a(id INT, b_id INT, z INT; PK(id), FK(b_id REFERENCES b(id))); b(id INT, name TEXT; PK(id)); c(w INT)"
