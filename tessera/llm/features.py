@@ -31,6 +31,7 @@ def _byte_classes() -> np.ndarray:
 
 
 BYTE_CLASS = _byte_classes()
+BLOCK_AT = np.arange(1 << 16) // BLOCK_BYTES * CLASSES      # place of a byte's block in the table of classes
 
 
 def shape(text: str) -> np.ndarray:
@@ -42,18 +43,19 @@ def shape(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     if not len(raw):
         return out
-    counts = np.bincount(raw, minlength=256)
-    out[:256] = np.sqrt(counts / (len(raw) + SHORT))
-    shares = np.bincount(BYTE_CLASS, weights=counts, minlength=CLASSES) / (len(raw) + SHORT)
+    raw = raw.astype(np.int64)
+    out[:256] = np.sqrt(np.bincount(raw, minlength=256) / (len(raw) + SHORT))
     blocks = max(1, len(raw) // BLOCK_BYTES)
-    at = np.minimum(np.arange(len(raw)) // BLOCK_BYTES, blocks - 1)
-    table = np.bincount(at * CLASSES + BYTE_CLASS[raw], minlength=blocks * CLASSES).reshape(blocks, CLASSES)
-    out[256:256 + CLASSES] = shares
+    at = BYTE_CLASS.take(raw)
+    at += BLOCK_AT[:len(raw)] if len(raw) <= len(BLOCK_AT) else np.arange(len(raw)) // BLOCK_BYTES * CLASSES
+    at[blocks * BLOCK_BYTES:] -= CLASSES              # the last block takes what is left over
+    table = np.bincount(at, minlength=blocks * CLASSES).reshape(blocks, CLASSES)
+    out[256:256 + CLASSES] = table.sum(axis=0) / (len(raw) + SHORT)
     out[256 + CLASSES:256 + 2 * CLASSES] = (table / (table.sum(axis=1, keepdims=True) + SHORT)).max(axis=0)
     words = text.split()
     n = len(words)
     if n > 1:
-        repeats = np.fromiter(map(eq, words, islice(words, 1, None)), dtype=np.int64, count=n - 1)
+        repeats = np.frombuffer(bytes(map(eq, words, islice(words, 1, None))), dtype=np.uint8).astype(np.int64)
         starts = np.arange(max(1, (n - 1) // BLOCK_WORDS)) * BLOCK_WORDS
         in_block = np.add.reduceat(repeats, starts) / np.diff(np.append(starts, n - 1))
         out[-4:-2] = repeats.mean(), in_block.max()

@@ -74,10 +74,11 @@ class Posterior:
         self.index = {t: i for i, t in enumerate(self.terms)}
         self.finder = TermModel(dict.fromkeys(self.terms, 0.0), 0.0)
 
-    def features(self, text: str) -> np.ndarray:
+    def features(self, text: str, told: list[tuple[str, ...]] | None = None) -> np.ndarray:
+        """Features of a text; ``told``: what its words hold, where that is known."""
         x = np.zeros(WIDTH + len(self.terms) + 1, dtype=np.float32)
         x[:WIDTH] = shape(text)
-        for t in self.finder.found(text):
+        for t in self.finder.found(text) if told is None else self.finder.told(told):
             x[WIDTH + self.index[t]] = 1
         x[-1] = 1
         return x
@@ -144,13 +145,21 @@ def membership(text: Column, model: Posterior, classes: int, tokenizer: str = TO
     @F.arrow_udf("struct<n_tokens:long," + ",".join(f"p{k}:double" for k in range(classes)) + ">")
     def posterior(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tessera.llm.pretokens import worker_encoder
-        count = worker_encoder(tokenizer, rule, KEPT).count if tokenizer else lambda texts: [None] * len(texts)
+        measure = lambda text: (None, None)
+        if tokenizer:
+            # One split of a text gives its tokens and, where it can, its terms.
+            encoder = worker_encoder(tokenizer, rule, KEPT)
+            encoder.watch(tuple(model.terms), model.finder.in_pretoken)
+            measure = encoder.measure
         for batch in batches:
             n, parts = [], [np.zeros((0, classes))]
             for at in range(0, len(batch), 256):
-                texts = batch[at:at + 256].to_pylist()
-                n += count(texts)
-                parts.append(model.probabilities(np.stack([model.features(t) for t in texts])))
+                rows = []
+                for t in batch[at:at + 256].to_pylist():
+                    size, told = measure(t)
+                    n.append(size)
+                    rows.append(model.features(t, told))
+                parts.append(model.probabilities(np.stack(rows)))
             p = np.concatenate(parts)
             yield pa.StructArray.from_arrays(
                 [pa.array(n, pa.int64())] + [pa.array(p[:, k].astype(np.float64)) for k in range(classes)],

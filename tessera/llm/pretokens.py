@@ -30,6 +30,9 @@ RULES = {
 }
 
 
+CONTRACTIONS = frozenset("'" + x for x in ("s", "t", "re", "ve", "m", "ll", "d"))
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: visible
     Latin-1 characters stand for themselves, the others for those from 256."""
@@ -99,6 +102,8 @@ class IdEncoder:
         self.beyond = re.compile(f"[^\x00-\x7f{LETTERS}]|{special}").search
         self.known, self.kept = Merged(self._merge, {}), kept
         self.sizes = Merged(self._size, {})
+        self.space = self.letters[ord(" ")]
+        self.sought, self.look, self.watched = None, None, {}
 
     def _merge(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
@@ -127,26 +132,45 @@ class IdEncoder:
         return out
 
     def _size(self, word: str) -> int:
-        return len(self._merge(word)) // 4
-
-    def count(self, texts: list[str]) -> list[int]:
-        """The number of ids of each text.  Sizes of pre-tokens are remembered
-        apart from their ids: they take less memory, and less to add up."""
-        out = [0] * len(texts)
-        whole = []
-        size = self.sizes.__getitem__
-        for i, t in enumerate(texts):
-            ascii = t.isascii()
-            if self.special(t) if ascii else self.beyond(t):
-                whole.append(i)
-            else:
-                out[i] = sum(map(size, (self.find_ascii if ascii else self.find)(t.lower() if self.lower else t)))
+        if self.look and (seen := self.look(word)):
+            self.watched[word] = seen
+        # Visible ASCII stands for itself; the only other sign there is mostly one space.
+        bare = word[1:] if word[0] == " " else word
+        if bare.isascii() and bare.isalnum():
+            return len(self.merge(word if bare is word else self.space + bare))
+        return len(self.merge(word.encode().decode("latin-1").translate(self.letters)))
+
+    def watch(self, sought, look) -> None:
+        """Let ``measure`` tell what ``look`` sees in a text's pre-tokens; it is
+        asked once for each that is remembered.  ``sought`` names the look: a
+        worker keeps what it knows while that stays the same."""
+        if sought != self.sought:
+            self.sought, self.look, self.watched = sought, look, {}
+            self.sizes = Merged(self._size, {})
+
+    def measure(self, text: str) -> tuple[int, list | None]:
+        """(number of ids, what the look saw in each pre-token where it saw
+        something).  Sizes of pre-tokens are remembered apart from their ids:
+        they take less memory, and less to add up.  Nothing is told (None) of a
+        text whose runs of letters are not its pre-tokens: one that goes to the
+        library whole, or that has a contraction, which may cut a run."""
+        ascii = text.isascii()
+        if self.special(text) if ascii else self.beyond(text):
+            return len(self._ask([text])[0]) // 4, None
+        words = (self.find_ascii if ascii else self.find)(text.lower() if self.lower else text)
+        n = sum(map(self.sizes.__getitem__, words))
+        told = None
+        if "'" not in text or CONTRACTIONS.isdisjoint(words):
+            told = list(map(self.watched.__getitem__, filter(self.watched.__contains__, words)))
         if len(self.sizes) > self.kept:
             self.sizes.before = {}
+            self.watched = {w: seen for w, seen in self.watched.items() if w in self.sizes}
             self.sizes = Merged(self._size, self.sizes)
-        for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
-            out[i] = len(ids) // 4
-        return out
+        return n, told
+
+    def count(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        return [self.measure(t)[0] for t in texts]
 
 
 @functools.cache

@@ -26,8 +26,7 @@ count as the lower one; without positives nothing is learned and every score is
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,15 +54,27 @@ class TermModel:
     def found(self, text: str) -> set[str]:
         """The model's terms in a text."""
         head, heads, known = STEMS[0], self.heads, self.words
-        counts: Counter = Counter()
-        for w in LETTERS(text.lower()):
-            if w in known:
-                counts[w] += 1
-            if w[:head] in heads:
-                for k in self.sizes:
-                    if len(w) > k and w[:k] in self.stems:
-                        counts[w[:k] + "-"] += 1
-        return {t for term, n in counts.items() for t in marked(term, n) if t in self.weights}
+        return self.told(self.in_word(w) for w in LETTERS(text.lower()) if w in known or w[:head] in heads)
+
+    def in_word(self, w: str) -> tuple[str, ...]:
+        """The word itself and its stems, as far as the model knows them."""
+        own = (w,) if w in self.words else ()
+        return own + tuple(w[:k] + "-" for k in self.sizes if len(w) > k and w[:k] in self.stems)
+
+    def in_pretoken(self, pretoken: str) -> tuple[str, ...]:
+        """``in_word`` of a pretoken that is a run of letters, after a space or not."""
+        w = (pretoken[1:] if pretoken[0] == " " else pretoken).lower()
+        if w in self.words or w[:STEMS[0]] in self.heads:
+            return self.in_word(w)
+        return ()
+
+    def told(self, words: Iterable[tuple[str, ...]]) -> set[str]:
+        """The model's terms in a text whose words hold these."""
+        counts: dict[str, int] = {}
+        for seen in words:
+            for term in seen:
+                counts[term] = counts.get(term, 0) + 1
+        return {t for term, n in counts.items() for t in (marked(term, n) if n > 1 else (term,)) if t in self.weights}
 
     def score(self, text: str) -> float:
         return float(sigmoid(self.bias + sum(self.weights[t] for t in sorted(self.found(text)))))

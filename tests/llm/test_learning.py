@@ -298,3 +298,20 @@ def test_mixing_odd_rows(spark, rows):
 def test_domains(spark):
     got = {r["doc_id"]: r["domain"] for r in mixing.domain_labels(label_rows(spark, LABELS)).collect()}
     assert got == {1: 0, 2: 0, 5: 1, 6: 0, 7: 2, 99: 1}
+
+
+def test_one_split_tells_tokens_and_terms():
+    """A text's pre-tokens tell the model's terms; texts whose words are not
+    their pre-tokens are left to the words."""
+    from tessera.llm.pretokens import IdEncoder
+    finder = toxicity.TermModel(dict.fromkeys(["the", "str-", "straß-", "we", "re", "the*2"], 0.0), 0.0)
+    encoder = IdEncoder("byte_bpe_50k.json", "bytes", 3)      # forgets all the time
+    encoder.watch("terms", finder.in_pretoken)
+    plain = ["", "The the_the 12the", "STRAßE straßen Strange,the", "we're re 'the", "\n the\t\tre"]
+    odd = ["it'sthe 're", "日本 the", "we're the"]
+    for text in plain * 2 + odd:
+        n, told = encoder.measure(text)
+        assert n == len(encoder.library.encode(text, add_special_tokens=False).ids)
+        assert told is None or finder.told(told) == finder.found(text)
+        assert (told is None) == (text in odd or "we're" in text)
+    assert len(encoder.watched) <= len(encoder.sizes) + len(encoder.sizes.before)
