@@ -30,7 +30,9 @@ RULES = {
 }
 
 
-CONTRACTIONS = frozenset("'" + x for x in ("s", "t", "re", "ve", "m", "ll", "d"))
+#: White space that the rule "words" drops.
+SPACES_DROPPED = frozenset("\t\n\v\f\r ")
+
 
 
 def byte_letters() -> dict[int, str]:
@@ -60,6 +62,116 @@ def plain_rule_holds(file: dict, rule: str) -> bool:
             and parts[1]["type"] == "ByteLevel" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"])
 
 
+LETTER, DIGIT, OTHER, SPACE, OUTSIDE = range(5)
+
+
+def _byte_kinds() -> bytes:
+    """Kind of each byte of a text's UTF-8; letters beyond ASCII are two bytes,
+    the first 0xC3 to 0xC5 in the plain range."""
+    kinds = bytearray([OTHER] * 256)
+    for kind, members in ((LETTER, [*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]),
+                          (DIGIT, range(48, 58)), (SPACE, [*range(9, 14), 32]), (OUTSIDE, [0xC2, *range(0xC6, 256)])):
+        for k in members:
+            kinds[k] = kind
+    return bytes(kinds)
+
+
+KINDS = _byte_kinds()
+#: Marks the first bytes of the signs among the plain range's letters that are none, or whose small form is not one letter.
+MIXED = bytes(k in (0xC3, 0xC4) for k in range(256))
+NO_LETTERS = [int.from_bytes(x.encode()) for x in "×÷İ"]
+
+
+def content(texts):
+    """(bytes, ends) of all texts of an Arrow column without nulls, one after
+    the other as UTF-8, and where each text ends there, from 0."""
+    import numpy as np
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return np.zeros(0, dtype=np.uint8), np.zeros(len(texts) + 1, dtype=np.int64)
+    ends = np.frombuffer(offsets, dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint8)[ends[0]:ends[-1]], ends - ends[0]
+
+
+def _in_texts(at, ends):
+    """How many of the places ``at``, in ascending order, lie in each text."""
+    import numpy as np
+    return np.diff(np.searchsorted(at, ends))
+
+
+def plain_texts(texts, specials: list[str]):
+    """Which texts of an Arrow column hold no character beyond the plain range
+    and none of the strings ``specials``."""
+    import numpy as np
+    import pyarrow.compute as pc
+    raw, ends = content(texts)
+    outside = np.frombuffer(raw.tobytes().translate(KINDS), dtype=np.uint8) == OUTSIDE
+    first = np.flatnonzero(np.frombuffer(raw.tobytes().translate(MIXED), dtype=bool))
+    outside[first] |= np.isin(raw[first].astype(np.int64) << 8 | raw[first + 1], NO_LETTERS)
+    plain = _in_texts(np.flatnonzero(outside), ends) == 0
+    for special in specials:
+        plain &= ~pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+    return plain
+
+
+class Pieces:
+    """The pre-tokens and runs of white space of plain texts by a rule of
+    ``RULES``, as its pattern finds them, but for all texts at once.
+
+    ``distinct`` holds the different ones, ``of`` the place there of each one in
+    order, ``ends`` where each text's ones end, from 0.  ``cut`` tells which
+    texts hold a contraction."""
+
+    def __init__(self, texts, rule: str):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        raw, ends = content(pc.utf8_lower(texts) if rule == "words" else texts)
+        kind = np.frombuffer(raw.tobytes().translate(KINDS), dtype=np.uint8)
+        cuts = np.ones(len(raw) + 1, dtype=bool)
+        cuts[1:-1] = kind[1:] != kind[:-1]
+        if rule == "words":
+            cuts[:-1] |= kind == DIGIT
+        begins = np.zeros(len(raw) + 1, dtype=bool)
+        begins[ends] = True
+        cuts |= begins
+        if rule == "bytes":         # the last sign of white space before a pre-token is one by itself, a space is part of what follows
+            after = 1 + np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE))
+            after = after[~begins[after]]
+            cuts[after - 1] = True
+            cuts[after[raw[after - 1] == 32]] = False
+        signs = np.append(raw, [0, 0, 0])
+        at = np.flatnonzero((raw == 39) & cuts[:-1])
+        at = at[~begins[at + 1]]
+        one, two = signs[at + 1], signs[at + 2]
+        long = np.zeros(len(at), dtype=bool)
+        for a, b in (b"re", b"ve", b"ll"):
+            long |= (one == a) & (two == b) & ~begins[np.minimum(at + 2, len(raw))]
+        short = np.isin(one, list(b"stmd"))
+        at, long = at[short | long], long[short | long]
+        cuts[at + 1] = False
+        cuts[at + 2 + long] = True
+        self.cut = _in_texts(at, ends) > 0
+        bounds = np.flatnonzero(cuts)
+        whole = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw))
+        found = whole.dictionary_encode()
+        self.of = found.indices.to_numpy()
+        self.distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.ends = np.searchsorted(bounds, ends)
+
+
+def text_slices(texts, most: int = 1 << 22):
+    """(begin, length) of slices of an Arrow column of texts, of about ``most``
+    bytes: one text or more."""
+    import numpy as np
+    ends = content(texts)[1]
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield at, upto - at
+        at = upto
+
+
 class Merged(dict):
     """Ids of pre-tokens, or their number, found when first asked for.  The generation before
     is asked first; what it still knows moves on to this one."""
@@ -93,11 +205,13 @@ class IdEncoder:
             content = json.load(f)
         added = content.get("added_tokens", [])
         self.lower = rule == "words"
+        self.dropped = SPACES_DROPPED if self.lower else frozenset()
         self.find = re.compile(RULES[rule]).findall
         self.find_ascii = re.compile(RULES[rule].replace(LETTERS, "A-Za-z")).findall
-        special = "|".join(re.escape(t["content"]) for t in added) or r"(?!)"
+        self.rule, self.specials = rule, [t["content"] for t in added]
         if not plain_rule_holds(content, rule):
-            special = ""                    # found in every text: all go to the library
+            self.specials = [""]            # found in every text: all go to the library
+        special = "|".join(map(re.escape, self.specials)) if self.specials else r"(?!)"
         self.special = re.compile(special).search
         self.beyond = re.compile(f"[^\x00-\x7f{LETTERS}]|{special}").search
         self.known, self.kept = Merged(self._merge, {}), kept
@@ -106,7 +220,8 @@ class IdEncoder:
         self.sought, self.look, self.watched = None, None, {}
 
     def _merge(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self.letters)
+        # Visible ASCII stands for itself.
+        letters = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
     def _ask(self, texts: list[str]) -> list[bytes]:
@@ -131,6 +246,37 @@ class IdEncoder:
             out[i] = ids
         return out
 
+    def _split(self, texts):
+        """(pieces, their number in each text, whole): texts are split here, but
+        those numbered in ``whole`` go to the library."""
+        import numpy as np
+        import pyarrow as pa
+        plain = plain_texts(texts, self.specials)
+        pieces = Pieces(texts if plain.all() else texts.filter(pa.array(plain)), self.rule)
+        n = np.zeros(len(texts), dtype=np.int64)
+        n[plain] = np.diff(pieces.ends)
+        return pieces, n, np.flatnonzero(~plain)
+
+    def encode_column(self, texts, end: int):
+        """(values, lengths) of an Arrow column of texts without nulls: the ids
+        of all texts one after the other, each text's followed by ``end``, and
+        how many each text has.  A pre-token is looked up once for all texts."""
+        import numpy as np
+        import pyarrow as pa
+        pieces, n, whole = self._split(texts)
+        known, dropped = self.known, self.dropped
+        ids = [b"" if x[0] in dropped else known[x] for x in pieces.distinct]
+        # What closes a text: the end id, after all ids of one that the library encoded.
+        close, closing = end.to_bytes(4, "little"), np.full(len(texts), len(ids))
+        closing[whole] += 1 + np.arange(len(whole))
+        ids += [close] + [x + close for x in self._ask(texts.take(pa.array(whole)).to_pylist())]
+        order = np.insert(pieces.of, np.cumsum(n), closing)
+        data, upto = content(pa.array(ids, pa.binary()).take(pa.array(order)))
+        if len(known) > self.kept:
+            known.before = {}
+            self.known = Merged(self._merge, known)
+        return data.view("<u4"), np.diff(upto[np.append(0, np.cumsum(n + 1))]) // 4
+
     def _size(self, word: str) -> int:
         if self.look and (seen := self.look(word)):
             self.watched[word] = seen
@@ -141,36 +287,53 @@ class IdEncoder:
         return len(self.merge(word.encode().decode("latin-1").translate(self.letters)))
 
     def watch(self, sought, look) -> None:
-        """Let ``measure`` tell what ``look`` sees in a text's pre-tokens; it is
+        """Let ``measure_column`` tell what ``look`` sees in a text's pre-tokens; it is
         asked once for each that is remembered.  ``sought`` names the look: a
         worker keeps what it knows while that stays the same."""
         if sought != self.sought:
             self.sought, self.look, self.watched = sought, look, {}
             self.sizes = Merged(self._size, {})
 
+    def measure_column(self, texts) -> tuple[list[int], list[list | None]]:
+        """For each text of an Arrow column without nulls the number of its ids,
+        and what the look saw in each pre-token where it saw something.  Sizes
+        of pre-tokens are remembered apart from their ids: they take less
+        memory, and less to add up.  Nothing is told (None) of a text whose runs
+        of letters are not its pre-tokens: one that goes to the library whole,
+        or that has a contraction, which may cut a run."""
+        import numpy as np
+        import pyarrow as pa
+        pieces, n, whole = self._split(texts)
+        known, dropped = self.sizes, self.dropped
+        sizes = np.array([0 if x[0] in dropped else known[x] for x in pieces.distinct], dtype=np.int64)
+        ends = np.append(0, np.cumsum(n))
+        total = np.diff(np.append(0, np.cumsum(sizes[pieces.of]))[ends])
+        total[whole] = [len(x) // 4 for x in self._ask(texts.take(pa.array(whole)).to_pylist())]
+        seen = list(map(self.watched.get, pieces.distinct))
+        at = np.flatnonzero(np.fromiter(map(bool, seen), dtype=bool, count=len(seen))[pieces.of])
+        told, upto = [seen[k] for k in pieces.of[at].tolist()], np.searchsorted(at, ends).tolist()
+        own = [told[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+        untold = np.zeros(len(texts), dtype=bool)
+        untold[whole] = True
+        untold[~untold] = pieces.cut
+        for i in np.flatnonzero(untold).tolist():
+            own[i] = None
+        if len(known) > self.kept:
+            known.before = {}
+            self.watched = {w: seen for w, seen in self.watched.items() if w in known}
+            self.sizes = Merged(self._size, known)
+        return total.tolist(), own
+
     def measure(self, text: str) -> tuple[int, list | None]:
-        """(number of ids, what the look saw in each pre-token where it saw
-        something).  Sizes of pre-tokens are remembered apart from their ids:
-        they take less memory, and less to add up.  Nothing is told (None) of a
-        text whose runs of letters are not its pre-tokens: one that goes to the
-        library whole, or that has a contraction, which may cut a run."""
-        ascii = text.isascii()
-        if self.special(text) if ascii else self.beyond(text):
-            return len(self._ask([text])[0]) // 4, None
-        words = (self.find_ascii if ascii else self.find)(text.lower() if self.lower else text)
-        n = sum(map(self.sizes.__getitem__, words))
-        told = None
-        if "'" not in text or CONTRACTIONS.isdisjoint(words):
-            told = list(map(self.watched.__getitem__, filter(self.watched.__contains__, words)))
-        if len(self.sizes) > self.kept:
-            self.sizes.before = {}
-            self.watched = {w: seen for w, seen in self.watched.items() if w in self.sizes}
-            self.sizes = Merged(self._size, self.sizes)
-        return n, told
+        """``measure_column`` of one text."""
+        import pyarrow as pa
+        n, told = self.measure_column(pa.array([text], pa.string()))
+        return n[0], told[0]
 
     def count(self, texts: list[str]) -> list[int]:
         """The number of ids of each text."""
-        return [self.measure(t)[0] for t in texts]
+        import pyarrow as pa
+        return self.measure_column(pa.array(texts, pa.string()))[0]
 
 
 @functools.cache

@@ -101,16 +101,14 @@ def token_ids(docs: DataFrame, tokenizer: str, rule: str, end_id: int, id_type:
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from tessera.llm.pretokens import binary_slices, worker_encoder
-        encoder, end = worker_encoder(tokenizer, rule, KEPT), end_id.to_bytes(4, "little")
-        width = np.dtype(id_type).itemsize
+        from tessera.llm.pretokens import binary_slices, text_slices, worker_encoder
+        encoder, width = worker_encoder(tokenizer, rule, KEPT), np.dtype(id_type).itemsize
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                ids = encoder.encode(part.column(1).to_pylist())
-                ends = np.append(0, np.cumsum([len(x) // 4 + 1 for x in ids]))
-                whole = np.frombuffer(end.join([*ids, b""]), dtype="<u4").astype(id_type)
-                yield pa.record_batch([part.column(0), binary_slices(whole.tobytes(), ends * width)], names=["doc_id", "ids"])
+            for at, rows in text_slices(batch.column(1)):
+                part = batch.slice(at, rows)
+                ids, lengths = encoder.encode_column(part.column(1), end_id)
+                ends = np.append(0, np.cumsum(lengths))
+                yield pa.record_batch([part.column(0), binary_slices(ids.astype(id_type).tobytes(), ends * width)], names=["doc_id", "ids"])
 
     return (docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
             .mapInArrow(encode, "doc_id long, ids binary"))

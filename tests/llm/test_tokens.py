@@ -211,3 +211,44 @@ def test_other_splitting_rules_go_to_the_library(tmp_path):
     want = [e.ids for e in Tokenizer.from_file(str(path)).encode_batch(texts, add_special_tokens=False)]
     got = [np.frombuffer(x, "<u4").tolist() for x in pretokens.IdEncoder(str(path), "bytes").encode(texts)]
     assert got == want
+
+
+SIGNS = [chr(k) for k in range(128)] + list("ÀßéÿĀİıſ×÷ƀ\x85\xa0日é") + ["'s", "'Re", "'ll", " ", "  ", "\n", "the", "The ", "12", "<|endoftext|>"]
+
+
+@pytest.mark.parametrize(("name", "rule"), [("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")])
+def test_columns_are_split_as_the_pattern_splits_texts(table_texts, name, rule):
+    """All texts of a column at once give what each text gives by itself."""
+    import random
+
+    import pyarrow as pa
+
+    from tessera.llm import pretokens
+    rng = random.Random(6)
+    letters = "".join(map(chr, range(0xC0, 0x180)))
+    texts = [t or "" for t in ODD] + ["".join(rng.choices(SIGNS, k=rng.randrange(12))) for _ in range(3000)] + list(letters)
+    texts += [rng.choice([" ", "", "\n"]).join(rng.choices(["'", "'s", "'ve", "x", "Ré", "7", "!", "\t", ""], k=6)) for _ in range(3000)]
+    plain = pretokens.plain_texts(pa.array(texts), ["<|endoftext|>"])
+    whole = encoder(name, rule).beyond.__self__
+    assert plain.tolist() == [not whole.search(t) and "<|endoftext|>" not in t for t in texts]
+    split = [t for t, own in zip(texts, plain, strict=True) if own]
+    found = pretokens.Pieces(pa.array(["-", *split]).slice(1), rule)
+    find = encoder(name, rule).find
+    for t, a, b, cut in zip(split, found.ends[:-1], found.ends[1:], found.cut, strict=True):
+        own, want = [found.distinct[k] for k in found.of[a:b]], find(t.lower() if rule == "words" else t)
+        assert [x for x in own if rule == "bytes" or x[0] not in pretokens.SPACES_DROPPED] == want
+        assert cut == any(x in ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d") for x in want)
+    texts += list(table_texts.values())
+    own = IdEncoder(name, rule, 50)         # forgets all the time
+    column = pa.array(["-", *texts]).slice(1)
+    want = [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+    got, sizes = [], []
+    for at, n in pretokens.text_slices(column, 5000):
+        values, lengths = own.encode_column(column.slice(at, n), 2)
+        got += [x.tolist() for x in np.split(values, np.cumsum(lengths))[:-1]]
+        sizes += own.measure_column(column.slice(at, n))[0]
+    assert got == [x + [2] for x in want] and sizes == [len(x) for x in want]
+    none = pa.array([], pa.string())
+    assert [len(x) for x in own.encode_column(none, 2)] == [0, 0] and own.measure_column(none) == ([], [])
+    assert list(pretokens.text_slices(none)) == []
+    assert list(pretokens.text_slices(pa.array(["", "aaaa", "b", "c", ""]), 2)) == [(0, 1), (1, 1), (2, 3)]
