@@ -10,9 +10,11 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.common import materialize
+from tessera.llm.pretokens import content
 
 BLOCK_BYTES, BLOCK_WORDS = 256, 32
 SHORT = 24              # bytes added to every length, so that a few letters show no extreme shares
@@ -34,8 +36,34 @@ BYTE_CLASS = _byte_classes()
 BLOCK_AT = np.arange(1 << 16) // BLOCK_BYTES * CLASSES      # place of a byte's block in the table of classes
 
 
-def shape(text: str) -> np.ndarray:
-    """Features of a text's form: byte frequencies (square roots), shares of
+#: Marks bytes that white space beyond the ASCII kind begins with.
+WIDE_SPACE = bytes(k in (*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3) for k in range(256))
+
+
+def words_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray] | None]:
+    """For each text of a column without nulls the number of its words, how many
+    differ, and whether each but the first is the word before it (1 or 0); None
+    for a text that may hold white space beyond the ASCII kind."""
+    raw, upto = content(texts)
+    wide = np.flatnonzero(np.frombuffer(raw.tobytes().translate(WIDE_SPACE), dtype=bool))
+    wide = np.diff(np.searchsorted(wide, upto)).tolist()
+    parts = pc.ascii_split_whitespace(texts)
+    found = parts.flatten().dictionary_encode()
+    of = found.indices.to_numpy()
+    ends = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy().astype(np.int64)))
+    if (empty := pc.index(found.dictionary, "").as_py()) >= 0:      # beside white space at a text's begin or end
+        real = of != empty
+        of, ends = of[real], np.append(0, np.cumsum(real))[ends]
+    same = (of[1:] == of[:-1]).astype(np.int64)
+    numbers, last = np.arange(np.diff(ends).max(initial=0)), np.zeros(len(found.dictionary), dtype=np.int64)
+    for a, b, beyond in zip(ends[:-1].tolist(), ends[1:].tolist(), wide, strict=True):
+        own = of[a:b]
+        last[own] = numbers[:b - a]         # of several places of a word one stays
+        yield None if beyond else (b - a, int(np.count_nonzero(last[own] == numbers[:b - a])), same[a:max(a, b - 1)])
+
+
+def shape(text: str, words: tuple[int, int, np.ndarray] | None = None) -> np.ndarray:
+    """Features of a text's form (``words``: as ``words_of`` gives them): byte frequencies (square roots), shares of
     byte classes in the whole text and in the block where each is highest,
     adjacent repeats of a word (whole, and highest in a block), distinct words,
     mean length of a word.  An empty text is all zeros."""
@@ -52,14 +80,15 @@ def shape(text: str) -> np.ndarray:
     table = np.bincount(at, minlength=blocks * CLASSES).reshape(blocks, CLASSES)
     out[256:256 + CLASSES] = table.sum(axis=0) / (len(raw) + SHORT)
     out[256 + CLASSES:256 + 2 * CLASSES] = (table / (table.sum(axis=1, keepdims=True) + SHORT)).max(axis=0)
-    words = text.split()
-    n = len(words)
+    if words is None:
+        listed = text.split()
+        words = len(listed), len(set(listed)), np.frombuffer(bytes(map(eq, listed, islice(listed, 1, None))), dtype=np.uint8).astype(np.int64)
+    n, distinct, repeats = words
     if n > 1:
-        repeats = np.frombuffer(bytes(map(eq, words, islice(words, 1, None))), dtype=np.uint8).astype(np.int64)
         starts = np.arange(max(1, (n - 1) // BLOCK_WORDS)) * BLOCK_WORDS
         in_block = np.add.reduceat(repeats, starts) / np.diff(np.append(starts, n - 1))
         out[-4:-2] = repeats.mean(), in_block.max()
-    out[-2] = len(set(words)) / max(n, 1)
+    out[-2] = distinct / max(n, 1)
     out[-1] = len(raw) / max(n, 1) / 16
     return out
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.common import bounded_batches, materialize, one_text_per_document
-from tessera.llm.features import WIDTH, shape, telling_terms
+from tessera.llm.features import WIDTH, shape, telling_terms, words_of
 from tessera.llm.packing import KEPT
 from tessera.llm.toxicity import TermModel
 
@@ -74,10 +74,12 @@ class Posterior:
         self.index = {t: i for i, t in enumerate(self.terms)}
         self.finder = TermModel(dict.fromkeys(self.terms, 0.0), 0.0)
 
-    def features(self, text: str, told: list[tuple[str, ...]] | None = None) -> np.ndarray:
-        """Features of a text; ``told``: what its words hold, where that is known."""
+    def features(self, text: str, told: list[tuple[str, ...]] | None = None,
+                 words: tuple[int, int, np.ndarray] | None = None) -> np.ndarray:
+        """Features of a text; ``told``: what its words hold, where that is
+        known; ``words``: as ``words_of`` gives them."""
         x = np.zeros(WIDTH + len(self.terms) + 1, dtype=np.float32)
-        x[:WIDTH] = shape(text)
+        x[:WIDTH] = shape(text, words)
         for t in self.finder.found(text) if told is None else self.finder.told(told):
             x[WIDTH + self.index[t]] = 1
         x[-1] = 1
@@ -144,22 +146,27 @@ def membership(text: Column, model: Posterior, classes: int, tokenizer: str = TO
 
     @F.arrow_udf("struct<n_tokens:long," + ",".join(f"p{k}:double" for k in range(classes)) + ">")
     def posterior(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from tessera.llm.pretokens import worker_encoder
-        measure = lambda text: (None, None)
+        from tessera.llm.pretokens import text_slices, worker_encoder
+        measure = lambda texts: ([None] * len(texts), [None] * len(texts))
         if tokenizer:
-            # One split of a text gives its tokens and, where it can, its terms.
+            # One split of the texts gives their tokens and, where it can, their terms.
             encoder = worker_encoder(tokenizer, rule, KEPT)
             encoder.watch(tuple(model.terms), model.finder.in_pretoken)
-            measure = encoder.measure
+            measure = encoder.measure_column
         for batch in batches:
             n, parts = [], [np.zeros((0, classes))]
-            for at in range(0, len(batch), 256):
+            for at, length in text_slices(batch):
+                texts = batch[at:at + length]
+                sizes, told = measure(texts)
+                n += sizes
                 rows = []
-                for t in batch[at:at + 256].to_pylist():
-                    size, told = measure(t)
-                    n.append(size)
-                    rows.append(model.features(t, told))
-                parts.append(model.probabilities(np.stack(rows)))
+                for t, seen, words in zip(texts.to_pylist(), told, words_of(texts), strict=True):
+                    rows.append(model.features(t, seen, words))
+                    if len(rows) == 256:
+                        parts.append(model.probabilities(np.stack(rows)))
+                        rows = []
+                if rows:
+                    parts.append(model.probabilities(np.stack(rows)))
             p = np.concatenate(parts)
             yield pa.StructArray.from_arrays(
                 [pa.array(n, pa.int64())] + [pa.array(p[:, k].astype(np.float64)) for k in range(classes)],

@@ -315,3 +315,25 @@ def test_one_split_tells_tokens_and_terms():
         assert told is None or finder.told(told) == finder.found(text)
         assert (told is None) == (text in odd or "we're" in text)
     assert len(encoder.watched) <= len(encoder.sizes) + len(encoder.sizes.before)
+
+
+def test_words_of_a_column():
+    """Words counted for all texts at once give the same features of form."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import features
+    rng = random.Random(10)
+    texts = ["", " ", "a", " a a", "a\x1ca b\x1c", "a\xa0a a", "a b a\n", "\x0b\x0ca\ta\r\nb", "日本 日本", "a　a", "“a a”"]
+    texts += ["".join(rng.choices(["a", "b ", " a", " the", " the", "\n", "\t", "é"], k=rng.randrange(300))) for _ in range(300)]
+    found = list(features.words_of(pa.array(["-", *texts]).slice(1)))
+    for t, words in zip(texts, found, strict=True):
+        assert np.array_equal(features.shape(t, words), features.shape(t))
+        if words:
+            own = t.split()
+            assert (words[0], words[1], words[2].tolist()) == (len(own), len(set(own)), [int(a == b) for a, b in zip(own, own[1:])])
+        else:
+            assert not t.isascii() or "\x1c" in t
+    assert list(features.words_of(pa.array([], pa.string()))) == []
