@@ -27,12 +27,15 @@ def _lit_array(items: list[str]) -> Column:
 
 
 def normalize_sql(s: Column) -> Column:
-    """Fence removal, strip, one trailing ';' dropped, whitespace collapsed (O-SC-1)."""
+    """Fence removal, strip, one trailing ';' dropped, whitespace collapsed (O-SC-1).
+
+    Whitespace is collapsed first, by a pattern that passes over single spaces;
+    after that only spaces are left to strip.
+    """
     s = ascii_ws(F.coalesce(s, F.lit("")))
-    s = F.when(F.instr(s, "```") > 0, F.regexp_replace(s, r"(?i)```sql|```", "")).otherwise(s)
-    s = strip(s)
-    s = F.when(F.instr(s, ";") > 0, F.regexp_replace(s, r";\s*$", "")).otherwise(s)
-    return strip(F.regexp_replace(s, r"\s+", " "))
+    s = F.when(F.contains(s, F.lit("```")), F.regexp_replace(s, r"(?i)```sql|```", "")).otherwise(s)
+    s = F.trim(F.regexp_replace(s, r"\s(?:(?<! )|\s)\s*", " "))
+    return F.trim(F.regexp_replace(s, ";$", ""))
 
 
 def extract_tables(norm: Column) -> Column:
@@ -117,9 +120,9 @@ def features_of_normalized(n: Column, upper_words: Column | None = None) -> Colu
 
 
 # The same features of ASCII text.  Letter case is one to one there, so the
-# patterns run over the lower- or upper-cased text and need no case-insensitive
-# match, and a word that is one of a fixed list is told by the pattern that finds
-# the words: no array goes through an interpreted lambda or a set of literals.
+# patterns run over the lower-cased text and need no case-insensitive match; a
+# normalised ASCII text has no whitespace but single spaces.  The distinct tokens
+# are found once; keywords, and the clauses that are one word, are met among them.
 
 def _one_of(words: list[str]) -> str:
     """Pattern of any of ``words``, by their first letters."""
@@ -130,54 +133,67 @@ def _one_of(words: list[str]) -> str:
 
 
 _WORD_CLAUSES = [m.group(1) for _, pat in fixed.CLAUSES if (m := _WORD_CLAUSE.match(pat))]
+_AGGREGATES = ["COUNT", "SUM", "AVG", "MIN", "MAX"]
+# clauses of two signs
+_PAIRS = {"GROUP_BY": r"\bgroup by\b", "ORDER_BY": r"\border by\b", "SUBQUERY": r"\( ?select\b"}
+# a digit beside a letter: there a token need not be a whole word
+_MIXED_WORD = r"[0-9](?:[a-z_]|(?<=[a-z_][0-9]))"
 # the sought part is group 1; it is empty for the other matches
-_LISTED_CLAUSE = f"({_one_of(_WORD_CLAUSES)})(?![A-Z0-9_])|[A-Z0-9_]+"
-_LISTED_KEYWORD = f"({_one_of(fixed.SQL_KEYWORDS)})(?![A-Z_])|[A-Z_]+"
 _COLUMN = f"{_one_of([k.lower() for k in fixed.SQL_KEYWORDS] + fixed.ALIAS_NAMES)}(?![a-z0-9_])|({_IDENT_PAT.replace('A-Z', '')})"
-_LOW_TABLE = r"\b(?:from|join)\s+([`\"\[\]a-z0-9_.]+)"
-
+_SELECT_LIST = r"select(?<![a-z0-9_]select) (.*?)from(?<![a-z0-9_]from)(?![a-z0-9_])"
+# FROM or JOIN, a name that is more than its quotes; of it, what lies between one
+# outer quote on either side and after the last dot
+_NAME = r"`\"\[\]a-z0-9_."
+_LOW_TABLE = (r"[fj](?:(?<=f)rom|(?<=j)oin)(?<![a-z0-9_]....) " rf"(?![`\"\[]?[`\"\]]?(?![{_NAME}]))"
+              rf"[`\"\[]?(?:[{_NAME}]*\.)?([{_NAME[:-1]}]*?)[`\"\]]?(?![{_NAME}])")
 
-def _found(text: Column, pattern: str) -> Column:
-    return F.array_remove(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1)), "")
 
+def _columns_of_list(sel: Column) -> Column:
+    sel = F.when(F.contains(sel, F.lit("(")), F.regexp_replace(sel, r"\(.*?\)", " ")).otherwise(sel)
+    return F.array_remove(F.array_distinct(F.regexp_extract_all(sel, F.lit(_COLUMN), 1)), "")
 
-def _tables_of_lower(low: Column, raw: Column) -> Column:
-    return F.when(F.array_join(raw, "").rlike(r"[^a-z0-9_]"), extract_tables(low)).otherwise(F.array_distinct(raw))
 
+def _upper_words(words: Column) -> Column:
+    return F.array_remove(F.split(F.upper(F.array_join(words, " ")), " "), "")
 
-def _columns_of_lower(low: Column) -> Column:
-    sel = F.regexp_extract(low, r"(?s)\bselect\s+(.*?)\bfrom\b", 1)
-    return _found(F.regexp_replace(sel, r"\(.*?\)", " "), _COLUMN)
 
-
-def _clauses_of_upper(up: Column) -> Column:
+def _clauses_of_words(low: Column, words: Column) -> Column:
+    """``words``: upper-cased, with every whole word that is a keyword."""
     arms = []
     for name, pat in fixed.CLAUSES:
-        if not _WORD_CLAUSE.match(pat):
-            guard = {"SUBQUERY": "SELECT", "AGG": ""}.get(name, name.split("_")[0])
-            arms.append(F.when((F.instr(up, guard) > 0) & up.rlike(pat), F.lit(name)).otherwise(F.lit("")))
-    return F.concat(_found(up, _LISTED_CLAUSE), F.array_remove(F.array(*arms), ""))
+        if _WORD_CLAUSE.match(pat):
+            continue
+        if name == "AGG":
+            found = F.arrays_overlap(words, _lit_array(_AGGREGATES))
+        else:
+            guard = F.contains(low, F.lit("(")) if name == "SUBQUERY" else F.array_contains(words, name.split("_")[0])
+            found = guard & low.rlike(_PAIRS[name])
+        arms.append(F.when(found, F.lit(name)).otherwise(F.lit("")))
+    return F.concat(F.array_intersect(_lit_array(_WORD_CLAUSES), words), F.array_remove(F.array(*arms), ""))
 
 
 def with_sql_features(df: DataFrame, sql_col: str, out: str) -> DataFrame:
     """Add ``out`` = feature struct of ``sql_col``.
 
-    Normalisation is its own projection; Catalyst keeps it there (a costly
+    Each step is its own projection; Catalyst keeps it there (a costly
     expression referenced many times is not collapsed into its consumers), so
-    each text is normalised once.  So are the lower- and upper-cased forms, null
-    for text beyond ASCII, which takes the general patterns.
+    each text is normalised and split into tokens once.  The lower-cased form is
+    null for text beyond ASCII, which takes the general patterns.
     """
-    parts = [f"_{out}_{x}" for x in ("norm", "low", "up", "raw")]
-    norm, low, up, raw = map(F.col, parts)
-    ascii = F.octet_length(norm) == F.length(norm)
-    plain = F.struct(_tables_of_lower(low, raw).alias("tables"), _columns_of_lower(low).alias("columns"),
-                     _clauses_of_upper(up).alias("clauses"), _found(up, _LISTED_KEYWORD).alias("keywords"),
-                     F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z_]+"), 0)).alias("tokens"))
-    return (df.withColumn(parts[0], normalize_sql(F.col(sql_col)))
-              .withColumns({parts[1]: F.when(ascii, F.lower(norm)), parts[2]: F.when(ascii, F.upper(norm))})
-              .withColumn(parts[3], F.regexp_extract_all(low, F.lit(_LOW_TABLE), 1))
-              .withColumn(out, F.when(low.isNull(), features_of_normalized(norm)).otherwise(plain))
-              .drop(*parts))
+    parts = {x: f"_{out}_{x}" for x in ("norm", "low", "tok", "sel", "key", "word", *FEATURES)}
+    norm, low, tok, sel, key, word = (F.col(parts[x]) for x in ("norm", "low", "tok", "sel", "key", "word"))
+    general = features_of_normalized(norm)
+    plain = {"tables": F.array_distinct(F.regexp_extract_all(low, F.lit(_LOW_TABLE), 1)), "columns": _columns_of_list(sel),
+             "clauses": _clauses_of_words(low, word), "keywords": key, "tokens": tok}
+    return (df.withColumn(parts["norm"], normalize_sql(F.col(sql_col)))
+              .withColumn(parts["low"], F.when(F.octet_length(norm) == F.length(norm), F.lower(norm)))
+              .withColumns({parts["tok"]: F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z_]+"), 0)),
+                            parts["sel"]: F.regexp_extract(low, _SELECT_LIST, 1)})
+              .withColumn(parts["key"], _upper_words(F.array_intersect(_lit_array([k.lower() for k in fixed.SQL_KEYWORDS]), tok)))
+              .withColumn(parts["word"], F.when(low.rlike(_MIXED_WORD), F.regexp_extract_all(F.upper(low), F.lit("[A-Z0-9_]+"), 0)).otherwise(key))
+              .withColumns({parts[k]: F.when(low.isNull(), general[k]).otherwise(plain[k]) for k in FEATURES})
+              .withColumn(out, F.struct(*[F.col(parts[k]).alias(k) for k in FEATURES]))
+              .drop(*parts.values()))
 
 
 def semantic_score(pred_features: Column, gt_features: Column) -> Column:

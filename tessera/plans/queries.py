@@ -107,9 +107,12 @@ def sc_sql_features(spark, sf):
 @query("sc_semantic_score")
 def sc_semantic_score(spark, sf):
     # One row per example meets its answers; its own features are taken once,
-    # after the join and before the answers are spread out.
+    # after the join and before the answers are spread out.  Features take far
+    # longer than their texts' bytes suggest, by which AQE would merge
+    # partitions: a number that is asked for stays.
     ex = fx.examples(spark, sf).select("ex_id", F.col("SQL").alias("gt_sql"))
-    answers = fx.predictions(spark, sf).groupBy("ex_id").agg(F.collect_list(F.struct("variant", "raw_answer")).alias("a"))  # one per variant
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    answers = fx.predictions(spark, sf).repartition(parts, "ex_id").groupBy("ex_id").agg(F.collect_list(F.struct("variant", "raw_answer")).alias("a"))  # one per variant
     j = with_sql_features(ex.hint("merge").join(answers, "ex_id"), "gt_sql", "gt_f")
     j = with_sql_features(j.select("ex_id", "gt_f", F.explode("a").alias("a")).select("ex_id", "gt_f", "a.*"), "raw_answer", "p_f")
     s = j.select("ex_id", "variant", semantic_score(F.col("p_f"), F.col("gt_f")).alias("s"))

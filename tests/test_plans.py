@@ -38,6 +38,11 @@ def test_no_forced_hash_join_and_no_round_robin(spark):
     assert "SortMergeJoin [ex_id" in p and "BroadcastHashJoin [ex_id" not in p
 
 
+def test_scoring_keeps_its_partitions(spark):
+    scored = QUERIES["sc_semantic_score"](spark, SF)    # a few hundred KB: AQE would merge them into one task
+    assert scored.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_not_in_is_a_shuffled_anti_join_of_distinct_keys(spark):
     p = plan(QUERIES["wl_anti_join_not_in"](spark, SF))
     assert "SortMergeJoin" in p and "LeftAnti" in p and "Broadcast" not in p and "HashAggregate" in p

@@ -1,3 +1,6 @@
+import itertools
+import re
+
 from conftest import col_values
 from pyspark.sql import functions as F
 
@@ -68,6 +71,32 @@ def test_plain_features_equal_the_general_ones(spark):
             assert r[1] == r[2], (k, r[0])
 
 
+def test_normalize_order_of_steps(spark):
+    texts = ["a;\n", " ; ", "a ; ;", "a;;", "a \n ;", "a\x1c;\x1d", "```sql a;``` ;", "a\u2028\u00a0b;", "a;\tb", ";", "\ta  b\r\nc "]
+    assert col_values(spark, st.normalize_sql, texts) == ["a", "", "a ;", "a;", "a", "a", "a;", "a b", "a; b", "", "a b c"]
+
+
+def test_features_of_names_and_words_with_odd_signs(spark):
+    runs = ["".join(x) for n in (1, 2, 3) for x in itertools.product("`\"[].a", repeat=n)]
+    texts = [f"SELECT b FROM {x} JOIN {x[::-1]}c" for x in runs] + \
+        ["foin x jrom y from1 z xjoin w JOIN from v", "1SELECT a 1FROM b GROUP BY1 c", "GROUP1 group by COUNT2 (select2 sum( SELECT 1",
+         "case9 case from from_ order  by", "select a from2 b from c", "Selects x select (a, f(b), in1) as t10, t11 FROM t"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = st.with_sql_features(df, "t", "f").withColumn("n", st.normalize_sql(F.col("t"))) \
+        .withColumn("g", st.features_of_normalized(F.col("n")))
+    sets = [F.sort_array(F.col(x)[k]) for x in "fg" for k in st.FEATURES]
+    for r in both.select("t", *sets).collect():
+        assert r[1:6] == r[6:], r["t"]
+
+
+def test_plain_text_is_searched_once_for_words_tables_and_columns(spark):
+    df = spark.createDataFrame([("SELECT a FROM t",)], "t string")
+    stages = _executed(st.with_sql_features(df, "t", "f")).split("\n")
+    low = [n for x in stages for n in re.findall(r"regexp_extract_all\((?:upper\()?_f_(?:low|up)#", x)]
+    # tokens, whole words where a digit stands beside a letter, tables; before: also clauses and keywords by lists of words
+    assert len(low) == 3
+
+
 def test_scores_take_no_union_of_sets(spark):
     df = spark.createDataFrame([("SELECT a, b FROM t", "SELECT a FROM t JOIN u")], "p string, g string")
     df = st.with_sql_features(st.with_sql_features(df, "p", "pf"), "g", "gf").select(st.semantic_score(F.col("pf"), F.col("gf")).alias("s"))
